@@ -1,0 +1,8 @@
+"""Streaming.
+
+The library this toolkit mirrors has no streaming code: no stream source, no
+watermark, no time-based windows and no state (all of its operators work on a
+complete table).  Nothing is built here; every operator in ``varkit.operators``
+runs on a batch DataFrame.  A caller that wants profiles per micro-batch can call
+an operator from ``DataStreamWriter.foreachBatch``; no extra code is needed.
+"""
