@@ -196,3 +196,166 @@ def q_profile_assoc_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = (read_table(spark, sf_dir, "lineitem", LINEITEM_NUM + ["l_returnflag", "l_linestatus"])
           .withColumn("y01", (F.col("l_returnflag") == "R").cast("int")))
     return rounded(profile(df, dv="y01", regression=False).select(*ASSOC_COLS))
+
+
+# ------------------------------------------------------------------ trends
+def _trend_sql_tail(src: str) -> str:
+    """Shared SQL for the numeric trend table given ``bucketed(variable, v, y, side, sb)``."""
+    return f"""
+agg AS (
+  SELECT variable, side, sb, min(v) AS minima, sum(v) AS var_sum, max(v) AS maxima,
+    count(*) AS counts, CAST(sum(y) AS BIGINT) AS dep_sum
+  FROM {src} GROUP BY variable, side, sb
+)
+SELECT variable,
+  row_number() OVER (PARTITION BY variable ORDER BY minima NULLS LAST, side, sb) AS bucket,
+  {_r('minima')} AS minima, {_r('var_sum')} AS var_sum, {_r('maxima')} AS maxima, counts, dep_sum,
+  {_r('var_sum / counts')} AS var_avg, {_r('dep_sum / counts')} AS dep_avg
+FROM agg
+"""
+
+
+_TREND_SQL_HEAD = """
+st AS (
+  SELECT variable,
+    sum(CASE WHEN v < 0 THEN 1 ELSE 0 END) AS n_neg, sum(CASE WHEN v > 0 THEN 1 ELSE 0 END) AS n_pos,
+    min(v) AS vmin, max(v) AS vmax
+  FROM base WHERE v IS NOT NULL GROUP BY variable
+), st2 AS (
+  SELECT *,
+    CAST(greatest(1, coalesce(ceil({B} * n_neg / nullif(n_neg + n_pos, 0)), 1)) AS BIGINT) AS b_neg,
+    CAST(greatest(1, coalesce(ceil({B} * n_pos / nullif(n_neg + n_pos, 0)), 1)) AS BIGINT) AS b_pos
+  FROM st
+), st3 AS (
+  SELECT *, ceil(n_neg / b_neg) AS r_neg, ceil(n_pos / b_pos) AS r_pos,
+    n_neg > 0 AND -vmin > 1 AS neg_eqf, n_pos > 0 AND vmax > 1 AS pos_eqf,
+    pow(10.0, ceil(log10(-vmin))) AS m_neg, pow(10.0, ceil(log10(vmax))) AS m_pos
+  FROM st2
+), side AS (
+  SELECT b.*, CASE WHEN v < 0 THEN 0 WHEN v = 0 THEN 1 WHEN v > 0 THEN 2 ELSE 3 END AS side FROM base b
+), ranked AS (
+  SELECT s.*, rank() OVER (PARTITION BY variable, side ORDER BY v) AS rk FROM side s
+), edges AS (
+  SELECT variable, 0 AS side, (-m_neg / b_neg) * i AS e FROM st3, range(1, b_neg + 1) t(i)
+  WHERE n_neg > 0 AND NOT neg_eqf
+  UNION ALL
+  SELECT variable, 2, (m_pos / b_pos) * i FROM st3, range(1, b_pos) t(i) WHERE n_pos > 0 AND NOT pos_eqf
+), bucketed AS (
+  SELECT r.variable, r.v, r.y, r.side,
+    CASE
+      WHEN r.side = 0 AND s.neg_eqf THEN floor(r.rk / s.r_neg) + 1
+      WHEN r.side = 0 THEN 1 + (SELECT count(*) FROM edges e WHERE e.variable = r.variable AND e.side = 0 AND e.e < r.v)
+      WHEN r.side = 2 AND s.pos_eqf THEN floor(r.rk / s.r_pos) + 1
+      WHEN r.side = 2 THEN 1 + (SELECT count(*) FROM edges e WHERE e.variable = r.variable AND e.side = 2 AND e.e < r.v)
+                           + CASE WHEN r.v = 1 THEN 1 ELSE 0 END
+      ELSE 0 END AS sb
+  FROM ranked r JOIN st3 s USING (variable)
+),"""
+
+
+def _trend_sql(long_sql: str, buckets: int) -> str:
+    return ("WITH base AS (\n  " + long_sql + "\n)," + _TREND_SQL_HEAD.replace("{B}", f"{float(buckets)}")
+            + _trend_sql_tail("bucketed"))
+
+
+@register("trends_numeric", _trend_sql(
+    "SELECT 'c_acctbal' AS variable, c_acctbal AS v, "
+    "CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS y FROM customer", 10))
+def q_trends_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.trends import numeric_trends
+    df = (read_table(spark, sf_dir, "customer", ["c_acctbal", "c_mktsegment"])
+          .withColumn("y", (F.col("c_mktsegment") == "BUILDING").cast("int")))
+    return rounded(numeric_trends(df, ["c_acctbal"], "y", 10))
+
+
+@register("trends_numeric_unit", _trend_sql(
+    "SELECT 'l_discount' AS variable, l_discount AS v, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y "
+    "FROM lineitem UNION ALL SELECT 'l_tax', l_tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END "
+    "FROM lineitem", 10))
+def q_trends_numeric_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.trends import numeric_trends
+    df = (read_table(spark, sf_dir, "lineitem", ["l_discount", "l_tax", "l_returnflag"])
+          .withColumn("y", (F.col("l_returnflag") == "R").cast("int")))
+    return rounded(numeric_trends(df, ["l_discount", "l_tax"], "y", 10))
+
+
+@register("trends_categorical", f"""
+WITH long AS (
+  SELECT 'l_returnflag' AS variable, l_returnflag AS category,
+    CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS y FROM lineitem
+  UNION ALL SELECT 'l_linestatus', l_linestatus, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END FROM lineitem
+)
+SELECT variable, category, count(*) AS counts, CAST(sum(y) AS BIGINT) AS dep_sum,
+  {_r('sum(y) / count(*)')} AS dep_avg
+FROM long GROUP BY variable, category
+""")
+def q_trends_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.trends import categorical_trends
+    df = (read_table(spark, sf_dir, "lineitem", ["l_returnflag", "l_linestatus", "l_quantity"])
+          .withColumn("y", (F.col("l_quantity") > 25).cast("int")))
+    return rounded(categorical_trends(df, ["l_returnflag", "l_linestatus"], "y"))
+
+
+@register("binned_line", f"""
+WITH long AS (
+  SELECT 'l_quantity' AS variable, l_quantity AS v, l_extendedprice AS y FROM lineitem
+  UNION ALL SELECT 'l_discount', l_discount, l_extendedprice FROM lineitem
+  UNION ALL SELECT 'l_tax', l_tax, l_extendedprice FROM lineitem
+), ranked AS (
+  SELECT *, rank() OVER (PARTITION BY variable ORDER BY v) AS rk,
+    ceil(count(*) OVER (PARTITION BY variable) / 10.0) AS r FROM long WHERE v IS NOT NULL
+), agg AS (
+  SELECT variable, floor(rk / r) + 1 AS b, min(v) AS x_min, max(v) AS x_max, avg(v) AS x_avg,
+    avg(y) AS dv_avg, count(*) AS n FROM ranked GROUP BY variable, floor(rk / r) + 1
+)
+SELECT variable, row_number() OVER (PARTITION BY variable ORDER BY b) AS bucket,
+  {_r('x_min')} AS x_min, {_r('x_max')} AS x_max, {_r('x_avg')} AS x_avg, {_r('dv_avg')} AS dv_avg, n
+FROM agg
+""")
+def q_binned_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.trends import binned_line
+    df = read_table(spark, sf_dir, "lineitem", ["l_quantity", "l_discount", "l_tax", "l_extendedprice"])
+    return rounded(binned_line(df, "l_extendedprice", 10))
+
+
+@register("box_stats", f"""
+WITH long AS (
+  SELECT 'p_brand' AS variable, p_brand AS "group", p_retailprice AS x FROM part
+  UNION ALL SELECT 'p_type', p_type, p_retailprice FROM part
+), q AS (
+  SELECT variable, "group", quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+    quantile_cont(x, 0.75) AS q3 FROM long WHERE x IS NOT NULL AND "group" IS NOT NULL
+  GROUP BY variable, "group"
+), j AS (
+  SELECT l.*, q.q1, q.median, q.q3, q.q1 - 1.5 * (q.q3 - q.q1) AS lo, q.q3 + 1.5 * (q.q3 - q.q1) AS hi
+  FROM long l JOIN q USING (variable, "group")
+)
+SELECT variable, "group", count(*) AS n, {_r('q1')} AS q1, {_r('median')} AS median, {_r('q3')} AS q3,
+  {_r('min(CASE WHEN x >= lo AND x <= hi THEN x END)')} AS whisker_lo,
+  {_r('max(CASE WHEN x >= lo AND x <= hi THEN x END)')} AS whisker_hi,
+  CAST(sum(CASE WHEN x >= lo AND x <= hi THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers
+FROM j GROUP BY variable, "group", q1, median, q3
+""")
+def q_box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.trends import box_stats
+    df = read_table(spark, sf_dir, "part", ["p_brand", "p_type", "p_retailprice"])
+    return rounded(box_stats(df, "p_retailprice", regression=True))
+
+
+@register("column_percent", f"""
+WITH cells AS (
+  SELECT o_orderpriority AS category, o_orderstatus AS dv, count(*) AS c FROM orders GROUP BY ALL
+), cats AS (SELECT DISTINCT category FROM cells), dvs AS (SELECT DISTINCT dv FROM cells),
+grid AS (
+  SELECT 'o_orderpriority' AS variable, cats.category, dvs.dv, coalesce(c.c, 0) AS count
+  FROM cats, dvs LEFT JOIN cells c ON c.category IS NOT DISTINCT FROM cats.category
+    AND c.dv IS NOT DISTINCT FROM dvs.dv
+)
+SELECT variable, category, dv, count,
+  {_r('count * 100.0 / sum(count) OVER (PARTITION BY variable, category)')} AS pct
+FROM grid
+""")
+def q_column_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.trends import column_percent
+    df = read_table(spark, sf_dir, "orders", ["o_orderpriority", "o_orderstatus"])
+    return rounded(column_percent(df, "o_orderstatus"))
