@@ -359,3 +359,93 @@ def q_column_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.operators.trends import column_percent
     df = read_table(spark, sf_dir, "orders", ["o_orderpriority", "o_orderstatus"])
     return rounded(column_percent(df, "o_orderstatus"))
+
+
+# --------------------------------------------------------------- treatment
+@register("cap_floor", f"""
+SELECT c_custkey,
+  {_r('CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal > 9000 THEN 9000 ELSE c_acctbal END')} AS c_acctbal
+FROM customer
+""")
+def q_cap_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.treat import cap_floor
+    df = read_table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"])
+    return rounded(cap_floor(df, "c_acctbal", 9000.0, 0.0))
+
+
+@register("dummies", """
+SELECT c_custkey, c_mktsegment,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END AS c_mktsegment_dum_MACHINERY,
+  CASE WHEN c_mktsegment = 'FURNITURE' THEN 1 ELSE 0 END AS c_mktsegment_dum_FURNITURE,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS c_mktsegment_dum_BUILDING,
+  CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1 ELSE 0 END AS c_mktsegment_dum_AUTOMOBILE
+FROM customer
+""")
+def q_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.treat import dummies
+    df = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
+    return dummies(df, "c_mktsegment")[0]
+
+
+@register("dummies_binary", """
+WITH freq AS (
+  SELECT o_orderpriority AS cat,
+    row_number() OVER (ORDER BY count(*) DESC, o_orderpriority NULLS LAST) - 1 AS code
+  FROM orders GROUP BY o_orderpriority
+)
+SELECT o_orderkey, o_orderpriority,
+  CAST(coalesce((f.code >> 0) & 1, 0) AS INTEGER) AS o_orderpriority_dum_0,
+  CAST(coalesce((f.code >> 1) & 1, 0) AS INTEGER) AS o_orderpriority_dum_1,
+  CAST(coalesce((f.code >> 2) & 1, 0) AS INTEGER) AS o_orderpriority_dum_2
+FROM orders o LEFT JOIN freq f ON o.o_orderpriority = f.cat
+""")
+def q_dummies_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.treat import dummies_binary
+    df = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority"])
+    return dummies_binary(df, "o_orderpriority")[0]
+
+
+@register("smooth_tails", f"""
+WITH RECURSIVE p AS (
+  SELECT quantile_cont(o_totalprice, 0.01) AS p1, quantile_cont(o_totalprice, 0.05) AS p5,
+    quantile_cont(o_totalprice, 0.95) AS p95, quantile_cont(o_totalprice, 0.99) AS p99 FROM orders
+), hb AS (
+  SELECT o_totalprice AS a, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i
+  FROM orders, p WHERE o_totalprice BETWEEN p95 AND p99
+), hs(i, s) AS (
+  SELECT i, a FROM hb WHERE i = 0
+  UNION ALL
+  SELECT hb.i, 0.5 * hb.a + 0.5 * hs.s FROM hs JOIN hb ON hb.i = hs.i + 1
+), ht AS (
+  SELECT o_orderkey, o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS k
+  FROM orders, p WHERE o_totalprice > p99
+), hc(k, o_orderkey, s) AS (
+  SELECT 0, CAST(NULL AS BIGINT), (SELECT s FROM hs ORDER BY i DESC LIMIT 1)
+  UNION ALL
+  SELECT ht.k, ht.o_orderkey, 0.5 * ht.x + 0.5 * hc.s FROM hc JOIN ht ON ht.k = hc.k + 1
+), lb AS (
+  SELECT o_totalprice AS a, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i,
+    count(*) OVER () AS m
+  FROM orders, p WHERE o_totalprice BETWEEN p1 AND p5
+), ls(i, s) AS (
+  SELECT m - 2, a FROM lb WHERE i = m - 1
+  UNION ALL
+  SELECT ls.i - 1, 0.5 * lb.a + 0.5 * ls.s FROM ls JOIN lb ON lb.i = ls.i + 1 WHERE ls.i > 0
+), lt AS (
+  SELECT o_orderkey, o_totalprice AS x,
+    row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) AS k
+  FROM orders, p WHERE o_totalprice < p1
+), lc(k, o_orderkey, s) AS (
+  SELECT 0, CAST(NULL AS BIGINT), (SELECT s FROM ls ORDER BY i LIMIT 1)
+  UNION ALL
+  SELECT lt.k, lt.o_orderkey, 0.5 * lt.x + 0.5 * lc.s FROM lc JOIN lt ON lt.k = lc.k + 1
+), smoothed AS (
+  SELECT o_orderkey, s FROM hc WHERE k > 0 UNION ALL SELECT o_orderkey, s FROM lc WHERE k > 0
+)
+SELECT o.o_orderkey, {_r('coalesce(sm.s, o.o_totalprice)')} AS o_totalprice
+FROM orders o LEFT JOIN smoothed sm USING (o_orderkey)
+""")
+def q_smooth_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.treat import smooth_tails
+    df = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"])
+    return rounded(smooth_tails(df, "o_totalprice", "o_orderkey", .5))

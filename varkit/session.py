@@ -11,6 +11,7 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
                 app: str = "varkit") -> SparkSession:
     spark = (SparkSession.builder.master(master).appName(app)
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.adaptive.skewJoin.enabled", "true")
