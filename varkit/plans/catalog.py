@@ -449,3 +449,281 @@ def q_smooth_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.operators.treat import smooth_tails
     df = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"])
     return rounded(smooth_tails(df, "o_totalprice", "o_orderkey", .5))
+
+
+# ----------------------------------------------------------- moments / reduction
+EMB_K = 8
+
+
+def _emb_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emb = read_table(spark, sf_dir, "embeddings", ["embedding"])
+    return emb.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(EMB_K)])
+
+
+def _corr_pairs_sql() -> str:
+    parts = []
+    for i in range(EMB_K):
+        for j in range(i + 1, EMB_K):
+            parts.append(f"SELECT 'e{i}' AS var_a, 'e{j}' AS var_b, "
+                         f"{_r(f'corr(CAST(embedding[{i + 1}] AS DOUBLE), CAST(embedding[{j + 1}] AS DOUBLE))')}"
+                         f" AS r FROM embeddings")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("corr_long", _corr_pairs_sql())
+def q_corr_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.moments import correlation_matrix, long_pairs
+    cols, m = correlation_matrix(_emb_frame(spark, sf_dir))
+    return rounded(long_pairs(spark, cols, m))
+
+
+# Derived lineitem variables with a known correlation structure.
+RED_COLS = ["price", "revenue", "tax", "tax_qty", "qty", "discount"]
+
+
+def _red_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem", ["l_extendedprice", "l_discount", "l_tax", "l_quantity"])
+    return li.select(F.col("l_extendedprice").alias("price"),
+                     (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+                     F.col("l_tax").alias("tax"), (F.col("l_tax") * F.col("l_quantity")).alias("tax_qty"),
+                     F.col("l_quantity").alias("qty"), F.col("l_discount").alias("discount"))
+
+
+_RED_SQL = """
+base AS (
+  SELECT l_extendedprice AS price, l_extendedprice * (1 - l_discount) AS revenue, l_tax AS tax,
+    l_tax * l_quantity AS tax_qty, l_quantity AS qty, l_discount AS discount FROM lineitem
+), nodes(idx, name) AS (
+  VALUES (0, 'price'), (1, 'revenue'), (2, 'tax'), (3, 'tax_qty'), (4, 'qty'), (5, 'discount')
+), pairs AS (
+  SELECT 0 AS a, 1 AS b, corr(price, revenue) AS r FROM base
+  UNION ALL SELECT 0, 2, corr(price, tax) FROM base UNION ALL SELECT 0, 3, corr(price, tax_qty) FROM base
+  UNION ALL SELECT 0, 4, corr(price, qty) FROM base UNION ALL SELECT 0, 5, corr(price, discount) FROM base
+  UNION ALL SELECT 1, 2, corr(revenue, tax) FROM base UNION ALL SELECT 1, 3, corr(revenue, tax_qty) FROM base
+  UNION ALL SELECT 1, 4, corr(revenue, qty) FROM base UNION ALL SELECT 1, 5, corr(revenue, discount) FROM base
+  UNION ALL SELECT 2, 3, corr(tax, tax_qty) FROM base UNION ALL SELECT 2, 4, corr(tax, qty) FROM base
+  UNION ALL SELECT 2, 5, corr(tax, discount) FROM base UNION ALL SELECT 3, 4, corr(tax_qty, qty) FROM base
+  UNION ALL SELECT 3, 5, corr(tax_qty, discount) FROM base UNION ALL SELECT 4, 5, corr(qty, discount) FROM base
+), sym AS (
+  SELECT a, b, r FROM pairs UNION ALL SELECT b, a, r FROM pairs
+), edges AS (SELECT a, b FROM sym WHERE abs(r) > {cut}),
+reach(src, dst) AS (
+  SELECT idx, idx FROM nodes
+  UNION
+  SELECT reach.src, edges.b FROM reach JOIN edges ON edges.a = reach.dst
+), comp AS (
+  SELECT src AS idx, min(dst) AS root FROM reach GROUP BY src
+), clusters AS (
+  SELECT c.idx, n.name, dense_rank() OVER (ORDER BY c.root) - 1 AS cluster FROM comp c JOIN nodes n USING (idx)
+)"""
+
+
+@register("corr_clusters", "WITH RECURSIVE " + _RED_SQL.replace("{cut}", "0.65") + """
+SELECT CAST(cluster AS BIGINT) AS cluster, name AS variable FROM clusters
+""")
+def q_corr_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.reduce import clusters_frame, correlation_clusters
+    cl = correlation_clusters(_red_frame(spark, sf_dir), cutoff=.65)
+    return clusters_frame(spark, cl).select("cluster", "variable")
+
+
+@register("varclus", "WITH RECURSIVE " + _RED_SQL.replace("{cut}", "0.65") + f""",
+size AS (SELECT cluster, count(*) AS sz FROM clusters GROUP BY cluster),
+cdist AS (
+  SELECT x.cluster AS c1, y.cluster AS c2, max(abs(s.r)) AS d
+  FROM sym s JOIN clusters x ON x.idx = s.a JOIN clusters y ON y.idx = s.b
+  WHERE x.cluster <> y.cluster GROUP BY x.cluster, y.cluster
+), nxt AS (
+  SELECT c1 AS cluster, arg_max(c2, d * 1000 - c2 * 1e-9) AS ncl FROM cdist WHERE d > 0 GROUP BY c1
+), own AS (
+  SELECT x.idx, x.name, x.cluster, s.r * s.r AS r2_own
+  FROM clusters x JOIN size USING (cluster)
+  JOIN clusters o ON o.cluster = x.cluster AND o.idx <> x.idx
+  JOIN sym s ON s.a = x.idx AND s.b = o.idx
+  WHERE size.sz = 2
+), nr AS (
+  SELECT w.idx, w.name, w.cluster, w.r2_own,
+    CASE WHEN (SELECT sz FROM size WHERE cluster = nx.ncl) = 1 THEN
+      (SELECT s.r * s.r FROM sym s JOIN clusters m ON m.idx = s.b WHERE s.a = w.idx AND m.cluster = nx.ncl)
+    END AS r2_next
+  FROM own w LEFT JOIN nxt nx USING (cluster)
+), ratio AS (
+  SELECT *, (1 - r2_own) / (1 - coalesce(r2_next, 0)) AS ratio FROM nr
+)
+SELECT name AS variable, CAST(cluster AS BIGINT) AS cluster, {_r('r2_own')} AS r2_own,
+  {_r('r2_next')} AS r2_next, {_r('ratio')} AS ratio,
+  ratio = min(ratio) OVER (PARTITION BY cluster) AS kept
+FROM ratio
+UNION ALL
+SELECT c.name, CAST(c.cluster AS BIGINT), NULL, NULL, NULL, TRUE
+FROM clusters c JOIN size USING (cluster) WHERE size.sz = 1
+""")
+def q_varclus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.reduce import varclus_table
+    rows = varclus_table(_red_frame(spark, sf_dir), cutoff=.65)
+    df = spark.createDataFrame(
+        [(r["variable"], int(r["cluster"]), r["r2_own"], r["r2_next"], r["ratio"], bool(r["kept"])) for r in rows],
+        "variable string, cluster long, r2_own double, r2_next double, ratio double, kept boolean")
+    return rounded(df)
+
+
+VIF_COLS = ["l_quantity", "l_extendedprice", "l_tax"]
+
+
+@register("vif", f"""
+WITH g AS (
+  SELECT sum(l_quantity * l_quantity) AS a11, sum(l_quantity * l_extendedprice) AS a12,
+    sum(l_quantity * l_tax) AS a13, sum(l_extendedprice * l_extendedprice) AS a22,
+    sum(l_extendedprice * l_tax) AS a23, sum(l_tax * l_tax) AS a33 FROM lineitem
+), d AS (
+  SELECT *, a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13) AS det
+  FROM g
+)
+SELECT 'l_quantity' AS variable, {_r('a11 * (a22 * a33 - a23 * a23) / det')} AS vif FROM d
+UNION ALL SELECT 'l_extendedprice', {_r('a22 * (a11 * a33 - a13 * a13) / det')} FROM d
+UNION ALL SELECT 'l_tax', {_r('a33 * (a11 * a22 - a12 * a12) / det')} FROM d
+""")
+def q_vif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.reduce import vif_table
+    rows = vif_table(read_table(spark, sf_dir, "lineitem", VIF_COLS))
+    return rounded(spark.createDataFrame(rows, "variable string, vif double"))
+
+
+@register("vif_corr", f"""
+WITH r AS (
+  SELECT corr(l_quantity, l_extendedprice) AS r12, corr(l_quantity, l_tax) AS r13,
+    corr(l_extendedprice, l_tax) AS r23 FROM lineitem
+), d AS (SELECT *, 1 - r12 * r12 - r13 * r13 - r23 * r23 + 2 * r12 * r13 * r23 AS det FROM r)
+SELECT 'l_quantity' AS variable, {_r('(1 - r23 * r23) / det')} AS vif FROM d
+UNION ALL SELECT 'l_extendedprice', {_r('(1 - r13 * r13) / det')} FROM d
+UNION ALL SELECT 'l_tax', {_r('(1 - r12 * r12) / det')} FROM d
+""")
+def q_vif_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.reduce import centred_vif
+    rows = centred_vif(read_table(spark, sf_dir, "lineitem", VIF_COLS))
+    return rounded(spark.createDataFrame(rows, "variable string, vif double"))
+
+
+@register("backward_ols", f"""
+WITH g AS (
+  SELECT count(*) AS n, sum(l_quantity * l_quantity) AS a11, sum(l_quantity * l_tax) AS a12,
+    sum(l_tax * l_tax) AS a22, sum(l_quantity * l_extendedprice) AS b1, sum(l_tax * l_extendedprice) AS b2,
+    sum(l_extendedprice * l_extendedprice) AS yy FROM lineitem
+), inv AS (
+  SELECT *, a11 * a22 - a12 * a12 AS det FROM g
+), beta AS (
+  SELECT *, (a22 * b1 - a12 * b2) / det AS c1, (a11 * b2 - a12 * b1) / det AS c2 FROM inv
+), s AS (
+  SELECT *, (yy - c1 * b1 - c2 * b2) / (n - 2) AS s2 FROM beta
+)
+SELECT 'l_quantity' AS variable, {_r('c1')} AS coef, {_r('c1 / sqrt(s2 * a22 / det)')} AS t FROM s
+UNION ALL SELECT 'l_tax', {_r('c2')}, {_r('c2 / sqrt(s2 * a11 / det)')} FROM s
+""")
+def q_backward_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.reduce import ols_no_intercept
+    df = read_table(spark, sf_dir, "lineitem", ["l_quantity", "l_tax", "l_extendedprice"])
+    rows = ols_no_intercept(df, "l_extendedprice", ["l_quantity", "l_tax"])
+    return rounded(spark.createDataFrame([(r["variable"], r["coef"], r["t"]) for r in rows],
+                                         "variable string, coef double, t double"))
+
+
+def _doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "n_chars"])
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    feats = docs.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+                        F.size(F.split("text", r"\s+")).cast("double").alias("n_words"),
+                        F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
+                        F.length(F.regexp_replace("text", r"[^0-9]", "")).cast("double").alias("n_digits"))
+    return feats.join(labels, "doc_id")
+
+
+DOC_FEATURES = ["n_chars", "n_words", "n_lines", "n_digits"]
+
+
+@register("backward_logit")
+def q_backward_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.reduce import backward_selection
+    df = _doc_features(spark, sf_dir)
+    dropped = backward_selection(df, "quality", regression=False, cols=DOC_FEATURES + ["quality"])
+    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(dropped)], "step int, variable string")
+
+
+# ------------------------------------------------------------------ scoring
+def _orders_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority"])
+    return o.select("o_orderkey", F.col("o_totalprice").alias("event_prob"),
+                    (F.col("o_orderstatus") == "F").cast("int").alias("target_flag"),
+                    F.col("o_orderpriority").alias("snapshot"))
+
+
+_GAINS_SQL = """
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY event_prob DESC, o_orderkey) AS rk,
+    ceil(count(*) OVER () / 10.0) AS step FROM {src}
+), b AS (
+  SELECT *, CAST(floor(rk / step) + 1 AS INTEGER) AS bucket FROM ranked
+), bounds AS (
+  SELECT bucket, min(event_prob) AS min_prob, max(event_prob) AS max_prob FROM b GROUP BY bucket
+), cells AS (
+  SELECT bucket, snapshot, count(*) AS counts, CAST(sum(target_flag) AS BIGINT) AS events
+  FROM b GROUP BY bucket, snapshot
+)"""
+
+
+@register("gains_table", "WITH base AS (SELECT o_orderkey, o_totalprice AS event_prob, "
+          "CAST(o_orderstatus = 'F' AS INTEGER) AS target_flag, o_orderpriority AS snapshot FROM orders),"
+          + _GAINS_SQL.replace("{src}", "base") + f"""
+SELECT c.bucket, c.snapshot, {_r('bo.min_prob')} AS min_prob, {_r('bo.max_prob')} AS max_prob, c.counts, c.events
+FROM cells c JOIN bounds bo USING (bucket)
+""")
+def q_gains_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.score import gains_table
+    table, _ = gains_table(_orders_scored(spark, sf_dir), "event_prob", "target_flag", "snapshot", "o_orderkey")
+    return rounded(table)
+
+
+@register("match_buckets", "WITH base AS (SELECT o_orderkey, o_totalprice AS event_prob, "
+          "CAST(o_orderstatus = 'F' AS INTEGER) AS target_flag, o_orderpriority AS snapshot FROM orders "
+          "WHERE o_orderkey % 2 = 0), test AS (SELECT o_totalprice AS event_prob, "
+          "CAST(o_orderstatus = 'F' AS INTEGER) AS target_flag, o_orderpriority AS snapshot FROM orders "
+          "WHERE o_orderkey % 2 = 1),"
+          + _GAINS_SQL.replace("{src}", "base") + f""",
+tm AS (
+  SELECT t.*, coalesce((SELECT min(bucket) FROM bounds WHERE t.event_prob >= bounds.min_prob),
+    CASE WHEN t.event_prob <= (SELECT min_prob FROM bounds WHERE bucket = 10) THEN 10 END) AS train_bucket
+  FROM test t
+), tg AS (
+  SELECT train_bucket, snapshot, count(*) AS count_test, CAST(sum(target_flag) AS BIGINT) AS events_test
+  FROM tm GROUP BY train_bucket, snapshot
+)
+SELECT c.bucket, c.snapshot, {_r('bo.min_prob')} AS min_prob, {_r('bo.max_prob')} AS max_prob,
+  c.counts AS count_train, c.events AS events_train, tg.count_test, tg.events_test
+FROM cells c JOIN bounds bo USING (bucket)
+LEFT JOIN tg ON tg.train_bucket = c.bucket AND tg.snapshot = c.snapshot
+""")
+def q_match_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.score import gains_table, match_buckets
+    o = _orders_scored(spark, sf_dir)
+    train = o.where(F.col("o_orderkey") % 2 == 0)
+    test = o.where(F.col("o_orderkey") % 2 == 1)
+    table, bounds = gains_table(train, "event_prob", "target_flag", "snapshot", "o_orderkey")
+    return rounded(match_buckets(table, bounds, test, "event_prob", "target_flag", "snapshot"))
+
+
+GBT_SMALL = dict(maxIter=5, maxDepth=3, minInstancesPerNode=5, seed=7)
+
+
+@register("gbt_scores")
+def q_gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.score import fit_gbt, score_event_prob
+    df = _doc_features(spark, sf_dir)
+    model = fit_gbt(df, DOC_FEATURES, "quality", **GBT_SMALL)
+    return score_event_prob(model, df, keep=["doc_id", "quality"])
+
+
+@register("feature_importance")
+def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.operators.score import feature_importance, fit_gbt
+    df = _doc_features(spark, sf_dir)
+    model = fit_gbt(df, DOC_FEATURES, "quality", **GBT_SMALL)
+    return feature_importance(spark, model, DOC_FEATURES)
