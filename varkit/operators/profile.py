@@ -38,17 +38,22 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
 
 
 def exact_percentiles(long: DataFrame, keys: Sequence[str], value: str,
-                      percentiles: Sequence[float], *, count_col: str = "_cnt") -> DataFrame:
+                      percentiles: Sequence[float], *, count_col: str = "_cnt",
+                      counts: DataFrame | None = None,
+                      max_group_rows: int | None = None) -> DataFrame:
     """Exact percentiles (numpy 'linear') of ``value`` per ``keys``.
 
     Returns ``(*keys, _pi, _pv)``: percentile index and value.  NULL values are
     ignored.  Ties are pre-aggregated to one weighted row per distinct value.
+    ``counts`` (``keys`` + ``count_col``: non-null rows per group) and
+    ``max_group_rows`` may be passed when the caller already computed them.
     """
     keys = list(keys)
     nonnull = long.where(qcol(value).isNotNull())
     dist = nonnull.groupBy(*[qcol(k) for k in keys], qcol(value)).agg(
         F.count(F.lit(1)).alias("_w"))
-    counts = dist.groupBy(*[qcol(k) for k in keys]).agg(F.sum("_w").alias(count_col))
+    if counts is None:
+        counts = dist.groupBy(*[qcol(k) for k in keys]).agg(F.sum("_w").alias(count_col))
     items = []
     for i, p in enumerate(percentiles):
         h = F.lit(float(p)) * (F.col(count_col) - 1)
@@ -58,8 +63,9 @@ def exact_percentiles(long: DataFrame, keys: Sequence[str], value: str,
                               (h - lo).alias("_frac")))
         items.append(F.struct(F.lit(i).alias("_pi"), F.lit(1).alias("_side"), hi.alias("_pos"),
                               (h - lo).alias("_frac")))
-    targets = counts.select(*keys, F.explode(F.array(*items)).alias("_t")).select(*keys, "_t.*")
-    sel = select_positions(dist, keys, value, "_w", targets, pos="_pos")
+    targets = (counts.where(F.col(count_col) > 0)
+               .select(*keys, F.explode(F.array(*items)).alias("_t")).select(*keys, "_t.*"))
+    sel = select_positions(dist, keys, value, "_w", targets, pos="_pos", max_group_rows=max_group_rows)
     pv = sel.groupBy(*keys, "_pi").agg(
         F.max(F.when(F.col("_side") == 0, qcol(value))).alias("_a"),
         F.max(F.when(F.col("_side") == 1, qcol(value))).alias("_b"),
@@ -67,26 +73,44 @@ def exact_percentiles(long: DataFrame, keys: Sequence[str], value: str,
     return pv.select(*keys, "_pi", lerp(F.col("_a"), F.col("_b"), F.col("_t")).alias("_pv"))
 
 
-def _numeric_part(df: DataFrame, num: list[str], percentiles, cv) -> DataFrame:
+def _wide_stats(df: DataFrame, num: list[str], cat: list[str]) -> dict:
+    """One pass, no reshaping: per-column moments for numerics, non-null counts
+    for categoricals, and the row count.  A global aggregate (partial per
+    partition), one small row back."""
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(num):
+        x = numeric_value(df, c)
+        aggs += [F.count(x).alias(f"c{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                 F.skewness(x).alias(f"k{i}"), F.kurtosis(x).alias(f"u{i}"),
+                 F.avg(x).alias(f"a{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}")]
+    for i, c in enumerate(cat):
+        aggs.append(F.count(category_value(df, c)).alias(f"q{i}"))
+    return df.agg(*aggs).collect()[0].asDict()
+
+
+_NUM_STATS_SCHEMA = ("variable string, count long, _n long, std double, skewness double, "
+                     "kurtosis double, mean double, min double, max double")
+
+
+def _numeric_part(df: DataFrame, num: list[str], percentiles, cv, ws: dict) -> DataFrame:
+    spark = df.sparkSession
+    rows = []
+    for i, c in enumerate(num):
+        ku = ws[f"u{i}"]
+        rows.append((c, ws[f"c{i}"], ws["_n"], ws[f"s{i}"], ws[f"k{i}"],
+                     None if ku is None else ku + 3.0, ws[f"a{i}"], ws[f"l{i}"], ws[f"h{i}"]))
+    stats = spark.createDataFrame(rows, _NUM_STATS_SCHEMA)
     long = to_long(df, num)
-    stats = long.groupBy("variable").agg(
-        F.count("value").alias("count"),
-        F.count(F.lit(1)).alias("_n"),
-        F.stddev_samp("value").alias("std"),
-        F.skewness("value").alias("skewness"),
-        (F.kurtosis("value") + F.lit(3.0)).alias("kurtosis"),
-        F.avg("value").alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    counts = stats.select("variable", F.col("count").alias("_cnt"))
+    biggest = max([r[1] for r in rows] + [0])
+    pcts = exact_percentiles(long, ["variable"], "value", percentiles, counts=counts,
+                             max_group_rows=biggest)
     uniq = (long.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(
         F.count(F.lit(1)).alias("_w")).groupBy("variable").agg(F.count(F.lit(1)).alias("unique")))
-    stats = stats.join(uniq, "variable", "left")
-    pcts = exact_percentiles(long, ["variable"], "value", percentiles)
     wide = pcts.groupBy("variable").agg(*[
         F.max(F.when(F.col("_pi") == i, F.col("_pv"))).alias(pct_name(p))
         for i, p in enumerate(percentiles)])
-    out = stats.join(wide, "variable", "left")
+    out = stats.join(uniq, "variable", "left").join(wide, "variable", "left")
     for dev in cv:
         lo, hi = sigma_names(dev)
         out = out.withColumn(lo, F.col("mean") - F.lit(float(dev)) * F.col("std"))
@@ -94,15 +118,15 @@ def _numeric_part(df: DataFrame, num: list[str], percentiles, cv) -> DataFrame:
     return out.withColumn("type", F.lit("numeric"))
 
 
-def _categorical_part(df: DataFrame, cat: list[str], percentiles) -> DataFrame:
+def _categorical_part(df: DataFrame, cat: list[str], percentiles, ws: dict) -> DataFrame:
     """Category shares.  Order: frequency ascending, then category ascending,
     NULL last among equal frequencies (a fixed rule for the tie order)."""
+    spark = df.sparkSession
+    stats = spark.createDataFrame([(c, ws[f"q{i}"], ws["_n"]) for i, c in enumerate(cat)],
+                                  "variable string, count long, _n long")
     long = to_long(df, cat, kind="categorical")
     cnt = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("c"))
-    stats = cnt.groupBy("variable").agg(
-        F.sum("c").alias("_n"),
-        F.sum(F.when(F.col("value").isNotNull(), F.col("c"))).alias("count"),
-        F.count("value").alias("unique"))
+    uniq = cnt.groupBy("variable").agg(F.count("value").alias("unique"))
     # Frequency levels: one row per distinct count value, at most sqrt(2n) per variable.
     levels = cnt.groupBy("variable", "c").agg(
         F.count(F.lit(1)).alias("m"),
@@ -112,42 +136,38 @@ def _categorical_part(df: DataFrame, cat: list[str], percentiles) -> DataFrame:
               .withColumn("before", F.coalesce(F.sum(F.col("c") * F.col("m")).over(
                   wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
               .withColumn("after", F.col("before") + F.col("c") * F.col("m"))
-              .join(stats.select("variable", "_n"), "variable"))
-    targets = []
-    # least frequent = first category of the lowest level; most frequent = last of the highest
-    first = levels.withColumn("_r", F.row_number().over(wl)).where(F.col("_r") == 1)
-    targets.append(first.select("variable", "c", "m", "has_null", F.lit(1).cast("long").alias("j"),
-                                F.lit("min").alias("tag")))
-    wd = Window.partitionBy("variable").orderBy(F.col("c").desc())
-    last = levels.withColumn("_r", F.row_number().over(wd)).where(F.col("_r") == 1)
-    targets.append(last.select("variable", "c", "m", "has_null", F.col("m").cast("long").alias("j"),
-                               F.lit("max").alias("tag")))
+              .withColumn("_ra", F.row_number().over(wl))
+              .withColumn("_rd", F.row_number().over(Window.partitionBy("variable").orderBy(F.col("c").desc())))
+              .join(F.broadcast(stats.select("variable", "_n")), "variable"))
+    # Every target (least / most frequent, each percentile) from one pass over the levels.
+    items = [F.when(F.col("_ra") == 1, F.struct(F.lit("min_cat").alias("tag"), F.lit(1).cast("long").alias("j"))),
+             F.when(F.col("_rd") == 1, F.struct(F.lit("max_cat").alias("tag"), F.col("m").cast("long").alias("j")))]
     for p in percentiles:
         pl = F.lit(float(p))
         share = lambda j: (F.col("before") + F.col("c") * j) / F.col("_n")
-        crossing = levels.where((F.col("after") / F.col("_n") >= pl)
-                                & ((F.col("before") == 0) | (F.col("before") / F.col("_n") < pl)))
+        crossing = ((F.col("after") / F.col("_n") >= pl)
+                    & ((F.col("before") == 0) | (F.col("before") / F.col("_n") < pl)))
         j0 = F.greatest(F.lit(1), F.ceil((pl * F.col("_n") - F.col("before")) / F.col("c")) - 1)
         j = (F.when(share(j0) >= pl, j0)
               .when(share(j0 + 1) >= pl, j0 + 1)
               .otherwise(F.least(j0 + 2, F.col("m"))))
-        targets.append(crossing.select("variable", "c", "m", "has_null", j.cast("long").alias("j"),
-                                       F.lit(pct_name(p) + "_cat").alias("tag")))
-    tg = targets[0]
-    for t in targets[1:]:
-        tg = tg.unionByName(t)
-    null_hits = tg.where((F.col("has_null") == 1) & (F.col("j") == F.col("m"))).select(
-        "variable", "tag", F.lit(None).cast("string").alias("value"))
-    named = tg.where(~((F.col("has_null") == 1) & (F.col("j") == F.col("m")))).select(
-        "variable", "c", "tag", (F.col("j") - 1).alias("_pos"))
+        items.append(F.when(crossing, F.struct(F.lit(pct_name(p) + "_cat").alias("tag"),
+                                               j.cast("long").alias("j"))))
+    tg = (levels.select("variable", "c", "m", "has_null",
+                        F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("_t"))
+                .select("variable", "c", "m", "has_null", "_t.tag", "_t.j"))
+    is_null = (F.col("has_null") == 1) & (F.col("j") == F.col("m"))
+    null_hits = tg.where(is_null).select("variable", "tag", F.lit(None).cast("string").alias("value"))
+    named = tg.where(~is_null).select("variable", "c", "tag", (F.col("j") - 1).alias("_pos"))
     sel = select_positions(cnt.where(F.col("value").isNotNull()).select("variable", "c", "value"),
-                           ["variable", "c"], "value", None, named, pos="_pos")
+                           ["variable", "c"], "value", None, named, pos="_pos",
+                           max_group_rows=None)
     picked = sel.select("variable", "tag", "value").unionByName(null_hits)
-    tags = ["min", "max"] + [pct_name(p) + "_cat" for p in percentiles]
+    tags = ["min_cat", "max_cat"] + [pct_name(p) + "_cat" for p in percentiles]
     wide = picked.groupBy("variable").agg(*[
-        F.max(F.when(F.col("tag") == t, F.col("value"))).alias(t if t.endswith("_cat") else t + "_cat")
-        for t in tags])
-    return stats.join(wide, "variable", "left").withColumn("type", F.lit("categorical"))
+        F.max(F.when(F.col("tag") == t, F.col("value"))).alias(t) for t in tags])
+    return (stats.join(uniq, "variable", "left").join(wide, "variable", "left")
+                 .withColumn("type", F.lit("categorical")))
 
 
 def association(df: DataFrame, dv: str, regression: bool, num: list[str], cat: list[str]) -> DataFrame:
@@ -263,10 +283,11 @@ def profile(df: DataFrame, dv: str | None = None, regression: bool = True,
                 "kurtosis", "mean", "min"] + lo_names + pnames + hi_names + ["max", "min_cat"]
                + [p + "_cat" for p in pnames] + ["max_cat"])
     parts = []
+    ws = _wide_stats(df, num, cat) if (num or cat) else {}
     if num:
-        parts.append(_numeric_part(df, num, percentile, cv))
+        parts.append(_numeric_part(df, num, percentile, cv, ws))
     if cat:
-        parts.append(_categorical_part(df, cat, percentile))
+        parts.append(_categorical_part(df, cat, percentile, ws))
     if not parts:
         raise ValueError("no columns to profile")
     out = parts[0]

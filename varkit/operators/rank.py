@@ -54,13 +54,22 @@ def _with_group(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str
 
 
 def _range_buckets(df: DataFrame, keys: list[str], value: str,
-                   rows_per_bucket: int, max_buckets: int) -> DataFrame:
-    """Add column ``_rb`` (range bucket within the group, monotone in value)."""
+                   rows_per_bucket: int, max_buckets: int,
+                   max_group_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """Add column ``_rb`` (range bucket within the group, monotone in value);
+    the flag says whether any group needed more than one bucket.
+
+    ``max_group_rows`` is an upper bound on the rows of any group when the
+    caller already knows one (for example from a count it ran anyway); when it
+    is at most ``rows_per_bucket`` no counting job runs.
+    """
     spark = _spark(df)
+    if max_group_rows is not None and max_group_rows <= rows_per_bucket:
+        return df.withColumn(_RB, F.lit(0)), False
     counts = df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n")).collect()
     biggest = max((r["_n"] for r in counts), default=0)
     if biggest <= rows_per_bucket:
-        return df.withColumn(_RB, F.lit(0))
+        return df.withColumn(_RB, F.lit(0)), False
     nb = int(min(max_buckets, math.ceil(biggest / rows_per_bucket)))
     key_fields = [df.schema[k] for k in keys]
     vtype = df.schema[value].dataType
@@ -79,7 +88,7 @@ def _range_buckets(df: DataFrame, keys: list[str], value: str,
     bdf = spark.createDataFrame(rows, schema)
     out = df.join(F.broadcast(bdf), keys, "left")
     out = with_count_less(out, "_bounds", qcol(value), nb, _RB, or_equal=False)
-    return out.drop("_bounds")
+    return out.drop("_bounds"), True
 
 
 def _sampled_bounds(df: DataFrame, keys: list[str], value: str, counts, nb: int,
@@ -123,7 +132,8 @@ def _bucket_totals(df_rb: DataFrame, keys: list[str], weight: str | None) -> Dat
 def select_positions(dist: DataFrame, keys: Sequence[str], value: str, weight: str | None,
                      targets: DataFrame, *, pos: str = "_pos",
                      rows_per_bucket: int = ROWS_PER_BUCKET,
-                     max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                     max_buckets: int = MAX_BUCKETS,
+                     max_group_rows: int | None = None) -> DataFrame:
     """Order statistics: for each target row, the ``value`` at 0-based position ``pos``.
 
     ``dist`` has one row per (keys, value) with an optional ``weight`` (a row
@@ -140,7 +150,16 @@ def select_positions(dist: DataFrame, keys: Sequence[str], value: str, weight: s
     wcol = qcol(weight) if weight else F.lit(1)
     base = dist.select(*[qcol(k) for k in keys], qcol(value).alias("_val"),
                        wcol.cast("long").alias("_w"))
-    rb = _range_buckets(base, keys, "_val", rows_per_bucket, max_buckets)
+    rb, bucketed = _range_buckets(base, keys, "_val", rows_per_bucket, max_buckets, max_group_rows)
+    if not bucketed:
+        # every group fits one task: a plain window per group, no bucket offsets
+        win = Window.partitionBy(*[qcol(k) for k in keys]).orderBy("_val").rowsBetween(
+            Window.unboundedPreceding, -1)
+        cand = rb.drop(_RB).withColumn("_before", F.coalesce(F.sum("_w").over(win), F.lit(0)))
+        hit = (F.broadcast(targets).join(cand, keys, "inner")
+               .where((F.col(pos) >= F.col("_before")) & (F.col(pos) < F.col("_before") + F.col("_w"))))
+        out = hit.withColumnRenamed("_val", value)
+        return out.drop(_GROUP) if not had_keys else out
     totals = _bucket_totals(rb, keys, "_w")
     # which bucket holds each target position (small x small)
     tb = (targets.join(totals, keys, "inner")
@@ -162,7 +181,7 @@ def select_positions(dist: DataFrame, keys: Sequence[str], value: str, weight: s
 
 def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence, value: str,
                    *, out: str = "_pos", rows_per_bucket: int = ROWS_PER_BUCKET,
-                   max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                   max_buckets: int = MAX_BUCKETS, max_group_rows: int | None = None) -> DataFrame:
     """Every row gets its exact 0-based position within ``keys`` in ``order``.
 
     ``order`` is a list of sort columns whose first element sorts like
@@ -172,7 +191,11 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence, value: s
     keys = list(keys)
     had_keys = bool(keys)
     df, keys = _with_group(df, keys)
-    rb = _range_buckets(df, keys, value, rows_per_bucket, max_buckets)
+    rb, bucketed = _range_buckets(df, keys, value, rows_per_bucket, max_buckets, max_group_rows)
+    if not bucketed:
+        win = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(*order)
+        res = rb.drop(_RB).withColumn(out, (F.row_number().over(win) - 1).cast("long"))
+        return res.drop(_GROUP) if not had_keys else res
     totals = _bucket_totals(rb, keys, None).select(*keys, _RB, "_off")
     rb = rb.join(F.broadcast(totals), keys + [_RB], "left")
     win = Window.partitionBy(*[qcol(k) for k in keys], F.col(_RB)).orderBy(*order)

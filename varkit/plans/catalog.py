@@ -650,12 +650,15 @@ def q_backward_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ scoring
 def _orders_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority"])
-    return o.select("o_orderkey", F.col("o_totalprice").alias("event_prob"),
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority",
+                                             "o_orderdate"])
+    return o.select("o_orderkey", "o_orderdate", F.col("o_totalprice").alias("event_prob"),
                     (F.col("o_orderstatus") == "F").cast("int").alias("target_flag"),
                     F.col("o_orderpriority").alias("snapshot"))
 
 
+SPLIT_DATE = "1998-04-01 00:00:00"
+
 _GAINS_SQL = """
 ranked AS (
   SELECT *, row_number() OVER (ORDER BY event_prob DESC, o_orderkey) AS rk,
@@ -684,9 +687,9 @@ def q_gains_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("match_buckets", "WITH base AS (SELECT o_orderkey, o_totalprice AS event_prob, "
           "CAST(o_orderstatus = 'F' AS INTEGER) AS target_flag, o_orderpriority AS snapshot FROM orders "
-          "WHERE o_orderkey % 2 = 0), test AS (SELECT o_totalprice AS event_prob, "
+          f"WHERE o_orderdate < TIMESTAMP '{SPLIT_DATE}'), test AS (SELECT o_totalprice AS event_prob, "
           "CAST(o_orderstatus = 'F' AS INTEGER) AS target_flag, o_orderpriority AS snapshot FROM orders "
-          "WHERE o_orderkey % 2 = 1),"
+          f"WHERE o_orderdate >= TIMESTAMP '{SPLIT_DATE}'),"
           + _GAINS_SQL.replace("{src}", "base") + f""",
 tm AS (
   SELECT t.*, coalesce((SELECT min(bucket) FROM bounds WHERE t.event_prob >= bounds.min_prob),
@@ -704,8 +707,10 @@ LEFT JOIN tg ON tg.train_bucket = c.bucket AND tg.snapshot = c.snapshot
 def q_match_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.operators.score import gains_table, match_buckets
     o = _orders_scored(spark, sf_dir)
-    train = o.where(F.col("o_orderkey") % 2 == 0)
-    test = o.where(F.col("o_orderkey") % 2 == 1)
+    # train on the earlier orders, test on the later ones (together: the whole table)
+    split = F.lit(SPLIT_DATE).cast(o.schema["o_orderdate"].dataType)
+    train = o.where(F.col("o_orderdate") < split)
+    test = o.where(F.col("o_orderdate") >= split)
     table, bounds = gains_table(train, "event_prob", "target_flag", "snapshot", "o_orderkey")
     return rounded(match_buckets(table, bounds, test, "event_prob", "target_flag", "snapshot"))
 
