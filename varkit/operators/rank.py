@@ -38,6 +38,9 @@ from varkit.functions.search import with_count_less
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 8192
+# Session setting that overrides the rows per range bucket (tests use a small
+# value to run the bucketed path on small tables).
+CONF_ROWS_PER_BUCKET = "varkit.rank.rowsPerBucket"
 
 _GROUP = "_grp"
 _RB = "_rb"
@@ -64,6 +67,7 @@ def _range_buckets(df: DataFrame, keys: list[str], value: str,
     is at most ``rows_per_bucket`` no counting job runs.
     """
     spark = _spark(df)
+    rows_per_bucket = int(spark.conf.get(CONF_ROWS_PER_BUCKET, str(rows_per_bucket)))
     if max_group_rows is not None and max_group_rows <= rows_per_bucket:
         return df.withColumn(_RB, F.lit(0)), False
     counts = df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n")).collect()
@@ -120,13 +124,24 @@ def _sampled_bounds(df: DataFrame, keys: list[str], value: str, counts, nb: int,
     return out
 
 
-def _bucket_totals(df_rb: DataFrame, keys: list[str], weight: str | None) -> DataFrame:
-    """Per (group, bucket): total weight and the weight of all earlier buckets."""
+def _bucket_totals(df_rb: DataFrame, keys: list[str], weight: str | None, grouped: bool) -> DataFrame:
+    """Per (group, bucket): total weight ``_tot`` and the weight of all earlier
+    buckets ``_off``.  With real group keys the running sum is a window per
+    group (at most ``max_buckets`` rows each).  Without keys the table has at
+    most ``max_buckets`` rows; it is summed up on the driver so that no plan
+    gathers into a single partition."""
     w = F.sum(qcol(weight)) if weight else F.count(F.lit(1))
     tot = df_rb.groupBy(*[qcol(k) for k in keys], F.col(_RB)).agg(w.cast("long").alias("_tot"))
-    win = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(_RB).rowsBetween(
-        Window.unboundedPreceding, -1)
-    return tot.withColumn("_off", F.coalesce(F.sum("_tot").over(win), F.lit(0)).cast("long"))
+    if grouped:
+        win = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(_RB).rowsBetween(
+            Window.unboundedPreceding, -1)
+        return tot.withColumn("_off", F.coalesce(F.sum("_tot").over(win), F.lit(0)).cast("long"))
+    rows = sorted((r[_RB], r["_tot"]) for r in tot.select(_RB, "_tot").collect())
+    acc, local = 0, []
+    for b, t in rows:
+        local.append((0, int(b), int(t), acc))
+        acc += t
+    return _spark(df_rb).createDataFrame(local, f"{_GROUP} int, {_RB} int, _tot long, _off long")
 
 
 def select_positions(dist: DataFrame, keys: Sequence[str], value: str, weight: str | None,
@@ -160,7 +175,7 @@ def select_positions(dist: DataFrame, keys: Sequence[str], value: str, weight: s
                .where((F.col(pos) >= F.col("_before")) & (F.col(pos) < F.col("_before") + F.col("_w"))))
         out = hit.withColumnRenamed("_val", value)
         return out.drop(_GROUP) if not had_keys else out
-    totals = _bucket_totals(rb, keys, "_w")
+    totals = _bucket_totals(rb, keys, "_w", had_keys)
     # which bucket holds each target position (small x small)
     tb = (targets.join(totals, keys, "inner")
                  .where((F.col(pos) >= F.col("_off")) & (F.col(pos) < F.col("_off") + F.col("_tot"))))
@@ -196,7 +211,7 @@ def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence, value: s
         win = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(*order)
         res = rb.drop(_RB).withColumn(out, (F.row_number().over(win) - 1).cast("long"))
         return res.drop(_GROUP) if not had_keys else res
-    totals = _bucket_totals(rb, keys, None).select(*keys, _RB, "_off")
+    totals = _bucket_totals(rb, keys, None, had_keys).select(*keys, _RB, "_off")
     rb = rb.join(F.broadcast(totals), keys + [_RB], "left")
     win = Window.partitionBy(*[qcol(k) for k in keys], F.col(_RB)).orderBy(*order)
     res = rb.withColumn(out, F.col("_off") + F.row_number().over(win) - 1).drop("_off", _RB)

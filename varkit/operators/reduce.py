@@ -133,9 +133,31 @@ def _scaled_inverse(g: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(gs) / np.outer(d, d)
 
 
+def _vif_from_moments(m: np.ndarray, rel_tol: float = 1e-12) -> np.ndarray:
+    """1 / (1 - R^2_i) for every column i regressed on the others, from a moment
+    matrix (Gram matrix: uncentred R^2, no intercept; correlation matrix:
+    centred).  Equals m_ii * (m^-1)_ii when m is invertible; an exactly
+    collinear column (residual sum of squares ~0) gets infinity."""
+    k = m.shape[0]
+    d = np.sqrt(np.diag(m))
+    d[d == 0] = 1.0
+    s = m / np.outer(d, d)
+    out = np.empty(k)
+    for i in range(k):
+        rest = [j for j in range(k) if j != i]
+        if not rest:
+            out[i] = 1.0
+            continue
+        sr = s[np.ix_(rest, rest)]
+        si = s[rest, i]
+        rss = s[i, i] - si @ np.linalg.pinv(sr) @ si
+        out[i] = np.inf if rss <= rel_tol * s[i, i] else s[i, i] / rss
+    return out
+
+
 def _raw_vif(g: np.ndarray) -> np.ndarray:
     """VIF without intercept (uncentred R^2): G_ii * (G^-1)_ii."""
-    return np.diag(g) * np.diag(_scaled_inverse(g))
+    return _vif_from_moments(g)
 
 
 def _check_not_constant(df: DataFrame, cols: list[str]) -> None:
@@ -202,7 +224,7 @@ def vif_reduction_corr(df: DataFrame, limit: float = 2.5, cols: Sequence[str] |
     dropped = [cols[j] for j in collinear_columns(g)]
     alive = [i for i, c in enumerate(cols) if c not in dropped]
     while len(alive) > 1:
-        v = np.diag(np.linalg.pinv(corr[np.ix_(alive, alive)]))
+        v = _vif_from_moments(corr[np.ix_(alive, alive)])
         top = int(np.argmax(v))
         if not v[top] > limit:
             break
@@ -213,7 +235,7 @@ def vif_reduction_corr(df: DataFrame, limit: float = 2.5, cols: Sequence[str] |
 
 def centred_vif(df: DataFrame, cols: Sequence[str] | None = None) -> list[tuple[str, float]]:
     names, corr = correlation_matrix(df, cols, complete=True)
-    return list(zip(names, [float(v) for v in np.diag(np.linalg.pinv(corr))]))
+    return list(zip(names, [float(v) for v in _vif_from_moments(corr)]))
 
 
 # --------------------------------------------------------- backward selection

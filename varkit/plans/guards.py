@@ -18,11 +18,21 @@ def assert_no_single_partition(df: DataFrame) -> None:
 
 def assert_pruned_scan(df: DataFrame, table: str, allowed: set[str]) -> None:
     """Fail when a scan of ``table`` reads columns outside ``allowed``."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    spark = df.sparkSession
+    prev = spark.conf.get("spark.sql.maxMetadataStringLength", None)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        if prev is None:
+            spark.conf.unset("spark.sql.maxMetadataStringLength")
+        else:
+            spark.conf.set("spark.sql.maxMetadataStringLength", prev)
     for line in plan.splitlines():
         if "FileScan" in line and f"{table}.parquet" in line and "ReadSchema" in line:
-            schema = line.split("ReadSchema:")[1]
-            names = [p.split(":")[0].strip(" <>struct,") for p in schema.split(",")]
+            schema = line.split("ReadSchema:")[1].strip()
+            schema = schema[len("struct<"):schema.index(">")] if schema.startswith("struct<") else schema
+            names = [p.split(":")[0].strip() for p in schema.split(",")]
             extra = {n for n in names if n and n not in allowed}
             if extra:
                 raise AssertionError(f"scan of {table} reads {extra}")
