@@ -62,51 +62,66 @@ def _range_buckets(df: DataFrame, keys: list[str], value: str,
     """Add column ``_rb`` (range bucket within the group, monotone in value);
     the flag says whether any group needed more than one bucket.
 
+    Only groups with more than ``rows_per_bucket`` rows get boundaries, and a
+    group of n rows gets about n / rows_per_bucket of them (at most
+    ``max_buckets``), so everything collected is bounded by
+    rows / rows_per_bucket + groups-over-size, whatever the number of groups.
     ``max_group_rows`` is an upper bound on the rows of any group when the
-    caller already knows one (for example from a count it ran anyway); when it
-    is at most ``rows_per_bucket`` no counting job runs.
+    caller already knows one; when it is at most ``rows_per_bucket`` no
+    counting job runs.
     """
     spark = _spark(df)
     rows_per_bucket = int(spark.conf.get(CONF_ROWS_PER_BUCKET, str(rows_per_bucket)))
     if max_group_rows is not None and max_group_rows <= rows_per_bucket:
         return df.withColumn(_RB, F.lit(0)), False
-    counts = df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n")).collect()
-    biggest = max((r["_n"] for r in counts), default=0)
-    if biggest <= rows_per_bucket:
+    big = (df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+             .where(F.col("_n") > rows_per_bucket).collect())
+    if not big:
         return df.withColumn(_RB, F.lit(0)), False
-    nb = int(min(max_buckets, math.ceil(biggest / rows_per_bucket)))
     key_fields = [df.schema[k] for k in keys]
+    key_schema = T.StructType(key_fields)
     vtype = df.schema[value].dataType
-    if isinstance(vtype, T.NumericType):
-        fractions = [i / nb for i in range(1, nb)]
-        accuracy = max(10_000, 20 * nb)
-        bounds = (df.groupBy(*[qcol(k) for k in keys])
-                    .agg(F.array_sort(F.array_distinct(
-                        F.percentile_approx(qcol(value), fractions, accuracy))).alias("_bounds")))
-        rows = [tuple(r) for r in bounds.collect()]
-    else:
-        rows = _sampled_bounds(df, keys, value, counts, nb)
-    # The boundaries are a small summary (groups x nb values); pinning them as a
-    # driver-built table makes the bucket of every row deterministic.
+    # group the over-size groups by bucket count (powers of two) so each class is
+    # one aggregate with a fixed fraction list
+    classes: dict[int, list[tuple]] = {}
+    for r in big:
+        nb = int(min(max_buckets, math.ceil(r["_n"] / rows_per_bucket)))
+        cls = 1 << (nb - 1).bit_length()
+        classes.setdefault(min(cls, max_buckets), []).append(tuple(r[k] for k in keys))
+    rows: list[tuple] = []
+    for nb, members in sorted(classes.items()):
+        sel = df.join(F.broadcast(spark.createDataFrame(members, key_schema)), keys, "left_semi")
+        if isinstance(vtype, T.NumericType):
+            fractions = [i / nb for i in range(1, nb)]
+            accuracy = max(10_000, 20 * nb)
+            bounds = (sel.groupBy(*[qcol(k) for k in keys])
+                         .agg(F.array_sort(F.array_distinct(
+                             F.percentile_approx(qcol(value), fractions, accuracy))).alias("_bounds")))
+            rows += [tuple(r) for r in bounds.collect()]
+        else:
+            sizes = {tuple(r[k] for k in keys): r["_n"] for r in big}
+            rows += _sampled_bounds(sel, keys, value, {m: sizes[m] for m in members}, nb)
+    size = max(classes)
+    # The boundaries are a small summary; pinning them as a driver-built table
+    # makes the bucket of every row deterministic (also after a recomputation).
     schema = T.StructType(key_fields + [T.StructField("_bounds", T.ArrayType(vtype))])
     bdf = spark.createDataFrame(rows, schema)
     out = df.join(F.broadcast(bdf), keys, "left")
-    out = with_count_less(out, "_bounds", qcol(value), nb, _RB, or_equal=False)
+    out = with_count_less(out, "_bounds", qcol(value), size, _RB, or_equal=False)
     return out.drop("_bounds"), True
 
 
-def _sampled_bounds(df: DataFrame, keys: list[str], value: str, counts, nb: int,
+def _sampled_bounds(df: DataFrame, keys: list[str], value: str, sizes: dict, nb: int,
                     per_bucket: int = 32, seed: int = 17) -> list[tuple]:
     """Range boundaries for non-numeric values (strings) from a per-group sample.
 
-    Each group contributes about ``per_bucket * nb`` sampled values (a bounded
-    number, whatever the group size); every ``per_bucket``-th sorted sample
-    becomes a boundary.  Rows are only sampled to place boundaries, never dropped.
+    Each over-size group contributes about ``per_bucket * nb`` sampled values,
+    whatever its size; every ``per_bucket``-th sorted sample becomes a
+    boundary.  Rows are only sampled to place boundaries, never dropped.
     """
     spark = _spark(df)
     key_fields = [df.schema[k] for k in keys]
-    fr_rows = [tuple(r[k] for k in keys) + (min(1.0, per_bucket * nb / max(1, r["_n"])),)
-               for r in counts]
+    fr_rows = [k + (min(1.0, per_bucket * nb / max(1, n)),) for k, n in sizes.items()]
     frac = spark.createDataFrame(fr_rows, T.StructType(
         key_fields + [T.StructField("_frac", T.DoubleType())]))
     sample = (df.join(F.broadcast(frac), keys, "inner")
@@ -120,7 +135,7 @@ def _sampled_bounds(df: DataFrame, keys: list[str], value: str, counts, nb: int,
     for key, vals in groups.items():
         vals = sorted(set(vals))
         step = max(1, len(vals) // nb)
-        out.append(key + (vals[step::step],))
+        out.append(key + (vals[step::step][:nb],))
     return out
 
 
