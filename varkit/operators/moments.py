@@ -51,15 +51,28 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
         vec = VectorAssembler(inputCols=list(x.columns), outputCol="_v").transform(x).select("_v")
         m = Correlation.corr(vec, "_v").collect()[0][0].toArray()
         return cols, m
-    aggs = []
+    # cheap first pass: which columns vary at all (built-in corr divides by zero otherwise)
+    sd = x.agg(*[F.stddev_samp(f"_x{i}").alias(f"s{i}") for i in range(k)]).collect()[0]
+    varies = [sd[f"s{i}"] is not None and sd[f"s{i}"] > 0 for i in range(k)]
+    pairs = [(i, j) for i, j in combinations(range(k), 2) if varies[i] and varies[j]]
     for i, j in combinations(range(k), 2):
-        a, b = F.col(f"_x{i}"), F.col(f"_x{j}")
-        if not complete:
+        out[i, j] = out[j, i] = np.nan
+    for i in range(k):
+        if not varies[i]:
+            out[i, i] = np.nan
+    if not pairs:
+        return cols, out
+    try:
+        row = x.agg(*[F.corr(f"_x{i}", f"_x{j}").alias(f"r{i}_{j}") for i, j in pairs]).collect()[0]
+    except Exception:  # noqa: BLE001  (a column constant on the rows shared with another)
+        aggs = []
+        for i, j in pairs:
+            a, b = F.col(f"_x{i}"), F.col(f"_x{j}")
             both = a.isNotNull() & b.isNotNull()
             a, b = F.when(both, a), F.when(both, b)
-        aggs.append(F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)).alias(f"r{i}_{j}"))
-    row = x.agg(*aggs).collect()[0]
-    for i, j in combinations(range(k), 2):
+            aggs.append(F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)).alias(f"r{i}_{j}"))
+        row = x.agg(*aggs).collect()[0]
+    for i, j in pairs:
         v = row[f"r{i}_{j}"]
         out[i, j] = out[j, i] = np.nan if v is None else v
     return cols, out

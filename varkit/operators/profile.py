@@ -26,6 +26,7 @@ from varkit.functions.columns import (
 )
 from varkit.functions.distributions import chi2_sf_udf, f_sf_udf
 from varkit.operators.rank import select_positions
+from varkit.operators.summary import Scratch
 
 DEFAULT_PERCENTILES = (.01, .05, .1, .5, .9, .95, .99)
 DEFAULT_CV = (2, 3)
@@ -40,7 +41,8 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
 def exact_percentiles(long: DataFrame, keys: Sequence[str], value: str,
                       percentiles: Sequence[float], *, count_col: str = "_cnt",
                       counts: DataFrame | None = None,
-                      max_group_rows: int | None = None) -> DataFrame:
+                      max_group_rows: int | None = None,
+                      dist: DataFrame | None = None) -> DataFrame:
     """Exact percentiles (numpy 'linear') of ``value`` per ``keys``.
 
     Returns ``(*keys, _pi, _pv)``: percentile index and value.  NULL values are
@@ -49,9 +51,8 @@ def exact_percentiles(long: DataFrame, keys: Sequence[str], value: str,
     ``max_group_rows`` may be passed when the caller already computed them.
     """
     keys = list(keys)
-    nonnull = long.where(qcol(value).isNotNull())
-    dist = nonnull.groupBy(*[qcol(k) for k in keys], qcol(value)).agg(
-        F.count(F.lit(1)).alias("_w"))
+    if dist is None:
+        dist = distinct_values(long, keys, value)
     if counts is None:
         counts = dist.groupBy(*[qcol(k) for k in keys]).agg(F.sum("_w").alias(count_col))
     items = []
@@ -73,6 +74,12 @@ def exact_percentiles(long: DataFrame, keys: Sequence[str], value: str,
     return pv.select(*keys, "_pi", lerp(F.col("_a"), F.col("_b"), F.col("_t")).alias("_pv"))
 
 
+def distinct_values(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One row per (keys, non-null value) with its row count ``_w``."""
+    return (long.where(qcol(value).isNotNull())
+                .groupBy(*[qcol(k) for k in keys], qcol(value)).agg(F.count(F.lit(1)).alias("_w")))
+
+
 def _wide_stats(df: DataFrame, num: list[str], cat: list[str]) -> dict:
     """One pass, no reshaping: per-column moments for numerics, non-null counts
     for categoricals, and the row count.  A global aggregate (partial per
@@ -92,7 +99,7 @@ _NUM_STATS_SCHEMA = ("variable string, count long, _n long, std double, skewness
                      "kurtosis double, mean double, min double, max double")
 
 
-def _numeric_part(df: DataFrame, num: list[str], percentiles, cv, ws: dict) -> DataFrame:
+def _numeric_part(df: DataFrame, num: list[str], percentiles, cv, ws: dict, scratch: Scratch) -> DataFrame:
     spark = df.sparkSession
     rows = []
     for i, c in enumerate(num):
@@ -103,10 +110,10 @@ def _numeric_part(df: DataFrame, num: list[str], percentiles, cv, ws: dict) -> D
     long = to_long(df, num)
     counts = stats.select("variable", F.col("count").alias("_cnt"))
     biggest = max([r[1] for r in rows] + [0])
+    dist = scratch.keep(distinct_values(long, ["variable"], "value"))
     pcts = exact_percentiles(long, ["variable"], "value", percentiles, counts=counts,
-                             max_group_rows=biggest)
-    uniq = (long.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(
-        F.count(F.lit(1)).alias("_w")).groupBy("variable").agg(F.count(F.lit(1)).alias("unique")))
+                             max_group_rows=biggest, dist=dist)
+    uniq = dist.groupBy("variable").agg(F.count(F.lit(1)).alias("unique"))
     wide = pcts.groupBy("variable").agg(*[
         F.max(F.when(F.col("_pi") == i, F.col("_pv"))).alias(pct_name(p))
         for i, p in enumerate(percentiles)])
@@ -118,14 +125,14 @@ def _numeric_part(df: DataFrame, num: list[str], percentiles, cv, ws: dict) -> D
     return out.withColumn("type", F.lit("numeric"))
 
 
-def _categorical_part(df: DataFrame, cat: list[str], percentiles, ws: dict) -> DataFrame:
+def _categorical_part(df: DataFrame, cat: list[str], percentiles, ws: dict, scratch: Scratch) -> DataFrame:
     """Category shares.  Order: frequency ascending, then category ascending,
     NULL last among equal frequencies (a fixed rule for the tie order)."""
     spark = df.sparkSession
     stats = spark.createDataFrame([(c, ws[f"q{i}"], ws["_n"]) for i, c in enumerate(cat)],
                                   "variable string, count long, _n long")
     long = to_long(df, cat, kind="categorical")
-    cnt = long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("c"))
+    cnt = scratch.keep(long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("c")))
     uniq = cnt.groupBy("variable").agg(F.count("value").alias("unique"))
     # Frequency levels: one row per distinct count value, at most sqrt(2n) per variable.
     levels = cnt.groupBy("variable", "c").agg(
@@ -161,7 +168,7 @@ def _categorical_part(df: DataFrame, cat: list[str], percentiles, ws: dict) -> D
     named = tg.where(~is_null).select("variable", "c", "tag", (F.col("j") - 1).alias("_pos"))
     sel = select_positions(cnt.where(F.col("value").isNotNull()).select("variable", "c", "value"),
                            ["variable", "c"], "value", None, named, pos="_pos",
-                           max_group_rows=None)
+                           max_group_rows=ws["_n"])
     picked = sel.select("variable", "tag", "value").unionByName(null_hits)
     tags = ["min_cat", "max_cat"] + [pct_name(p) + "_cat" for p in percentiles]
     wide = picked.groupBy("variable").agg(*[
@@ -282,28 +289,32 @@ def profile(df: DataFrame, dv: str | None = None, regression: bool = True,
     columns = (["variable", "type", "count", "nmiss", "missing_rate", "unique", "std", "skewness",
                 "kurtosis", "mean", "min"] + lo_names + pnames + hi_names + ["max", "min_cat"]
                + [p + "_cat" for p in pnames] + ["max_cat"])
-    parts = []
-    ws = _wide_stats(df, num, cat) if (num or cat) else {}
-    if num:
-        parts.append(_numeric_part(df, num, percentile, cv, ws))
-    if cat:
-        parts.append(_categorical_part(df, cat, percentile, ws))
-    if not parts:
-        raise ValueError("no columns to profile")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    out = (out.withColumn("nmiss", F.col("_n") - F.col("count"))
-              .withColumn("missing_rate", F.when(F.col("_n") > 0,
-                                                 F.col("nmiss") * F.lit(100.0) / F.col("_n"))))
-    for c in columns:
-        if c not in out.columns:
-            kind = "string" if c.endswith("_cat") else "double"
-            out = out.withColumn(c, F.lit(None).cast(kind))
-    out = out.withColumn("ord", variable_order(num + cat)[F.col("variable")])
-    columns = columns + ["ord"]
-    if dv is not None:
-        assoc = association(df, dv, regression, num, cat)
-        out = out.join(assoc, "variable", "left")
-        columns += ["assoc_kind", "assoc_stat", "assoc_df1", "assoc_df2", "assoc_value"]
-    return out.select(*[qcol(c) for c in columns])
+    scratch = Scratch()
+    try:
+        parts = []
+        ws = _wide_stats(df, num, cat) if (num or cat) else {}
+        if num:
+            parts.append(_numeric_part(df, num, percentile, cv, ws, scratch))
+        if cat:
+            parts.append(_categorical_part(df, cat, percentile, ws, scratch))
+        if not parts:
+            raise ValueError("no columns to profile")
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p, allowMissingColumns=True)
+        out = (out.withColumn("nmiss", F.col("_n") - F.col("count"))
+                  .withColumn("missing_rate", F.when(F.col("_n") > 0,
+                                                     F.col("nmiss") * F.lit(100.0) / F.col("_n"))))
+        for c in columns:
+            if c not in out.columns:
+                kind = "string" if c.endswith("_cat") else "double"
+                out = out.withColumn(c, F.lit(None).cast(kind))
+        out = out.withColumn("ord", variable_order(num + cat)[F.col("variable")])
+        columns = columns + ["ord"]
+        if dv is not None:
+            assoc = association(df, dv, regression, num, cat)
+            out = out.join(assoc, "variable", "left")
+            columns += ["assoc_kind", "assoc_stat", "assoc_df1", "assoc_df2", "assoc_value"]
+        return scratch.finish(out.select(*[qcol(c) for c in columns]))
+    finally:
+        scratch.release()
