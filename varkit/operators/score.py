@@ -70,7 +70,7 @@ def feature_importance(spark, model, features: Sequence[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ deciles
-def _boundaries(df: DataFrame, score: str, key: str, positions: list[int]) -> list[tuple]:
+def _boundaries(df: DataFrame, score: str, key: str, positions: list[int], n: int | None = None) -> list[tuple]:
     """(score, key) of the rows at the given 0-based positions of the order
     score desc, key asc.  Two exact selections: on distinct scores (weighted by
     their row counts), then on the key inside each tied score."""
@@ -79,13 +79,17 @@ def _boundaries(df: DataFrame, score: str, key: str, positions: list[int]) -> li
     spark = df.sparkSession
     dist = df.groupBy(qcol(score).alias("_s")).agg(F.count(F.lit(1)).alias("_w")).withColumn("_neg", -F.col("_s"))
     tg = spark.createDataFrame([(i, int(p)) for i, p in enumerate(positions)], "_j int, _pos long")
-    first = select_positions(dist.select("_neg", "_w"), [], "_neg", "_w", tg, pos="_pos").collect()
+    first = select_positions(dist.select("_neg", "_w"), [], "_neg", "_w", tg, pos="_pos",
+                             max_group_rows=n).collect()
     level2 = [(r["_j"], -r["_neg"], int(r["_pos"] - r["_before"])) for r in first]
     stype = df.schema[score].dataType.simpleString()
     tg2 = spark.createDataFrame(level2, f"_j int, _s {stype}, _pos long")
     rows = df.select(qcol(score).alias("_s"), qcol(key).alias("_k")).join(
         F.broadcast(tg2.select("_s").distinct()), "_s", "left_semi")
-    second = select_positions(rows, ["_s"], "_k", None, tg2, pos="_pos").collect()
+    # a tied score holds at most as many rows as its weight; the largest is a bound
+    biggest = max((r["_w"] for r in first), default=0)
+    second = select_positions(rows, ["_s"], "_k", None, tg2, pos="_pos",
+                              max_group_rows=biggest).collect()
     got = {r["_j"]: (r["_s"], r["_k"]) for r in second}
     return [got[j] for j in range(len(positions))]
 
@@ -110,7 +114,7 @@ def gains_table(df: DataFrame, score: str, target: str, snapshot: str, key: str,
     n = df.count()
     step = math.ceil(n / n_buckets) if n else 1
     positions = [step * j - 1 for j in range(1, n // step + 1)] if n else []
-    bounds = _boundaries(df, score, key, positions)
+    bounds = _boundaries(df, score, key, positions, n)
     b = decile_bucket(qcol(score), qcol(key), bounds)
     scored = df.select(b.alias("bucket"), qcol(snapshot).alias("snapshot"),
                        qcol(score).alias("_p"), qcol(target).alias("_t"))

@@ -132,58 +132,58 @@ def smooth_tails(df: DataFrame, s: str, key: str, alpha: float = .5,
     if alpha <= 0 or alpha >= 1:
         raise ValueError("alpha should be between 0 and 1")
     x = qcol(s)
-    pct = exact_percentiles(df.select(x.cast("double").alias("value")).withColumn("_g", F.lit(0)),
-                            ["_g"], "value", (.01, .05, .95, .99)).collect()
-    if not pct:
+    spark = df.sparkSession
+    n = df.agg(F.count(x)).collect()[0][0]
+    if not n:
         return df
+    counts = spark.createDataFrame([(0, int(n))], "_g int, _cnt long")
+    pct = exact_percentiles(df.select(x.cast("double").alias("value")).withColumn("_g", F.lit(0)),
+                            ["_g"], "value", (.01, .05, .95, .99), counts=counts,
+                            max_group_rows=int(n)).collect()
     p = {r["_pi"]: r["_pv"] for r in pct}
     p1, p5, p95, p99 = p[0], p[1], p[2], p[3]
-    q = 1.0 - alpha
+    # sizes of the two seed bands and the two tails, in one pass (hints for the ranks)
+    sz = df.agg(F.count(F.when(x.between(F.lit(p95), F.lit(p99)), 1)).alias("hb"),
+                F.count(F.when(x > F.lit(p99), 1)).alias("ht"),
+                F.count(F.when(x.between(F.lit(p1), F.lit(p5)), 1)).alias("lb"),
+                F.count(F.when(x < F.lit(p1), 1)).alias("lt")).collect()[0]
     cols = df.columns
     keep = df
     parts = []
-    if high:
-        band = df.where(x.between(F.lit(p95), F.lit(p99)))
-        seed = _high_seed(band, s, key, alpha)
-        if seed is not None:
-            keep = keep.where(~(x > F.lit(p99)) | x.isNull())
-            tail = with_positions(df.where(x > F.lit(p99)), [], [x.asc(), qcol(key).asc()], s, out="_p")
-            tail = tail.withColumn("_p", F.col("_p") + 1)
-            parts.append(_chain(tail, s, "_p", alpha, seed).select(*cols))
-    if low:
-        band = df.where(x.between(F.lit(p1), F.lit(p5)))
-        seed = _low_seed(band, s, key, alpha)
-        if seed is not None:
-            keep = keep.where(~(x < F.lit(p1)) | x.isNull())
-            tail = df.where(x < F.lit(p1)).withColumn("_neg", -x)
-            tail = with_positions(tail, [], [F.col("_neg").asc(), qcol(key).desc()], "_neg", out="_p")
-            tail = tail.withColumn("_p", F.col("_p") + 1).drop("_neg")
-            parts.append(_chain(tail, s, "_p", alpha, seed).select(*cols))
+    if high and sz["hb"] > 0 and sz["ht"] > 0:
+        seed = _high_seed(df.where(x.between(F.lit(p95), F.lit(p99))), s, key, alpha, sz["hb"])
+        keep = keep.where(~(x > F.lit(p99)) | x.isNull())
+        tail = with_positions(df.where(x > F.lit(p99)), [], [x.asc(), qcol(key).asc()], s, out="_p",
+                              max_group_rows=sz["ht"])
+        tail = tail.withColumn("_p", F.col("_p") + 1)
+        parts.append(_chain(tail, s, "_p", alpha, seed).select(*cols))
+    if low and sz["lb"] > 0 and sz["lt"] > 0:
+        seed = _low_seed(df.where(x.between(F.lit(p1), F.lit(p5))), s, key, alpha, sz["lb"])
+        keep = keep.where(~(x < F.lit(p1)) | x.isNull())
+        tail = df.where(x < F.lit(p1)).withColumn("_neg", -x)
+        tail = with_positions(tail, [], [F.col("_neg").asc(), qcol(key).desc()], "_neg", out="_p",
+                              max_group_rows=sz["lt"])
+        tail = tail.withColumn("_p", F.col("_p") + 1).drop("_neg")
+        parts.append(_chain(tail, s, "_p", alpha, seed).select(*cols))
     out = keep
     for part in parts:
         out = out.unionByName(part)
     return out
 
 
-def _high_seed(band: DataFrame, s: str, key: str, alpha: float):
+def _high_seed(band: DataFrame, s: str, key: str, alpha: float, m: int) -> float:
     """sum_i w_i a_i with w_0 = (1-a)^(m-1), w_i = a(1-a)^(m-1-i): the fold in closed form."""
-    pos = with_positions(band, [], [qcol(s).asc(), qcol(key).asc()], s, out="_i")
-    m = band.count()
-    if m == 0:
-        return None
+    pos = with_positions(band, [], [qcol(s).asc(), qcol(key).asc()], s, out="_i", max_group_rows=m)
     lq = math.log(1.0 - alpha)
     w = F.when(F.col("_i") == 0, F.exp(F.lit(lq) * (m - 1))).otherwise(
         F.lit(alpha) * F.exp(F.lit(lq) * (F.lit(m - 1) - F.col("_i"))))
     return pos.agg(F.sum(w * qcol(s))).collect()[0][0]
 
 
-def _low_seed(band: DataFrame, s: str, key: str, alpha: float):
+def _low_seed(band: DataFrame, s: str, key: str, alpha: float, m: int) -> float:
     """Closed form of the low-side seed loop (start at the largest value, fold the
     elements from the largest down to the third smallest)."""
-    m = band.count()
-    if m == 0:
-        return None
-    pos = with_positions(band, [], [qcol(s).asc(), qcol(key).asc()], s, out="_i")
+    pos = with_positions(band, [], [qcol(s).asc(), qcol(key).asc()], s, out="_i", max_group_rows=m)
     if m <= 2:
         return pos.where(F.col("_i") == m - 1).agg(F.max(qcol(s))).collect()[0][0]
     lq = math.log(1.0 - alpha)

@@ -17,6 +17,7 @@ per-variable job, no distinct-value collect.
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,114 +31,117 @@ from varkit.functions.columns import (
 from varkit.functions.search import with_count_less
 from varkit.operators.profile import exact_percentiles
 from varkit.operators.rank import select_positions
+from varkit.operators.summary import Scratch
 
 NUMERIC_TREND_COLS = ["variable", "bucket", "minima", "var_sum", "maxima", "counts", "dep_sum",
                       "var_avg", "dep_avg"]
 CATEGORICAL_TREND_COLS = ["variable", "category", "counts", "dep_sum", "dep_avg"]
 
 
-def _threshold_targets(side_stats: DataFrame, side: str, n_col: str, row_col: str,
-                       offset: Column) -> DataFrame:
-    """Positions of the equal-frequency thresholds of one side.
-
-    Threshold j (1 <= j <= n_side // rows) is passed by every value whose
-    first row number (1-based) is at least rows * j, i.e. every value above the
-    value at 0-based position rows * j - 2.  (With rows = 1 the first threshold
-    is passed by every value and needs no lookup.)
-    """
-    rows = F.col(row_col)
-    jmax = F.floor(F.col(n_col) / rows).cast("int")
-    t = (side_stats.where(F.col(f"{side}_eqf") & (jmax >= 1))
-         .select("variable", rows.alias("_rows"), offset.alias("_off"),
-                 F.explode(F.sequence(F.lit(1), jmax)).alias("_j")))
-    t = t.where(F.col("_rows") * F.col("_j") - 1 >= 1)
-    return t.select("variable", F.lit(side).alias("_side"),
-                    (F.col("_off") + F.col("_rows") * F.col("_j") - 2).alias("_pos"))
+def _side_params(n_side: int, n_nz: int, buckets: int, extreme: float, negative: bool) -> dict:
+    """Bucket allocation of one sign side: count, equal-frequency or equal-width,
+    rows per bucket or the equal-width edges, and the threshold positions."""
+    b = max(1, math.ceil(buckets * n_side / n_nz)) if n_nz else 1
+    eqf = n_side > 0 and (-extreme > 1 if negative else extreme > 1)
+    out = dict(b=b, eqf=eqf, rows=0, edges=[], pos=[])
+    if n_side == 0:
+        return out
+    if eqf:
+        rows = math.ceil(n_side / b)
+        out["rows"] = rows
+        # threshold j (1 <= j <= n_side // rows) is passed by every value above the
+        # value at 0-based position rows*j - 2; with rows = 1 the first is always passed
+        out["pos"] = [rows * j - 2 for j in range(1, n_side // rows + 1) if rows * j - 1 >= 1]
+    elif negative:
+        m = 10.0 ** math.ceil(math.log10(-extreme))
+        out["edges"] = [(-m / b) * i for i in range(b, 0, -1)]
+    else:
+        m = 10.0 ** math.ceil(math.log10(extreme))
+        out["edges"] = [(m / b) * i for i in range(1, b)]
+    return out
 
 
 def numeric_trends(df: DataFrame, numericals: Sequence[str], label: str, buckets: int) -> DataFrame:
     """Bucketed trend table ``variable, bucket, minima, var_sum, maxima, counts,
-    dep_sum, var_avg, dep_avg`` for the numeric columns against ``label``."""
+    dep_sum, var_avg, dep_avg`` for the numeric columns against ``label``.
+
+    Jobs: the distinct (variable, value) table (persisted for the call), a
+    one-row-per-variable summary, the exact thresholds, the final aggregate.
+    """
     numericals = list(numericals)
     if buckets < 1:
         raise ValueError("buckets must be >= 1")
-    B = float(buckets)
-    long = to_long(df, numericals, extra={"_y": qcol(label)})
-    dist = (long.where(F.col("value").isNotNull())
-                .groupBy("variable", "value")
-                .agg(F.count(F.lit(1)).alias("_w"), F.sum("_y").alias("_ys")))
-    st = dist.groupBy("variable").agg(
-        F.sum(F.when(F.col("value") < 0, F.col("_w")).otherwise(0)).alias("n_neg"),
-        F.sum(F.when(F.col("value") == 0, F.col("_w")).otherwise(0)).alias("n_zero"),
-        F.sum(F.when(F.col("value") > 0, F.col("_w")).otherwise(0)).alias("n_pos"),
-        F.min("value").alias("vmin"), F.max("value").alias("vmax"))
-    nz = F.col("n_neg") + F.col("n_pos")
-
-    def alloc(n):  # ceil(buckets * n_side / n_nonzero), at least 1
-        return F.greatest(F.lit(1), F.coalesce(
-            F.ceil(F.try_divide(F.lit(B) * n, nz.cast("double"))), F.lit(1))).cast("long")
-
-    st = (st.withColumn("b_neg", alloc(F.col("n_neg")))
-            .withColumn("b_pos", alloc(F.col("n_pos")))
-            .withColumn("neg_eqf", (F.col("n_neg") > 0) & (-F.col("vmin") > 1))
-            .withColumn("pos_eqf", (F.col("n_pos") > 0) & (F.col("vmax") > 1))
-            .withColumn("rows_neg", F.ceil(F.col("n_neg") / F.col("b_neg")).cast("long"))
-            .withColumn("rows_pos", F.ceil(F.col("n_pos") / F.col("b_pos")).cast("long")))
-    # equal-width edges (only used when the side is not equal-frequency)
-    m_neg = F.pow(F.lit(10.0), F.ceil(F.log10(-F.col("vmin"))).cast("double"))
-    m_pos = F.pow(F.lit(10.0), F.ceil(F.log10(F.col("vmax"))).cast("double"))
-    st = (st.withColumn("neg_edges", F.when(
-                (F.col("n_neg") > 0) & ~F.col("neg_eqf"),
-                F.transform(F.sequence(F.col("b_neg"), F.lit(1).cast("long")),
-                            lambda i: (-m_neg / F.col("b_neg")) * i)))
-            .withColumn("pos_edges", F.when(
-                (F.col("n_pos") > 0) & ~F.col("pos_eqf") & (F.col("b_pos") > 1),
-                F.transform(F.sequence(F.lit(1).cast("long"), F.col("b_pos") - 1),
-                            lambda i: (m_pos / F.col("b_pos")) * i))))
-    targets = _threshold_targets(st, "neg", "n_neg", "rows_neg", F.lit(0).cast("long")).unionByName(
-        _threshold_targets(st, "pos", "n_pos", "rows_pos", F.col("n_neg") + F.col("n_zero")))
-    sel = select_positions(dist.select("variable", "value", "_w"), ["variable"], "value", "_w",
-                           targets, pos="_pos")
-    thr = sel.groupBy("variable").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_side") == "neg", F.col("value")))).alias("neg_thr"),
-        F.array_sort(F.collect_list(F.when(F.col("_side") == "pos", F.col("value")))).alias("pos_thr"))
-    meta = st.join(thr, "variable", "left")
-    size = int(buckets) + 2
-    # small per-variable table, one row per variable
-    x = dist.join(F.broadcast(meta), "variable", "inner")
-    is_neg, is_pos = F.col("value") < 0, F.col("value") > 0
-    x = x.withColumn("_arr", F.when(is_neg & F.col("neg_eqf"), F.col("neg_thr"))
-                              .when(is_neg, F.col("neg_edges"))
-                              .when(is_pos & F.col("pos_eqf"), F.col("pos_thr"))
-                              .when(is_pos, F.col("pos_edges")))
-    x = with_count_less(x, "_arr", F.col("value"), size, "_k")
-    side_bucket = (F.when(is_neg & F.col("neg_eqf"),
-                          1 + F.col("_k") + (F.col("rows_neg") == 1).cast("int"))
-                    .when(is_neg, 1 + F.col("_k"))
-                    .when(is_pos & F.col("pos_eqf"),
-                          1 + F.col("_k") + (F.col("rows_pos") == 1).cast("int"))
-                    .when(is_pos, 1 + F.col("_k") + (F.col("value") == 1).cast("int"))
-                    .otherwise(0))
-    side = F.when(is_neg, 0).when(is_pos, 2).otherwise(1)
-    x = x.withColumn("_side", side).withColumn("_sb", side_bucket)
-    agg = x.groupBy("variable", "_side", "_sb").agg(
-        F.min("value").alias("minima"),
-        F.sum(F.col("value") * F.col("_w")).alias("var_sum"),
-        F.max("value").alias("maxima"),
-        F.sum("_w").alias("counts"),
-        F.sum("_ys").alias("dep_sum"))
-    nulls = (long.where(F.col("value").isNull()).groupBy("variable")
-                 .agg(F.count(F.lit(1)).alias("counts"), F.sum("_y").alias("dep_sum"))
-                 .select("variable", F.lit(3).alias("_side"), F.lit(0).alias("_sb"),
-                         F.lit(None).cast("double").alias("minima"),
-                         F.lit(None).cast("double").alias("var_sum"),
-                         F.lit(None).cast("double").alias("maxima"), "counts", "dep_sum"))
-    out = agg.unionByName(nulls)
-    w = Window.partitionBy("variable").orderBy(F.col("minima").asc_nulls_last(), "_side", "_sb")
-    out = (out.withColumn("bucket", F.row_number().over(w).cast("long"))
-              .withColumn("var_avg", F.col("var_sum") / F.col("counts"))
-              .withColumn("dep_avg", F.col("dep_sum") / F.col("counts")))
-    return out.select(*NUMERIC_TREND_COLS)
+    spark = df.sparkSession
+    scratch = Scratch()
+    try:
+        long = to_long(df, numericals, extra={"_y": qcol(label)})
+        # one row per (variable, value) with rows and label sum; NULL values form one row
+        dist = scratch.keep(long.groupBy("variable", "value")
+                                .agg(F.count(F.lit(1)).alias("_w"), F.sum("_y").alias("_ys")))
+        nn = dist.where(F.col("value").isNotNull())
+        summary = nn.groupBy("variable").agg(
+            F.sum(F.when(F.col("value") < 0, F.col("_w")).otherwise(0)).alias("n_neg"),
+            F.sum(F.when(F.col("value") == 0, F.col("_w")).otherwise(0)).alias("n_zero"),
+            F.sum(F.when(F.col("value") > 0, F.col("_w")).otherwise(0)).alias("n_pos"),
+            F.count(F.lit(1)).alias("n_dist"),
+            F.min("value").alias("vmin"), F.max("value").alias("vmax")).collect()
+        params, targets = {}, []
+        for r in summary:
+            nz = r["n_neg"] + r["n_pos"]
+            neg = _side_params(r["n_neg"], nz, buckets, r["vmin"], True)
+            pos = _side_params(r["n_pos"], nz, buckets, r["vmax"], False)
+            params[r["variable"]] = (neg, pos)
+            targets += [(r["variable"], "neg", p) for p in neg["pos"]]
+            off = r["n_neg"] + r["n_zero"]
+            targets += [(r["variable"], "pos", off + p) for p in pos["pos"]]
+        thr: dict = {}
+        if targets:
+            tg = spark.createDataFrame(targets, "variable string, _side string, _pos long")
+            hint = max(r["n_dist"] for r in summary)
+            for t in select_positions(nn.select("variable", "value", "_w"), ["variable"], "value", "_w",
+                                      tg, pos="_pos", max_group_rows=hint).collect():
+                thr.setdefault((t["variable"], t["_side"]), []).append(t["value"])
+        meta_rows = []
+        for v, (neg, pos) in params.items():
+            neg_arr = sorted(thr.get((v, "neg"), [])) if neg["eqf"] else neg["edges"]
+            pos_arr = sorted(thr.get((v, "pos"), [])) if pos["eqf"] else pos["edges"]
+            meta_rows.append((v, neg["eqf"], pos["eqf"], int(neg["rows"]), int(pos["rows"]),
+                              [float(a) for a in neg_arr], [float(a) for a in pos_arr]))
+        meta = spark.createDataFrame(meta_rows, "variable string, neg_eqf boolean, pos_eqf boolean, "
+                                                "rows_neg long, rows_pos long, neg_arr array<double>, "
+                                                "pos_arr array<double>")
+        x = nn.join(F.broadcast(meta), "variable", "inner")  # one row per variable
+        is_neg, is_pos = F.col("value") < 0, F.col("value") > 0
+        x = x.withColumn("_arr", F.when(is_neg, F.col("neg_arr")).when(is_pos, F.col("pos_arr")))
+        x = with_count_less(x, "_arr", F.col("value"), int(buckets) + 2, "_k")
+        side_bucket = (F.when(is_neg & F.col("neg_eqf"),
+                              1 + F.col("_k") + (F.col("rows_neg") == 1).cast("int"))
+                        .when(is_neg, 1 + F.col("_k"))
+                        .when(is_pos & F.col("pos_eqf"),
+                              1 + F.col("_k") + (F.col("rows_pos") == 1).cast("int"))
+                        .when(is_pos, 1 + F.col("_k") + (F.col("value") == 1).cast("int"))
+                        .otherwise(0))
+        side = F.when(is_neg, 0).when(is_pos, 2).otherwise(1)
+        x = x.withColumn("_side", side).withColumn("_sb", side_bucket)
+        agg = x.groupBy("variable", "_side", "_sb").agg(
+            F.min("value").alias("minima"),
+            F.sum(F.col("value") * F.col("_w")).alias("var_sum"),
+            F.max("value").alias("maxima"),
+            F.sum("_w").alias("counts"),
+            F.sum("_ys").alias("dep_sum"))
+        nulls = dist.where(F.col("value").isNull()).select(
+            "variable", F.lit(3).alias("_side"), F.lit(0).alias("_sb"),
+            F.lit(None).cast("double").alias("minima"), F.lit(None).cast("double").alias("var_sum"),
+            F.lit(None).cast("double").alias("maxima"), F.col("_w").alias("counts"),
+            F.col("_ys").alias("dep_sum"))
+        out = agg.unionByName(nulls)
+        w = Window.partitionBy("variable").orderBy(F.col("minima").asc_nulls_last(), "_side", "_sb")
+        out = (out.withColumn("bucket", F.row_number().over(w).cast("long"))
+                  .withColumn("var_avg", F.col("var_sum") / F.col("counts"))
+                  .withColumn("dep_avg", F.col("dep_sum") / F.col("counts")))
+        return scratch.finish(out.select(*NUMERIC_TREND_COLS))
+    finally:
+        scratch.release()
 
 
 def categorical_trends(df: DataFrame, categoricals: Sequence[str], label: str) -> DataFrame:
