@@ -143,3 +143,16 @@ def test_profile_percentiles_bucketed(spark, bucketed, mixed):
     vals = [r[2] for r in rows if r[2] is not None and not math.isnan(r[2])]
     assert got["n_dbl"]["p50"] == pytest.approx(float(np.quantile(vals, .5)))
     assert got["c_str"]["p50_cat"] == "c"
+
+
+def test_profile_approx_mode(spark):
+    import random
+    rnd = random.Random(2)
+    rows = [(float(rnd.randint(0, 1000)), rnd.choice("xyz")) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "v double, c string")
+    exact = {r["variable"]: r for r in profile(df).collect()}
+    approx = {r["variable"]: r for r in profile(df, exact=False).collect()}
+    assert approx["v"]["count"] == exact["v"]["count"] and approx["v"]["mean"] == pytest.approx(exact["v"]["mean"])
+    assert abs(approx["v"]["p50"] - exact["v"]["p50"]) <= 2
+    assert abs(approx["v"]["unique"] - exact["v"]["unique"]) <= 0.05 * exact["v"]["unique"]
+    assert approx["c"]["max_cat"] == exact["c"]["max_cat"]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from varkit.functions.columns import numeric_value, numerical_categorical_division
 
 WIDE = 40
+PAIRS_PER_PASS = 300
 
 
 def _numeric_cols(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
@@ -62,19 +63,23 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
             out[i, i] = np.nan
     if not pairs:
         return cols, out
-    try:
-        row = x.agg(*[F.corr(f"_x{i}", f"_x{j}").alias(f"r{i}_{j}") for i, j in pairs]).collect()[0]
-    except Exception:  # noqa: BLE001  (a column constant on the rows shared with another)
-        aggs = []
-        for i, j in pairs:
-            a, b = F.col(f"_x{i}"), F.col(f"_x{j}")
-            both = a.isNotNull() & b.isNotNull()
-            a, b = F.when(both, a), F.when(both, b)
-            aggs.append(F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)).alias(f"r{i}_{j}"))
-        row = x.agg(*aggs).collect()[0]
-    for i, j in pairs:
-        v = row[f"r{i}_{j}"]
-        out[i, j] = out[j, i] = np.nan if v is None else v
+    # pairs in chunks so one aggregate never grows past a few hundred buffers
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        chunk = pairs[start:start + PAIRS_PER_PASS]
+        try:
+            row = x.agg(*[F.corr(f"_x{i}", f"_x{j}").alias(f"r{i}_{j}") for i, j in chunk]).collect()[0]
+        except Exception:  # noqa: BLE001  (a column constant on the rows shared with another)
+            aggs = []
+            for i, j in chunk:
+                a, b = F.col(f"_x{i}"), F.col(f"_x{j}")
+                both = a.isNotNull() & b.isNotNull()
+                a, b = F.when(both, a), F.when(both, b)
+                aggs.append(F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+                            .alias(f"r{i}_{j}"))
+            row = x.agg(*aggs).collect()[0]
+        for i, j in chunk:
+            v = row[f"r{i}_{j}"]
+            out[i, j] = out[j, i] = np.nan if v is None else v
     return cols, out
 
 

@@ -80,16 +80,22 @@ def distinct_values(long: DataFrame, keys: Sequence[str], value: str) -> DataFra
                 .groupBy(*[qcol(k) for k in keys], qcol(value)).agg(F.count(F.lit(1)).alias("_w")))
 
 
-def _wide_stats(df: DataFrame, num: list[str], cat: list[str]) -> dict:
+def _wide_stats(df: DataFrame, num: list[str], cat: list[str],
+                approx_percentiles: Sequence[float] | None = None, accuracy: int = 10_000) -> dict:
     """One pass, no reshaping: per-column moments for numerics, non-null counts
     for categoricals, and the row count.  A global aggregate (partial per
-    partition), one small row back."""
+    partition), one small row back.  With ``approx_percentiles`` the
+    percentiles and distinct counts come from mergeable sketches in the same
+    pass (``percentile_approx``, ``approx_count_distinct``)."""
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(num):
         x = numeric_value(df, c)
         aggs += [F.count(x).alias(f"c{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.skewness(x).alias(f"k{i}"), F.kurtosis(x).alias(f"u{i}"),
                  F.avg(x).alias(f"a{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}")]
+        if approx_percentiles is not None:
+            aggs += [F.percentile_approx(x, [float(p) for p in approx_percentiles], accuracy).alias(f"p{i}"),
+                     F.approx_count_distinct(x, rsd=0.01).alias(f"d{i}")]
     for i, c in enumerate(cat):
         aggs.append(F.count(category_value(df, c)).alias(f"q{i}"))
     return df.agg(*aggs).collect()[0].asDict()
@@ -99,6 +105,26 @@ _NUM_STATS_SCHEMA = ("variable string, count long, _n long, std double, skewness
                      "kurtosis double, mean double, min double, max double")
 
 
+def _numeric_part_approx(df: DataFrame, num: list[str], percentiles, cv, ws: dict) -> DataFrame:
+    """Numeric rows from the single sketch pass: no shuffle at all."""
+    spark = df.sparkSession
+    names = [pct_name(p) for p in percentiles]
+    rows = []
+    for i, c in enumerate(num):
+        ku = ws[f"u{i}"]
+        pv = ws[f"p{i}"] or [None] * len(percentiles)
+        rows.append((c, ws[f"c{i}"], ws["_n"], ws[f"s{i}"], ws[f"k{i}"],
+                     None if ku is None else ku + 3.0, ws[f"a{i}"], ws[f"l{i}"], ws[f"h{i}"],
+                     int(ws[f"d{i}"])) + tuple(None if v is None else float(v) for v in pv))
+    schema = _NUM_STATS_SCHEMA + ", unique long, " + ", ".join(f"`{n}` double" for n in names)
+    out = spark.createDataFrame(rows, schema)
+    for dev in cv:
+        lo, hi = sigma_names(dev)
+        out = out.withColumn(lo, F.col("mean") - F.lit(float(dev)) * F.col("std"))
+        out = out.withColumn(hi, F.col("mean") + F.lit(float(dev)) * F.col("std"))
+    return out.withColumn("type", F.lit("numeric"))
+
+
 def _numeric_part(df: DataFrame, num: list[str], percentiles, cv, ws: dict, scratch: Scratch) -> DataFrame:
     spark = df.sparkSession
     rows = []
@@ -274,13 +300,18 @@ def _chi2_uniform(long: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, dv: str | None = None, regression: bool = True,
             percentile: Sequence[float] = DEFAULT_PERCENTILES, cv: Sequence[int] = DEFAULT_CV,
-            cols: Sequence[str] | None = None) -> DataFrame:
+            cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """One row per variable (numeric variables first, then categoricals, in column
     order; column ``ord`` holds that order).
 
     Numeric statistics sit in double columns (``min``, ``p1`` ..., ``max``);
     categorical labels in string columns (``min_cat``, ``p1_cat`` ..., ``max_cat``).
     With ``dv`` the association columns of :func:`association` are added.
+
+    ``exact=False`` takes numeric percentiles and distinct counts from
+    mergeable sketches in the one statistics pass (relative rank error about
+    1e-4), so the numeric rows need no shuffle; categorical rows are exact
+    either way.
     """
     num, cat = numerical_categorical_division(df, cols)
     pnames = [pct_name(p) for p in percentile]
@@ -292,9 +323,11 @@ def profile(df: DataFrame, dv: str | None = None, regression: bool = True,
     scratch = Scratch()
     try:
         parts = []
-        ws = _wide_stats(df, num, cat) if (num or cat) else {}
-        if num:
+        ws = _wide_stats(df, num, cat, None if exact else percentile) if (num or cat) else {}
+        if num and exact:
             parts.append(_numeric_part(df, num, percentile, cv, ws, scratch))
+        elif num:
+            parts.append(_numeric_part_approx(df, num, percentile, cv, ws))
         if cat:
             parts.append(_categorical_part(df, cat, percentile, ws, scratch))
         if not parts:

@@ -90,6 +90,14 @@ def q_profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile(df).select(*[F.col(f"`{c}`") for c in NUMERIC_PROFILE_COLS]))
 
 
+@register("profile_numeric_approx")
+def q_profile_numeric_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch mode (percentiles and distinct counts approximate): rows-only check."""
+    from varkit.operators.profile import profile
+    df = read_table(spark, sf_dir, "lineitem", LINEITEM_NUM)
+    return rounded(profile(df, exact=False).select(*[F.col(f"`{c}`") for c in NUMERIC_PROFILE_COLS]))
+
+
 ORDERS_CAT = ["o_orderstatus", "o_orderpriority"]
 CAT_PROFILE_COLS = (["variable", "type", "count", "nmiss", "missing_rate", "unique", "min_cat"]
                     + [p + "_cat" for p in PNAMES] + ["max_cat", "ord"])
