@@ -38,3 +38,26 @@ def test_match_buckets(spark):
     res = match_buckets(table, bounds, test, "event_prob", "target_flag", "snapshot").collect()
     hit = {(r["bucket"], r["snapshot"]): r["count_test"] for r in res if r["count_test"]}
     assert hit == {(2, "s0"): 1, (7, "s0"): 1, (11, "s1"): 1, (10, "s1"): 1}
+
+
+def test_gbt_save_load_and_sink(spark, tmp_path):
+    from varkit.operators.score import (
+        feature_importance, fit_gbt, load_model, save_model, score_event_prob,
+    )
+    from varkit.sources.tables import write_result
+    rows = [(float(i), float((i * 7) % 5), int(i % 5 < 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, target_flag int")
+    model = fit_gbt(df, ["a", "b"], "target_flag", maxIter=3, maxDepth=2, minInstancesPerNode=1)
+    path = str(tmp_path / "model")
+    save_model(model, path)
+    again = load_model(path)
+    p1 = [r["event_prob"] for r in score_event_prob(model, df).collect()]
+    p2 = [r["event_prob"] for r in score_event_prob(again, df).collect()]
+    assert p1 == p2 and all(0 <= p <= 1 for p in p1)
+    imp = {r["Variable"]: r["Importance"] for r in feature_importance(spark, again, ["a", "b"]).collect()}
+    assert set(imp) == {"a", "b"} and abs(sum(imp.values()) - 1) < 1e-9
+    out = str(tmp_path / "gains")
+    table, _ = gains_table(score_event_prob(model, df, keep=["target_flag"]).withColumn("row_id", F.monotonically_increasing_id())
+                           .withColumn("snapshot", F.lit("s")), "event_prob", "target_flag", "snapshot", "row_id")
+    write_result(table, out, fmt="csv")
+    assert spark.read.option("header", "true").csv(out).count() == table.count()

@@ -6,7 +6,8 @@ import random
 import pytest
 
 from varkit.operators.trends import (
-    binned_line, box_stats, categorical_trends, column_percent, numeric_trends, trend_tables,
+    binned_line, box_stats, categorical_trends, column_percent, graphical_tables, numeric_trends,
+    trend_tables,
 )
 
 NAN = float("nan")
@@ -121,3 +122,14 @@ def test_plot_tables(spark):
     cp = column_percent(df.select("g", "cls"), "cls").collect()
     assert len(cp) == 4 and {(r["category"], r["dv"], r["count"]) for r in cp} == \
         {("0", "0", 10), ("0", "1", 0), ("1", "0", 0), ("1", "1", 10)}
+
+
+def test_graphical_tables(spark):
+    df = spark.createDataFrame([(float(i), float(i % 3), str(i % 2), i % 2) for i in range(1, 21)],
+                               "x double, y double, g string, cls int")
+    reg = graphical_tables(df.drop("cls"), "y", regression=True)
+    # 20 rows in 10 buckets of 2 rows: ranks 1..20 give buckets 1..11
+    assert set(reg) == {"line", "box"} and reg["line"].where("variable = 'x'").count() == 11
+    cls = graphical_tables(df.withColumn("cls", df.cls.cast("string")), "cls", regression=False)
+    assert set(cls) == {"box", "column_percent"}
+    assert {r["variable"] for r in cls["box"].collect()} == {"x", "y"}

@@ -28,6 +28,13 @@ _EXPORTS = {
     "binned_line": "varkit.operators.trends",
     "box_stats": "varkit.operators.trends",
     "column_percent": "varkit.operators.trends",
+    "graphical_tables": "varkit.operators.trends",
+    "write_result": "varkit.sources.tables",
+    "read_table": "varkit.sources.tables",
+    "save_model": "varkit.operators.score",
+    "load_model": "varkit.operators.score",
+    "centred_vif": "varkit.operators.reduce",
+    "ols_no_intercept": "varkit.operators.reduce",
     "cap_floor": "varkit.operators.treat",
     "dummies": "varkit.operators.treat",
     "dummies_binary": "varkit.operators.treat",

@@ -247,3 +247,32 @@ def column_percent(df: DataFrame, dv: str, cols: Sequence[str] | None = None) ->
                          F.col("count").cast("long").alias("count"))
     w = Window.partitionBy("variable", "category")
     return longc.withColumn("pct", F.col("count") * 100.0 / F.sum("count").over(w))
+
+
+def graphical_tables(df: DataFrame, dv: str, regression: bool = True,
+                     cols: Sequence[str] | None = None, buckets: int = 10) -> dict[str, DataFrame]:
+    """The four bivariate views as tables (dv itself is skipped):
+
+    * regression: numeric columns -> ``line`` (:func:`binned_line`),
+      categorical columns -> ``box`` (dv by category, :func:`box_stats`);
+    * classification: numeric columns -> ``box`` (column by dv class),
+      categorical columns -> ``column_percent`` (:func:`column_percent`).
+
+    Only the parts with at least one column of that type are returned.
+    """
+    num, cat = numerical_categorical_division(df, cols)
+    num = [c for c in num if c != dv]
+    cat = [c for c in cat if c != dv]
+    keep = lambda cs: list(dict.fromkeys(cs + [dv]))
+    out: dict[str, DataFrame] = {}
+    if regression:
+        if num:
+            out["line"] = binned_line(df.select(*[qcol(c) for c in keep(num)]), dv, buckets)
+        if cat:
+            out["box"] = box_stats(df.select(*[qcol(c) for c in keep(cat)]), dv, regression=True)
+    else:
+        if num:
+            out["box"] = box_stats(df.select(*[qcol(c) for c in keep(num)]), dv, regression=False)
+        if cat:
+            out["column_percent"] = column_percent(df.select(*[qcol(c) for c in keep(cat)]), dv)
+    return out
