@@ -24,7 +24,7 @@ from varkit.functions.columns import (
     category_value, numeric_value, numerical_categorical_division, pct_name, qcol,
     sigma_names, to_long, variable_order,
 )
-from varkit.functions.distributions import chi2_sf_udf, f_sf_udf
+from varkit.functions.distributions import chi2_sf, f_sf
 from varkit.operators.rank import select_positions
 from varkit.operators.summary import Scratch
 
@@ -203,6 +203,10 @@ def _categorical_part(df: DataFrame, cat: list[str], percentiles, ws: dict, scra
                  .withColumn("type", F.lit("categorical")))
 
 
+ASSOC_SCHEMA = ("variable string, assoc_kind string, assoc_stat double, assoc_df1 double, "
+                "assoc_df2 double, assoc_value double")
+
+
 def association(df: DataFrame, dv: str, regression: bool, num: list[str], cat: list[str]) -> DataFrame:
     """Association of every variable with ``dv``.
 
@@ -214,54 +218,57 @@ def association(df: DataFrame, dv: str, regression: bool, num: list[str], cat: l
       (1, n-2) df for a numeric dv, ANOVA over dv classes otherwise), ``f_p``;
     * classification, categorical: chi-square of all dv x category cells against a
       uniform expectation (not an independence test), ``chi2_uniform_p``.
+
+    Numeric variables against a numeric dv take one global aggregate over the
+    wide table; the other cases are grouped aggregates.  The result has one
+    row per variable; its p-values are computed on the driver.
     """
+    spark = df.sparkSession
     dv_numeric = dv in numerical_categorical_division(df, [dv])[0]
-    parts = []
-    if num:
-        ycol = numeric_value(df, dv) if dv_numeric else category_value(df, dv)
-        long = to_long(df, num, extra={"_y": ycol})
-        if regression or dv_numeric:
-            pair = long.where(F.col("value").isNotNull() & F.col("_y").isNotNull())
-            g = pair.groupBy("variable").agg(
-                F.count(F.lit(1)).alias("_n"),
-                F.covar_samp("value", "_y").alias("_cov"),
-                F.stddev_samp("value").alias("_sx"),
-                F.stddev_samp("_y").alias("_sy"))
-            r = F.try_divide(F.col("_cov"), F.col("_sx") * F.col("_sy"))
+    rows: list[tuple] = []
+    if num and (regression or dv_numeric):
+        y = numeric_value(df, dv)
+        aggs = []
+        for i, c in enumerate(num):
+            x = numeric_value(df, c)
+            both = x.isNotNull() & y.isNotNull()
+            xm, ym = F.when(both, x), F.when(both, y)
+            aggs += [F.count(xm).alias(f"n{i}"), F.covar_samp(xm, ym).alias(f"c{i}"),
+                     F.stddev_samp(xm).alias(f"sx{i}"), F.stddev_samp(ym).alias(f"sy{i}")]
+        st = df.agg(*aggs).collect()[0]
+        for i, c in enumerate(num):
+            n, cov, sx, sy = st[f"n{i}"], st[f"c{i}"], st[f"sx{i}"], st[f"sy{i}"]
+            r = cov / (sx * sy) if None not in (cov, sx, sy) and sx * sy != 0 else None
             if regression:
-                parts.append(g.select("variable", F.lit("pearson_r").alias("assoc_kind"),
-                                      r.alias("assoc_stat"), F.lit(None).cast("double").alias("assoc_df1"),
-                                      F.lit(None).cast("double").alias("assoc_df2"),
-                                      r.alias("assoc_value")))
+                rows.append((c, "pearson_r", r, None, None, r))
             else:
-                fstat = F.try_divide(r * r * (F.col("_n") - 2), F.lit(1.0) - r * r)
-                d2 = (F.col("_n") - 2).cast("double")
-                parts.append(g.select("variable", F.lit("f_p").alias("assoc_kind"),
-                                      fstat.alias("assoc_stat"), F.lit(1.0).alias("assoc_df1"),
-                                      d2.alias("assoc_df2"),
-                                      f_sf_udf(fstat, F.lit(1.0), d2).alias("assoc_value")))
-        else:  # classification with a categorical dv: ANOVA of the variable over dv classes
-            pair = long.where(F.col("value").isNotNull() & F.col("_y").isNotNull())
-            parts.append(_anova(pair, "variable", "_y", "value", "f_p"))
+                f = None if r is None or r * r == 1 else r * r * (n - 2) / (1 - r * r)
+                d2 = float(n - 2)
+                rows.append((c, "f_p", f, 1.0, d2, None if f is None else _nan_none(f_sf(f, 1.0, d2))))
+    elif num:  # classification with a categorical dv: ANOVA of each variable over the dv classes
+        long = to_long(df, num, extra={"_y": category_value(df, dv)})
+        pair = long.where(F.col("value").isNotNull() & F.col("_y").isNotNull())
+        rows += _anova(pair, "variable", "_y", "value", "f_p")
     if cat:
         if regression:
             long = to_long(df, cat, kind="categorical", extra={"_y": numeric_value(df, dv)})
             pair = long.where(F.col("value").isNotNull() & F.col("_y").isNotNull())
-            parts.append(_anova(pair, "variable", "value", "_y", "anova_p"))
+            rows += _anova(pair, "variable", "value", "_y", "anova_p")
         else:
             long = to_long(df, cat, kind="categorical", extra={"_y": category_value(df, dv)})
-            parts.append(_chi2_uniform(long))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            rows += _chi2_uniform(long)
     if not regression:  # dv against itself is degenerate in classification mode
-        for c in ("assoc_stat", "assoc_df1", "assoc_df2", "assoc_value"):
-            out = out.withColumn(c, F.when(F.col("variable") == dv, None).otherwise(F.col(c)))
-    return out
+        rows = [(v, k, None, None, None, None) if v == dv else (v, k, a, b, c, d) for v, k, a, b, c, d in rows]
+    return spark.createDataFrame(rows, ASSOC_SCHEMA)
 
 
-def _anova(pair: DataFrame, var: str, group: str, y: str, kind: str) -> DataFrame:
-    """One-way ANOVA of ``y`` by ``group`` within each ``var``; two plain aggregates."""
+def _nan_none(v):
+    return None if v is None or v != v else float(v)
+
+
+def _anova(pair: DataFrame, var: str, group: str, y: str, kind: str) -> list[tuple]:
+    """One-way ANOVA of ``y`` by ``group`` within each ``var``: per-group
+    moments (one grouped aggregate), then per-variable sums; one row each."""
     g = pair.groupBy(var, group).agg(
         F.count(F.lit(1)).alias("_ng"), F.avg(y).alias("_mg"),
         (F.coalesce(F.var_samp(y), F.lit(0.0)) * (F.count(F.lit(1)) - 1)).alias("_ssw"))
@@ -269,18 +276,20 @@ def _anova(pair: DataFrame, var: str, group: str, y: str, kind: str) -> DataFram
         F.sum("_ng").alias("_n"), F.count(F.lit(1)).alias("_k"),
         (F.sum(F.col("_ng") * F.col("_mg")) / F.sum("_ng")).alias("_gm"),
         F.sum("_ssw").alias("_ssw"))
-    g = g.join(t.select(var, "_gm"), var)
-    ssb = g.groupBy(var).agg(F.sum(F.col("_ng") * (F.col("_mg") - F.col("_gm")) ** 2).alias("_ssb"))
-    t = t.join(ssb, var)
-    d1 = (F.col("_k") - 1).cast("double")
-    d2 = (F.col("_n") - F.col("_k")).cast("double")
-    fstat = F.try_divide(F.try_divide(F.col("_ssb"), d1), F.try_divide(F.col("_ssw"), d2))
-    return t.select(F.col(var).alias("variable"), F.lit(kind).alias("assoc_kind"),
-                    fstat.alias("assoc_stat"), d1.alias("assoc_df1"), d2.alias("assoc_df2"),
-                    f_sf_udf(fstat, d1, d2).alias("assoc_value"))
-
-
-def _chi2_uniform(long: DataFrame) -> DataFrame:
+    # between-group sum of squares around the grand mean (second small pass, stable)
+    ssb = (g.join(F.broadcast(t.select(var, "_gm")), var)
+             .groupBy(var).agg(F.sum(F.col("_ng") * (F.col("_mg") - F.col("_gm")) ** 2).alias("_ssb")))
+    t = t.join(ssb, var).collect()
+    out = []
+    for r in t:
+        n, k, ssw, ssb = r["_n"], r["_k"], r["_ssw"], r["_ssb"]
+        d1, d2 = float(k - 1), float(n - k)
+        f = (ssb / d1) / (ssw / d2) if d1 > 0 and d2 > 0 and ssw > 0 else None
+        out.append((r[var], kind, f, d1, d2, None if f is None else _nan_none(f_sf(f, d1, d2))))
+    return out
+
+
+def _chi2_uniform(long: DataFrame) -> list[tuple]:
     """Chi-square of the full dv x category grid (NULL is a level, empty cells
     count) against equal expected counts.  Empty cells need not be built:
     sum((o-e)^2/e) over all cells = sum(o^2)/e - n with e = n / cells."""
@@ -288,14 +297,13 @@ def _chi2_uniform(long: DataFrame) -> DataFrame:
     t = cells.groupBy("variable").agg(
         F.sum("o").alias("_n"), F.sum(F.col("o") * F.col("o")).alias("_o2"),
         F.count_distinct(F.coalesce(F.col("value"), F.lit("\u0000null"))).alias("_a"),
-        F.count_distinct(F.coalesce(F.col("_y"), F.lit("\u0000null"))).alias("_b"))
-    ncell = (F.col("_a") * F.col("_b")).cast("double")
-    e = F.col("_n") / ncell
-    stat = F.col("_o2") / e - F.col("_n")
-    d1 = ncell - 1
-    return t.select("variable", F.lit("chi2_uniform_p").alias("assoc_kind"), stat.alias("assoc_stat"),
-                    d1.alias("assoc_df1"), F.lit(None).cast("double").alias("assoc_df2"),
-                    chi2_sf_udf(stat, d1).alias("assoc_value"))
+        F.count_distinct(F.coalesce(F.col("_y"), F.lit("\u0000null"))).alias("_b")).collect()
+    out = []
+    for r in t:
+        ncell = float(r["_a"] * r["_b"])
+        stat = r["_o2"] / (r["_n"] / ncell) - r["_n"]
+        out.append((r["variable"], "chi2_uniform_p", stat, ncell - 1, None, _nan_none(chi2_sf(stat, ncell - 1))))
+    return out
 
 
 def profile(df: DataFrame, dv: str | None = None, regression: bool = True,
