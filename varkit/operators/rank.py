@@ -4,9 +4,10 @@
 helpers here give the same exact answers with every step partitioned:
 
 1. per group (for example per variable) count the rows: one small aggregate;
-2. groups larger than ``rows_per_bucket`` get approximate quantile boundaries
-   (``percentile_approx``, a mergeable sketch) collected to the driver: at most
-   ``max_buckets`` numbers per group;
+2. groups larger than ``rows_per_bucket`` get range boundaries placed from a
+   per-group row sample (a filter pass) and collected to the driver: about
+   n / rows_per_bucket numbers per group, at most ``max_buckets``, and at most
+   ``MAX_TOTAL_BUCKETS`` over all groups (the bucket size grows beyond that);
 3. every row gets a range bucket by binary search over its group's boundaries
    (:func:`varkit.functions.search.with_count_less`); the bucket is a pure
    function of the value, so equal values share a bucket and a recomputation
@@ -36,8 +37,13 @@ from pyspark.sql.window import Window
 from varkit.functions.columns import qcol
 from varkit.functions.search import with_count_less
 
-ROWS_PER_BUCKET = 2_000_000
+ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 8192
+# Cap on the buckets of all over-size groups together (the bucket size grows
+# past it) and sampled values per bucket: together they bound what the driver
+# collects to place boundaries (about 16 x 131072 values).
+MAX_TOTAL_BUCKETS = 131_072
+SAMPLES_PER_BUCKET = 16
 # Session setting that overrides the rows per range bucket (tests use a small
 # value to run the bucketed path on small tables).
 CONF_ROWS_PER_BUCKET = "varkit.rank.rowsPerBucket"
@@ -62,10 +68,11 @@ def _range_buckets(df: DataFrame, keys: list[str], value: str,
     """Add column ``_rb`` (range bucket within the group, monotone in value);
     the flag says whether any group needed more than one bucket.
 
-    Only groups with more than ``rows_per_bucket`` rows get boundaries, and a
-    group of n rows gets about n / rows_per_bucket of them (at most
-    ``max_buckets``), so everything collected is bounded by
-    rows / rows_per_bucket + groups-over-size, whatever the number of groups.
+    Only groups with more than ``rows_per_bucket`` rows get boundaries; a group
+    of n rows gets about n / rows_per_bucket buckets (at most ``max_buckets``).
+    When the over-size groups together would need more than
+    ``MAX_TOTAL_BUCKETS`` buckets, the bucket size grows instead, so the number
+    of groups collected and the boundary sample stay bounded at any scale.
     ``max_group_rows`` is an upper bound on the rows of any group when the
     caller already knows one; when it is at most ``rows_per_bucket`` no
     counting job runs.
@@ -74,34 +81,22 @@ def _range_buckets(df: DataFrame, keys: list[str], value: str,
     rows_per_bucket = int(spark.conf.get(CONF_ROWS_PER_BUCKET, str(rows_per_bucket)))
     if max_group_rows is not None and max_group_rows <= rows_per_bucket:
         return df.withColumn(_RB, F.lit(0)), False
-    big = (df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-             .where(F.col("_n") > rows_per_bucket).collect())
+    sizes = df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    over = sizes.where(F.col("_n") > rows_per_bucket).agg(
+        F.count(F.lit(1)).alias("g"), F.sum("_n").alias("rows")).collect()[0]
+    if not over["g"]:
+        return df.withColumn(_RB, F.lit(0)), False
+    if over["rows"] / rows_per_bucket + over["g"] > MAX_TOTAL_BUCKETS:
+        rows_per_bucket = int(math.ceil(over["rows"] / max(1, MAX_TOTAL_BUCKETS - over["g"])))
+    big = sizes.where(F.col("_n") > rows_per_bucket).collect()
     if not big:
         return df.withColumn(_RB, F.lit(0)), False
     key_fields = [df.schema[k] for k in keys]
-    key_schema = T.StructType(key_fields)
     vtype = df.schema[value].dataType
-    # group the over-size groups by bucket count (powers of two) so each class is
-    # one aggregate with a fixed fraction list
-    classes: dict[int, list[tuple]] = {}
-    for r in big:
-        nb = int(min(max_buckets, math.ceil(r["_n"] / rows_per_bucket)))
-        cls = 1 << (nb - 1).bit_length()
-        classes.setdefault(min(cls, max_buckets), []).append(tuple(r[k] for k in keys))
-    rows: list[tuple] = []
-    for nb, members in sorted(classes.items()):
-        sel = df.join(F.broadcast(spark.createDataFrame(members, key_schema)), keys, "left_semi")
-        if isinstance(vtype, T.NumericType):
-            fractions = [i / nb for i in range(1, nb)]
-            accuracy = max(10_000, 20 * nb)
-            bounds = (sel.groupBy(*[qcol(k) for k in keys])
-                         .agg(F.array_sort(F.array_distinct(
-                             F.percentile_approx(qcol(value), fractions, accuracy))).alias("_bounds")))
-            rows += [tuple(r) for r in bounds.collect()]
-        else:
-            sizes = {tuple(r[k] for k in keys): r["_n"] for r in big}
-            rows += _sampled_bounds(sel, keys, value, {m: sizes[m] for m in members}, nb)
-    size = max(classes)
+    nbs = {tuple(r[k] for k in keys): (r["_n"], int(min(max_buckets, math.ceil(r["_n"] / rows_per_bucket))))
+           for r in big}
+    rows = _sampled_bounds(df, keys, value, nbs)
+    size = max(nb for _, nb in nbs.values())
     # The boundaries are a small summary; pinning them as a driver-built table
     # makes the bucket of every row deterministic (also after a recomputation).
     schema = T.StructType(key_fields + [T.StructField("_bounds", T.ArrayType(vtype))])
@@ -111,17 +106,19 @@ def _range_buckets(df: DataFrame, keys: list[str], value: str,
     return out.drop("_bounds"), True
 
 
-def _sampled_bounds(df: DataFrame, keys: list[str], value: str, sizes: dict, nb: int,
-                    per_bucket: int = 32, seed: int = 17) -> list[tuple]:
-    """Range boundaries for non-numeric values (strings) from a per-group sample.
+def _sampled_bounds(df: DataFrame, keys: list[str], value: str, nbs: dict,
+                    per_bucket: int = SAMPLES_PER_BUCKET, seed: int = 17) -> list[tuple]:
+    """Range boundaries per over-size group from a sample of its rows.
 
-    Each over-size group contributes about ``per_bucket * nb`` sampled values,
-    whatever its size; every ``per_bucket``-th sorted sample becomes a
-    boundary.  Rows are only sampled to place boundaries, never dropped.
+    Group g with n rows and nb buckets keeps each row with probability
+    per_bucket * nb / n (about ``per_bucket * nb`` values, whatever n is);
+    every ``per_bucket``-th sorted sample becomes a boundary.  Rows are only
+    sampled to place boundaries (bucket sizes are balanced up to sampling
+    noise), never dropped from the data.
     """
     spark = _spark(df)
     key_fields = [df.schema[k] for k in keys]
-    fr_rows = [k + (min(1.0, per_bucket * nb / max(1, n)),) for k, n in sizes.items()]
+    fr_rows = [k + (min(1.0, per_bucket * nb / max(1, n)),) for k, (n, nb) in nbs.items()]
     frac = spark.createDataFrame(fr_rows, T.StructType(
         key_fields + [T.StructField("_frac", T.DoubleType())]))
     sample = (df.join(F.broadcast(frac), keys, "inner")
@@ -133,9 +130,10 @@ def _sampled_bounds(df: DataFrame, keys: list[str], value: str, sizes: dict, nb:
         groups.setdefault(tuple(r[k] for k in keys), []).append(r[value])
     out = []
     for key, vals in groups.items():
+        nb = nbs[key][1]
         vals = sorted(set(vals))
         step = max(1, len(vals) // nb)
-        out.append(key + (vals[step::step][:nb],))
+        out.append(key + (vals[step::step][:nb - 1],))
     return out
 
 
