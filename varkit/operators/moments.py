@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varkit.functions.columns import numeric_value, numerical_categorical_division
+from varkit.operators.summary import wide_agg
 
 WIDE = 40
-PAIRS_PER_PASS = 300
 
 
 def _numeric_cols(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
@@ -53,7 +53,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
         m = Correlation.corr(vec, "_v").collect()[0][0].toArray()
         return cols, m
     # cheap first pass: which columns vary at all (built-in corr divides by zero otherwise)
-    sd = x.agg(*[F.stddev_samp(f"_x{i}").alias(f"s{i}") for i in range(k)]).collect()[0]
+    sd = wide_agg(x, [(F.stddev_samp(f"_x{i}").alias(f"s{i}"), "stddev") for i in range(k)])
     varies = [sd[f"s{i}"] is not None and sd[f"s{i}"] > 0 for i in range(k)]
     pairs = [(i, j) for i, j in combinations(range(k), 2) if varies[i] and varies[j]]
     for i, j in combinations(range(k), 2):
@@ -63,23 +63,21 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
             out[i, i] = np.nan
     if not pairs:
         return cols, out
-    # pairs in chunks so one aggregate never grows past a few hundred buffers
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        try:
-            row = x.agg(*[F.corr(f"_x{i}", f"_x{j}").alias(f"r{i}_{j}") for i, j in chunk]).collect()[0]
-        except Exception:  # noqa: BLE001  (a column constant on the rows shared with another)
-            aggs = []
-            for i, j in chunk:
-                a, b = F.col(f"_x{i}"), F.col(f"_x{j}")
-                both = a.isNotNull() & b.isNotNull()
-                a, b = F.when(both, a), F.when(both, b)
-                aggs.append(F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
-                            .alias(f"r{i}_{j}"))
-            row = x.agg(*aggs).collect()[0]
-        for i, j in chunk:
-            v = row[f"r{i}_{j}"]
-            out[i, j] = out[j, i] = np.nan if v is None else v
+    # passes sized to the session's code-generation field limit (see wide_agg)
+    try:
+        row = wide_agg(x, [(F.corr(f"_x{i}", f"_x{j}").alias(f"r{i}_{j}"), "corr") for i, j in pairs])
+    except Exception:  # noqa: BLE001  (a column constant on the rows shared with another)
+        aggs = []
+        for i, j in pairs:
+            a, b = F.col(f"_x{i}"), F.col(f"_x{j}")
+            both = a.isNotNull() & b.isNotNull()
+            a, b = F.when(both, a), F.when(both, b)
+            aggs.append((F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+                         .alias(f"r{i}_{j}"), "corr"))
+        row = wide_agg(x, aggs)
+    for i, j in pairs:
+        v = row[f"r{i}_{j}"]
+        out[i, j] = out[j, i] = np.nan if v is None else v
     return cols, out
 
 
@@ -100,11 +98,11 @@ def gram_matrix(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray]:
         r = np.nan_to_num(r)
         cov = r * np.outer(sd, sd)
         return n, (n - 1) * cov + n * np.outer(mu, mu)
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs = [(F.count(F.lit(1)).alias("_n"), "count")]
     for i in range(k):
         for j in range(i, k):
-            aggs.append(F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"g{i}_{j}"))
-    row = x.agg(*aggs).collect()[0]
+            aggs.append((F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"g{i}_{j}"), "sum"))
+    row = wide_agg(x, aggs)
     g = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):

@@ -26,7 +26,7 @@ from varkit.functions.columns import (
 )
 from varkit.functions.distributions import chi2_sf, f_sf
 from varkit.operators.rank import select_positions
-from varkit.operators.summary import Scratch
+from varkit.operators.summary import Scratch, wide_agg
 
 DEFAULT_PERCENTILES = (.01, .05, .1, .5, .9, .95, .99)
 DEFAULT_CV = (2, 3)
@@ -81,24 +81,41 @@ def distinct_values(long: DataFrame, keys: Sequence[str], value: str) -> DataFra
 
 
 def _wide_stats(df: DataFrame, num: list[str], cat: list[str],
-                approx_percentiles: Sequence[float] | None = None, accuracy: int = 10_000) -> dict:
+                approx_percentiles: Sequence[float] | None = None, accuracy: int = 10_000,
+                dv_y: Column | None = None) -> dict:
     """One pass, no reshaping: per-column moments for numerics, non-null counts
     for categoricals, and the row count.  A global aggregate (partial per
     partition), one small row back.  With ``approx_percentiles`` the
     percentiles and distinct counts come from mergeable sketches in the same
     pass (``percentile_approx``, ``approx_count_distinct``)."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs = [(F.count(F.lit(1)).alias("_n"), "count")]
     for i, c in enumerate(num):
         x = numeric_value(df, c)
-        aggs += [F.count(x).alias(f"c{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.skewness(x).alias(f"k{i}"), F.kurtosis(x).alias(f"u{i}"),
-                 F.avg(x).alias(f"a{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}")]
+        aggs += [(F.count(x).alias(f"c{i}"), "count"), (F.stddev_samp(x).alias(f"s{i}"), "stddev"),
+                 (F.skewness(x).alias(f"k{i}"), "skewness"), (F.kurtosis(x).alias(f"u{i}"), "kurtosis"),
+                 (F.avg(x).alias(f"a{i}"), "avg"), (F.min(x).alias(f"l{i}"), "min"),
+                 (F.max(x).alias(f"h{i}"), "max")]
         if approx_percentiles is not None:
-            aggs += [F.percentile_approx(x, [float(p) for p in approx_percentiles], accuracy).alias(f"p{i}"),
-                     F.approx_count_distinct(x, rsd=0.01).alias(f"d{i}")]
+            aggs += [(F.percentile_approx(x, [float(p) for p in approx_percentiles], accuracy).alias(f"p{i}"),
+                      "sketch"),
+                     (F.approx_count_distinct(x, rsd=0.01).alias(f"d{i}"), "hll")]
+    if dv_y is not None:
+        aggs += _pair_aggs(df, num, dv_y)
     for i, c in enumerate(cat):
-        aggs.append(F.count(category_value(df, c)).alias(f"q{i}"))
-    return df.agg(*aggs).collect()[0].asDict()
+        aggs.append((F.count(category_value(df, c)).alias(f"q{i}"), "count"))
+    return wide_agg(df, aggs)
+
+
+def _pair_aggs(df: DataFrame, num: list[str], y: Column) -> list[tuple]:
+    """Pairwise-complete moments of every numeric column with y (for Pearson r)."""
+    aggs = []
+    for i, c in enumerate(num):
+        x = numeric_value(df, c)
+        both = x.isNotNull() & y.isNotNull()
+        xm, ym = F.when(both, x), F.when(both, y)
+        aggs += [(F.count(xm).alias(f"an{i}"), "count"), (F.covar_samp(xm, ym).alias(f"ac{i}"), "covar"),
+                 (F.stddev_samp(xm).alias(f"asx{i}"), "stddev"), (F.stddev_samp(ym).alias(f"asy{i}"), "stddev")]
+    return aggs
 
 
 _NUM_STATS_SCHEMA = ("variable string, count long, _n long, std double, skewness double, "
@@ -151,14 +168,26 @@ def _numeric_part(df: DataFrame, num: list[str], percentiles, cv, ws: dict, scra
     return out.withColumn("type", F.lit("numeric"))
 
 
-def _categorical_part(df: DataFrame, cat: list[str], percentiles, ws: dict, scratch: Scratch) -> DataFrame:
+def _categorical_part(df: DataFrame, cat: list[str], percentiles, ws: dict, scratch: Scratch,
+                      dv_y: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Category shares.  Order: frequency ascending, then category ascending,
-    NULL last among equal frequencies (a fixed rule for the tie order)."""
+    NULL last among equal frequencies (a fixed rule for the tie order).
+
+    With ``dv_y`` (a numeric dv) the same grouping also yields the per-category
+    moments of dv for the one-way ANOVA, returned as the second value."""
     spark = df.sparkSession
     stats = spark.createDataFrame([(c, ws[f"q{i}"], ws["_n"]) for i, c in enumerate(cat)],
                                   "variable string, count long, _n long")
-    long = to_long(df, cat, kind="categorical")
-    cnt = scratch.keep(long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("c")))
+    if dv_y is None:
+        long = to_long(df, cat, kind="categorical")
+        cnt = scratch.keep(long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("c")))
+        groups = None
+    else:
+        long = to_long(df, cat, kind="categorical", extra={"_y": dv_y})
+        cnt = scratch.keep(long.groupBy("variable", "value").agg(
+            F.count(F.lit(1)).alias("c"), *_group_moment_aggs("_y")))
+        groups = cnt.where(F.col("value").isNotNull() & (F.col("_ng") > 0)).select(
+            "variable", F.col("value").alias("_grp"), "_ng", "_mg", "_ssw")
     uniq = cnt.groupBy("variable").agg(F.count("value").alias("unique"))
     # Frequency levels: one row per distinct count value, at most sqrt(2n) per variable.
     levels = cnt.groupBy("variable", "c").agg(
@@ -200,14 +229,15 @@ def _categorical_part(df: DataFrame, cat: list[str], percentiles, ws: dict, scra
     wide = picked.groupBy("variable").agg(*[
         F.max(F.when(F.col("tag") == t, F.col("value"))).alias(t) for t in tags])
     return (stats.join(uniq, "variable", "left").join(wide, "variable", "left")
-                 .withColumn("type", F.lit("categorical")))
+                 .withColumn("type", F.lit("categorical"))), groups
 
 
 ASSOC_SCHEMA = ("variable string, assoc_kind string, assoc_stat double, assoc_df1 double, "
                 "assoc_df2 double, assoc_value double")
 
 
-def association(df: DataFrame, dv: str, regression: bool, num: list[str], cat: list[str]) -> DataFrame:
+def association(df: DataFrame, dv: str, regression: bool, num: list[str], cat: list[str],
+                ws: dict | None = None, groups: DataFrame | None = None) -> DataFrame:
     """Association of every variable with ``dv``.
 
     Columns ``variable, assoc_kind, assoc_stat, assoc_df1, assoc_df2, assoc_value``:
@@ -227,17 +257,9 @@ def association(df: DataFrame, dv: str, regression: bool, num: list[str], cat: l
     dv_numeric = dv in numerical_categorical_division(df, [dv])[0]
     rows: list[tuple] = []
     if num and (regression or dv_numeric):
-        y = numeric_value(df, dv)
-        aggs = []
+        st = ws if ws is not None and "an0" in ws else wide_agg(df, _pair_aggs(df, num, numeric_value(df, dv)))
         for i, c in enumerate(num):
-            x = numeric_value(df, c)
-            both = x.isNotNull() & y.isNotNull()
-            xm, ym = F.when(both, x), F.when(both, y)
-            aggs += [F.count(xm).alias(f"n{i}"), F.covar_samp(xm, ym).alias(f"c{i}"),
-                     F.stddev_samp(xm).alias(f"sx{i}"), F.stddev_samp(ym).alias(f"sy{i}")]
-        st = df.agg(*aggs).collect()[0]
-        for i, c in enumerate(num):
-            n, cov, sx, sy = st[f"n{i}"], st[f"c{i}"], st[f"sx{i}"], st[f"sy{i}"]
+            n, cov, sx, sy = st[f"an{i}"], st[f"ac{i}"], st[f"asx{i}"], st[f"asy{i}"]
             r = cov / (sx * sy) if None not in (cov, sx, sy) and sx * sy != 0 else None
             if regression:
                 rows.append((c, "pearson_r", r, None, None, r))
@@ -250,7 +272,9 @@ def association(df: DataFrame, dv: str, regression: bool, num: list[str], cat: l
         pair = long.where(F.col("value").isNotNull() & F.col("_y").isNotNull())
         rows += _anova(pair, "variable", "_y", "value", "f_p")
     if cat:
-        if regression:
+        if regression and groups is not None:
+            rows += _anova_rows(groups, "variable", "anova_p")
+        elif regression:
             long = to_long(df, cat, kind="categorical", extra={"_y": numeric_value(df, dv)})
             pair = long.where(F.col("value").isNotNull() & F.col("_y").isNotNull())
             rows += _anova(pair, "variable", "value", "_y", "anova_p")
@@ -269,9 +293,18 @@ def _nan_none(v):
 def _anova(pair: DataFrame, var: str, group: str, y: str, kind: str) -> list[tuple]:
     """One-way ANOVA of ``y`` by ``group`` within each ``var``: per-group
     moments (one grouped aggregate), then per-variable sums; one row each."""
-    g = pair.groupBy(var, group).agg(
-        F.count(F.lit(1)).alias("_ng"), F.avg(y).alias("_mg"),
-        (F.coalesce(F.var_samp(y), F.lit(0.0)) * (F.count(F.lit(1)) - 1)).alias("_ssw"))
+    g = pair.groupBy(var, group).agg(*_group_moment_aggs(y))
+    return _anova_rows(g, var, kind)
+
+
+def _group_moment_aggs(y: str) -> list[Column]:
+    """Per-group count, mean and within sum of squares of y (NULL y ignored)."""
+    return [F.count(y).alias("_ng"), F.avg(y).alias("_mg"),
+            (F.coalesce(F.var_samp(y), F.lit(0.0)) * (F.count(y) - 1)).alias("_ssw")]
+
+
+def _anova_rows(g: DataFrame, var: str, kind: str) -> list[tuple]:
+    """F test from per-group moments ``_ng, _mg, _ssw``; one row per ``var``."""
     t = g.groupBy(var).agg(
         F.sum("_ng").alias("_n"), F.count(F.lit(1)).alias("_k"),
         (F.sum(F.col("_ng") * F.col("_mg")) / F.sum("_ng")).alias("_gm"),
@@ -331,13 +364,19 @@ def profile(df: DataFrame, dv: str | None = None, regression: bool = True,
     scratch = Scratch()
     try:
         parts = []
-        ws = _wide_stats(df, num, cat, None if exact else percentile) if (num or cat) else {}
+        dv_numeric = dv is not None and dv in numerical_categorical_division(df, [dv])[0]
+        # a numeric dv rides along in the statistics pass and the category grouping
+        dv_pass = numeric_value(df, dv) if dv_numeric and num else None
+        dv_groups = numeric_value(df, dv) if dv_numeric and regression and cat else None
+        ws = _wide_stats(df, num, cat, None if exact else percentile, dv_y=dv_pass) if (num or cat) else {}
         if num and exact:
             parts.append(_numeric_part(df, num, percentile, cv, ws, scratch))
         elif num:
             parts.append(_numeric_part_approx(df, num, percentile, cv, ws))
+        groups = None
         if cat:
-            parts.append(_categorical_part(df, cat, percentile, ws, scratch))
+            cat_part, groups = _categorical_part(df, cat, percentile, ws, scratch, dv_y=dv_groups)
+            parts.append(cat_part)
         if not parts:
             raise ValueError("no columns to profile")
         out = parts[0]
@@ -353,7 +392,7 @@ def profile(df: DataFrame, dv: str | None = None, regression: bool = True,
         out = out.withColumn("ord", variable_order(num + cat)[F.col("variable")])
         columns = columns + ["ord"]
         if dv is not None:
-            assoc = association(df, dv, regression, num, cat)
+            assoc = association(df, dv, regression, num, cat, ws=ws, groups=groups)
             out = out.join(assoc, "variable", "left")
             columns += ["assoc_kind", "assoc_stat", "assoc_df1", "assoc_df2", "assoc_value"]
         return scratch.finish(out.select(*[qcol(c) for c in columns]))

@@ -18,6 +18,8 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "16g")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+             # keep wide one-pass aggregates (many variables at once) in generated code
+             .config("spark.sql.codegen.maxFields", "1000")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
