@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 from varkit.functions.columns import qcol
 from varkit.functions.search import with_count_less
 
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 8192
 # Cap on the buckets of all over-size groups together (the bucket size grows
 # past it) and sampled values per bucket: together they bound what the driver
