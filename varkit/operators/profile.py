@@ -42,7 +42,8 @@ def exact_percentiles(long: DataFrame, keys: Sequence[str], value: str,
                       percentiles: Sequence[float], *, count_col: str = "_cnt",
                       counts: DataFrame | None = None,
                       max_group_rows: int | None = None,
-                      dist: DataFrame | None = None) -> DataFrame:
+                      dist: DataFrame | None = None,
+                      group_rows: dict | None = None) -> DataFrame:
     """Exact percentiles (numpy 'linear') of ``value`` per ``keys``.
 
     Returns ``(*keys, _pi, _pv)``: percentile index and value.  NULL values are
@@ -66,7 +67,8 @@ def exact_percentiles(long: DataFrame, keys: Sequence[str], value: str,
                               (h - lo).alias("_frac")))
     targets = (counts.where(F.col(count_col) > 0)
                .select(*keys, F.explode(F.array(*items)).alias("_t")).select(*keys, "_t.*"))
-    sel = select_positions(dist, keys, value, "_w", targets, pos="_pos", max_group_rows=max_group_rows)
+    sel = select_positions(dist, keys, value, "_w", targets, pos="_pos", max_group_rows=max_group_rows,
+                           group_rows=group_rows)
     pv = sel.groupBy(*keys, "_pi").agg(
         F.max(F.when(F.col("_side") == 0, qcol(value))).alias("_a"),
         F.max(F.when(F.col("_side") == 1, qcol(value))).alias("_b"),
@@ -155,7 +157,8 @@ def _numeric_part(df: DataFrame, num: list[str], percentiles, cv, ws: dict, scra
     biggest = max([r[1] for r in rows] + [0])
     dist = scratch.keep(distinct_values(long, ["variable"], "value"))
     pcts = exact_percentiles(long, ["variable"], "value", percentiles, counts=counts,
-                             max_group_rows=biggest, dist=dist)
+                             max_group_rows=biggest, dist=dist,
+                             group_rows={(r[0],): r[1] for r in rows})
     uniq = dist.groupBy("variable").agg(F.count(F.lit(1)).alias("unique"))
     wide = pcts.groupBy("variable").agg(*[
         F.max(F.when(F.col("_pi") == i, F.col("_pv"))).alias(pct_name(p))

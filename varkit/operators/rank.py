@@ -64,7 +64,8 @@ def _with_group(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str
 
 def _range_buckets(df: DataFrame, keys: list[str], value: str,
                    rows_per_bucket: int, max_buckets: int,
-                   max_group_rows: int | None = None) -> tuple[DataFrame, bool]:
+                   max_group_rows: int | None = None,
+                   group_rows: dict | None = None) -> tuple[DataFrame, bool]:
     """Add column ``_rb`` (range bucket within the group, monotone in value);
     the flag says whether any group needed more than one bucket.
 
@@ -81,20 +82,29 @@ def _range_buckets(df: DataFrame, keys: list[str], value: str,
     rows_per_bucket = int(spark.conf.get(CONF_ROWS_PER_BUCKET, str(rows_per_bucket)))
     if max_group_rows is not None and max_group_rows <= rows_per_bucket:
         return df.withColumn(_RB, F.lit(0)), False
-    sizes = df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    over = sizes.where(F.col("_n") > rows_per_bucket).agg(
-        F.count(F.lit(1)).alias("g"), F.sum("_n").alias("rows")).collect()[0]
-    if not over["g"]:
-        return df.withColumn(_RB, F.lit(0)), False
-    if over["rows"] / rows_per_bucket + over["g"] > MAX_TOTAL_BUCKETS:
-        rows_per_bucket = int(math.ceil(over["rows"] / max(1, MAX_TOTAL_BUCKETS - over["g"])))
-    big = sizes.where(F.col("_n") > rows_per_bucket).collect()
+    if group_rows is not None:
+        # the caller knows (an upper bound of) every group's rows: no counting job
+        over_g = [n for n in group_rows.values() if n > rows_per_bucket]
+        if not over_g:
+            return df.withColumn(_RB, F.lit(0)), False
+        if sum(over_g) / rows_per_bucket + len(over_g) > MAX_TOTAL_BUCKETS:
+            rows_per_bucket = int(math.ceil(sum(over_g) / max(1, MAX_TOTAL_BUCKETS - len(over_g))))
+        big = [(k, n) for k, n in group_rows.items() if n > rows_per_bucket]
+    else:
+        sizes = df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+        over = sizes.where(F.col("_n") > rows_per_bucket).agg(
+            F.count(F.lit(1)).alias("g"), F.sum("_n").alias("rows")).collect()[0]
+        if not over["g"]:
+            return df.withColumn(_RB, F.lit(0)), False
+        if over["rows"] / rows_per_bucket + over["g"] > MAX_TOTAL_BUCKETS:
+            rows_per_bucket = int(math.ceil(over["rows"] / max(1, MAX_TOTAL_BUCKETS - over["g"])))
+        big = [(tuple(r[k] for k in keys), r["_n"])
+               for r in sizes.where(F.col("_n") > rows_per_bucket).collect()]
     if not big:
         return df.withColumn(_RB, F.lit(0)), False
     key_fields = [df.schema[k] for k in keys]
     vtype = df.schema[value].dataType
-    nbs = {tuple(r[k] for k in keys): (r["_n"], int(min(max_buckets, math.ceil(r["_n"] / rows_per_bucket))))
-           for r in big}
+    nbs = {k: (n, int(min(max_buckets, math.ceil(n / rows_per_bucket)))) for k, n in big}
     rows = _sampled_bounds(df, keys, value, nbs)
     size = max(nb for _, nb in nbs.values())
     # The boundaries are a small summary; pinning them as a driver-built table
@@ -161,14 +171,16 @@ def select_positions(dist: DataFrame, keys: Sequence[str], value: str, weight: s
                      targets: DataFrame, *, pos: str = "_pos",
                      rows_per_bucket: int = ROWS_PER_BUCKET,
                      max_buckets: int = MAX_BUCKETS,
-                     max_group_rows: int | None = None) -> DataFrame:
+                     max_group_rows: int | None = None,
+                     group_rows: dict | None = None) -> DataFrame:
     """Order statistics: for each target row, the ``value`` at 0-based position ``pos``.
 
     ``dist`` has one row per (keys, value) with an optional ``weight`` (a row
     stands for ``weight`` equal values).  ``targets`` is a small table
     ``(*keys, pos, ...)``; the result is ``targets`` plus ``value``, ``_before``
     (weight of smaller values) and ``_w`` for the row that holds the position.
-    Targets outside ``[0, total)`` get no row.
+    Targets outside ``[0, total)`` get no row.  ``group_rows`` maps each group's
+    key tuple to (an upper bound of) its row count when the caller knows it.
     """
     keys = list(keys)
     had_keys = bool(keys)
@@ -178,7 +190,8 @@ def select_positions(dist: DataFrame, keys: Sequence[str], value: str, weight: s
     wcol = qcol(weight) if weight else F.lit(1)
     base = dist.select(*[qcol(k) for k in keys], qcol(value).alias("_val"),
                        wcol.cast("long").alias("_w"))
-    rb, bucketed = _range_buckets(base, keys, "_val", rows_per_bucket, max_buckets, max_group_rows)
+    rb, bucketed = _range_buckets(base, keys, "_val", rows_per_bucket, max_buckets, max_group_rows,
+                                  group_rows if had_keys else None)
     if not bucketed:
         # every group fits one task: a plain window per group, no bucket offsets
         win = Window.partitionBy(*[qcol(k) for k in keys]).orderBy("_val").rowsBetween(

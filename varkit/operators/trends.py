@@ -99,7 +99,8 @@ def numeric_trends(df: DataFrame, numericals: Sequence[str], label: str, buckets
             tg = spark.createDataFrame(targets, "variable string, _side string, _pos long")
             hint = max(r["n_dist"] for r in summary)
             for t in select_positions(nn.select("variable", "value", "_w"), ["variable"], "value", "_w",
-                                      tg, pos="_pos", max_group_rows=hint).collect():
+                                      tg, pos="_pos", max_group_rows=hint,
+                                      group_rows={(r["variable"],): r["n_dist"] for r in summary}).collect():
                 thr.setdefault((t["variable"], t["_side"]), []).append(t["value"])
         meta_rows = []
         for v, (neg, pos) in params.items():
