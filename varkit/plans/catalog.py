@@ -740,3 +740,21 @@ def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _doc_features(spark, sf_dir)
     model = fit_gbt(df, DOC_FEATURES, "quality", **GBT_SMALL)
     return feature_importance(spark, model, DOC_FEATURES)
+
+
+@register("vif_reduction")
+def q_vif_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Iterative uncentred-VIF reduction over the derived lineitem variables (rows-only check;
+    the per-round VIF is checked by ``vif``)."""
+    from varkit.operators.reduce import vif_reduction
+    dropped = vif_reduction(_red_frame(spark, sf_dir), limit=2.5)
+    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(dropped)], "step int, variable string")
+
+
+@register("vif_reduction_corr")
+def q_vif_reduction_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collinear columns first, then centred-VIF reduction (rows-only check; the centred VIF
+    is checked by ``vif_corr``)."""
+    from varkit.operators.reduce import vif_reduction_corr
+    dropped = vif_reduction_corr(_red_frame(spark, sf_dir), limit=2.5)
+    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(dropped)], "step int, variable string")
