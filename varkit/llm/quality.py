@@ -78,7 +78,7 @@ def _repeat_words(words: Column) -> Column:
         return F.aggregate(steps, F.lit(5).cast("long"), lambda total, x: total + x)
 
     def count(w):
-        keyed = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        keyed = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return (F.when(F.size(F.array_distinct(w)) == F.size(w), zero)
                 .otherwise(_bind(_bind(keyed, positions), covered)))
 
@@ -112,8 +112,7 @@ def class_counts(text: Column) -> Column:
         if i == len(patterns):
             return F.array(length)
         after = F.regexp_replace(left, patterns[i], "")
-        return _bind(F.struct(after.alias("t"), F.length(after).alias("n")),
-                     lambda x: F.concat(F.array(length - x["n"]), rest(x["t"], x["n"], i + 1)))
+        return _bind(after, lambda t: _bind(F.length(t), lambda n: F.concat(F.array(length - n), rest(t, n, i + 1))))
 
     return rest(text, F.length(text), 0)
 
@@ -162,11 +161,11 @@ def _doubles(a: Column) -> Column:
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per language: summed class counts and common-word counts of its reference text."""
     d = docs.select(text_or_empty(text_col).alias("t"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    d = d.select("lang", "t", class_counts(F.col("t")).alias("c"))
-    d = d.where((F.col("c")[5] * REFERENCE_SYMBOLS <= F.length("t")) & (F.col("c")[1] * REFERENCE_CAPITALS <= F.length("t")))
-    d = d.select("lang", "c", word_counts(F.col("t"), F.col("lang")).alias("w"))
+    d = d.select("lang", F.length("t").alias("n"), class_counts(F.col("t")).alias("c"), word_counts(F.col("t"), F.col("lang")).alias("w"))
+    reads = (F.col("c")[5] * REFERENCE_SYMBOLS <= F.col("n")) & (F.col("c")[1] * REFERENCE_CAPITALS <= F.col("n"))
     size = len(next(iter(COMMON_WORDS.values()))) + 1
-    sums = lambda a, n: F.array(*[F.sum(F.col(a)[i].cast("long")).cast("double") for i in range(n)])
+    # conditional sums: a filter would be pushed below the projection and compute "c" twice
+    sums = lambda a, n: F.array(*[F.sum(F.when(reads, F.col(a)[i]).cast("long")).cast("double") for i in range(n)])
     return (d.groupBy("lang").agg(sums("c", len(CLASSES)).alias("c"), sums("w", size).alias("w"))
             .select(F.col("lang").alias("_lang"), F.col("c").alias("_class_reference"),
                     F.when(F.col("w")[0].isNotNull(), F.col("w")).alias("_word_reference")))
