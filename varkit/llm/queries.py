@@ -114,3 +114,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.llm.url_filter import judge_urls, unstable_urls
     pages = table(spark, sf_dir, "pages")
     return judge_urls(pages, unstable_urls(pages)).select("page_id", "host", "path", "rule", "is_listed", "verdict")
+
+
+# ------------------------------------------------------------------ 7 mixing
+@register("op7_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.llm.mixing import mix, taken_words
+    return taken_words(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
