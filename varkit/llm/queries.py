@@ -121,3 +121,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.llm.mixing import mix, taken_words
     return taken_words(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# ------------------------------------------------------------------ 9 WARC
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, upper(sha1(b)) AS hex FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM h),
+bits AS (SELECT *, list_transform(range(0, 8), lambda g: ('0x' || substr(hex, CAST(g * 5 + 1 AS INTEGER), 5))::BIGINT) AS v FROM f)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> 15) & 31 AS INTEGER) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> 10) & 31 AS INTEGER) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> 5) & 31 AS INTEGER) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(x & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits
+"""
+
+
+@register("op9_warc", WARC_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.llm.common import scratch
+    from varkit.llm.warc import read_archives, write_archives
+    path = scratch(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path)
+
+
+# ------------------------------------------------------------------ 5 BPE
+def byte_bpe_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op5_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.llm.bpe import encode_documents
+    return encode_documents(table(spark, sf_dir, "documents"), byte_bpe_path(), with_ids=False)
