@@ -159,3 +159,10 @@ def byte_bpe_path() -> str:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.llm.bpe import encode_documents
     return encode_documents(table(spark, sf_dir, "documents"), byte_bpe_path(), with_ids=False)
+
+
+# ------------------------------------------------------------------ 8 n-gram Jaccard join
+@register("op8_jaccard")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.llm.jaccard import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
