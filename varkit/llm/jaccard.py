@@ -340,3 +340,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nameless = rows.where("id IS NULL").mapInPandas(sets_of, "id long, n long, shingles array<long>").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nameless)
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id
+    stays, unchanged.  Rows without words or without an id are in no group and stay.  Of rows that
+    share an id that stays, one is kept (the smallest by text hash)."""
+    from varkit.llm.url_filter import bloom_blocks, probe
+    groups = stored(near_duplicates(docs, id_col, text_col, percent, words), "groups").where("n_shingles > 0").toDF("_id", "_n", "_c")
+    repeated = groups.groupBy("_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("_c") <> F.col("_id")).alias("_gone"))
+    touched = stored(repeated.where("_gone OR _rows > 1"), "touched")
+    blocks = max(1, min(65536, -(-touched.count() * 16 // 512)))
+    # few rows pass the filter; the others stay where they are, so their texts aren't shuffled
+    probed = probe(docs.withColumn("_key", F.col(f"`{id_col}`").cast("long")), "_key", bloom_blocks(touched, "_id", blocks), blocks)
+    calm = probed.where("NOT _maybe")
+    met = probed.where("_maybe").join(touched, F.col("_key") == F.col("_id"), "left").where("_gone IS NULL OR NOT _gone")
+    text = text_or_empty(text_col)
+    order = Window.partitionBy("_key").orderBy(F.xxhash64(text))
+    has_words = text.rlike(r"[^\x20\x09-\x0D]")
+    first = met.where("_rows > 1").withColumn("_has", has_words).where("_has").withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    rest = met.where(F.coalesce(F.col("_rows"), F.lit(1)) == 1)
+    bare = met.where(F.col("_rows") > 1).where(~has_words)
+    keep = [F.col(f"`{c}`") for c in docs.columns]
+    return calm.select(*keep).unionByName(rest.select(*keep)).unionByName(first.select(*keep)).unionByName(bare.select(*keep))

@@ -166,3 +166,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.llm.jaccard import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+# ------------------------------------------------------------------ 3 HTML extraction
+@register("op3_html")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.llm.sitetree import extract
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+# ------------------------------------------------------------------ 4 nearest neighbours
+@register("op4_nearest")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.llm.nearest import search
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 50 = 0")).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
