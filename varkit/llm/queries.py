@@ -181,3 +181,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.llm.nearest import search
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where("vec_id % 50 = 0")).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+# ------------------------------------------------------------------ 2 token-id files
+@register("op2_token_files")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from varkit.llm.common import scratch
+    from varkit.llm.token_files import read_documents, write_token_files
+    tokenizer, path = public_tokenizers.path("word_bpe_49k.json"), scratch(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer)
+    size = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
+    return read_documents(spark, path, size).withColumnRenamed("id", "doc_id")
