@@ -11,8 +11,8 @@ from importlib import import_module
 
 from pyspark import cloudpickle as _cloudpickle
 
-# Ship the package's Python helpers (the few pandas UDFs) to executors by value,
-# so Python workers need no installed copy of this package.
+# The one-scan moment sums run Python on the executors; it travels by value, so Python
+# workers need no installed copy of this package.
 _cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _EXPORTS = {

@@ -59,12 +59,12 @@ def roles_from_header(header) -> dict[str, str]:
 
 def split_roles(roles: Mapping[str, str]) -> tuple[list[str], list[str], str]:
     """Numeric columns, categorical columns and the label (first 'L' wins)."""
-    numericals = [c for c, r in roles.items() if r == "N"]
-    categoricals = [c for c, r in roles.items() if r == "C"]
-    labels = [c for c, r in roles.items() if r == "L"]
-    if not labels:
+    by_mark: dict[str, list[str]] = {"N": [], "C": [], "L": []}
+    for column, mark in roles.items():
+        by_mark.setdefault(mark, []).append(column)
+    if not by_mark["L"]:
         raise ValueError("roles declare no label column ('L')")
-    return numericals, categoricals, labels[0]
+    return by_mark["N"], by_mark["C"], by_mark["L"][0]
 
 
 def qcol(name: str) -> Column:

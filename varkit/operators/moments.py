@@ -1,25 +1,25 @@
-"""Moment matrices in one pass: pairwise correlations and the Gram matrix.
+"""Moment matrices in one scan: pairwise correlations and the Gram matrix, for any number of columns.
 
-Both are single aggregate jobs over the table (partial aggregation on every
-partition, a k x k result on the driver).  Up to ``WIDE`` columns the sums are
-plain SQL aggregates; wider inputs use Spark ML's ``Correlation`` and
-``Summarizer`` over an assembled vector column (JVM, one pass), which needs
-complete rows.
+Each partition sums products of its rows, shifted by the mean of its first batch, as matrix products
+over Arrow batches: counts, sums, squares and cross products per pair of columns, with missing
+values masked, so pairwise-complete moments need no pass of their own.  Partial
+results are merged in groups of ``FAN_IN`` until few enough are left for the driver.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 from typing import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varkit.functions.columns import numeric_value, numerical_categorical_division
-from varkit.operators.summary import wide_agg
 
-WIDE = 40
+FAN_IN = 32
 
 
 def _numeric_cols(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
@@ -32,83 +32,92 @@ def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return x.dropna()
 
 
+def _merge(parts: list[np.ndarray]) -> np.ndarray:
+    """Sums of two or more partial results, shifted to the centre of the first.  A partial result is
+    [centre, N, S, Q, P]: per pair (i, j), over rows that have both, the number of rows and the
+    sums of x_i, x_i^2 and x_i x_j."""
+    total = parts[0].copy()
+    for p in parts[1:]:
+        d = p[0, 0] - total[0, 0]
+        n, s, q, c = p[1], p[2], p[3], p[4]
+        total[1] += n
+        total[2] += s + n * d[:, None]
+        total[3] += q + 2 * s * d[:, None] + n * (d * d)[:, None]
+        total[4] += c + s * d[None, :] + s.T * d[:, None] + n * np.outer(d, d)
+    return total
+
+
+def _pack(parts: list[np.ndarray], group: int) -> pd.DataFrame:
+    return pd.DataFrame({"g": [group] * bool(parts), "m": [_merge(parts).tobytes()] * bool(parts)})
+
+
+def pair_sums(x: DataFrame, centred: bool = True) -> np.ndarray | None:
+    """The merged result of ``_merge`` over all rows of ``x`` (double columns); None without rows."""
+    k, names = len(x.columns), list(x.columns)
+
+    def scan(batches):
+        from pyspark import TaskContext
+        total = None
+        for b in batches:
+            v = b[names].to_numpy(np.float64, na_value=np.nan)
+            if not len(v):
+                continue
+            have = ~np.isnan(v)
+            centre = np.zeros(k)
+            if centred:
+                centre = np.where(have.any(0), np.where(have, v, 0).sum(0) / np.maximum(have.sum(0), 1), 0.0)
+                if total is not None:
+                    centre = total[0, 0]
+            u, m = np.where(have, v - centre, 0.0), have.astype(np.float64)
+            part = np.stack([np.tile(centre, (k, 1)), m.T @ m, u.T @ m, (u * u).T @ m, u.T @ u])
+            total = part if total is None else _merge([total, part])
+        if total is not None:
+            yield _pack([total], TaskContext.get().partitionId())
+
+    def fold(group):
+        parts = [np.frombuffer(m, np.float64).reshape(5, k, k) for m in group["m"]]
+        return _pack(parts, int(group["g"].iloc[0]) // FAN_IN)
+
+    rows = x.mapInPandas(scan, "g int, m binary")
+    parts = x.rdd.getNumPartitions() if x.columns else 1
+    for _ in range(max(0, math.ceil(math.log(max(parts, 1), FAN_IN)) - 1)):
+        rows = rows.groupBy(F.floor(F.col("g") / FAN_IN)).applyInPandas(fold, "g int, m binary")
+    found = [np.frombuffer(r.m, np.float64).reshape(5, k, k) for r in rows.orderBy("g").collect()]
+    return _merge(found) if found else None
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None,
                        complete: bool = False) -> tuple[list[str], np.ndarray]:
-    """Pearson correlations.  ``complete=False``: each pair over the rows where both
-    are present (pairwise complete); ``complete=True``: over rows with no NULL.
-    A constant column gives NaN correlations."""
+    """Pearson correlations.  ``complete=False``: each pair over the rows where both are present
+    (pairwise complete); ``complete=True``: over rows with no NULL.  A column constant on the shared
+    rows gives NaN."""
     cols = _numeric_cols(df, cols)
     k = len(cols)
-    if complete:
-        x = complete_rows(df, cols)
-    else:
-        x = df.select(*[numeric_value(df, c).alias(f"_x{i}") for i, c in enumerate(cols)])
-    out = np.eye(k)
     if k < 2:
+        return cols, np.eye(k)
+    x = complete_rows(df, cols) if complete else df.select(*[numeric_value(df, c).alias(f"_x{i}") for i, c in enumerate(cols)])
+    sums = pair_sums(x)
+    out = np.full((k, k), np.nan)
+    if sums is None:
         return cols, out
-    if complete and k > WIDE:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        vec = VectorAssembler(inputCols=list(x.columns), outputCol="_v").transform(x).select("_v")
-        m = Correlation.corr(vec, "_v").collect()[0][0].toArray()
-        return cols, m
-    # cheap first pass: which columns vary at all (built-in corr divides by zero otherwise)
-    sd = wide_agg(x, [(F.stddev_samp(f"_x{i}").alias(f"s{i}"), "stddev") for i in range(k)])
-    varies = [sd[f"s{i}"] is not None and sd[f"s{i}"] > 0 for i in range(k)]
-    pairs = [(i, j) for i, j in combinations(range(k), 2) if varies[i] and varies[j]]
-    for i, j in combinations(range(k), 2):
-        out[i, j] = out[j, i] = np.nan
-    for i in range(k):
-        if not varies[i]:
-            out[i, i] = np.nan
-    if not pairs:
-        return cols, out
-    # passes sized to the session's code-generation field limit (see wide_agg)
-    try:
-        row = wide_agg(x, [(F.corr(f"_x{i}", f"_x{j}").alias(f"r{i}_{j}"), "corr") for i, j in pairs])
-    except Exception:  # noqa: BLE001  (a column constant on the rows shared with another)
-        aggs = []
-        for i, j in pairs:
-            a, b = F.col(f"_x{i}"), F.col(f"_x{j}")
-            both = a.isNotNull() & b.isNotNull()
-            a, b = F.when(both, a), F.when(both, b)
-            aggs.append((F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
-                         .alias(f"r{i}_{j}"), "corr"))
-        row = wide_agg(x, aggs)
-    for i, j in pairs:
-        v = row[f"r{i}_{j}"]
-        out[i, j] = out[j, i] = np.nan if v is None else v
+    centre, n, s, q, p = sums
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = q - s * s / n                                 # of x_i over the rows shared with x_j
+        floor = 1e-24 * n * (centre[0] ** 2)[:, None]          # what rounding leaves of a constant
+        spread = np.where(spread > floor, spread, np.nan)
+        out = (p - s * s.T / n) / np.sqrt(spread * spread.T)
+    out = np.clip(out, -1.0, 1.0)
+    np.fill_diagonal(out, np.where(np.isnan(np.diag(spread)), np.nan, 1.0))
     return cols, out
 
 
 def gram_matrix(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray]:
     """Uncentred cross-product matrix X'X over complete rows, and the row count."""
     cols = list(cols)
-    k = len(cols)
-    x = complete_rows(df, cols)
-    if k > WIDE:
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation, Summarizer
-        vec = VectorAssembler(inputCols=list(x.columns), outputCol="_v").transform(x).select("_v")
-        s = vec.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).collect()[0]["s"]
-        n = int(s["count"])
-        mu = s["mean"].toArray()
-        sd = np.sqrt(s["variance"].toArray())
-        r = Correlation.corr(vec, "_v").collect()[0][0].toArray()
-        r = np.nan_to_num(r)
-        cov = r * np.outer(sd, sd)
-        return n, (n - 1) * cov + n * np.outer(mu, mu)
-    aggs = [(F.count(F.lit(1)).alias("_n"), "count")]
-    for i in range(k):
-        for j in range(i, k):
-            aggs.append((F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"g{i}_{j}"), "sum"))
-    row = wide_agg(x, aggs)
-    g = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            v = row[f"g{i}_{j}"]
-            g[i, j] = g[j, i] = 0.0 if v is None else v
-    return int(row["_n"]), g
+    sums = pair_sums(complete_rows(df, cols), centred=False)
+    if sums is None:
+        return 0, np.zeros((len(cols), len(cols)))
+    return int(sums[1, 0, 0]), sums[4]
 
 
 def long_pairs(spark, cols: list[str], m: np.ndarray):

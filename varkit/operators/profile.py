@@ -18,6 +18,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from varkit.functions.columns import (
@@ -134,7 +135,7 @@ def _numeric_part_approx(df: DataFrame, num: list[str], percentiles, cv, ws: dic
         pv = ws[f"p{i}"] or [None] * len(percentiles)
         rows.append((c, ws[f"c{i}"], ws["_n"], ws[f"s{i}"], ws[f"k{i}"],
                      None if ku is None else ku + 3.0, ws[f"a{i}"], ws[f"l{i}"], ws[f"h{i}"],
-                     int(ws[f"d{i}"])) + tuple(None if v is None else float(v) for v in pv))
+                     int(ws[f"d{i}"] or 0)) + tuple(None if v is None else float(v) for v in pv))
     schema = _NUM_STATS_SCHEMA + ", unique long, " + ", ".join(f"`{n}` double" for n in names)
     out = spark.createDataFrame(rows, schema)
     for dev in cv:
@@ -144,6 +145,18 @@ def _numeric_part_approx(df: DataFrame, num: list[str], percentiles, cv, ws: dic
     return out.withColumn("type", F.lit("numeric"))
 
 
+def _unique_counts(df: DataFrame, num: list[str], dist: DataFrame) -> DataFrame:
+    """(variable, unique) by native value.  Doubles tell apart all values of the narrower types; 64-bit
+    integers and decimals are counted as they are, by their exact string form."""
+    wide = [c for c in num if isinstance(df.schema[c].dataType, (T.LongType, T.DecimalType))]
+    out = dist.groupBy("variable").agg(F.count(F.lit(1)).alias("unique"))
+    if not wide:
+        return out
+    exact = to_long(df, wide, kind="categorical").where(F.col("value").isNotNull()).distinct()
+    exact = exact.groupBy("variable").agg(F.count(F.lit(1)).alias("unique"))
+    return out.where(~F.col("variable").isin(wide)).unionByName(exact)
+
+
 def _numeric_part(df: DataFrame, num: list[str], percentiles, cv, ws: dict, scratch: Scratch) -> DataFrame:
     spark = df.sparkSession
     rows = []
@@ -159,11 +172,12 @@ def _numeric_part(df: DataFrame, num: list[str], percentiles, cv, ws: dict, scra
     pcts = exact_percentiles(long, ["variable"], "value", percentiles, counts=counts,
                              max_group_rows=biggest, dist=dist,
                              group_rows={(r[0],): r[1] for r in rows})
-    uniq = dist.groupBy("variable").agg(F.count(F.lit(1)).alias("unique"))
+    uniq = _unique_counts(df, num, dist)
     wide = pcts.groupBy("variable").agg(*[
         F.max(F.when(F.col("_pi") == i, F.col("_pv"))).alias(pct_name(p))
         for i, p in enumerate(percentiles)])
     out = stats.join(uniq, "variable", "left").join(wide, "variable", "left")
+    out = out.withColumn("unique", F.coalesce("unique", F.lit(0).cast("long")))
     for dev in cv:
         lo, hi = sigma_names(dev)
         out = out.withColumn(lo, F.col("mean") - F.lit(float(dev)) * F.col("std"))
@@ -331,7 +345,7 @@ def _chi2_uniform(long: DataFrame) -> list[tuple]:
     sum((o-e)^2/e) over all cells = sum(o^2)/e - n with e = n / cells."""
     cells = long.groupBy("variable", "value", "_y").agg(F.count(F.lit(1)).alias("o"))
     t = cells.groupBy("variable").agg(
-        F.sum("o").alias("_n"), F.sum(F.col("o") * F.col("o")).alias("_o2"),
+        F.sum("o").alias("_n"), F.sum(F.col("o").cast("double") * F.col("o")).alias("_o2"),
         F.count_distinct(F.coalesce(F.col("value"), F.lit("\u0000null"))).alias("_a"),
         F.count_distinct(F.coalesce(F.col("_y"), F.lit("\u0000null"))).alias("_b")).collect()
     out = []

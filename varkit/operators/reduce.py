@@ -57,58 +57,67 @@ def clusters_frame(spark, clusters: dict[int, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "cluster long, variable string, member long")
 
 
-def _r2(corr: np.ndarray, y: int, xs: list[int]) -> float:
-    """R^2 of column y regressed on columns xs (with intercept), from correlations."""
-    if not xs:
-        return 0.0
-    rxx = corr[np.ix_(xs, xs)]
-    rxy = corr[xs, y]
-    beta = np.linalg.pinv(rxx) @ rxy
-    return float(rxy @ beta)
+def _unexplained(corr: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """1 - R^2 of every column regressed (with intercept) on the given member columns other than
+    itself, from one factorization of the members' correlations.
+
+    Outside the cluster it is 1 - r' C^-1 r.  For a member it is the reciprocal of its diagonal
+    entry of C^-1, which holds the regression on the remaining members.
+    """
+    block = corr[np.ix_(members, members)]
+    inverse = np.linalg.pinv(block, hermitian=True)
+    across = corr[:, members]
+    left = 1.0 - np.einsum("ij,jk,ik->i", across, inverse, across)
+    diagonal = np.diag(inverse).copy()
+    singular = np.linalg.matrix_rank(block, hermitian=True) < len(members)
+    if singular:
+        for i in range(len(members)):
+            rest = np.delete(members, i)
+            r = corr[rest, members[i]]
+            left[members[i]] = 1.0 - r @ np.linalg.pinv(corr[np.ix_(rest, rest)], hermitian=True) @ r
+    else:
+        left[members] = 1.0 / diagonal
+    return left
 
 
 def varclus_table(df: DataFrame, cutoff: float, cols: Sequence[str] | None = None,
                   maxkeep: int = 1, maxdrop: int | None = None) -> list[dict]:
     """Per column: cluster, R^2 with its own cluster, R^2 with the nearest other
-    cluster, the ratio (1-R2own)/(1-R2next) and whether it is kept."""
-    names, corr = correlation_matrix(df, cols, complete=True)
-    clusters = _components(names, np.nan_to_num(corr), cutoff)
-    idx = {c: i for i, c in enumerate(names)}
-    absr = np.abs(np.nan_to_num(corr))
-
-    def distance(c1, c2):
-        return max(absr[idx[a], idx[b]] for a in clusters[c1] for b in clusters[c2])
+    cluster, the ratio (1-R2own)/(1-R2next) and whether it is kept.
 
-    def next_closest(c):
-        best, point = 0.0, None
-        for c1 in clusters:
-            if c1 == c:
-                continue
-            d = distance(c, c1)
-            if d > best:
-                best, point = d, c1
-        return point
+    Clusters are an integer label per column.  The nearness of two clusters is the largest |r| between them, a
+    masked maximum of the matrix; a cluster without any correlation to others has R2next = 0.
+    """
+    names, corr = correlation_matrix(df, cols, complete=True)
+    corr = np.nan_to_num(corr)
+    at = {name: i for i, name in enumerate(names)}
+    clusters = _components(names, corr, cutoff)
+    members = [np.array([at[c] for c in clusters[label]], int) for label in range(len(clusters))]
+    label = np.empty(len(names), int)
+    for number, m in enumerate(members):
+        label[m] = number
+    strength = np.abs(corr)
+    strength[label[:, None] == label[None, :]] = 0.0
+    to_cluster = np.stack([strength[:, m].max(axis=1) for m in members], axis=1) if members else np.zeros((0, 0))
+    size = np.bincount(label, minlength=len(members))
+    wanted = {int(c) for c in np.flatnonzero(size > 1)}
+    nearest = {c: int(np.argmax(to_cluster[members[c]].max(axis=0))) for c in wanted if to_cluster[members[c]].max() > 0}
+    left = {c: _unexplained(corr, members[c]) for c in wanted | set(nearest.values())}
 
     rows = []
-    for cid, members in clusters.items():
-        if len(members) == 1:
-            rows.append(dict(variable=members[0], cluster=cid, r2_own=None, r2_next=None, ratio=None, kept=True))
+    for number, m in enumerate(members):
+        if size[number] == 1:
+            rows.append(dict(variable=names[m[0]], cluster=number, r2_own=None, r2_next=None, ratio=None, kept=True))
             continue
-        nxt = next_closest(cid)
-        ratios = []
-        for col in members:
-            own = [idx[m] for m in members if m != col]
-            r2_own = _r2(corr, idx[col], own)
-            r2_next = _r2(corr, idx[col], [idx[m] for m in clusters[nxt]]) if nxt is not None else 0.0
-            ratios.append((col, r2_own, r2_next, (1 - r2_own) / (1 - r2_next)))
-        order = sorted(ratios, key=lambda t: t[3])
-        if maxdrop is not None:
-            keep = order[:len(order) - min(maxdrop, len(order))]
-        else:
-            keep = order[:min(maxkeep, len(order))]
-        kept = {t[0] for t in keep}
-        for col, r2o, r2n, ratio in ratios:
-            rows.append(dict(variable=col, cluster=cid, r2_own=r2o, r2_next=r2n, ratio=ratio, kept=col in kept))
+        own = left[number][m]
+        other = left[nearest[number]][m] if number in nearest else np.ones(len(m))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = own / other
+        place = np.empty(len(m), int)
+        place[np.argsort(ratio, kind="stable")] = np.arange(len(m))
+        cut = len(m) - maxdrop if maxdrop is not None else maxkeep
+        rows += [dict(variable=names[i], cluster=number, r2_own=float(1 - a), r2_next=float(1 - b), ratio=float(q), kept=bool(k < cut))
+                 for i, a, b, q, k in zip(m, own, other, ratio, place)]
     return rows
 
 
@@ -136,21 +145,21 @@ def _scaled_inverse(g: np.ndarray) -> np.ndarray:
 def _vif_from_moments(m: np.ndarray, rel_tol: float = 1e-12) -> np.ndarray:
     """1 / (1 - R^2_i) for every column i regressed on the others, from a moment
     matrix (Gram matrix: uncentred R^2, no intercept; correlation matrix:
-    centred).  Equals m_ii * (m^-1)_ii when m is invertible; an exactly
-    collinear column (residual sum of squares ~0) gets infinity."""
+    centred): m_ii * (m^-1)_ii, one inverse for all columns.  Only where the matrix is numerically
+    singular is each column solved for itself; an exactly collinear column gets infinity."""
     k = m.shape[0]
+    if k == 1:
+        return np.ones(1)
     d = np.sqrt(np.diag(m))
     d[d == 0] = 1.0
     s = m / np.outer(d, d)
+    if np.isfinite(s).all() and np.linalg.cond(s) < 1 / rel_tol:
+        return np.diag(np.linalg.inv(s)) * np.diag(s)
     out = np.empty(k)
     for i in range(k):
-        rest = [j for j in range(k) if j != i]
-        if not rest:
-            out[i] = 1.0
-            continue
-        sr = s[np.ix_(rest, rest)]
+        rest = np.delete(np.arange(k), i)
         si = s[rest, i]
-        rss = s[i, i] - si @ np.linalg.pinv(sr) @ si
+        rss = s[i, i] - si @ np.linalg.pinv(s[np.ix_(rest, rest)], hermitian=True) @ si
         out[i] = np.inf if rss <= rel_tol * s[i, i] else s[i, i] / rss
     return out
 
@@ -293,6 +302,8 @@ def backward_selection(df: DataFrame, dv: str, regression: bool = True, alpha: f
     data = df.select(*[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(cols)],
                      F.col(f"`{dv}`").cast("double").alias("_y")).dropna().persist()
     try:
+        if data.where("_y NOT IN (0, 1)").limit(1).count():
+            raise ValueError("the label of a logistic selection must be 0 or 1")
         while len(alive) > 1:
             pvals = logit_pvalues(data, [f"_x{i}" for i in alive], "_y")
             pick = _pick_drop(pvals, alpha)
@@ -305,14 +316,21 @@ def backward_selection(df: DataFrame, dv: str, regression: bool = True, alpha: f
     return dropped
 
 
-def logit_pvalues(data: DataFrame, xcols: list[str], y: str) -> list[float]:
-    """Wald p-values of a logistic regression without intercept (Spark ML GLR)."""
+def logit_pvalues(data: DataFrame, xcols: list[str], y: str, max_iter: int = 100) -> list[float]:
+    """Wald p-values of a logistic regression without intercept (Spark ML GLR).  A singular fit has
+    NaN for every p; a fit that has not converged in ``max_iter`` steps raises, and so does anything else."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
     vec = VectorAssembler(inputCols=xcols, outputCol="_f").transform(data)
     glr = GeneralizedLinearRegression(family="binomial", link="logit", fitIntercept=False,
-                                      featuresCol="_f", labelCol=y, maxIter=50)
+                                      featuresCol="_f", labelCol=y, maxIter=max_iter)
     try:
-        return [float(p) for p in glr.fit(vec).summary.pValues]
-    except Exception:  # noqa: BLE001  (singular fit: treat every p as unknown)
+        summary = glr.fit(vec).summary
+        pvalues = [float(p) for p in summary.pValues]
+    except Exception as e:
+        if "singular" not in str(e).lower():
+            raise
         return [float("nan")] * len(xcols)
+    if summary.numIterations >= max_iter:
+        raise ArithmeticError(f"the logistic fit has not converged in {max_iter} steps")
+    return pvalues

@@ -109,15 +109,17 @@ def gains_table(df: DataFrame, score: str, target: str, snapshot: str, key: str,
 
     ``table``: ``bucket, snapshot, min_prob, max_prob, counts, events``;
     ``bounds``: ``bucket, min_prob, max_prob``.  ``key`` must be unique; it
-    orders rows with equal scores.
+    orders rows with equal scores.  The scores are compared as doubles.
     """
+    # missing scores (NULL, NaN) rank last, below every number, and stay out of min_prob and max_prob
+    p = F.nanvl(qcol(score).cast("double"), F.lit(None).cast("double"))
+    df = df.select(p.alias("_p"), F.coalesce(p, F.lit(float("-inf"))).alias("_rank"), qcol(key).alias("_key"),
+                   qcol(snapshot).alias("snapshot"), qcol(target).alias("_t"))
     n = df.count()
     step = math.ceil(n / n_buckets) if n else 1
     positions = [step * j - 1 for j in range(1, n // step + 1)] if n else []
-    bounds = _boundaries(df, score, key, positions, n)
-    b = decile_bucket(qcol(score), qcol(key), bounds)
-    scored = df.select(b.alias("bucket"), qcol(snapshot).alias("snapshot"),
-                       qcol(score).alias("_p"), qcol(target).alias("_t"))
+    bounds = _boundaries(df, "_rank", "_key", positions, n)
+    scored = df.select(decile_bucket(F.col("_rank"), F.col("_key"), bounds).alias("bucket"), "snapshot", "_p", "_t")
     cells = scored.groupBy("bucket", "snapshot").agg(
         F.min("_p").alias("_mn"), F.max("_p").alias("_mx"),
         F.count(F.lit(1)).alias("counts"), F.sum("_t").alias("events"))

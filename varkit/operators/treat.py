@@ -19,6 +19,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from varkit.functions.columns import qcol
@@ -26,11 +27,19 @@ from varkit.operators.profile import exact_percentiles
 from varkit.operators.rank import with_positions
 
 
+def _is_float(df: DataFrame, s: str) -> bool:
+    return isinstance(df.schema[s].dataType, (T.FloatType, T.DoubleType))
+
+
 def cap_floor(df: DataFrame, s: str, a, b, high: bool = True, low: bool = True) -> DataFrame:
-    """Cap ``s`` at ``a`` (when ``high``), then floor it at ``b`` (when ``low``)."""
+    """Cap ``s`` at ``a`` (when ``high``), then floor it at ``b`` (when ``low``).  NULL and NaN are
+    missing values and stay as they are."""
     c = qcol(s)
     if high:
-        c = F.when(c > F.lit(a), F.lit(a)).otherwise(c)
+        over = c > F.lit(a)
+        if _is_float(df, s):
+            over = over & ~F.isnan(c)
+        c = F.when(over, F.lit(a)).otherwise(c)
     if low:
         c = F.when(c < F.lit(b), F.lit(b)).otherwise(c)
     return df.select(*[c.alias(s) if n == s else qcol(n) for n in df.columns])
@@ -49,15 +58,29 @@ def _suffix(cat) -> str:
     return "null" if cat is None else str(cat)
 
 
+def _free_names(names: list[str], taken: Sequence[str]) -> list[str]:
+    """The names, with ``_2``, ``_3`` ... where one is equal to another but for case (Spark can't tell them apart)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        free, n = name, 1
+        while free.lower() in used:
+            n += 1
+            free = f"{name}_{n}"
+        used.add(free.lower())
+        out.append(free)
+    return out
+
+
 def dummies(df: DataFrame, s: str) -> tuple[DataFrame, list]:
     """One-hot columns ``{s}_dum_{category}`` for all categories but the least
     frequent; returns the new DataFrame and the encoded categories, most
     frequent first."""
     cats = [c for c, _ in category_frequencies(df, s)][:-1]
     cols = [qcol(n) for n in df.columns]
-    for cat in cats:
+    names = _free_names([f"{s}_dum_{_suffix(cat)}" for cat in cats], df.columns)
+    for cat, name in zip(cats, names):
         hit = F.lit(False) if cat is None else (qcol(s) == F.lit(cat))
-        cols.append(F.when(hit, F.lit(1)).otherwise(F.lit(0)).alias(f"{s}_dum_{_suffix(cat)}"))
+        cols.append(F.when(hit, F.lit(1)).otherwise(F.lit(0)).alias(name))
     return df.select(*cols), cats
 
 
@@ -130,12 +153,19 @@ def smooth_tails(df: DataFrame, s: str, key: str, alpha: float = .5,
     The flags are independent.  Rows outside the tails pass through map-only.
     """
     if alpha <= 0 or alpha >= 1:
-        raise ValueError("alpha should be between 0 and 1")
+        raise ValueError(f"smoothing factor alpha must lie strictly inside (0, 1), got {alpha}")
     x = qcol(s)
     spark = df.sparkSession
+    if _is_float(df, s):
+        # NaN is a missing value: such rows pass through and take no part in the percentiles
+        real = df.where(~F.coalesce(F.isnan(x), F.lit(False)))
+        missing = df.where(F.coalesce(F.isnan(x), F.lit(False)))
+    else:
+        real, missing = df, None
+    whole, df = df, real
     n = df.agg(F.count(x)).collect()[0][0]
     if not n:
-        return df
+        return whole
     counts = spark.createDataFrame([(0, int(n))], "_g int, _cnt long")
     pct = exact_percentiles(df.select(x.cast("double").alias("value")).withColumn("_g", F.lit(0)),
                             ["_g"], "value", (.01, .05, .95, .99), counts=counts,
@@ -166,7 +196,7 @@ def smooth_tails(df: DataFrame, s: str, key: str, alpha: float = .5,
         tail = tail.withColumn("_p", F.col("_p") + 1).drop("_neg")
         parts.append(_chain(tail, s, "_p", alpha, seed).select(*cols))
     out = keep
-    for part in parts:
+    for part in parts + [missing] * (missing is not None):
         out = out.unionByName(part)
     return out
 

@@ -460,7 +460,7 @@ def q_smooth_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ----------------------------------------------------------- moments / reduction
-EMB_K = 8
+EMB_K = 64
 
 
 def _emb_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -642,7 +642,7 @@ def _doc_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size(F.split("text", r"\s+")).cast("double").alias("n_words"),
                         F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
                         F.length(F.regexp_replace("text", r"[^0-9]", "")).cast("double").alias("n_digits"))
-    return feats.join(labels, "doc_id")
+    return feats.join(labels, "doc_id", "left")
 
 
 DOC_FEATURES = ["n_chars", "n_words", "n_lines", "n_digits"]
@@ -651,7 +651,7 @@ DOC_FEATURES = ["n_chars", "n_words", "n_lines", "n_digits"]
 @register("backward_logit")
 def q_backward_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.operators.reduce import backward_selection
-    df = _doc_features(spark, sf_dir)
+    df = _doc_features(spark, sf_dir).where("quality IS NOT NULL")
     dropped = backward_selection(df, "quality", regression=False, cols=DOC_FEATURES + ["quality"])
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(dropped)], "step int, variable string")
 
@@ -723,22 +723,24 @@ def q_match_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(match_buckets(table, bounds, test, "event_prob", "target_flag", "snapshot"))
 
 
-GBT_SMALL = dict(maxIter=5, maxDepth=3, minInstancesPerNode=5, seed=7)
+#: The defaults (70 trees of depth 6) but for the smallest leaf, which at 600000 rows needs larger tables than these.
+GBT_LEAF = dict(minInstancesPerNode=5, seed=7)
 
 
 @register("gbt_scores")
 def q_gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.operators.score import fit_gbt, score_event_prob
     df = _doc_features(spark, sf_dir)
-    model = fit_gbt(df, DOC_FEATURES, "quality", **GBT_SMALL)
+    # fitted on the labelled rows, applied to every document
+    model = fit_gbt(df.where("quality IS NOT NULL"), DOC_FEATURES, "quality", **GBT_LEAF)
     return score_event_prob(model, df, keep=["doc_id", "quality"])
 
 
 @register("feature_importance")
 def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.operators.score import feature_importance, fit_gbt
-    df = _doc_features(spark, sf_dir)
-    model = fit_gbt(df, DOC_FEATURES, "quality", **GBT_SMALL)
+    df = _doc_features(spark, sf_dir).where("quality IS NOT NULL")
+    model = fit_gbt(df, DOC_FEATURES, "quality", **GBT_LEAF)
     return feature_importance(spark, model, DOC_FEATURES)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -22,18 +20,4 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
              .config("spark.sql.codegen.maxFields", "1000")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) point it at a fresh scratch folder."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    target = conf or tempfile.mkdtemp(prefix="varkit-ckpt-")
-    sc.setCheckpointDir(target)
-    return sc.getCheckpointDir()
