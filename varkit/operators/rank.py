@@ -197,7 +197,7 @@ def select_positions(dist: DataFrame, keys: Sequence[str], value: str, weight: s
         win = Window.partitionBy(*[qcol(k) for k in keys]).orderBy("_val").rowsBetween(
             Window.unboundedPreceding, -1)
         cand = rb.drop(_RB).withColumn("_before", F.coalesce(F.sum("_w").over(win), F.lit(0)))
-        hit = (F.broadcast(targets).join(cand, keys, "inner")
+        hit = (targets.join(cand, keys, "inner")
                .where((F.col(pos) >= F.col("_before")) & (F.col(pos) < F.col("_before") + F.col("_w"))))
         out = hit.withColumnRenamed("_val", value)
         return out.drop(_GROUP) if not had_keys else out
@@ -206,12 +206,12 @@ def select_positions(dist: DataFrame, keys: Sequence[str], value: str, weight: s
     tb = (targets.join(totals, keys, "inner")
                  .where((F.col(pos) >= F.col("_off")) & (F.col(pos) < F.col("_off") + F.col("_tot"))))
     wanted = tb.select(*keys, _RB, "_off").distinct()
-    cand = rb.join(F.broadcast(wanted), keys + [_RB], "inner")
+    cand = rb.join(wanted, keys + [_RB], "inner")
     win = Window.partitionBy(*[qcol(k) for k in keys], F.col(_RB)).orderBy("_val").rowsBetween(
         Window.unboundedPreceding, -1)
     cand = cand.withColumn("_before",
                            F.col("_off") + F.coalesce(F.sum("_w").over(win), F.lit(0)))
-    hit = (F.broadcast(tb.drop("_tot", "_off"))
+    hit = (tb.drop("_tot", "_off")
            .join(cand.drop("_off"), keys + [_RB], "inner")
            .where((F.col(pos) >= F.col("_before")) & (F.col(pos) < F.col("_before") + F.col("_w"))))
     out = hit.withColumnRenamed("_val", value).drop(_RB)

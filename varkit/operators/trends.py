@@ -29,7 +29,7 @@ from varkit.functions.columns import (
     split_roles, to_long,
 )
 from varkit.functions.search import with_count_less
-from varkit.operators.profile import exact_percentiles
+from varkit.operators.profile import distinct_values, exact_percentiles
 from varkit.operators.rank import select_positions
 from varkit.operators.summary import Scratch
 
@@ -210,44 +210,39 @@ def box_stats(df: DataFrame, dv: str, regression: bool = True, cols: Sequence[st
         long = to_long(df, num, extra={"_g": category_value(df, dv)})
         long = long.select("variable", F.col("_g").alias("group"), F.col("value").alias("x"))
     long = long.where(F.col("group").isNotNull() & F.col("x").isNotNull())
-    q = exact_percentiles(long, ["variable", "group"], "x", (.25, .5, .75))
+    # one weighted row per distinct value serves the quartiles and the whiskers
+    dist = distinct_values(long, ["variable", "group"], "x")
+    q = exact_percentiles(long, ["variable", "group"], "x", (.25, .5, .75), dist=dist)
     qs = q.groupBy("variable", "group").agg(
         *[F.max(F.when(F.col("_pi") == i, F.col("_pv"))).alias(n) for i, n in enumerate(["q1", "median", "q3"])])
     iqr = F.col("q3") - F.col("q1")
     qs = qs.withColumn("_lo", F.col("q1") - 1.5 * iqr).withColumn("_hi", F.col("q3") + 1.5 * iqr)
-    j = long.join(qs, ["variable", "group"])
+    j = dist.join(qs, ["variable", "group"])
     inside = (F.col("x") >= F.col("_lo")) & (F.col("x") <= F.col("_hi"))
     out = j.groupBy("variable", "group", "q1", "median", "q3").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum("_w").alias("n"),
         F.min(F.when(inside, F.col("x"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("x"))).alias("whisker_hi"),
-        F.sum((~inside).cast("long")).alias("n_outliers"))
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_w"))).alias("n_outliers"))
     return out.select("variable", "group", "n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers")
 
 
 def column_percent(df: DataFrame, dv: str, cols: Sequence[str] | None = None) -> DataFrame:
     """dv x category table per categorical column, with every cell (zeros too) and
     the percentage of the category's rows: ``variable, category, dv, count, pct``.
-    NULL is a level on both sides.  The dv classes (a short list) are pivoted so
-    empty cells appear without a cross join."""
+    NULL is a level on both sides.  The cells stay in long form: the grid is the join of each
+    variable's categories with its dv classes, so class names are only ever values."""
     cat = [c for c in numerical_categorical_division(df, cols)[1] if c != dv]
     long = to_long(df, cat, kind="categorical", extra={"_y": category_value(df, dv)})
-    classes = [r[0] for r in long.select("_y").distinct().collect()]
-    present = [c for c in classes if c is not None]
-    has_null = len(present) != len(classes)
-    key = F.coalesce(F.col("_y"), F.lit("\u0000null"))
-    pv_vals = sorted(present) + (["\u0000null"] if has_null else [])
-    piv = (long.withColumn("_yk", key).groupBy("variable", F.col("value").alias("category"))
-               .pivot("_yk", pv_vals).count().na.fill(0, subset=pv_vals))
-    slots = [f"_c{i}" for i in range(len(pv_vals))]
-    piv = piv.select("variable", "category", *[F.col(f"`{v}`").alias(s) for v, s in zip(pv_vals, slots)])
-    back = F.create_map(*[x for s, v in zip(slots, pv_vals)
-                          for x in (F.lit(s), F.lit(None if v == "\u0000null" else v))])
-    longc = piv.unpivot(["variable", "category"], slots, "_slot", "count")
-    longc = longc.select("variable", "category", back[F.col("_slot")].alias("dv"),
-                         F.col("count").cast("long").alias("count"))
+    cells = long.groupBy("variable", F.col("value").alias("category"), F.col("_y").alias("dv")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = cells.select("variable", "category").distinct()
+    classes = cells.select(F.col("variable").alias("_v"), F.col("dv").alias("_dv")).distinct()
+    grid = rows.join(classes, F.col("variable") == F.col("_v")).select("variable", "category", F.col("_dv").alias("dv"))
+    c = cells.toDF("_cv", "_cc", "_cd", "_n")
+    full = grid.join(c, (F.col("variable") == F.col("_cv")) & F.col("category").eqNullSafe(F.col("_cc")) & F.col("dv").eqNullSafe(F.col("_cd")), "left")
+    full = full.select("variable", "category", "dv", F.coalesce("_n", F.lit(0)).cast("long").alias("count"))
     w = Window.partitionBy("variable", "category")
-    return longc.withColumn("pct", F.col("count") * 100.0 / F.sum("count").over(w))
+    return full.withColumn("pct", F.col("count") * 100.0 / F.sum("count").over(w))
 
 
 def graphical_tables(df: DataFrame, dv: str, regression: bool = True,

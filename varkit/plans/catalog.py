@@ -326,11 +326,7 @@ def q_binned_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(binned_line(df, "l_extendedprice", 10))
 
 
-@register("box_stats", f"""
-WITH long AS (
-  SELECT 'p_brand' AS variable, p_brand AS "group", p_retailprice AS x FROM part
-  UNION ALL SELECT 'p_type', p_type, p_retailprice FROM part
-), q AS (
+_BOX_TAIL = f"""), q AS (
   SELECT variable, "group", quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
     quantile_cont(x, 0.75) AS q3 FROM long WHERE x IS NOT NULL AND "group" IS NOT NULL
   GROUP BY variable, "group"
@@ -343,13 +339,32 @@ SELECT variable, "group", count(*) AS n, {_r('q1')} AS q1, {_r('median')} AS med
   {_r('max(CASE WHEN x >= lo AND x <= hi THEN x END)')} AS whisker_hi,
   CAST(sum(CASE WHEN x >= lo AND x <= hi THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers
 FROM j GROUP BY variable, "group", q1, median, q3
-""")
+"""
+
+
+@register("box_stats", """
+WITH long AS (
+  SELECT 'p_brand' AS variable, p_brand AS "group", p_retailprice AS x FROM part
+  UNION ALL SELECT 'p_type', p_type, p_retailprice FROM part
+""" + _BOX_TAIL)
 def q_box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.operators.trends import box_stats
     df = read_table(spark, sf_dir, "part", ["p_brand", "p_type", "p_retailprice"])
     return rounded(box_stats(df, "p_retailprice", regression=True))
 
 
+@register("box_stats_class", """
+WITH long AS (
+  SELECT 'l_quantity' AS variable, l_returnflag AS "group", l_quantity AS x FROM lineitem
+  UNION ALL SELECT 'l_extendedprice', l_returnflag, l_extendedprice FROM lineitem
+""" + _BOX_TAIL)
+def q_box_stats_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classification branch: numeric columns by the classes of the dependent variable."""
+    from varkit.operators.trends import box_stats
+    df = read_table(spark, sf_dir, "lineitem", ["l_returnflag", "l_quantity", "l_extendedprice"])
+    return rounded(box_stats(df, "l_returnflag", regression=False))
+
+
 @register("column_percent", f"""
 WITH cells AS (
   SELECT o_orderpriority AS category, o_orderstatus AS dv, count(*) AS c FROM orders GROUP BY ALL
