@@ -16,7 +16,10 @@ probe with the rarest of theirs, so signatures of common passages are left out.
 Links found are verified exactly on the whole sets.  The result is connected components, so a
 large group need not be expanded into all its pairs: first each set is verified against one leader of its
 signatures, then only pairs between different components are left.  Nothing is dropped: every
-pair that shares a probed signature is either inside a component already or verified.
+pair that shares a probed signature is inside a component already, ruled out by a bound, or verified.
+The bound is the number of bits in which the sets' parity vectors differ (each bit is the parity
+of the number of shingles in one hash bucket), which the symmetric difference can't be smaller than; it is tested
+inside the join, so a large group of half-similar texts yields no rows for its pairs.
 
 Signatures that repeat inside one batch of rows are combined before the shuffle, and so are equal
 sets, so a group of copies enters the shuffle once per batch.
@@ -39,7 +42,7 @@ from varkit.llm.common import stored, text_or_empty
 WORDS = 5
 #: Similarity of at least 80 percent; segments per shingle of the largest set of a band; the
 #: largest band with one-deletion signatures.
-PERCENT, SEGMENT_SHARE, DELETION_UP_TO = 80, 0.28, 48
+PERCENT, SEGMENT_SHARE, DELETION_UP_TO = 80, 0.26, 48
 GROWTH = 1.5
 PIECE = 1 << 20
 
@@ -90,10 +93,9 @@ class Hasher:
         while at < n:
             end = min(at + PIECE, n)
             while end < n and not self.space[data[end]]:
-                end = min(end + 4096, n)
-                stop = np.flatnonzero(self.space[data[end - 4096:end]])
-                if len(stop):
-                    end = end - 4096 + int(stop[0])
+                look = data[end:end + 4096]
+                stop = np.flatnonzero(self.space[look])
+                end += int(stop[0]) if len(stop) else len(look)
             piece = data[at:end]
             inside = ~self.space[piece]
             edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
@@ -170,10 +172,35 @@ def signatures(s: np.ndarray, band: int, lo: int, hi: int, percent: int = PERCEN
     return np.concatenate(out), need
 
 
-#: Kinds of the rows of ``indexed``: a document's size; a band's minimum of shared signatures; a
-#: signature; a signature's member within a batch; a copy within a batch.
-DOCUMENT, MINIMUM, SIGNATURE, MEMBER, COPY = range(5)
-INDEXED = "kind byte, key long, id long, band int, sig long, n long"
+#: Kinds of the rows of ``INDEXED``: a document's size; a band's minimum of shared signatures; a
+#: signature; one that has members in its own batch; such a member, whose key is
+#: the signature xor ``_spread`` of the id; a copy within a batch, whose key is the id that it copies.
+DOCUMENT, MINIMUM, SIGNATURE, LEADER, MEMBER, COPY = range(6)
+#: ``meta`` is the kind, the band (8 bits on) and the size or minimum (16 bits on).
+INDEXED = "key long, id long, meta long"
+PARITY_WORDS = 8
+
+
+def _spread(ids: np.ndarray) -> np.ndarray:
+    """A different 64-bit number for each id, the same as ``spread_column``."""
+    with np.errstate(over="ignore"):
+        x = np.asarray(ids, np.int64).view(U)
+        x = x ^ (x << U(21))
+        x = x ^ (x >> U(35))
+        x = x ^ (x << U(4))
+    return x.view(np.int64)
+
+
+SPREAD_SQL = """transform(array(id), x -> transform(array(x ^ shiftleft(x, 21)), y -> transform(
+    array(y ^ shiftrightunsigned(y, 35)), z -> z ^ shiftleft(z, 4))[0])[0])[0]"""
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """The set's parity vector."""
+    bit = _mix(s ^ _salt(99))
+    out = np.zeros(PARITY_WORDS, U)
+    np.bitwise_xor.at(out, (bit >> U(6)) % U(PARITY_WORDS), U(1) << (bit & U(63)))
+    return out.view(np.int64)
 
 
 def index_batch(ids: np.ndarray, texts, hasher: Hasher, percent: int = PERCENT) -> pd.DataFrame:
@@ -204,33 +231,27 @@ def index_batch(ids: np.ndarray, texts, hasher: Hasher, percent: int = PERCENT)
                 sig_band.append(np.full(len(out), band, np.int32))
                 minima.append((i, band, need))
 
-    def rows(kind, key, id_, band=None, sig=None, n=None):
-        if len(id_):
-            size = len(id_)
-            fill = lambda x: np.zeros(size, np.int64) if x is None else x
-            parts.append(pd.DataFrame({"kind": np.full(size, kind, np.int8), "key": np.asarray(key).astype(np.int64) if kind == SIGNATURE else key,
-                                       "id": id_, "band": fill(band).astype(np.int32), "sig": fill(sig), "n": fill(n)}))
+    def rows(kind, key, id_, band=0, n=0):
+        meta = np.asarray(kind, np.int64) | np.asarray(band, np.int64) << 8 | np.asarray(n, np.int64) << 16
+        parts.append(pd.DataFrame({"key": key, "id": id_, "meta": np.broadcast_to(meta, id_.shape)}))
 
-    spread = lambda a, b: _mix(np.asarray(a, np.int64).view(U) ^ _mix(np.asarray(b, np.int64).view(U))).view(np.int64)
     all_ids = np.asarray(ids, np.int64)
-    rows(DOCUMENT, spread(all_ids, all_ids), all_ids, n=np.asarray(doc_n, np.int64))
+    rows(DOCUMENT, _spread(all_ids), all_ids, n=np.asarray(doc_n, np.int64))
     if copies:
         c = np.asarray(copies, np.int64)
-        rows(COPY, spread(c[:, 0], c[:, 1]), c[:, 0], sig=c[:, 1])
+        rows(COPY, c[:, 1], c[:, 0])
     if minima:
         c = np.asarray(minima, np.int64)
-        rows(MINIMUM, spread(c[:, 0], c[:, 1]), c[:, 0], band=c[:, 1], n=c[:, 2])
+        rows(MINIMUM, _spread(c[:, 0]), c[:, 0], c[:, 1], c[:, 2])
     if sigs:
         sig, who, band = np.concatenate(sigs).view(np.int64), np.concatenate(sig_id), np.concatenate(sig_band)
         order = np.lexsort((who, sig))
         sig, who, band = sig[order], who[order], band[order]
         first = np.concatenate([[True], sig[1:] != sig[:-1]])
-        rows(SIGNATURE, sig[first], who[first], band=band[first], sig=sig[first])
-        again = ~first
-        if again.any():
-            many = again | np.concatenate([again[1:], [False]])     # the batch's leader is a member too
-            rows(MEMBER, spread(sig[many], who[many]), who[many], band=band[many], sig=sig[many])
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[c.split()[0] for c in INDEXED.split(", ")])
+        leads = first & np.concatenate([~first[1:], [False]])
+        rows(np.where(leads, LEADER, SIGNATURE)[first], sig[first], who[first], band[first])
+        rows(MEMBER, sig[~first] ^ _spread(who[~first]), who[~first], band[~first])
+    return pd.concat(parts, ignore_index=True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -275,18 +296,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def index(batches):
         hasher = Hasher(words)
         for b in batches:
-            yield index_batch(b["id"].to_numpy(), b["text"], hasher, percent)
+            if len(b):
+                yield index_batch(b["id"].to_numpy(), b["text"], hasher, percent)
 
     indexed = rows.where("id IS NOT NULL").mapInPandas(index, INDEXED)
-    w = Window.partitionBy("key", "kind").orderBy("id")
-    is_sig = F.col("kind") == SIGNATURE
+    kind = F.col("meta").bitwiseAND(F.lit(255))
+    # only signatures that two batches have, or two members of one, go on
+    w = Window.partitionBy("key").orderBy("id")
+    is_sig = kind == SIGNATURE
     met = stored(indexed.withColumns({"_next": F.lead("id").over(w), "_back": F.lag("id").over(w)})
-                 .where(~is_sig | F.col("_next").isNotNull() | F.col("_back").isNotNull()).drop("key", "_next", "_back"), "signatures")
+                 .where(~is_sig | F.col("_next").isNotNull() | F.col("_back").isNotNull())
+                 .select("key", "id", kind.cast("int").alias("kind"), F.shiftright("meta", 8).bitwiseAND(F.lit(255)).cast("int").alias("band"),
+                         F.shiftright("meta", 16).alias("n")), "signatures")
 
     documents = met.where(F.col("kind") == DOCUMENT).select("id", "n")
-    copies = met.where(F.col("kind") == COPY).select(F.col("id").alias("a"), F.col("sig").alias("b"))
+    copies = met.where(F.col("kind") == COPY).select(F.col("id").alias("a"), F.col("key").alias("b"))
     minima = met.where(F.col("kind") == MINIMUM).groupBy("id", "band").agg(F.min("n").alias("need"))
-    members = met.where(F.col("kind").isin(SIGNATURE, MEMBER)).select("sig", "id", "band").distinct()
+    members = met.where(F.col("kind").isin(SIGNATURE, LEADER, MEMBER)).select(
+        F.when(F.col("kind") == MEMBER, F.expr(f"key ^ {SPREAD_SQL}")).otherwise(F.col("key")).alias("sig"), "id", "band")
     # sets that share fewer signatures than any partner would share with them leave
     shared = members.groupBy("id", "band").agg(F.count(F.lit(1)).alias("shared"))
     stay = shared.join(minima, ["id", "band"]).where("shared >= need").select(
@@ -303,10 +330,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sets_of(batches):
         hasher = Hasher(words)
         for b in batches:
-            s = [hasher.shingles(t).view(np.int64) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "n": [len(x) for x in s], "shingles": s})
+            s = [hasher.shingles(t) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "n": [len(x) for x in s], "shingles": [x.view(np.int64) for x in s], "parity": [parity(x) for x in s]})
 
-    sets = stored(passing.join(wanted, "id", "left_semi").mapInPandas(sets_of, "id long, n long, shingles array<long>"), "sets")
+    of_sets = "id long, n long, shingles array<long>, parity array<long>"
+    sets = stored(passing.join(wanted, "id", "left_semi").mapInPandas(sets_of, of_sets), "sets")
 
     # round 1: every set against the leader that it meets most often
     often = (members.where("leader <> id").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("c"))
@@ -318,15 +346,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(of.withColumnRenamed("node", "_n"), F.col("id") == F.col("_n"), "left").select(
         "sig", "id", "band", "held", "need", F.coalesce("component", "id").alias("c"))
     several = placed.groupBy("sig").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select(F.col("sig").alias("_s"))
-    placed = stored(placed.join(several, F.col("sig") == F.col("_s")).drop("_s"), "placed")
+    own = Window.partitionBy("id", "band")
     # all that a set shares with sets of other components is here, and it shares at least ``need``
     # with a partner: leaving out the need - 1 most frequent can't miss it
-    own = Window.partitionBy("id", "band")
-    probing = (placed.withColumns({"_rank": F.row_number().over(own.orderBy("held", "sig")), "_here": F.count(F.lit(1)).over(own)})
-               .where("_rank <= _here - need + 1").select("sig", "id", "c"))
-    found = (probing.toDF("_sa", "a", "_ca").join(placed.select("sig", "id", "c").toDF("_sb", "b", "_cb"),
-             (F.col("_sa") == F.col("_sb")) & (F.col("_ca") != F.col("_cb")))
-             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    placed = placed.join(several, F.col("sig") == F.col("_s")).drop("_s").withColumns(
+        {"_rank": F.row_number().over(own.orderBy("held", "sig")), "_here": F.count(F.lit(1)).over(own)})
+    marks = sets.select(F.col("id").alias("_i"), "n", *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_WORDS)])
+    placed = stored(placed.join(marks, F.col("id") == F.col("_i")).select(
+        "sig", "id", "c", (F.col("_rank") <= F.col("_here") - F.col("need") + 1).alias("probes"), "n", *[f"p{i}" for i in range(PARITY_WORDS)]), "placed")
+    x, y = placed.where("probes").alias("x"), placed.alias("y")
+    apart = " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(PARITY_WORDS))
+    near = F.expr(f"x.sig = y.sig AND x.c <> y.c AND 100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n "
+                  f"AND ({apart}) * {100 + percent} <= {100 - percent} * (x.n + y.n)")
+    found = x.join(y, near).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
     links = stored(verified(found, sets, percent), "links")
     la, lb = of.toDF("_x", "_cx"), of.toDF("_y", "_cy")
     bridges = (links.join(la, F.col("a") == F.col("_x"), "left").join(lb, F.col("b") == F.col("_y"), "left")
@@ -337,7 +369,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "id", "n", F.coalesce("component", "id").alias("c"))
     out = nodes.join(over, F.col("c") == F.col("_k"), "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_top", "c").alias("component_id"))
-    nameless = rows.where("id IS NULL").mapInPandas(sets_of, "id long, n long, shingles array<long>").select(
+    nameless = rows.where("id IS NULL").mapInPandas(sets_of, of_sets).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nameless)
 
@@ -348,18 +380,17 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share an id that stays, one is kept (the smallest by text hash)."""
     from varkit.llm.url_filter import bloom_blocks, probe
     groups = stored(near_duplicates(docs, id_col, text_col, percent, words), "groups").where("n_shingles > 0").toDF("_id", "_n", "_c")
-    repeated = groups.groupBy("_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("_c") <> F.col("_id")).alias("_gone"))
+    repeated = groups.groupBy("_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("_c") != F.col("_id")).alias("_gone"))
     touched = stored(repeated.where("_gone OR _rows > 1"), "touched")
     blocks = max(1, min(65536, -(-touched.count() * 16 // 512)))
     # few rows pass the filter; the others stay where they are, so their texts aren't shuffled
-    probed = probe(docs.withColumn("_key", F.col(f"`{id_col}`").cast("long")), "_key", bloom_blocks(touched, "_id", blocks), blocks)
-    calm = probed.where("NOT _maybe")
-    met = probed.where("_maybe").join(touched, F.col("_key") == F.col("_id"), "left").where("_gone IS NULL OR NOT _gone")
     text = text_or_empty(text_col)
-    order = Window.partitionBy("_key").orderBy(F.xxhash64(text))
-    has_words = text.rlike(r"[^\x20\x09-\x0D]")
-    first = met.where("_rows > 1").withColumn("_has", has_words).where("_has").withColumn("_k", F.row_number().over(order)).where("_k = 1")
-    rest = met.where(F.coalesce(F.col("_rows"), F.lit(1)) == 1)
-    bare = met.where(F.col("_rows") > 1).where(~has_words)
-    keep = [F.col(f"`{c}`") for c in docs.columns]
-    return calm.select(*keep).unionByName(rest.select(*keep)).unionByName(first.select(*keep)).unionByName(bare.select(*keep))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_key"),
+                       text.rlike(r"[^\x20\x09-\x0D]").alias("_has"), F.xxhash64(text).alias("_order"))
+    probed = probe(rows, "_key", bloom_blocks(touched, "_id", blocks), blocks)
+    calm = probed.where("NOT _maybe")
+    met = probed.where("_maybe").join(touched, F.col("_key") == F.col("_id"), "left").where("_gone IS NULL OR NOT _gone OR NOT _has")
+    once = (F.col("_rows") > 1) & F.col("_has")
+    first = met.where(once).withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy("_order"))).where("_k = 1")
+    rest = met.where(~F.coalesce(once, F.lit(False)))
+    return calm.select("_row").unionByName(first.select("_row")).unionByName(rest.select("_row")).select("_row.*")
