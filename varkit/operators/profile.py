@@ -89,8 +89,8 @@ def _wide_stats(df: DataFrame, num: list[str], cat: list[str],
     """One pass, no reshaping: per-column moments for numerics, non-null counts
     for categoricals, and the row count.  A global aggregate (partial per
     partition), one small row back.  With ``approx_percentiles`` the
-    percentiles and distinct counts come from mergeable sketches in the same
-    pass (``percentile_approx``, ``approx_count_distinct``)."""
+    percentiles and distinct counts come from mergeable sketches
+    (``percentile_approx``, ``hll_sketch_agg``) in a pass each."""
     aggs = [(F.count(F.lit(1)).alias("_n"), "count")]
     for i, c in enumerate(num):
         x = numeric_value(df, c)
@@ -98,15 +98,20 @@ def _wide_stats(df: DataFrame, num: list[str], cat: list[str],
                  (F.skewness(x).alias(f"k{i}"), "skewness"), (F.kurtosis(x).alias(f"u{i}"), "kurtosis"),
                  (F.avg(x).alias(f"a{i}"), "avg"), (F.min(x).alias(f"l{i}"), "min"),
                  (F.max(x).alias(f"h{i}"), "max")]
-        if approx_percentiles is not None:
-            aggs += [(F.percentile_approx(x, [float(p) for p in approx_percentiles], accuracy).alias(f"p{i}"),
-                      "sketch"),
-                     (F.approx_count_distinct(x, rsd=0.01).alias(f"d{i}"), "hll")]
     if dv_y is not None:
         aggs += _pair_aggs(df, num, dv_y)
     for i, c in enumerate(cat):
         aggs.append((F.count(category_value(df, c)).alias(f"q{i}"), "count"))
-    return wide_agg(df, aggs)
+    out = wide_agg(df, aggs)
+    if approx_percentiles is not None and num:
+        # sketches are object aggregates, which switch off generated code for all that shares their
+        # pass: the moments above, percentiles and distinct counts each take one of their own
+        values = {i: numeric_value(df, c) for i, c in enumerate(num)}
+        points = [float(p) for p in approx_percentiles]
+        out.update(df.agg(*[F.percentile_approx(x, points, accuracy).alias(f"p{i}") for i, x in values.items()]).collect()[0].asDict())
+        out.update(df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.when(x.isNotNull(), F.xxhash64(x)), F.lit(14))).alias(f"d{i}")
+                            for i, x in values.items()]).collect()[0].asDict())
+    return out
 
 
 def _pair_aggs(df: DataFrame, num: list[str], y: Column) -> list[tuple]:
@@ -367,9 +372,8 @@ def profile(df: DataFrame, dv: str | None = None, regression: bool = True,
     With ``dv`` the association columns of :func:`association` are added.
 
     ``exact=False`` takes numeric percentiles and distinct counts from
-    mergeable sketches in the one statistics pass (relative rank error about
-    1e-4), so the numeric rows need no shuffle; categorical rows are exact
-    either way.
+    mergeable sketches (relative rank error about 1e-4, distinct counts within about 1 percent),
+    so the numeric rows need no shuffle; categorical rows are exact either way.
     """
     num, cat = numerical_categorical_division(df, cols)
     pnames = [pct_name(p) for p in percentile]

@@ -38,8 +38,7 @@ class Scratch:
 
 # Aggregation-buffer fields per aggregate (Spark's declarative aggregates).
 FIELDS = {"count": 1, "sum": 1, "min": 1, "max": 1, "avg": 2, "stddev": 3, "var": 3,
-          "skewness": 4, "kurtosis": 5, "covar": 4, "corr": 6, "sketch": 1,
-          "hll": 1639}  # approx_count_distinct at rsd 0.01: 2^14 registers in 64-bit words
+          "skewness": 4, "kurtosis": 5, "covar": 4, "corr": 6}
 MAX_FIELDS_CONF = "spark.sql.codegen.maxFields"
 
 
