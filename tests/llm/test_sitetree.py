@@ -45,7 +45,7 @@ def test_tree_removes_what_a_site_repeats(spark):
 
 
 def test_low_nodes_joined_instead_of_broadcast(spark, monkeypatch):
-    pages = _site(40) + _site(13, "c.net")[12:] + [(None, "http://a.com/", _site(1)[0][2]), (3, "http://a.com/3", _site(4)[3][2])]
+    pages = _site(40) + [(200, *_site(13, "c.net")[12][1:])] + [(None, "http://a.com/", _site(1)[0][2]), (201, "http://a.com/3", _site(4)[3][2])]
     one = sorted((str(k), v.text) for k, v in _extract(spark, pages).items())
     monkeypatch.setattr(S, "BROADCAST_NODES", -1)
     assert sorted((str(k), v.text) for k, v in _extract(spark, pages).items()) == one
