@@ -38,7 +38,7 @@ BLOCK_TOKENS, LANES = 8192, 512
 RENEWALS = (256, 512, 1024, 2048, 4096)
 BOOST = 32
 ORDER1_BITS, ORDER2_BITS = 12, 13
-MAGIC, HEADER = b"VKT1", struct.Struct("<4sIIIIQ")
+MAGIC, HEADER = b"VKT1", "<4sIIIIQ"
 END_ID = 1
 CHUNKS_KEPT = 400_000
 
@@ -349,18 +349,18 @@ def pack(ids: np.ndarray, code: bytes, segments: list[tuple], first_doc: int) ->
     counts = np.array([s[1] for s in segments], "<u4")
     flags = np.array([(s[0] is not None) | s[2] << 1 | s[3] << 2 for s in segments], "u1")
     index = zlib.compress(names.tobytes() + counts.tobytes() + flags.tobytes())
-    return HEADER.pack(MAGIC, len(ids), len(segments), len(index), zlib.crc32(ids.astype("<u4").tobytes()), first_doc) + index + code
+    return struct.pack(HEADER, MAGIC, len(ids), len(segments), len(index), zlib.crc32(ids.astype("<u4").tobytes()), first_doc) + index + code
 
 
 def unpack(payload: bytes):
     """(n_ids, segments, checksum, first document's number, code) of a block's payload."""
-    magic, n, k, size, check, first_doc = HEADER.unpack_from(payload)
+    magic, n, k, size, check, first_doc = struct.unpack_from(HEADER, payload)
     if magic != MAGIC:
         raise ValueError("not a block of token ids")
-    index = zlib.decompress(payload[HEADER.size:HEADER.size + size])
+    index = zlib.decompress(payload[struct.calcsize(HEADER):struct.calcsize(HEADER) + size])
     names, counts, flags = (np.frombuffer(index, t, k, o) for t, o in (("<i8", 0), ("<u4", 8 * k), ("u1", 12 * k)))
     segments = [(int(a) if f & 1 else None, int(c), bool(f & 2), bool(f & 4)) for a, c, f in zip(names, counts, flags)]
-    return n, segments, check, first_doc, payload[HEADER.size + size:]
+    return n, segments, check, first_doc, payload[struct.calcsize(HEADER) + size:]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
