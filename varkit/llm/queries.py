@@ -75,7 +75,58 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ 6 quality rules
-@register("op6_quality")
+def _quality_sql() -> str:
+    from varkit.llm.quality import COMMON_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_HISTOGRAM_WORDS
+    from varkit.llm.quality import REFERENCE_CAPITALS, REFERENCE_SYMBOLS
+    without = lambda pattern: f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
+    classes = [without(p) for p in (r"\p{Ll}", r"\p{Lu}", "[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?''\"()\-]", r"[#*$%&|<>]")]
+    words = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in COMMON_WORDS.items())
+    size = len(next(iter(COMMON_WORDS.values())))
+    sums = lambda a, n: "[" + ", ".join(f"sum({a}[{i}]) FILTER (reads)" for i in range(1, n + 1)) + "]"
+    def distance(a, b, n):
+        x, y = f"({a}[i] / list_sum({a}))", f"({b}[i] / list_sum({b}))"
+        part = lambda v: f"CASE WHEN {v} > 0 THEN {v} * log2({v} / (({x} + {y}) / 2)) ELSE 0 END"
+        return (f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN sqrt(greatest(0.0, list_sum(list_transform(range(1, {n + 1}), "
+                f"lambda i: {part(x)} + {part(y)})) / 2)) END")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+a AS (
+  SELECT *, regexp_extract_all(t, '{WORD_RE}') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+    [{', '.join(classes)}] AS c6,
+    CASE lang {words} END AS common,
+    regexp_extract_all(regexp_replace(lower(t), '[.,;:!?''\"()\\-]+', '', 'g'), '{WORD_RE}') AS flat
+  FROM d
+), f AS (
+  SELECT rid, doc_id, lang, length(t) AS chars, w, lines, c6, list_append(c6, length(t) - list_sum(c6)) AS c,
+    CASE WHEN common IS NOT NULL THEN list_append(list_transform(common, lambda x: len(list_filter(flat, lambda y: y = x))),
+      len(list_filter(flat, lambda y: NOT list_contains(common, y)))) END AS h
+  FROM a
+), r AS (
+  SELECT lang, {sums('c', 7)} AS rc, {sums('h', size + 1)} AS rh
+  FROM (SELECT *, c[6] * {REFERENCE_SYMBOLS} <= chars AND c[2] * {REFERENCE_CAPITALS} <= chars AS reads FROM f) GROUP BY lang
+), g AS (
+  SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS x FROM f, unnest(range(1, greatest(len(w) - 3, 1))) u(i) WHERE len(w) >= 5
+), o AS (
+  SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt
+  FROM (SELECT *, count(*) OVER (PARTITION BY rid, x) AS k FROM g) WHERE k > 1
+), rep AS (SELECT rid, sum(least(5, coalesce(nxt - i, 5))) AS n FROM o GROUP BY rid),
+b AS (
+  SELECT doc_id, chars, CAST(len(w) AS BIGINT) AS n_words, CAST(chars - c[4] AS BIGINT) AS word_chars, CAST(c[6] AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    {distance('c', 'rc', 7)} AS dc, {distance('h', 'rh', size + 1)} AS dh
+  FROM f LEFT JOIN rep USING (rid) JOIN r ON r.lang IS NOT DISTINCT FROM f.lang
+), v AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words >= {MIN_HISTOGRAM_WORDS} AS long,
+    coalesce(dc > {MAX_CHAR_DISTANCE}, false) AS farc, coalesce(dh > {MAX_WORD_DISTANCE}, false) AS farh FROM b
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (chars >= {MIN_CHARS} AND farc AND (long OR farh) OR long AND farh) AS kept
+FROM v
+"""
+
+
+@register("op6_quality", _quality_sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.llm.quality import quality
     q = quality(table(spark, sf_dir, "documents"))
@@ -162,7 +213,26 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ 8 n-gram Jaccard join
-@register("op8_jaccard")
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD_RE}') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w
+), n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+sym AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, sym.b FROM reach JOIN sym ON reach.r = sym.a
+)
+SELECT doc_id, n AS n_shingles, min(r) AS component_id FROM n JOIN reach USING (doc_id) GROUP BY doc_id, n
+"""
+
+
+@register("op8_jaccard", JACCARD_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.llm.jaccard import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
