@@ -203,15 +203,15 @@ def parity(s: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def index_batch(ids: np.ndarray, texts, hasher: Hasher, percent: int = PERCENT) -> pd.DataFrame:
-    """Rows of kind ``INDEXED`` for a batch of documents with ids."""
+def index_batch(ids: np.ndarray, texts, copied: np.ndarray, hasher: Hasher, percent: int = PERCENT) -> pd.DataFrame:
+    """Rows of kind ``INDEXED`` for a batch of documents with ids.  Of ``copied`` ones only the size is given."""
     parts, seen, table = [], {}, bands(4)
     doc_n, copies, sigs, sig_id, sig_band, minima = [], [], [], [], [], []
-    for i, text in zip(ids, texts):
+    for i, text, copy in zip(ids, texts, copied):
         s = hasher.shingles(text)
         n = len(s)
         doc_n.append(n)
-        if not n:
+        if not n or copy:
             continue
         with np.errstate(over="ignore"):
             mark = (n, int(_mix(s).sum()), int(_mix(s ^ U(0xABCDEF12345)).sum()))
@@ -293,13 +293,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from varkit.llm.url_filter import bloom_blocks, probe
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text"))
 
+    # Equal texts first: a copy is linked to the smallest id that has its text and is indexed no
+    # more.  Only the rows that may be copies (a Bloom filter's hits) meet the list of copies.
+    named = rows.where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    digests = stored(named.select("id", F.sha2("text", 256).alias("d")), "digests")
+    first = digests.groupBy("d").agg(F.min("id").alias("b"), F.max("id").alias("_last")).where("b <> _last").withColumnRenamed("d", "_d")
+    equal = stored(digests.join(first, F.col("d") == F.col("_d")).where("id <> b").select(F.col("id").alias("a"), "b", "d").distinct(), "equal")
+    size = max(1, min(65536, -(-equal.count() * 16 // 512)))
+    probed = probe(rows.where("id IS NOT NULL"), "id", bloom_blocks(equal, "a", size), size)
+    gone = equal.select(F.col("a").alias("_a"), F.col("d").alias("_d"))
+    hits = probed.where("_maybe").withColumn("_digest", F.sha2("text", 256)).join(
+        gone, (F.col("id") == F.col("_a")) & (F.col("_digest") == F.col("_d")), "left")
+    calm = probed.where("NOT _maybe").select("id", "text", F.lit(False).alias("copy"))
+    texts = calm.unionByName(hits.select("id", "text", F.col("_a").isNotNull().alias("copy")))
+
     def index(batches):
         hasher = Hasher(words)
         for b in batches:
             if len(b):
-                yield index_batch(b["id"].to_numpy(), b["text"], hasher, percent)
+                yield index_batch(b["id"].to_numpy(), b["text"], b["copy"].to_numpy(), hasher, percent)
 
-    indexed = rows.where("id IS NOT NULL").mapInPandas(index, INDEXED)
+    indexed = texts.mapInPandas(index, INDEXED)
     kind = F.col("meta").bitwiseAND(F.lit(255))
     # only signatures that two batches have, or two members of one, go on
     w = Window.partitionBy("key").orderBy("id")
@@ -311,14 +325,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     documents = met.where(F.col("kind") == DOCUMENT).select("id", "n")
     copies = met.where(F.col("kind") == COPY).select(F.col("id").alias("a"), F.col("key").alias("b"))
-    minima = met.where(F.col("kind") == MINIMUM).groupBy("id", "band").agg(F.min("n").alias("need"))
-    members = met.where(F.col("kind").isin(SIGNATURE, LEADER, MEMBER)).select(
-        F.when(F.col("kind") == MEMBER, F.expr(f"key ^ {SPREAD_SQL}")).otherwise(F.col("key")).alias("sig"), "id", "band")
-    # sets that share fewer signatures than any partner would share with them leave
-    shared = members.groupBy("id", "band").agg(F.count(F.lit(1)).alias("shared"))
-    stay = shared.join(minima, ["id", "band"]).where("shared >= need").select(
-        F.col("id").alias("_i"), F.col("band").alias("_b"), "need")
-    members = members.join(stay, (F.col("id") == F.col("_i")) & (F.col("band") == F.col("_b"))).drop("_i", "_b")
+    # Sets that share fewer signatures than any partner would share with them leave.  A group is one
+    # set's signatures in a band, with the row that holds its minimum.
+    is_member = F.col("kind").isin(SIGNATURE, LEADER, MEMBER)
+    mine = Window.partitionBy("id", "band")
+    members = (met.where(is_member | (F.col("kind") == MINIMUM))
+               .withColumns({"need": F.min(F.when(F.col("kind") == MINIMUM, F.col("n"))).over(mine), "_shared": F.count(F.when(is_member, 1)).over(mine)})
+               .where(is_member & (F.col("_shared") >= F.col("need")))
+               .select(F.when(F.col("kind") == MEMBER, F.expr(f"key ^ {SPREAD_SQL}")).otherwise(F.col("key")).alias("sig"), "id", "band", "need"))
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("leader")).where("held > 1").withColumnRenamed("sig", "_s")
     members = stored(members.join(sizes, F.col("sig") == F.col("_s")).drop("_s"), "members")
 
@@ -339,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # round 1: every set against the leader that it meets most often
     often = (members.where("leader <> id").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("c"))
              .groupBy("id").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader")))
-    links = stored(verified(often.toDF("a", "b"), sets, percent).unionByName(copies), "links")
+    links = stored(verified(often.toDF("a", "b"), sets, percent).unionByName(copies).unionByName(equal.select("a", "b")), "links")
     of = components(links)
 
     # round 2: pairs between components, one side probing with its rarest signatures
