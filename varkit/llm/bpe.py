@@ -45,7 +45,7 @@ WORD_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WHITE + r"\p
 RARE_WHITE_THEN_SPACE = re.compile("[\t\x0b\x0c\r\x85\xa0  -     　] ")
 
 #: Entries of the memories before they are emptied.
-CHUNKS_KEPT, ARCS_KEPT = 400_000, 1_000_000
+CHUNKS_KEPT, ARCS_KEPT, LACKING_KEPT = 120_000, 300_000, 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -78,6 +78,7 @@ class Automaton:
             self.since.append(rank)
             self.target[a] = len(self.parent) - 1
         self._gone: dict[int, dict[int, int]] = {0: {}}
+        self._gone_size = 0
         self._arcs: dict[int, bool] = {}
         self._trie()
 
@@ -108,7 +109,10 @@ class Automaton:
             gone = dict(self._gone[state])
             for s in reversed(chain):
                 gone[self.lacks[s]] = self.since[s]
+            if self._gone_size > LACKING_KEPT:
+                self._gone, self._gone_size = {0: {}}, 0
             self._gone[chain[0]] = gone
+            self._gone_size += len(gone)
         return gone
 
     def has_arc(self, state: int, label: int) -> bool:
