@@ -267,23 +267,33 @@ def _decode(codes, lengths, size):
     return [ids[:k, i].astype(np.int64) for i, k in enumerate(lengths)]
 
 
+def _apply(matrix: list[int], v: int) -> int:
+    out = 0
+    for row in matrix:
+        if not v:
+            break
+        if v & 1:
+            out ^= row
+        v >>= 1
+    return out
+
+
+def _zero_steps() -> list[list[int]]:
+    """The effect on a checksum of 1, 2, 4, ... zero bits, as matrices over GF(2)."""
+    steps = [[0xEDB88320] + [1 << i for i in range(31)]]
+    for _ in range(60):
+        steps.append([_apply(steps[-1], row) for row in steps[-1]])
+    return steps
+
+
 def crc32_join(a: int, b: int, length: int) -> int:
     """CRC-32 of two byte strings put together, from theirs and the second one's length."""
-    def times(matrix, v):
-        out, i = 0, 0
-        while v:
-            if v & 1:
-                out ^= matrix[i]
-            v, i = v >> 1, i + 1
-        return out
-
-    zeros = [0xEDB88320] + [1 << i for i in range(31)]         # the effect of one zero bit on a checksum
-    bits = 8 * length
-    while bits:
-        if bits & 1:
-            a = times(zeros, a)
-        zeros = [times(zeros, row) for row in zeros]
-        bits >>= 1
+    cache = worker_cache()
+    if "crc32" not in cache:
+        cache["crc32"] = _zero_steps()
+    for i, matrix in enumerate(cache["crc32"]):
+        if 8 * length >> i & 1:
+            a = _apply(matrix, a)
     return a ^ b
 
 
@@ -443,18 +453,27 @@ def read_documents(spark: SparkSession, path: str, size: int) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document in the files."""
     segments = stored(read_segments(spark, path, size), "token-segments")
 
-    def join(pdf):
-        pdf = pdf.sort_values("block")
-        crc, n = 0, 0
-        for c, k in zip(pdf["crc32"], pdf["n"]):
-            crc, n = crc32_join(crc, int(c), 4 * int(k)), n + int(k)
-        first = pdf.iloc[:1].copy()
-        first["crc32"], first["n"] = crc, n
-        return first[["part", "doc_no", "id", "n", "crc32"]].astype({"id": "Int64"})
-
     columns = ["part", "doc_no", "id", "n", "crc32"]
-    # a group is the blocks of one long document
-    cut = segments.where("NOT whole").groupBy("part", "doc_no").applyInPandas(join, "part int, doc_no long, id long, n long, crc32 long")
+
+    def join(batches):
+        """Puts the segments of a document, which follow one another, together as they come."""
+        held = None
+        for b in batches:
+            out = []
+            for part, doc_no, name, n, crc in zip(*[b[c] for c in columns]):
+                if held is not None and held[:2] == [part, doc_no]:
+                    held[4] = crc32_join(held[4], int(crc), 4 * int(n))
+                    held[3] += int(n)
+                else:
+                    out += [held] * (held is not None)
+                    held = [part, doc_no, name, int(n), int(crc)]
+            yield pd.DataFrame(out, columns=columns).astype({"id": "Int64"})
+        if held is not None:
+            yield pd.DataFrame([held], columns=columns).astype({"id": "Int64"})
+
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cut = (segments.where("NOT whole").select(*columns, "block").repartition(parts, "part", "doc_no")
+           .sortWithinPartitions("part", "doc_no", "block").mapInPandas(join, "part int, doc_no long, id long, n long, crc32 long"))
     docs = segments.where("whole").select(*columns).unionByName(cut)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)     # one row per part
     base = segments.groupBy("part").agg(F.sum("n").alias("_n")).select(F.col("part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
