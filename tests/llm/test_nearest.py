@@ -69,6 +69,25 @@ def test_recall_against_brute_force(spark):
     assert hit >= 0.9 * total
 
 
+def test_recall_where_the_limit_of_lists_binds():
+    """240000 vectors without structure: the ratio admits most of over 1500 lists, so the limit decides."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((240_000, 64), dtype=np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = N.Graph(N.balanced_centroids(x[:N.SAMPLE], N.SAMPLE // (len(x) // N.LIST_SIZE)))
+    asked = np.arange(N.SAMPLE, N.SAMPLE + 60)
+    score = x[asked] @ x.T
+    score[np.arange(60), asked] = -2
+    best = np.argpartition(-score, 5, axis=1)[:, :5]
+    held = g.lists_of(x[best.ravel()], N.REPLICAS, N.BOUNDARY)
+
+    def recall(most):
+        took = g.probes_of(x[asked], most, N.RATIO)
+        return np.mean([not set(h).isdisjoint(took[i // 5]) for i, h in enumerate(held)])
+
+    assert len(g.c) >= 1500 and recall(N.PROBES) < 0.95 <= recall(N.probe_limit(len(g.c)))
+
+
 def test_graph_finds_the_nearest_centroids():
     rng = np.random.default_rng(5)
     c = N._unit(rng.normal(size=(600, 24)))

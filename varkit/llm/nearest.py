@@ -5,7 +5,8 @@ the only part fitted on a sample; at most ``MAX_LISTS`` centroids).  They are he
 proven size, under a pruned neighbour graph that is searched best-first.  Every vector
 goes to the list of its nearest centroid; a vector near the boundary is replicated to further
 lists, unless a list that it is already in is nearer to the new centroid than the vector is.  A query
-takes the lists whose centroid distance is within a ratio of the nearest one's.
+takes the lists whose centroid distance is within a ratio of the nearest one's, at most ``PROBES``
+or a ``SHARE`` of all lists, whichever is more: with a fixed number alone, recall falls as lists are added.
 
 Lists and their queries meet in groups of bounded size: a long list is cut into parts, and so
 are the queries of a list that many queries take.  Equal vectors enter the index with their smallest ids only,
@@ -32,9 +33,11 @@ from varkit.llm.common import stored
 
 SAMPLE, MAX_LISTS, LIST_SIZE = 32_768, 8192, 160
 REPLICAS, BOUNDARY = 6, 1.12
-PROBES, RATIO = 64, 1.6
+PROBES, SHARE, RATIO = 64, 1 / 8, 1.6
 DEGREE, BEAM = 24, 96
 PART, QUERY_PART = 4096, 1024
+#: Rows of query vectors that a batch is written out in at most.
+PROBE_ROWS = 65_536
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -164,10 +167,20 @@ class Graph:
         return out
 
     def probes_of(self, q: np.ndarray, probes: int, ratio: float) -> list[list[int]]:
-        """The lists that each unit query vector takes."""
-        ids, s = self.search(q, probes)
-        dist = np.sqrt(np.maximum(2 - 2 * s, 0))
-        return [[int(j) for j, dj in zip(i, d) if j >= 0 and dj <= ratio * d[0] + 1e-6] for i, d in zip(ids, dist)]
+        """The lists that each unit query vector takes.  So many are wanted that all centroids are ranked."""
+        out = []
+        for at in range(0, len(q), 256):
+            s = q[at:at + 256].astype(np.float32) @ self.c.T
+            ids = np.argsort(-s, axis=1, kind="stable")[:, :probes]
+            dist = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(s, ids, axis=1), 0))
+            taken = dist <= ratio * dist[:, :1] + 1e-6
+            out += [i[t].tolist() for i, t in zip(ids, taken)]
+        return out
+
+
+def probe_limit(lists: int, probes: int = PROBES, share: float = SHARE) -> int:
+    """The most lists that a query takes by the distance ratio."""
+    return max(probes, int(np.ceil(share * lists)))
 
 
 def _matrix(column) -> np.ndarray:
@@ -191,7 +204,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
            list_size: int = LIST_SIZE, max_lists: int = MAX_LISTS, sample: int = SAMPLE, replicas: int = REPLICAS,
-           boundary: float = BOUNDARY, probes: int = PROBES, ratio: float = RATIO) -> DataFrame:
+           boundary: float = BOUNDARY, probes: int = PROBES, ratio: float = RATIO, share: float = SHARE) -> DataFrame:
     """(query_id, rank, id, score): for each row of ``queries`` the ``k`` nearest rows of
     ``vectors`` with another id."""
     spark = vectors.sparkSession
@@ -207,7 +220,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     x = _unit(np.array([v.as_py() for v in taken], np.float64)).astype(np.float32)
     lists = min(max_lists, -(-n // list_size))
-    graph = spark.sparkContext.broadcast(Graph(balanced_centroids(x, max(1, len(x) // lists))).__dict__)
+    centroids = balanced_centroids(x, max(1, len(x) // lists))
+    graph = spark.sparkContext.broadcast(Graph(centroids).__dict__)
+    most = probe_limit(len(centroids), probes, share)
 
     def assign(batches):
         for b in batches:
@@ -218,10 +233,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
 
     def ask(batches):
         for b in batches:
-            took = Graph.of(graph.value).probes_of(_unit(_matrix(b["v"])), probes, ratio) if len(b) else []
-            rep = [len(h) for h in took]
-            yield pd.DataFrame({"list": np.array([j for h in took for j in h], np.int32), "q": np.repeat(b["q"].to_numpy(), rep),
-                                "v": [v for v, r in zip(b["v"], rep) for _ in range(r)]})
+            step = max(1, PROBE_ROWS // most)
+            for at in range(0, len(b), step):
+                part = b.iloc[at:at + step]
+                took = Graph.of(graph.value).probes_of(_unit(_matrix(part["v"])), most, ratio)
+                rep = [len(h) for h in took]
+                yield pd.DataFrame({"list": np.array([j for h in took for j in h], np.int32), "q": np.repeat(part["q"].to_numpy(), rep),
+                                    "v": [v for v, r in zip(part["v"], rep) for _ in range(r)]})
 
     postings = stored(index.mapInPandas(assign, "list int, id long, v array<double>"), "postings")
     # one search for equal query vectors, named by the smallest id among them
