@@ -69,6 +69,15 @@ def test_recall_against_brute_force(spark):
     assert hit >= 0.9 * total
 
 
+def test_query_on_its_own_centroid(spark):
+    """An outlier is a cluster of its own, at no distance from its centroid; it has neighbours all the same."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in (1, *rng.normal(size=2) * 0.2)]) for i in range(1, 400) if i % 50]
+    rows += [(0, [-1.0, 0.0, 0.0]), (50, [0.0, -1.0, 0.0]), (401, [0.0, -1.0, 0.0])]
+    got, want = _search(spark, rows, list_size=40), _brute(rows)
+    assert {q: len(v) for q, v in got.items()} == {0: 5, 50: 5} and got == want
+
+
 def test_recall_where_the_limit_of_lists_binds():
     """240000 vectors without structure: the ratio admits most of over 1500 lists, so the limit decides."""
     rng = np.random.default_rng(1)

@@ -7,6 +7,8 @@ goes to the list of its nearest centroid; a vector near the boundary is replicat
 lists, unless a list that it is already in is nearer to the new centroid than the vector is.  A query
 takes the lists whose centroid distance is within a ratio of the nearest one's, at most ``PROBES``
 or a ``SHARE`` of all lists, whichever is more: with a fixed number alone, recall falls as lists are added.
+It always takes the nearest ``LEAST`` lists and as many as are sure to hold k + 1 vectors, and
+the ratio is to the distance of the last list needed for these, so a query on its own centroid is not left with that list.
 
 Lists and their queries meet in groups of bounded size: a long list is cut into parts, and so
 are the queries of a list that many queries take.  Equal vectors enter the index with their smallest ids only,
@@ -33,7 +35,7 @@ from varkit.llm.common import stored
 
 SAMPLE, MAX_LISTS, LIST_SIZE = 32_768, 8192, 160
 REPLICAS, BOUNDARY = 6, 1.12
-PROBES, SHARE, RATIO = 64, 1 / 8, 1.6
+PROBES, SHARE, RATIO, LEAST = 64, 1 / 8, 1.6, 8
 DEGREE, BEAM = 24, 96
 PART, QUERY_PART = 4096, 1024
 #: Rows of query vectors that a batch is written out in at most.
@@ -166,14 +168,19 @@ class Graph:
             out.append(kept)
         return out
 
-    def probes_of(self, q: np.ndarray, probes: int, ratio: float) -> list[list[int]]:
-        """The lists that each unit query vector takes.  So many are wanted that all centroids are ranked."""
-        out = []
+    def probes_of(self, q: np.ndarray, probes: int, ratio: float, sizes: np.ndarray | None = None, need: int = 0) -> list[list[int]]:
+        """The lists that each unit query vector takes, with ``need`` postings or more where ``sizes``,
+        the postings of each list, has so many.  So many lists are wanted that all centroids are ranked."""
+        out, n = [], len(self.c)
+        sizes = np.zeros(n, int) if sizes is None else sizes
         for at in range(0, len(q), 256):
             s = q[at:at + 256].astype(np.float32) @ self.c.T
-            ids = np.argsort(-s, axis=1, kind="stable")[:, :probes]
+            ids = np.argsort(-s, axis=1, kind="stable")
             dist = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(s, ids, axis=1), 0))
-            taken = dist <= ratio * dist[:, :1] + 1e-6
+            last = np.minimum((np.cumsum(sizes[ids], axis=1) < need).sum(axis=1), n - 1)[:, None]
+            rank = np.arange(n)
+            taken = (dist <= ratio * np.take_along_axis(dist, last, axis=1) + 1e-6) & (rank < probes)
+            taken |= rank <= np.maximum(last, LEAST - 1)
             out += [i[t].tolist() for i, t in zip(ids, taken)]
         return out
 
@@ -231,17 +238,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
             yield pd.DataFrame({"list": np.array([j for h in held for j in h], np.int32), "id": np.repeat(b["id"].to_numpy(), rep),
                                 "v": [v for v, r in zip(b["v"], rep) for _ in range(r)]})
 
+    postings = stored(index.mapInPandas(assign, "list int, id long, v array<double>"), "postings")
+    sizes = np.zeros(len(centroids), np.int64)
+    for r in postings.groupBy("list").count().collect():             # one row per list
+        sizes[r["list"]] = r["count"]
+    held = spark.sparkContext.broadcast(sizes)
+    need = replicas * (k + 1)                                        # an id is in so many lists at most
+
     def ask(batches):
         for b in batches:
             step = max(1, PROBE_ROWS // most)
             for at in range(0, len(b), step):
                 part = b.iloc[at:at + step]
-                took = Graph.of(graph.value).probes_of(_unit(_matrix(part["v"])), most, ratio)
+                took = Graph.of(graph.value).probes_of(_unit(_matrix(part["v"])), most, ratio, held.value, need)
                 rep = [len(h) for h in took]
                 yield pd.DataFrame({"list": np.array([j for h in took for j in h], np.int32), "q": np.repeat(part["q"].to_numpy(), rep),
                                     "v": [v for v, r in zip(part["v"], rep) for _ in range(r)]})
 
-    postings = stored(index.mapInPandas(assign, "list int, id long, v array<double>"), "postings")
     # one search for equal query vectors, named by the smallest id among them
     once = asked.groupBy("v").agg(F.min("id").alias("q"))
     probing = stored(once.mapInPandas(ask, "list int, q long, v array<double>"), "probes")
