@@ -20,6 +20,16 @@ def test_furniture_markup_and_references():
     assert _text(page) == "One & two\nA bold word é€<p>\nnext line\nunclosed i\n3 < 4 &bogus;\nx\ny"
 
 
+def test_class_words_do_not_take_the_article():
+    body = "<h1 class='entry-header'>Title</h1><p>The article's own words</p><div class='share-bar'>Share</div>"
+    want = "Title\nThe article's own words"
+    for around in ("class='content has-sidebar'", "id='search-results'", "class='layout-header-fixed'", "class='sidebar'", "class=widget"):
+        assert _text(f"<body><div {around}><article>{body}</article></div><div class=footer>Imprint</div></body>") == want, around
+    assert _text("<body><form id=f><div><p>All of it</p><p>in a form</p></div></form></body>") == "All of it\nin a form"
+    assert _text(f"<article>{body}</article><div class=sidebar><article><p>{'A long teaser ' * 9}</article></div>") == want
+    assert _text(f"<div id=content><p>{'Long text. ' * 9}</p></div><div class=sidebar><article>teaser</article></div>") == ("Long text. " * 9).strip()
+
+
 def test_odd_markup():
     assert _text("") == "" and _text("<") == "<" and _text("plain  text") == "plain text"
     assert _text("<p>a</p></div></p><p>b") == "a\nb"

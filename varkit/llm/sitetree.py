@@ -9,7 +9,9 @@ combined from the leaves up.  Branches of low importance are removed from each p
 
 The tree alone can't judge hosts with few pages, nor articles that a site repeats, so what the markup says is
 heeded too: elements whose tag or class names them as page furniture are removed
-on every page, and where a page marks its main element, its paragraphs and headings stay.
+on every page, and where a page marks its main element, its paragraphs and headings stay.  Classes and ids count
+as whole names, and a class, an id or a form is no furniture where it holds most of the page's text
+(of the main element's, where one stands outside furniture).
 
 Statistics are sums over (host, node, feature), so a hot host is aggregated map-side and spread
 over its nodes and features.  Low nodes travel back as a broadcast table when there are at
@@ -50,6 +52,12 @@ FURNITURE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertise
                    "comment", "comments", "cookie", "cookies", "consent", "disclaimer", "disqus", "footer", "header", "masthead", "menu", "nav", "navbar",
                    "navigation", "newsletter", "notice", "notices", "popup", "promo", "promoted", "related", "replies", "respond", "search", "share",
                    "sharing", "sidebar", "sidebars", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets"}
+#: Words that a name of furniture may have besides, as in share-bar; other compounds (has-sidebar, entry-header) name no furniture.
+PLAIN_WORDS = {"bar", "block", "box", "buttons", "container", "links", "list", "site", "wrapper"}
+REPLY_WORDS = {"comment", "comments", "replies", "respond", "disqus"}
+#: Of an element in a main element that no soft furniture is around; 1 where some is, 0 elsewhere.
+FREE = 2
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure",
@@ -63,13 +71,23 @@ NAME = re.compile(r"[a-z]+")
 ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
+def furniture_words(names: list[str]) -> set[str]:
+    """The furniture words of the whole class names and ids that name furniture."""
+    found = set()
+    for name in names:
+        parts = set(NAME.findall(name))
+        if parts and parts <= FURNITURE_WORDS | PLAIN_WORDS:
+            found |= parts & FURNITURE_WORDS
+    return found
+
+
 class Node:
-    """An open block-level element."""
+    """An open block-level element.  ``soft`` numbers the elements around it that are furniture unless they hold most of the text."""
 
-    __slots__ = ("tag", "path", "children", "furniture", "main", "judged")
+    __slots__ = ("tag", "path", "children", "furniture", "soft", "main", "judged")
 
-    def __init__(self, tag, path, furniture, main, judged):
-        self.tag, self.path, self.furniture, self.main, self.judged = tag, path, furniture, main, judged
+    def __init__(self, tag, path, furniture, soft, main, judged):
+        self.tag, self.path, self.furniture, self.soft, self.main, self.judged = tag, path, furniture, soft, main, judged
         self.children: list[str] = []
 
 
@@ -81,11 +99,13 @@ class Page:
     """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, bool, bool, tuple]] = []
+        self.blocks: list[tuple[str, str, bool, bool, tuple]]
         self.layout: list[tuple[str, str]] = []
-        self.has_main = False
         self._text: list[str] = []
-        root = Node("", "", False, False, ())
+        self._found: list[tuple] = []
+        self._mains: set[tuple] = set()
+        self._softs = 0
+        root = Node("", "", False, (), 0, ())
         self._open = [root]
         at = 0
         while True:
@@ -110,6 +130,20 @@ class Page:
             self._pop()
         self._flush()
         self.layout.append(("", " ".join(root.children)))
+        self._judge_soft()
+
+    def _judge_soft(self):
+        free = () in self._mains
+        total, held = 0, {}
+        for _, text, furniture, soft, main, _ in self._found:
+            if not furniture and (main == FREE or not free):
+                total += len(text)
+                for e in soft:
+                    held[e] = held.get(e, 0) + len(text)
+        cleared = {e for e, n in held.items() if 2 * n > total}
+        self.has_main = any(cleared.issuperset(soft) for soft in self._mains)
+        self.blocks = [(path, text, furniture or not cleared.issuperset(soft), main > 0, judged)
+                       for path, text, furniture, soft, main, judged in self._found]
 
     def _flush_if_block(self, tag):
         if tag not in INLINE and tag not in ("script", "style", "noscript", "template", "svg", "math"):
@@ -121,7 +155,7 @@ class Page:
             self._text = []
             if text:
                 n = self._open[-1]
-                self.blocks.append((n.path, text, n.furniture, n.main, n.judged))
+                self._found.append((n.path, text, n.furniture, n.soft, n.main, n.judged))
 
     def _pop(self):
         self._flush()
@@ -166,23 +200,30 @@ class Page:
         if tag in MAIN_TAGS or tag == "body":
             # furniture that was never closed ends where the main element begins
             for depth, n in enumerate(self._open):
-                if n.furniture and n.tag in FURNITURE_TAGS:
+                if (n.furniture or n.soft) and n.tag in FURNITURE_TAGS:
                     while len(self._open) > depth:
                         self._pop()
                     break
-        names, role = [], ""
+        names, whole, role = [], [], ""
         for a in ATTRIBUTE.finditer(attributes):
             value = (a[2] or a[3] or a[4] or "").lower()
             if a[1].lower() == "role":
                 role = value.strip()
             else:
                 names += NAME.findall(value)
+                whole += value.split()
         parent = self._open[-1]
-        furniture = parent.furniture or tag in FURNITURE_TAGS and not (tag == "header" and parent.main) or role in ROLES or (
-            tag not in ("html", "body") and tag not in MAIN_TAGS and not FURNITURE_WORDS.isdisjoint(names)) or (
+        words = furniture_words(whole) if tag not in ("html", "body") and tag not in MAIN_TAGS and tag not in HEADINGS else set()
+        furniture = parent.furniture or tag in FURNITURE_TAGS and tag != "form" and not (tag == "header" and parent.main) or role in ROLES or (
+            not REPLY_WORDS.isdisjoint(words)) or (
             tag in MAIN_TAGS and not {"comment", "comments", "replies"}.isdisjoint(names))
-        main = parent.main or (tag in MAIN_TAGS or role == "main") and not furniture
-        self.has_main |= main
+        soft = parent.soft
+        if not furniture and (words or tag == "form"):
+            self._softs += 1
+            soft = (*soft, self._softs)
+        main = parent.main or (tag in MAIN_TAGS or role == "main") * (not furniture) * (1 if soft else FREE)
+        if main and not parent.main:
+            self._mains.add(soft)
         label = ".".join([tag, *sorted(set(names))])
         deep = len(self._open) > MAX_DEPTH
         path = parent.path if deep else f"{parent.path}/{label}"
@@ -190,7 +231,7 @@ class Page:
             parent.children.append(label)
         held = main and tag in PARAGRAPHS or tag in MAIN_TAGS or tag in ("html", "body") or deep
         judged = () if main and not parent.main else parent.judged if held else (*parent.judged, path)
-        self._open.append(Node(tag, path, furniture, main, judged))
+        self._open.append(Node(tag, path, furniture, soft, main, judged))
 
     def text(self, low: set[str] | frozenset = frozenset()) -> str:
         """The main text without furniture and without the branches whose paths are in ``low``.  A
