@@ -54,6 +54,22 @@ def test_tree_removes_what_a_site_repeats(spark):
     assert got[101].text == "" and got[101].n_chars == 0 and got[101].host == ""
 
 
+def test_repeated_blocks_inside_the_main_element(spark, monkeypatch):
+    """A line and a list that an article has on every page go; what some pages share, and copies and near copies, stay."""
+    own = [f"Page {i} tells its own story at some length, in words of number {i * 7}" for i in range(40)]
+    line, links = "<p>Subscribe to our letter</p>", "<ul><li>Read this</li><li>Read that</li></ul>"
+    pages = [(i, f"http://a.com/{i}", f"<body><article><h1>Title {i}</h1><p>{t}</p>{line}<p>Part {i % 2}</p>{links}</article></body>") for i, t in enumerate(own)]
+    near = [(i + 100, f"http://b.com/{i}", f"<body><article><p>{own[0]}</p><p>{own[1]}</p><p>note {i}</p></article></body>") for i in range(40)]
+    few = [(i + 200, f"http://c.com/{i}", pages[i][2]) for i in range(S.MIN_PAGES - 1)]
+    for nodes in (S.BROADCAST_NODES, -1):
+        monkeypatch.setattr(S, "BROADCAST_NODES", nodes)
+        got = _extract(spark, pages + near + few)
+        for i, t in enumerate(own):
+            assert got[i].text == f"Title {i}\n{t}\nPart {i % 2}"
+            assert got[i + 100].text == f"{own[0]}\n{own[1]}\nnote {i}"
+        assert "Subscribe" in got[200].text
+
+
 def test_low_nodes_joined_instead_of_broadcast(spark, monkeypatch):
     pages = _site(40) + [(200, *_site(13, "c.net")[12][1:])] + [(None, "http://a.com/", _site(1)[0][2]), (201, "http://a.com/3", _site(4)[3][2])]
     one = sorted((str(k), v.text) for k, v in _extract(spark, pages).items())

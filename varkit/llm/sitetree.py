@@ -5,11 +5,14 @@ with their classes.  A node's presentation importance is the entropy, to the bas
 of pages that have it, of the sequences of children it has in them: a node laid out the
 same on every page scores 0.  Its content importance is one minus the mean entropy of its text
 blocks over the pages: blocks that repeat on all pages score 0, blocks of one page 1.  Both are
-combined from the leaves up.  Branches of low importance are removed from each page.
+combined from the leaves up.  Branches of low importance are removed from each page, and so are single text blocks:
+the leaves of a node that are on nearly all pages that have it.
 
 The tree alone can't judge hosts with few pages, nor articles that a site repeats, so what the markup says is
 heeded too: elements whose tag or class names them as page furniture are removed
-on every page, and where a page marks its main element, its paragraphs and headings stay.  Classes and ids count
+on every page, and in a main element that a page marks, paragraphs, headings, lists and tables are held to the
+lower limit ``LOW_IN_MAIN``, as single blocks are anywhere.  What falls under it goes only where it is the lesser part of the
+text; where it is most of it, the page is a copy or near copy of an article that the site repeats, and keeps all.  Classes and ids count
 as whole names, and a class, an id or a form is no furniture where it holds most of the page's text
 (of the main element's, where one stands outside furniture).
 
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 from varkit.llm.common import stored
 from varkit.llm.url_filter import host_of
 
-MIN_PAGES, LOW_IMPORTANCE, DECAY = 12, 0.35, 0.9
+MIN_PAGES, LOW_IMPORTANCE, LOW_IN_MAIN, DECAY = 12, 0.35, 0.05, 0.9
+#: Before the path in keys of branches and of blocks that are held to ``LOW_IN_MAIN``.
+BRANCH, BLOCK = "!", "#"
 MAX_DEPTH, BROADCAST_NODES = 24, 100_000
 
 # Tags by role.
@@ -94,8 +99,8 @@ class Node:
 class Page:
     """``blocks``: (path, text, in furniture, in the main element, judged paths); ``layout``: (path, children).
 
-    Paths are strings of block-level tags with their classes.  ``judged`` are the paths, outermost
-    first, of the enclosing elements that the style tree may remove.
+    Paths are strings of block-level tags with their classes.  ``judged`` are the keys of what the style tree
+    may remove the block by: paths of enclosing elements, outermost first, and the block itself.
     """
 
     def __init__(self, source: str):
@@ -155,7 +160,7 @@ class Page:
             self._text = []
             if text:
                 n = self._open[-1]
-                self._found.append((n.path, text, n.furniture, n.soft, n.main, n.judged))
+                self._found.append((n.path, text, n.furniture, n.soft, n.main, (*n.judged, _block_key(n.path, _digest(text)))))
 
     def _pop(self):
         self._flush()
@@ -229,15 +234,21 @@ class Page:
         path = parent.path if deep else f"{parent.path}/{label}"
         if not deep:
             parent.children.append(label)
-        held = main and tag in PARAGRAPHS or tag in MAIN_TAGS or tag in ("html", "body") or deep
-        judged = () if main and not parent.main else parent.judged if held else (*parent.judged, path)
+        held = tag in MAIN_TAGS or tag in ("html", "body") or deep
+        key = BRANCH + path if main and tag in PARAGRAPHS else path
+        judged = () if main and not parent.main else parent.judged if held else (*parent.judged, key)
         self._open.append(Node(tag, path, furniture, soft, main, judged))
 
     def text(self, low: set[str] | frozenset = frozenset()) -> str:
-        """The main text without furniture and without the branches whose paths are in ``low``.  A
+        """The main text without furniture and without the branches and blocks whose keys are in ``low``.  A
         page that consists of low branches only, as copies of one page do, keeps them."""
         kept = [(t, judged) for _, t, furniture, main, judged in self.blocks if not furniture and (main or not self.has_main)]
-        return "\n".join([t for t, judged in kept if low.isdisjoint(judged)] or [t for t, _ in kept])
+        left = [(t, low.intersection(judged)) for t, judged in kept]
+        left = [(t, why) for t, why in left if all(k[:1] in (BRANCH, BLOCK) for k in why)]
+        texts = [t for t, why in left if not why]
+        if 2 * sum(map(len, texts)) < sum(len(t) for t, _ in left):
+            texts = [t for t, _ in left]
+        return "\n".join(texts or [t for t, _ in kept])
 
 
 def observations(pages: DataFrame) -> DataFrame:
@@ -258,6 +269,10 @@ def observations(pages: DataFrame) -> DataFrame:
     return rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
+def _block_key(path: str, digest: int) -> str:
+    return f"{BLOCK}{path} {digest}"
+
+
 def _digest(text: str) -> int:
     import xxhash
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
@@ -301,13 +316,25 @@ def low_nodes(importance: DataFrame, min_pages: int = MIN_PAGES, low: float = LO
     return importance.where((F.col("pages") >= min_pages) & (F.col("importance") < low)).select("host", "path")
 
 
+def low_blocks(counts: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW_IN_MAIN) -> DataFrame:
+    """(host, path) of text blocks, by key, that are on nearly all of the pages that have their node."""
+    pages = counts.where("kind = 0").select("host", "path", F.col("n").alias("pages")).where(F.col("pages") >= min_pages)
+    content = 1 - F.log(F.least("n", "pages").cast("double")) / F.log(F.col("pages").cast("double"))
+    return (counts.where("kind = 2 AND n > 1").join(pages, ["host", "path"]).where(content < low)
+            .select("host", F.concat(F.lit(BLOCK), "path", F.lit(" "), F.col("feature").cast("string")).alias("path")))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
             min_pages: int = MIN_PAGES, low: float = LOW_IMPORTANCE) -> DataFrame:
     """(id, url, host, text, n_chars) per page."""
     url = F.col(f"`{url_col}`")
     rows = pages.select(F.col(f"`{id_col}`").alias("_id"), url.alias("_url"), host_of(url).alias("host"),
                         F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
-    drop = stored(low_nodes(node_importance(observations(rows)), min_pages, low), "low-nodes")
+    counts = stored(observations(rows), "site-counts")
+    importance = node_importance(counts)
+    in_main = low_nodes(importance, min_pages, min(low, LOW_IN_MAIN)).select("host", F.concat(F.lit(BRANCH), "path").alias("path"))
+    drop = low_nodes(importance, min_pages, low).unionByName(in_main).unionByName(low_blocks(counts, min_pages, min(low, LOW_IN_MAIN)))
+    drop = stored(drop, "low-nodes")
     id_type = rows.schema["_id"].dataType.simpleString()
     schema = f"_id {id_type}, _url string, host string, text string"
 
