@@ -1,10 +1,10 @@
-"""Token-id files: an adaptive context-mixing range coder in independent blocks.
+"""Token-id files: an adaptive escape-coding range coder in independent blocks.
 
-Each id is predicted by the mixture  w2 [id = p2] + w1 [id = p1] + w0 P0(id):  p2 and p1 are the
+Each id is predicted in parts, order 2, then 1, then 0 (escape coding, not a mixture in one distribution): p2 and p1 are the
 ids that last followed the same two ids and the same id (orders 2 and 1), P0 is the distribution of
 the block's ids so far (order 0).  The weights adapt: they are counts of what was right
-before in the same state of confidence.  A 64-bit range coder codes, per id, which part of the
-mixture it comes from and, for P0, the id.  All models start afresh in every block, and a block
+before in the same state of confidence.  A 64-bit range coder codes, per id, which part
+it comes from and, for P0, the id (p2 and p1 are not excluded from P0).  All models start afresh in every block, and a block
 carries its length, its documents and a checksum of its ids, so blocks are read alone and in any order.
 
 P0 is renewed at fixed places (``RENEWALS``), so the encoder finds all probabilities with array
