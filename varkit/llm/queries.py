@@ -265,3 +265,49 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_token_files(table(spark, sf_dir, "documents"), path, tokenizer)
     size = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
     return read_documents(spark, path, size).withColumnRenamed("id", "doc_id")
+
+
+# ------------------------------------------------------------------ 13 filter interaction audit
+FILTER_AUDIT_SQL = f"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{WORD_RE}') AS w FROM documents
+), first AS (SELECT t, min(doc_id) AS first FROM w GROUP BY t),
+marks AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), d AS (
+  SELECT rid, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+      len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+      100 * (length(w.t) - length(regexp_replace(w.t, '[A-Z]', '', 'g'))) > 3 * length(w.t),
+      regexp_matches(w.t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails
+  FROM w JOIN first ON first.t = w.t LEFT JOIN marks USING (doc_id)
+), cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+ids AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, e.i, f.i] AS o FROM ids a, ids b, ids c, ids e, ids f
+  WHERE len(list_distinct([a.i, b.i, c.i, e.i, f.i])) = 5
+), steps AS (
+  SELECT o, i AS step, o[i] AS f, o[1:i - 1] AS earlier, list_aggregate(list_transform(o, lambda x: substr('ABCDE', x, 1)), 'string_agg', '') AS filter_order
+  FROM orders, ids
+), x AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS bad,
+    len(list_filter(earlier, lambda e: fails[e])) > 0 AS gone, len(list_filter(fails, lambda y: y)) AS n_fails FROM cells, steps
+), y AS (
+  SELECT part, filter_order, step, f, sum(n) FILTER (NOT bad AND NOT gone) AS kept, sum(n) FILTER (bad AND NOT gone) AS removed,
+    sum(n) FILTER (bad AND gone) AS redundant, sum(n) FILTER (bad AND n_fails = 1) AS unique_fails,
+    sum(good) FILTER (bad AND NOT gone) AS good_lost, sum(toxic) FILTER (bad AND NOT gone) AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM y
+"""
+
+
+@register("op13_filter_audit", FILTER_AUDIT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.llm.filter_audit import audit
+    docs = table(spark, sf_dir, "documents").withColumn("lang", F.coalesce("lang", F.lit("")))
+    return audit(docs, table(spark, sf_dir, "labels"))
