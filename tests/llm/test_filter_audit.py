@@ -12,8 +12,8 @@ def brute(rows, labels):
     for i, t, *_ in rows:
         if i is not None:
             smallest[t or ""] = min(i, smallest.get(t or "", i))
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1} - {None}  # no id is no match
+    toxic = {i for i, _, t in labels if t == 1} - {None}
     parts = defaultdict(list)
     for i, t, lang, _ in rows:
         t = t or ""

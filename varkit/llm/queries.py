@@ -311,3 +311,32 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.llm.filter_audit import audit
     docs = table(spark, sf_dir, "documents").withColumn("lang", F.coalesce("lang", F.lit("")))
     return audit(docs, table(spark, sf_dir, "labels"))
+
+
+# ------------------------------------------------------------------ 11 ranked lexical search
+_TERM_RE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERMS = (f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM_RE}')")
+
+LEXICAL_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT row_number() OVER () AS qid, item_id, {_TERMS} AS w FROM benchmark),
+qt AS (SELECT DISTINCT qid, item_id, unnest(w) AS x FROM q),
+p AS (SELECT rid, doc_id, n, x, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS x FROM d) WHERE x IN (SELECT x FROM qt) GROUP BY ALL),
+f AS (SELECT x, count(*) AS df FROM p GROUP BY x),
+i AS (
+  SELECT rid, doc_id, p.x, CAST(floor(1000 * ln((2 * s.n + 2) / (2 * f.df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * p.n * s.n) // s.l)))) AS part
+  FROM p JOIN f USING (x), s
+), r AS (
+  SELECT qid, item_id, rid, doc_id, CAST(sum(part) AS BIGINT) AS score FROM qt JOIN i USING (x) GROUP BY ALL HAVING sum(part) > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r) WHERE rank <= 50
+"""
+
+
+@register("op11_lexical", LEXICAL_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.llm.lexical import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
