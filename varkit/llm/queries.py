@@ -340,3 +340,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.llm.lexical import search
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# ------------------------------------------------------------------ 12 toxicity
+@register("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from varkit.llm.toxicity import score_documents
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
