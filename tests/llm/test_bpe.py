@@ -64,7 +64,7 @@ def test_query_and_round_trip(spark, library):
         ids = library.encode(docs[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(array.array("I", ids).tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
-    rows = documents(spark, [(1, None, "en", "s"), (1, "x y", None, None), (None, "z", "en", "s")])
+    rows = documents(spark, [(1, None, "en", "s"), (1, "x y", None, None), (None, "z", "en", "s"), (2**53 + 1, "big", "en", "s")]).coalesce(1)
     back = bpe.decode_documents(bpe.encode_documents(rows, byte_bpe_path()), byte_bpe_path()).collect()
-    assert sorted((str(r.doc_id), r.text) for r in back) == [("1", ""), ("1", "x y"), ("nan", "z")] or sorted(r.text for r in back) == ["", "x y", "z"]
+    assert sorted((str(r.doc_id), r.text) for r in back) == [("1", ""), ("1", "x y"), (str(2**53 + 1), "big"), ("None", "z")]
     assert bpe.encode_documents(rows.limit(0), byte_bpe_path()).count() == 0

@@ -46,6 +46,12 @@ def _site(n, host="a.com"):
              f"<div><span>Imprint</span> and terms {i % 2}</div></body>") for i in range(n)]
 
 
+def test_large_ids_beside_null_are_kept(spark):
+    pages = [(2**53 + 1, "http://a/", "<p>x</p>"), (None, "http://a/", "<p>y</p>"), (2**53 + 3, "http://a/", "")]
+    df = spark.createDataFrame([(i, u, h, "t", "h", "p") for i, u, h in pages], SCHEMA).coalesce(1)
+    assert {(r.page_id, r.text) for r in S.extract(df).collect()} == {(2**53 + 1, "x"), (None, "y"), (2**53 + 3, "")}
+
+
 def test_tree_removes_what_a_site_repeats(spark):
     got = _extract(spark, _site(40) + [(100, "http://b.org/", _site(1)[0][2]), (101, None, None)])
     for i in range(40):

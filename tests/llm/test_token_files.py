@@ -63,6 +63,9 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     got = sorted((r.start, str(r.id), r.n_tokens) for r in T.read_documents(spark, path, 49408).collect())
     assert [x[0] for x in got] == [0, 3, *np.cumsum([x[2] for x in got[1:]])[:2] + 3] and got[0][1] == "None" and len(got) == 4
     path = scratch(spark, "test-tokens")
+    T.write_token_files(documents(spark, [(None, "a", "en", "s"), (2**53 + 1, "x " * 9000, "en", "s"), (2**53 + 3, "y", "en", "s")]).coalesce(1), path, tok)
+    assert {str(r.id) for r in T.read_documents(spark, path, 49408).collect()} == {"None", str(2**53 + 1), str(2**53 + 3)}
+    path = scratch(spark, "test-tokens")
     T.write_token_files(documents(spark, []), path, tok)
     assert T.read_documents(spark, path, 49408).count() == 0
 

@@ -36,6 +36,13 @@ def test_round_trip_with_segments_and_revisits(spark):
     assert whole[3].decode() == PAGES[5][2] and whole[10].decode() == PAGES[10][2]
 
 
+def test_large_ids_beside_null_are_kept(spark):
+    big = 2**53
+    rows = [(big + 1, "u", "same"), (big + 11, "u", "same"), (None, "u", "other"), (big + 3, "u", "long " * 900), (big + 5, "u", "single")]
+    _, got = _trip(spark, rows, segment_bytes=500)
+    assert got == _expected(rows)
+
+
 def test_short_payloads_may_all_be_responses(spark):
     _, got = _trip(spark, PAGES, min_bytes=11)
     assert got == _expected(PAGES, 11)

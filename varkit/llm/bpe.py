@@ -32,7 +32,7 @@ import json
 import re
 from array import array
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,18 +171,24 @@ class Automaton:
 
 
 class _Chunks(dict):
-    """Ids, as bytes, of a text's parts by part; missing ones are encoded."""
+    """Ids, as bytes, of a text's parts by part; missing ones are encoded.  There are two generations:
+    when the young one is full it becomes the old one, and what is used again moves back."""
 
     def __init__(self, encode):
         super().__init__()
         self._encode = encode
+        self._old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self._encode(part)
-        if len(part) <= 64 and "\n" not in part:
-            if len(self) >= CHUNKS_KEPT:
-                self.clear()
-            self[part] = ids
+        ids = self._old.get(part)
+        if ids is None:
+            ids = self._encode(part)
+            if len(part) > 64 or "\n" in part:
+                return ids
+        if len(self) >= CHUNKS_KEPT:
+            self._old = dict(self)
+            self.clear()
+        self[part] = ids
         return ids
 
 
@@ -257,14 +263,16 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches):
         c = codec(path)
         for b in batches:
-            ids = [c.encode(t) for t in b["_text"]]
-            out = {id_col: b["_id"], "n_tokens": [len(x) // 4 for x in ids],
-                   "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                   "decoded_sha256": [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]}
-            yield pd.DataFrame(out | ({"ids": ids} if with_ids else {}), columns=[*out, *(["ids"] if with_ids else [])])
+            ids = [c.encode(t.as_py()) for t in b.column(1)]
+            out = {id_col: b.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                   "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                   "decoded_sha256": pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids], pa.string())}
+            if with_ids:
+                out["ids"] = pa.array(ids, pa.binary())
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -274,7 +282,7 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
     def run(batches):
         c = codec(path)
         for b in batches:
-            yield pd.DataFrame({id_col: b["_id"], "text": [c.decode(bytes(x)) for x in b["_ids"]]})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x.as_py()) for x in b.column(1)], pa.string())], [id_col, "text"])
 
     rows = encoded.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{ids_col}`"), F.lit(b"")).alias("_ids"))
-    return rows.mapInPandas(run, f"`{id_col}` {kind}, text string")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, text string")

@@ -32,6 +32,7 @@ import html as html_lib
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -346,10 +347,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         def run(batches):
             for b in batches:
-                yield pd.DataFrame({"_id": b["_id"], "_url": b["_url"], "host": b["host"],
-                                    "text": [Page(h).text(lows.value.get(host, frozenset())) for h, host in zip(b["html"], b["host"])]})
+                ids, urls, hosts, htmls = b.columns
+                texts = [Page(h).text(lows.value.get(host, frozenset())) for h, host in zip(htmls.to_pylist(), hosts.to_pylist())]
+                yield pa.RecordBatch.from_arrays([ids, urls, hosts, pa.array(texts, pa.string())], ["_id", "_url", "host", "text"])
 
-        out = rows.mapInPandas(run, schema)
+        out = rows.mapInArrow(run, schema)
     else:
         out = _extract_joined(rows, drop, schema)
     return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "host", "text",
@@ -369,7 +371,8 @@ def _extract_joined(rows: DataFrame, drop: DataFrame, schema: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "_url": b["_url"], "host": b["host"],
-                                "text": [Page(h).text(set(x) if x is not None else frozenset()) for h, x in zip(b["html"], b["_low"])]})
+            ids, urls, hosts, htmls, low = b.columns
+            texts = [Page(h).text(set(x or ())) for h, x in zip(htmls.to_pylist(), low.to_pylist())]
+            yield pa.RecordBatch.from_arrays([ids, urls, hosts, pa.array(texts, pa.string())], ["_id", "_url", "host", "text"])
 
-    return keyed.join(found, F.col("_key") == F.col("_k"), "left").select("_id", "_url", "host", "html", "_low").mapInPandas(run, schema)
+    return keyed.join(found, F.col("_key") == F.col("_k"), "left").select("_id", "_url", "host", "html", "_low").mapInArrow(run, schema)

@@ -29,6 +29,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -390,16 +391,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
         def flush():
             nonlocal done
             codes = encode_blocks([b for b, _, _ in ready], texts.size)
-            out = pd.DataFrame({"part": part, "block": np.arange(done, done + len(ready), dtype=np.int64),
-                                "payload": [pack(b, c, s, f) for (b, s, f), c in zip(ready, codes)]})
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([part] * len(ready), pa.int32()), pa.array(range(done, done + len(ready)), pa.int64()),
+                 pa.array([pack(b, c, s, f) for (b, s, f), c in zip(ready, codes)], pa.binary())], ["part", "block", "payload"])
             done += len(ready)
             ready.clear()
             return out
 
         for batch in batches:
-            for part, name, text in zip(batch["part"], batch["id"], batch["text"]):
+            for part, name, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 ids = texts.ids(text)
-                name, at = None if pd.isna(name) else int(name), 0
+                at = 0
                 while at < len(ids):
                     take = min(room, len(ids) - at)
                     if not held:
@@ -418,7 +420,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, id_col: s
         if ready:
             yield flush()
 
-    rows.select("part", "id", "text").mapInPandas(write, "part int, block long, payload binary").write.option(
+    rows.select("part", "id", "text").mapInArrow(write, "part int, block long, payload binary").write.option(
         "compression", "uncompressed").parquet(path)
 
 
@@ -443,8 +445,8 @@ def read_segments(spark: SparkSession, path: str, size: int, with_ids: bool = Fa
                         row = (part, first_doc + k, block, name, count, zlib.crc32(raw[4 * place:4 * (place + count)]), starts and ends)
                         out.append((*row, ids[place:place + count]) if with_ids else row)
                         place += count
-                frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-                yield frame.astype({"id": "Int64"})
+                # as objects: a NULL beside them would turn the ids into doubles
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
     return spark.read.schema("part int, block long, payload binary").parquet(path).mapInPandas(read, schema)
 
@@ -455,25 +457,29 @@ def read_documents(spark: SparkSession, path: str, size: int) -> DataFrame:
 
     columns = ["part", "doc_no", "id", "n", "crc32"]
 
+    def batch_of(rows):
+        arrays = [pa.array([r[i] for r in rows], pa.int64() if i else pa.int32()) for i in range(len(columns))]
+        return pa.RecordBatch.from_arrays(arrays, columns)
+
     def join(batches):
         """Puts the segments of a document, which follow one another, together as they come."""
         held = None
         for b in batches:
             out = []
-            for part, doc_no, name, n, crc in zip(*[b[c] for c in columns]):
+            for part, doc_no, name, n, crc in zip(*[b.column(i).to_pylist() for i in range(len(columns))]):
                 if held is not None and held[:2] == [part, doc_no]:
-                    held[4] = crc32_join(held[4], int(crc), 4 * int(n))
-                    held[3] += int(n)
+                    held[4] = crc32_join(held[4], crc, 4 * n)
+                    held[3] += n
                 else:
                     out += [held] * (held is not None)
-                    held = [part, doc_no, name, int(n), int(crc)]
-            yield pd.DataFrame(out, columns=columns).astype({"id": "Int64"})
+                    held = [part, doc_no, name, n, crc]
+            yield batch_of(out)
         if held is not None:
-            yield pd.DataFrame([held], columns=columns).astype({"id": "Int64"})
+            yield batch_of([held])
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cut = (segments.where("NOT whole").select(*columns, "block").repartition(parts, "part", "doc_no")
-           .sortWithinPartitions("part", "doc_no", "block").mapInPandas(join, "part int, doc_no long, id long, n long, crc32 long"))
+           .sortWithinPartitions("part", "doc_no", "block").select(*columns).mapInArrow(join, "part int, doc_no long, id long, n long, crc32 long"))
     docs = segments.where("whole").select(*columns).unionByName(cut)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)     # one row per part
     base = segments.groupBy("part").agg(F.sum("n").alias("_n")).select(F.col("part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

@@ -29,6 +29,7 @@ import re
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,14 +134,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     def build(batches):
         for b in batches:
             out = []
-            for pid, url, text, first in zip(b["id"], b["url"], b["html"], b["first"]):
-                pid, first = None if pd.isna(pid) else int(pid), None if pd.isna(first) else int(first)
+            for pid, url, text, first in zip(*[b.column(i).to_pylist() for i in range(4)]):
                 refers = first if first is not None and first != pid else None
                 # ids are drawn at random: a record's segments are written by one task attempt
                 out += page_records(pid, url, text, sha1_base32(text.encode()), refers, uuid.uuid4().hex, segment_bytes)
-            yield pd.DataFrame({"value": out}, dtype=object)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    (rows.select("id", "url", "html", "first").mapInPandas(build, "value string").write
+    (rows.select("id", "url", "html", "first").mapInArrow(build, "value string").write
      .option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path))
 
 
@@ -207,8 +207,10 @@ def reassembled(records: DataFrame) -> DataFrame:
         payload = checked_payload(block, first["digest"])
         return pd.DataFrame([(first["record_id"], first["page_id"], first["digest"], payload)], columns=["record_id", "page_id", "digest", "payload"])
 
-    return records.where("segment_no IS NOT NULL").groupBy("origin_id").applyInPandas(
-        join, "record_id string, page_id long, digest string, payload binary")
+    # only a record's first segment names the page; pandas would turn a column of one number and NULLs into doubles
+    segments = records.where("segment_no IS NOT NULL").withColumn("page_id", F.col("page_id").cast("string"))
+    whole = segments.groupBy("origin_id").applyInPandas(join, "record_id string, page_id string, digest string, payload binary")
+    return whole.withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
