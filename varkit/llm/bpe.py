@@ -45,7 +45,7 @@ WORD_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WHITE + r"\p
 RARE_WHITE_THEN_SPACE = re.compile("[\t\x0b\x0c\r\x85\xa0  -     　] ")
 
 #: Entries of the memories before they are emptied.
-CHUNKS_KEPT, ARCS_KEPT, LACKING_KEPT = 120_000, 300_000, 500_000
+CHUNKS_KEPT, ARCS_KEPT, LACKING_KEPT = 250_000, 300_000, 500_000
 
 
 def byte_letters() -> dict[str, int]:
