@@ -63,7 +63,7 @@ def test_with_positions_ties_broken_by_key(spark, bucketed):
     rows = [(i, float(rnd.randint(0, 9))) for i in range(80)]
     df = spark.createDataFrame(rows, "id long, v double")
     got = {r["id"]: r["_pos"] for r in
-           with_positions(df, [], [F.col("v").asc(), F.col("id").asc()], "v").collect()}
+           with_positions(df, [], ["v", "id"]).collect()}
     want = {i: p for p, (v, i) in enumerate(sorted((v, i) for i, v in rows))}
     assert got == want
 
@@ -76,3 +76,82 @@ def test_binary_search(spark):
                            or_equal=True).collect()}
     assert got[-1.0] == (0, 0) and got[0.0] == (0, 1) and got[1.0] == (1, 3)
     assert got[2.5] == (4, 4) and got[3.0] == (4, 5) and got[9.0] == (5, 5) and got[None] == (0, 0)
+
+
+def test_one_value_spans_many_buckets(spark):
+    """A value in a third of the rows is cut by the second order column; no bucket grows past the limit's double."""
+    from varkit.operators import rank
+    rnd = random.Random(8)
+    rows = [(i, 7.0 if i % 3 == 0 else rnd.uniform(0, 20)) for i in range(9000)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, v double").repartition(6).withColumn("_grp", F.lit(0))
+    cut, several = rank._range_buckets(df, ["_grp"], ["v", "id"], 100)
+    sizes = [r["count"] for r in cut.groupBy("_rb").count().collect()]
+    assert several and sum(sizes) == 9000 and max(sizes) < 200
+    spark.conf.set(rank.CONF_ROWS_PER_BUCKET, "100")
+    try:
+        got = {r["id"]: r["_pos"] for r in with_positions(df, [], ["v", "id"]).collect()}
+    finally:
+        spark.conf.unset(rank.CONF_ROWS_PER_BUCKET)
+    assert got == {i: p for p, (v, i) in enumerate(sorted((v, i) for i, v in rows))}
+
+
+def test_buckets_are_cut_again_until_they_fit(spark, monkeypatch):
+    """With few boundaries per level the second and third level do the rest: there is no largest number of buckets."""
+    from varkit.operators import rank
+    monkeypatch.setattr(rank, "SPLITS", 6)
+    rnd = random.Random(2)
+    rows = [(i, float(rnd.randint(0, 40))) for i in range(3000)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    cut, _ = rank._range_buckets(df.withColumn("_grp", F.lit(0)), ["_grp"], ["v", "id"], 20)
+    assert max(r["count"] for r in cut.groupBy("_rb").count().collect()) <= 60
+    spark.conf.set(rank.CONF_ROWS_PER_BUCKET, "20")
+    try:
+        got = {r["id"]: r["_pos"] for r in with_positions(df, [], ["v", "id"]).collect()}
+    finally:
+        spark.conf.unset(rank.CONF_ROWS_PER_BUCKET)
+    assert got == {i: p for p, (_, _, i) in enumerate(sorted((v is not None, v or 0, i) for i, v in rows))}
+    # rows equal in every order column can't be cut, and don't loop
+    same = spark.createDataFrame([(1.0,)] * 300, "v double").withColumn("_grp", F.lit(0))
+    assert rank._range_buckets(same, ["_grp"], ["v"], 10)[0].select("_rb").distinct().count() == 1
+
+
+@pytest.mark.parametrize("limit,grid", [(250_000, 1000), (50, 1000), (50, 10), (3, 4)])
+def test_order_statistics_by_brackets(spark, monkeypatch, limit, grid):
+    """Small limits send brackets through further rounds; a coarse grid makes the first brackets wide."""
+    from varkit.operators import brackets, rank
+    monkeypatch.setattr(brackets, "GRID", grid)
+    rnd = random.Random(4)
+    data = {("a",): [7.0] * 700 + [rnd.uniform(-5, 50) for _ in range(1400)], ("b",): [float(rnd.randint(0, 5)) for _ in range(900)],
+            ("c",): [rnd.gauss(0, 1) for _ in range(60)], ("d",): [float("inf")] * 80 + [-0.0, 0.0] * 20}
+    df = spark.createDataFrame([(g[0], v) for g, vs in data.items() for v in vs] + [("a", None), ("z", None)], "g string, v double").repartition(5)
+    want = {g: [0, 1, len(v) // 100, len(v) // 3, len(v) // 2, len(v) - 1, len(v)] for g, v in data.items()} | {("z",): [0]}
+
+    def brute(vs, p):
+        v = sorted(vs)[p]
+        return brackets.Statistic(v, sum(x < v for x in vs), sum(x == v for x in vs))
+    spark.conf.set(rank.CONF_ROWS_PER_BUCKET, str(limit))
+    try:
+        got = brackets.order_statistics(df, ["g"], "v", want, {g: len(v) for g, v in data.items()} | {("z",): 0})
+    finally:
+        spark.conf.unset(rank.CONF_ROWS_PER_BUCKET)
+    assert got == {(g, p): brute(data[g], p) for g, ps in want.items() for p in ps if g in data and p < len(data[g])}
+
+
+def test_brackets_shuffle_a_small_part(spark):
+    """The second pass counts by value inside the brackets only: the kept table is far smaller than the distinct values."""
+    from varkit.operators import brackets, rank
+    from varkit.operators.summary import Scratch
+    kept, keep = [], Scratch.keep
+    n = 200_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("v"))
+    spark.conf.set(rank.CONF_ROWS_PER_BUCKET, "5000")
+    try:
+        Scratch.keep = lambda self, frame: kept.append(keep(self, frame)) or kept[-1]
+        got = brackets.order_statistics(df, [], "v", {(): [0, n // 2, n - 1]}, {(): n})
+        rows = [f.count() for f in kept]
+    finally:
+        Scratch.keep = keep
+        spark.conf.unset(rank.CONF_ROWS_PER_BUCKET)
+    assert [got[(), p].value for p in (0, n // 2, n - 1)] == [0.0, n / 2, n - 1.0]
+    assert sum(rows) < n / 50

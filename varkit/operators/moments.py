@@ -3,12 +3,11 @@
 Each partition sums products of its rows, shifted by the mean of its first batch, as matrix products
 over Arrow batches: counts, sums, squares and cross products per pair of columns, with missing
 values masked, so pairwise-complete moments need no pass of their own.  Partial
-results are merged in groups of ``FAN_IN`` until few enough are left for the driver.
+results are merged by ``FAN_IN`` tasks, whose sums the driver adds up.
 """
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 from typing import Sequence
 
@@ -74,14 +73,18 @@ def pair_sums(x: DataFrame, centred: bool = True) -> np.ndarray | None:
         if total is not None:
             yield _pack([total], TaskContext.get().partitionId())
 
-    def fold(group):
-        parts = [np.frombuffer(m, np.float64).reshape(5, k, k) for m in group["m"]]
-        return _pack(parts, int(group["g"].iloc[0]) // FAN_IN)
+    def fold(batches):
+        total, first = None, 0
+        for b in batches:
+            for g, m in zip(b["g"], b["m"]):
+                part = np.frombuffer(m, np.float64).reshape(5, k, k)
+                total, first = (part, int(g)) if total is None else (_merge([total, part]), first)
+        if total is not None:
+            yield _pack([total], first)
 
     rows = x.mapInPandas(scan, "g int, m binary")
-    parts = x.rdd.getNumPartitions() if x.columns else 1
-    for _ in range(max(0, math.ceil(math.log(max(parts, 1), FAN_IN)) - 1)):
-        rows = rows.groupBy(F.floor(F.col("g") / FAN_IN)).applyInPandas(fold, "g int, m binary")
+    # by the number of the partial result, however many there are: each of the tasks adds up its share as a stream
+    rows = rows.repartition(FAN_IN, F.col("g") % FAN_IN).sortWithinPartitions("g").mapInPandas(fold, "g int, m binary")
     found = [np.frombuffer(r.m, np.float64).reshape(5, k, k) for r in rows.orderBy("g").collect()]
     return _merge(found) if found else None
 

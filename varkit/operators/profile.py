@@ -7,14 +7,15 @@ distinct count and the categories at cumulative shares of the ascending
 frequency list (least frequent as ``min_cat``, most frequent as ``max_cat``).
 
 Plan: the variables are unpivoted to a long table so one aggregate covers all
-of them.  Percentiles come from :func:`varkit.operators.rank.select_positions`
-over the distinct (variable, value) table, never from a per-variable global
-sort or a per-variable collect.
+of them.  Percentiles come from :func:`varkit.operators.brackets.order_statistics`:
+a quantile sketch brackets every wanted position and only the values inside the brackets are
+shuffled, never all distinct values, a per-variable global sort or a per-variable collect.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+import math
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from varkit.functions.columns import (
     sigma_names, to_long, variable_order,
 )
 from varkit.functions.distributions import chi2_sf, f_sf
+from varkit.operators.brackets import order_statistics
 from varkit.operators.rank import select_positions
 from varkit.operators.summary import Scratch, wide_agg
 
@@ -142,47 +144,67 @@ def _numeric_part_approx(df: DataFrame, num: list[str], percentiles, cv, ws: dic
                      None if ku is None else ku + 3.0, ws[f"a{i}"], ws[f"l{i}"], ws[f"h{i}"],
                      int(ws[f"d{i}"] or 0)) + tuple(None if v is None else float(v) for v in pv))
     schema = _NUM_STATS_SCHEMA + ", unique long, " + ", ".join(f"`{n}` double" for n in names)
-    out = spark.createDataFrame(rows, schema)
-    for dev in cv:
-        lo, hi = sigma_names(dev)
-        out = out.withColumn(lo, F.col("mean") - F.lit(float(dev)) * F.col("std"))
-        out = out.withColumn(hi, F.col("mean") + F.lit(float(dev)) * F.col("std"))
-    return out.withColumn("type", F.lit("numeric"))
+    return _with_sigmas(spark.createDataFrame(rows, schema), cv)
 
 
-def _unique_counts(df: DataFrame, num: list[str], dist: DataFrame) -> DataFrame:
-    """(variable, unique) by native value.  Doubles tell apart all values of the narrower types; 64-bit
-    integers and decimals are counted as they are, by their exact string form."""
-    wide = [c for c in num if isinstance(df.schema[c].dataType, (T.LongType, T.DecimalType))]
-    out = dist.groupBy("variable").agg(F.count(F.lit(1)).alias("unique"))
-    if not wide:
-        return out
-    exact = to_long(df, wide, kind="categorical").where(F.col("value").isNotNull()).distinct()
-    exact = exact.groupBy("variable").agg(F.count(F.lit(1)).alias("unique"))
-    return out.where(~F.col("variable").isin(wide)).unionByName(exact)
+def _unique_counts(df: DataFrame, num: list[str]) -> dict[str, int]:
+    """Distinct non-missing values of every numeric column, by native value, in one scan and one shuffle of
+    (column number, value): doubles tell apart all values of the narrower types, 64-bit integers stay what they
+    are and decimals are compared in their exact string form."""
+    kinds = [T.LongType, T.DecimalType]
+    slots = [("d", "double"), ("l", "long"), ("s", "string")]
+    used, items = set(), []
+    for i, c in enumerate(num):
+        kind = next((j + 1 for j, k in enumerate(kinds) if isinstance(df.schema[c].dataType, k)), 0)
+        used.add(kind)
+        value = numeric_value(df, c) if kind == 0 else qcol(c).cast(slots[kind][1])
+        items.append(F.struct(F.lit(i).alias("i"), *[(value if j == kind else F.lit(None).cast(t)).alias(n) for j, (n, t) in enumerate(slots)]))
+    names = [slots[j][0] for j in sorted(used)]
+    x = df.select(F.explode(F.array(*items)).alias("x")).select("x.i", *[f"x.{n}" for n in names])
+    x = x.where(" OR ".join(f"{n} IS NOT NULL" for n in names)).distinct()
+    counted = x.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {num[r["i"]]: r["n"] for r in counted}
+
+
+def percentile_positions(n: int, p: float) -> tuple[int, int, float]:
+    """The two 0-based positions between which percentile ``p`` of ``n`` values lies, and how far along."""
+    h = p * (n - 1)
+    lo = math.floor(h)
+    return lo, min(lo + 1, n - 1), h - lo
+
+
+def bracketed_percentiles(rows: DataFrame, keys: Sequence[str], value: str, percentiles: Sequence[float],
+                          sizes: Mapping[tuple, int]) -> dict[tuple, list[float]]:
+    """Exact percentiles (numpy 'linear') of groups known to the driver, from raw rows: ``{group: values}``.
+    ``sizes`` gives each group's number of non-NULL values; groups without any are left out."""
+    wanted = {g: [q for p in percentiles for q in percentile_positions(n, p)[:2]] for g, n in sizes.items() if n}
+    at = order_statistics(rows, keys, value, wanted, sizes)
+    out = {}
+    for g in wanted:
+        values = []
+        for p in percentiles:
+            lo, hi, t = percentile_positions(sizes[g], p)
+            a, b = at[g, lo].value, at[g, hi].value
+            values.append(b - (b - a) * (1 - t) if t >= 0.5 else a + (b - a) * t)
+        out[g] = values
+    return out
 
 
-def _numeric_part(df: DataFrame, num: list[str], percentiles, cv, ws: dict, scratch: Scratch) -> DataFrame:
-    spark = df.sparkSession
+def _numeric_part(df: DataFrame, num: list[str], percentiles, cv, ws: dict) -> DataFrame:
+    """Numeric rows, one per variable: moments from ``ws``, exact distinct counts, and percentiles from brackets."""
+    names = [pct_name(p) for p in percentiles]
+    unique = _unique_counts(df, num)
+    pcts = bracketed_percentiles(to_long(df, num), ["variable"], "value", percentiles, {(c,): ws[f"c{i}"] for i, c in enumerate(num)})
     rows = []
     for i, c in enumerate(num):
         ku = ws[f"u{i}"]
-        rows.append((c, ws[f"c{i}"], ws["_n"], ws[f"s{i}"], ws[f"k{i}"],
-                     None if ku is None else ku + 3.0, ws[f"a{i}"], ws[f"l{i}"], ws[f"h{i}"]))
-    stats = spark.createDataFrame(rows, _NUM_STATS_SCHEMA)
-    long = to_long(df, num)
-    counts = stats.select("variable", F.col("count").alias("_cnt"))
-    biggest = max([r[1] for r in rows] + [0])
-    dist = scratch.keep(distinct_values(long, ["variable"], "value"))
-    pcts = exact_percentiles(long, ["variable"], "value", percentiles, counts=counts,
-                             max_group_rows=biggest, dist=dist,
-                             group_rows={(r[0],): r[1] for r in rows})
-    uniq = _unique_counts(df, num, dist)
-    wide = pcts.groupBy("variable").agg(*[
-        F.max(F.when(F.col("_pi") == i, F.col("_pv"))).alias(pct_name(p))
-        for i, p in enumerate(percentiles)])
-    out = stats.join(uniq, "variable", "left").join(wide, "variable", "left")
-    out = out.withColumn("unique", F.coalesce("unique", F.lit(0).cast("long")))
+        rows.append((c, ws[f"c{i}"], ws["_n"], ws[f"s{i}"], ws[f"k{i}"], None if ku is None else ku + 3.0, ws[f"a{i}"], ws[f"l{i}"], ws[f"h{i}"],
+                     unique.get(c, 0)) + tuple(pcts.get((c,), [None] * len(names))))
+    schema = _NUM_STATS_SCHEMA + ", unique long, " + ", ".join(f"`{n}` double" for n in names)
+    return _with_sigmas(df.sparkSession.createDataFrame(rows, schema), cv)
+
+
+def _with_sigmas(out: DataFrame, cv: Sequence[int]) -> DataFrame:
     for dev in cv:
         lo, hi = sigma_names(dev)
         out = out.withColumn(lo, F.col("mean") - F.lit(float(dev)) * F.col("std"))
@@ -345,18 +367,18 @@ def _anova_rows(g: DataFrame, var: str, kind: str) -> list[tuple]:
 
 
 def _chi2_uniform(long: DataFrame) -> list[tuple]:
-    """Chi-square of the full dv x category grid (NULL is a level, empty cells
-    count) against equal expected counts.  Empty cells need not be built:
-    sum((o-e)^2/e) over all cells = sum(o^2)/e - n with e = n / cells."""
+    """Chi-square of the full dv x category grid (NULL is a level of its own, whatever strings there are; empty
+    cells count) against equal expected counts.  Empty cells need not be built: each adds e = n / cells."""
     cells = long.groupBy("variable", "value", "_y").agg(F.count(F.lit(1)).alias("o"))
-    t = cells.groupBy("variable").agg(
-        F.sum("o").alias("_n"), F.sum(F.col("o").cast("double") * F.col("o")).alias("_o2"),
-        F.count_distinct(F.coalesce(F.col("value"), F.lit("\u0000null"))).alias("_a"),
-        F.count_distinct(F.coalesce(F.col("_y"), F.lit("\u0000null"))).alias("_b")).collect()
+    levels = lambda c: F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))
+    size = cells.groupBy("variable").agg(F.sum("o").alias("_n"), (levels("value") * levels("_y")).cast("double").alias("_cells"))
+    off = F.col("o") - F.col("_n") / F.col("_cells")
+    t = (cells.join(F.broadcast(size), "variable").groupBy("variable", "_n", "_cells")  # one row per variable
+         .agg(F.sum(off * off).alias("_off2"), F.count(F.lit(1)).alias("_full")).collect())
     out = []
     for r in t:
-        ncell = float(r["_a"] * r["_b"])
-        stat = r["_o2"] / (r["_n"] / ncell) - r["_n"]
+        ncell, e = r["_cells"], r["_n"] / r["_cells"]
+        stat = r["_off2"] / e + (ncell - r["_full"]) * e
         out.append((r["variable"], "chi2_uniform_p", stat, ncell - 1, None, _nan_none(chi2_sf(stat, ncell - 1))))
     return out
 
@@ -391,7 +413,7 @@ def profile(df: DataFrame, dv: str | None = None, regression: bool = True,
         dv_groups = numeric_value(df, dv) if dv_numeric and regression and cat else None
         ws = _wide_stats(df, num, cat, None if exact else percentile, dv_y=dv_pass) if (num or cat) else {}
         if num and exact:
-            parts.append(_numeric_part(df, num, percentile, cv, ws, scratch))
+            parts.append(_numeric_part(df, num, percentile, cv, ws))
         elif num:
             parts.append(_numeric_part_approx(df, num, percentile, cv, ws))
         groups = None

@@ -4,24 +4,24 @@
 helpers here give the same exact answers with every step partitioned:
 
 1. per group (for example per variable) count the rows: one small aggregate;
-2. groups larger than ``rows_per_bucket`` get range boundaries placed from a
-   per-group row sample (a filter pass) and collected to the driver: about
-   n / rows_per_bucket numbers per group, at most ``max_buckets``, and at most
-   ``MAX_TOTAL_BUCKETS`` over all groups (the bucket size grows beyond that);
-3. every row gets a range bucket by binary search over its group's boundaries
-   (:func:`varkit.functions.search.with_count_less`); the bucket is a pure
-   function of the value, so equal values share a bucket and a recomputation
-   after an executor loss gives the same bucket;
-4. per (group, bucket) totals give bucket offsets (a table of at most
-   groups x buckets rows, broadcast);
+2. groups larger than ``rows_per_bucket`` are cut into ranges.  The boundaries are
+   *composite*: tuples of all the order columns, compared lexicographically, so a
+   value held by a third of all rows is cut by the tie-breaking column and spans as
+   many buckets as it needs.  They come from a row sample that is gathered and thinned
+   per group by an aggregate; a level places at most ``SPLITS`` of them per group, and
+   buckets that are still too large are cut again with boundaries of their own;
+3. every row gets its bucket by binary search over its group's boundaries
+   (:func:`varkit.functions.search.with_count_less`); the bucket is a pure function
+   of the order columns and of the pinned boundaries, so a recomputation after an
+   executor loss gives the same bucket;
+4. per (group, bucket) totals give bucket offsets (one row per bucket);
 5. an ordinary window partitioned by (group, bucket) finishes the job.
 
-:func:`select_positions` (order statistics: percentiles, bucket thresholds)
-only runs step 5 on the buckets that contain a wanted position.
-:func:`with_positions` gives every row its exact 0-based position.
+There is no limit on the number of buckets: it is rows / ``rows_per_bucket``.
 
-Callers pre-aggregate ties (one row per distinct value with a weight), so a value
-held by a third of all rows is a single row here.
+:func:`select_positions` (order statistics) only runs step 5 on the buckets that contain a wanted
+position.  :func:`with_positions` gives every row its exact 0-based position.  Order statistics
+of raw rows are found by :func:`varkit.operators.brackets.order_statistics` without any such cut.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -38,12 +38,9 @@ from varkit.functions.columns import qcol
 from varkit.functions.search import with_count_less
 
 ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 8192
-# Cap on the buckets of all over-size groups together (the bucket size grows
-# past it) and sampled values per bucket: together they bound what the driver
-# collects to place boundaries (about 16 x 131072 values).
-MAX_TOTAL_BUCKETS = 131_072
-SAMPLES_PER_BUCKET = 16
+#: Boundaries that one level places in a group, and sampled rows per bucket to place them.
+SPLITS = 1024
+SAMPLES_PER_BUCKET = 32
 # Session setting that overrides the rows per range bucket (tests use a small
 # value to run the bucketed path on small tables).
 CONF_ROWS_PER_BUCKET = "varkit.rank.rowsPerBucket"
@@ -56,103 +53,86 @@ def _spark(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def bucket_limit(spark: SparkSession, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    return int(spark.conf.get(CONF_ROWS_PER_BUCKET, str(rows_per_bucket)))
+
+
 def _with_group(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     if keys:
         return df, list(keys)
     return df.withColumn(_GROUP, F.lit(0)), [_GROUP]
 
 
-def _range_buckets(df: DataFrame, keys: list[str], value: str,
-                   rows_per_bucket: int, max_buckets: int,
-                   max_group_rows: int | None = None,
-                   group_rows: dict | None = None) -> tuple[DataFrame, bool]:
-    """Add column ``_rb`` (range bucket within the group, monotone in value);
-    the flag says whether any group needed more than one bucket.
-
-    Only groups with more than ``rows_per_bucket`` rows get boundaries; a group
-    of n rows gets about n / rows_per_bucket buckets (at most ``max_buckets``).
-    When the over-size groups together would need more than
-    ``MAX_TOTAL_BUCKETS`` buckets, the bucket size grows instead, so the number
-    of groups collected and the boundary sample stay bounded at any scale.
-    ``max_group_rows`` is an upper bound on the rows of any group when the
-    caller already knows one; when it is at most ``rows_per_bucket`` no
-    counting job runs.
+def _order_key(order: Sequence[str]) -> Column:
+    """What boundaries are made of: the order column, or a struct of them, which compares field by field."""
+    return qcol(order[0]) if len(order) == 1 else F.struct(*[qcol(c).alias(f"o{i}") for i, c in enumerate(order)])
+
+
+def _range_buckets(df: DataFrame, keys: list[str], order: Sequence[str], limit: int,
+                   max_group_rows: int | None = None, group_rows: dict | None = None) -> tuple[DataFrame, bool]:
+    """Add column ``_rb`` (range bucket within the group, monotone in ``order``); the flag says
+    whether any group needed more than one bucket.
+
+    ``max_group_rows`` is an upper bound on the rows of any group and ``group_rows`` of each group, when
+    the caller knows them; where they show that every group fits one bucket no counting job runs.
     """
-    spark = _spark(df)
-    rows_per_bucket = int(spark.conf.get(CONF_ROWS_PER_BUCKET, str(rows_per_bucket)))
-    if max_group_rows is not None and max_group_rows <= rows_per_bucket:
-        return df.withColumn(_RB, F.lit(0)), False
-    if group_rows is not None:
-        # the caller knows (an upper bound of) every group's rows: no counting job
-        over_g = [n for n in group_rows.values() if n > rows_per_bucket]
-        if not over_g:
-            return df.withColumn(_RB, F.lit(0)), False
-        if sum(over_g) / rows_per_bucket + len(over_g) > MAX_TOTAL_BUCKETS:
-            rows_per_bucket = int(math.ceil(sum(over_g) / max(1, MAX_TOTAL_BUCKETS - len(over_g))))
-        big = [(k, n) for k, n in group_rows.items() if n > rows_per_bucket]
-    else:
-        sizes = df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-        over = sizes.where(F.col("_n") > rows_per_bucket).agg(
-            F.count(F.lit(1)).alias("g"), F.sum("_n").alias("rows")).collect()[0]
-        if not over["g"]:
-            return df.withColumn(_RB, F.lit(0)), False
-        if over["rows"] / rows_per_bucket + over["g"] > MAX_TOTAL_BUCKETS:
-            rows_per_bucket = int(math.ceil(over["rows"] / max(1, MAX_TOTAL_BUCKETS - over["g"])))
-        big = [(tuple(r[k] for k in keys), r["_n"])
-               for r in sizes.where(F.col("_n") > rows_per_bucket).collect()]
+    one = df.withColumn(_RB, F.lit(0))
+    if max_group_rows is not None and max_group_rows <= limit:
+        return one, False
+    big = ([(k, n) for k, n in group_rows.items() if n > limit] if group_rows is not None
+           else _oversize(df, keys, limit))
     if not big:
-        return df.withColumn(_RB, F.lit(0)), False
-    key_fields = [df.schema[k] for k in keys]
-    vtype = df.schema[value].dataType
-    nbs = {k: (n, int(min(max_buckets, math.ceil(n / rows_per_bucket)))) for k, n in big}
-    rows = _sampled_bounds(df, keys, value, nbs)
-    size = max(nb for _, nb in nbs.values())
-    # The boundaries are a small summary; pinning them as a driver-built table
-    # makes the bucket of every row deterministic (also after a recomputation).
-    schema = T.StructType(key_fields + [T.StructField("_bounds", T.ArrayType(vtype))])
-    bdf = spark.createDataFrame(rows, schema)
-    out = df.join(F.broadcast(bdf), keys, "left")
-    out = with_count_less(out, "_bounds", qcol(value), size, _RB, or_equal=False)
-    return out.drop("_bounds"), True
-
-
-def _sampled_bounds(df: DataFrame, keys: list[str], value: str, nbs: dict,
-                    per_bucket: int = SAMPLES_PER_BUCKET, seed: int = 17) -> list[tuple]:
-    """Range boundaries per over-size group from a sample of its rows.
-
-    Group g with n rows and nb buckets keeps each row with probability
-    per_bucket * nb / n (about ``per_bucket * nb`` values, whatever n is);
-    every ``per_bucket``-th sorted sample becomes a boundary.  Rows are only
-    sampled to place boundaries (bucket sizes are balanced up to sampling
-    noise), never dropped from the data.
+        return one, False
+    levels: list[str] = []
+    while big:
+        level = f"{_RB}{len(levels)}"
+        df = _cut(df, keys + levels, order, limit, big, level)
+        levels.append(level)
+        if max(n for _, n in big) <= SPLITS * limit:
+            break  # every group got all the boundaries it needs
+        before, big = sum(n for _, n in big), _oversize(df, keys + levels, 2 * limit)
+        if sum(n for _, n in big) >= before and len(levels) > 1:
+            break  # rows equal in every order column can't be told apart
+    rb = F.col(levels[0]) if len(levels) == 1 else F.struct(*levels)
+    return df.withColumn(_RB, rb).drop(*levels), True
+
+
+def _oversize(df: DataFrame, keys: list[str], limit: int) -> list[tuple[tuple, int]]:
+    sizes = df.groupBy(*[qcol(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    return [(tuple(r[k] for k in keys), r["_n"]) for r in sizes.collect()]
+
+
+def _cut(df: DataFrame, keys: list[str], order: Sequence[str], limit: int, big: list[tuple[tuple, int]], out: str) -> DataFrame:
+    """Add ``out``: the range of every row within its group, 0 in groups that are not ``big``.
+
+    Rows are only sampled to place boundaries (bucket sizes are balanced up to sampling noise), never
+    dropped from the data.  The sample of a group is sorted and thinned to its boundaries by an
+    aggregate; the boundaries are collected, which pins them for every later use of the plan.
     """
     spark = _spark(df)
-    key_fields = [df.schema[k] for k in keys]
-    fr_rows = [k + (min(1.0, per_bucket * nb / max(1, n)),) for k, (n, nb) in nbs.items()]
-    frac = spark.createDataFrame(fr_rows, T.StructType(
-        key_fields + [T.StructField("_frac", T.DoubleType())]))
-    sample = (df.join(F.broadcast(frac), keys, "inner")
-                .where(F.rand(seed) < F.col("_frac"))
-                .where(qcol(value).isNotNull())
-                .select(*keys, value).collect())
-    groups: dict = {}
-    for r in sample:
-        groups.setdefault(tuple(r[k] for k in keys), []).append(r[value])
-    out = []
-    for key, vals in groups.items():
-        nb = nbs[key][1]
-        vals = sorted(set(vals))
-        step = max(1, len(vals) // nb)
-        out.append(key + (vals[step::step][:nb - 1],))
-    return out
+    fields = [df.schema[k] for k in keys]
+    wanted = [(*k, min(SPLITS, math.ceil(n / limit)), n) for k, n in big]
+    rate = spark.createDataFrame([(*w[:-1], min(1.0, SAMPLES_PER_BUCKET * w[-2] / w[-1])) for w in wanted], T.StructType(
+        fields + [T.StructField("_cut_parts", T.IntegerType()), T.StructField("_cut_rate", T.DoubleType())]))
+    key = _order_key(order)
+    kept = key.isNotNull() if len(order) == 1 else F.lit(True)
+    sample = df.join(F.broadcast(rate), keys).where((F.rand(17) < F.col("_cut_rate")) & kept)
+    thin = sample.groupBy(*[qcol(k) for k in keys]).agg(F.max("_cut_parts").alias("_cut_parts"), F.array_sort(F.collect_set(key)).alias("_cut_sample"))
+    step = F.greatest(F.lit(1), F.floor(F.size("_cut_sample") / F.col("_cut_parts"))).cast("int")
+    bounds = thin.select(*keys, F.slice(F.filter("_cut_sample", lambda x, i: (i > 0) & (i % step == 0)), F.lit(1), F.col("_cut_parts")).alias("_cut_bounds"))
+    pinned = bounds.collect()
+    table = spark.createDataFrame(pinned, bounds.schema)
+    size = max([len(r["_cut_bounds"]) for r in pinned], default=0)
+    # a NULL in a composite bound counts as smallest, as in the windows' order
+    cut = with_count_less(df.join(F.broadcast(table), keys, "left"), "_cut_bounds", key, size, out, or_equal=False)
+    return cut.drop("_cut_bounds")
 
 
 def _bucket_totals(df_rb: DataFrame, keys: list[str], weight: str | None, grouped: bool) -> DataFrame:
     """Per (group, bucket): total weight ``_tot`` and the weight of all earlier
     buckets ``_off``.  With real group keys the running sum is a window per
-    group (at most ``max_buckets`` rows each).  Without keys the table has at
-    most ``max_buckets`` rows; it is summed up on the driver so that no plan
-    gathers into a single partition."""
+    group (one row per bucket).  Without keys it is summed up on the driver, so
+    that no plan gathers into a single partition."""
     w = F.sum(qcol(weight)) if weight else F.count(F.lit(1))
     tot = df_rb.groupBy(*[qcol(k) for k in keys], F.col(_RB)).agg(w.cast("long").alias("_tot"))
     if grouped:
@@ -162,15 +142,15 @@ def _bucket_totals(df_rb: DataFrame, keys: list[str], weight: str | None, groupe
     rows = sorted((r[_RB], r["_tot"]) for r in tot.select(_RB, "_tot").collect())
     acc, local = 0, []
     for b, t in rows:
-        local.append((0, int(b), int(t), acc))
+        local.append((0, b, int(t), acc))
         acc += t
-    return _spark(df_rb).createDataFrame(local, f"{_GROUP} int, {_RB} int, _tot long, _off long")
+    return _spark(df_rb).createDataFrame(local, T.StructType([
+        T.StructField(_GROUP, T.IntegerType()), df_rb.schema[_RB], T.StructField("_tot", T.LongType()), T.StructField("_off", T.LongType())]))
 
 
 def select_positions(dist: DataFrame, keys: Sequence[str], value: str, weight: str | None,
                      targets: DataFrame, *, pos: str = "_pos",
                      rows_per_bucket: int = ROWS_PER_BUCKET,
-                     max_buckets: int = MAX_BUCKETS,
                      max_group_rows: int | None = None,
                      group_rows: dict | None = None) -> DataFrame:
     """Order statistics: for each target row, the ``value`` at 0-based position ``pos``.
@@ -190,7 +170,7 @@ def select_positions(dist: DataFrame, keys: Sequence[str], value: str, weight: s
     wcol = qcol(weight) if weight else F.lit(1)
     base = dist.select(*[qcol(k) for k in keys], qcol(value).alias("_val"),
                        wcol.cast("long").alias("_w"))
-    rb, bucketed = _range_buckets(base, keys, "_val", rows_per_bucket, max_buckets, max_group_rows,
+    rb, bucketed = _range_buckets(base, keys, ["_val"], bucket_limit(_spark(dist), rows_per_bucket), max_group_rows,
                                   group_rows if had_keys else None)
     if not bucketed:
         # every group fits one task: a plain window per group, no bucket offsets
@@ -220,26 +200,26 @@ def select_positions(dist: DataFrame, keys: Sequence[str], value: str, weight: s
     return out
 
 
-def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence, value: str,
-                   *, out: str = "_pos", rows_per_bucket: int = ROWS_PER_BUCKET,
-                   max_buckets: int = MAX_BUCKETS, max_group_rows: int | None = None) -> DataFrame:
-    """Every row gets its exact 0-based position within ``keys`` in ``order``.
+def with_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, out: str = "_pos",
+                   rows_per_bucket: int = ROWS_PER_BUCKET, max_group_rows: int | None = None) -> DataFrame:
+    """Every row gets its exact 0-based position within ``keys`` in the ascending order of the
+    columns ``order`` (NULL first, NaN last).
 
-    ``order`` is a list of sort columns whose first element sorts like
-    ``value`` (a numeric column); the rest break ties.  Rows sharing a value
-    land in one bucket, so ties are ordered by the remaining sort columns.
+    Buckets are cut in all order columns together, so rows that share the first value are spread over
+    as many buckets as they fill.  Rows equal in every order column are interchangeable and share a bucket.
     """
     keys = list(keys)
     had_keys = bool(keys)
     df, keys = _with_group(df, keys)
-    rb, bucketed = _range_buckets(df, keys, value, rows_per_bucket, max_buckets, max_group_rows)
+    by = [qcol(c).asc() for c in order]
+    rb, bucketed = _range_buckets(df, keys, order, bucket_limit(_spark(df), rows_per_bucket), max_group_rows)
     if not bucketed:
-        win = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(*order)
+        win = Window.partitionBy(*[qcol(k) for k in keys]).orderBy(*by)
         res = rb.drop(_RB).withColumn(out, (F.row_number().over(win) - 1).cast("long"))
         return res.drop(_GROUP) if not had_keys else res
     totals = _bucket_totals(rb, keys, None, had_keys).select(*keys, _RB, "_off")
-    rb = rb.join(F.broadcast(totals), keys + [_RB], "left")
-    win = Window.partitionBy(*[qcol(k) for k in keys], F.col(_RB)).orderBy(*order)
+    rb = rb.join(totals, keys + [_RB], "left")
+    win = Window.partitionBy(*[qcol(k) for k in keys], F.col(_RB)).orderBy(*by)
     res = rb.withColumn(out, F.col("_off") + F.row_number().over(win) - 1).drop("_off", _RB)
     if not had_keys:
         res = res.drop(_GROUP)

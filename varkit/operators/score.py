@@ -12,8 +12,8 @@
 
 The global rank never runs as an unpartitioned window: the at most 11 decile
 boundary rows are found as exact order statistics
-(:func:`varkit.operators.rank.select_positions`, first on distinct scores, then
-on the key within a tied score), and every row's bucket is then a map-side
+(:func:`varkit.operators.brackets.order_statistics` on the scores, then
+:func:`varkit.operators.rank.select_positions` on the key within a tied score), and every row's bucket is then a map-side
 comparison against those boundaries.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varkit.functions.columns import qcol
+from varkit.operators.brackets import order_statistics
 from varkit.operators.rank import select_positions
 
 GBT_DEFAULTS = dict(maxIter=70, maxDepth=6, minInstancesPerNode=600000,
@@ -70,24 +71,22 @@ def feature_importance(spark, model, features: Sequence[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ deciles
-def _boundaries(df: DataFrame, score: str, key: str, positions: list[int], n: int | None = None) -> list[tuple]:
+def _boundaries(df: DataFrame, score: str, key: str, positions: list[int], n: int) -> list[tuple]:
     """(score, key) of the rows at the given 0-based positions of the order
-    score desc, key asc.  Two exact selections: on distinct scores (weighted by
-    their row counts), then on the key inside each tied score."""
+    score desc, key asc.  Two exact selections: on the scores by brackets, then on the key inside each
+    tied score.  The score column is a double without NULL and NaN."""
     if not positions:
         return []
     spark = df.sparkSession
-    dist = df.groupBy(qcol(score).alias("_s")).agg(F.count(F.lit(1)).alias("_w")).withColumn("_neg", -F.col("_s"))
-    tg = spark.createDataFrame([(i, int(p)) for i, p in enumerate(positions)], "_j int, _pos long")
-    first = select_positions(dist.select("_neg", "_w"), [], "_neg", "_w", tg, pos="_pos",
-                             max_group_rows=n).collect()
-    level2 = [(r["_j"], -r["_neg"], int(r["_pos"] - r["_before"])) for r in first]
+    at = order_statistics(df.select((-qcol(score)).alias("_neg")), [], "_neg", {(): positions}, {(): n})
+    first = [at[(), p] for p in positions]
+    level2 = [(j, -s.value, int(p - s.before)) for j, (p, s) in enumerate(zip(positions, first))]
     stype = df.schema[score].dataType.simpleString()
     tg2 = spark.createDataFrame(level2, f"_j int, _s {stype}, _pos long")
     rows = df.select(qcol(score).alias("_s"), qcol(key).alias("_k")).join(
         F.broadcast(tg2.select("_s").distinct()), "_s", "left_semi")
     # a tied score holds at most as many rows as its weight; the largest is a bound
-    biggest = max((r["_w"] for r in first), default=0)
+    biggest = max((s.rows for s in first), default=0)
     second = select_positions(rows, ["_s"], "_k", None, tg2, pos="_pos",
                               max_group_rows=biggest).collect()
     got = {r["_j"]: (r["_s"], r["_k"]) for r in second}
@@ -136,15 +135,16 @@ def match_buckets(train_table: DataFrame, train_bounds: DataFrame, test: DataFra
     A test row goes to the lowest-numbered train bucket whose ``min_prob`` is at
     most its score; below every bound it goes to bucket ``fallback_bucket`` if
     its score is at most that bucket's ``min_prob`` (the lowest-score bucket
-    present when bucket ``fallback_bucket`` does not exist), else nowhere.
+    present when bucket ``fallback_bucket`` does not exist), else nowhere.  A missing score (NULL, NaN)
+    goes to the last train bucket, where :func:`gains_table` ranks such rows.
     The bounds are at most ``n_buckets + 1`` rows, so the lookup is a literal
     CASE chain: map-only, no range join.
     """
     bounds = sorted((int(r["bucket"]), r["min_prob"]) for r in train_bounds.collect())
-    p = qcol(score)
-    chain = None
+    p = F.nanvl(qcol(score).cast("double"), F.lit(None).cast("double"))
+    chain = F.when(p.isNull(), F.lit(bounds[-1][0])) if bounds else None
     for b, mn in bounds:
-        chain = F.when(p >= F.lit(mn), F.lit(b)) if chain is None else chain.when(p >= F.lit(mn), F.lit(b))
+        chain = chain.when(p >= F.lit(mn), F.lit(b))
     present = dict(bounds)
     fb = fallback_bucket if fallback_bucket in present else (max(present) if present else None)
     if chain is None:

@@ -16,6 +16,7 @@ its indicator columns are all zero.
 from __future__ import annotations
 
 import math
+from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from varkit.functions.columns import qcol
-from varkit.operators.profile import exact_percentiles
+from varkit.operators.profile import bracketed_percentiles
 from varkit.operators.rank import with_positions
 
 
@@ -105,9 +106,12 @@ def dummies_binary(df: DataFrame, s: str) -> tuple[DataFrame, list]:
 
 
 # --------------------------------------------------------------- tail smoothing
+#: Rows of a block of the chained recurrence, whatever alpha is.
+BLOCK_ROWS = 100_000
+
+
 def _decay_block(alpha: float) -> int:
-    """Block length for the chained recurrence: long enough that the previous
-    block's state has decayed below 2**-500 relative, short enough that the
+    """Rows after which an earlier state has decayed below 2**-500 relative; up to so many the
     in-block scale (1-alpha)**-n stays far from overflow."""
     return max(1, int(500.0 / -math.log2(1.0 - alpha)))
 
@@ -115,24 +119,33 @@ def _decay_block(alpha: float) -> int:
 def _chain(tail: DataFrame, s: str, pos: str, alpha: float, seed: float) -> DataFrame:
     """Apply x'_k = alpha*x_k + (1-alpha)*x'_{k-1}, x'_0 = seed, along 1-based ``pos``.
 
-    Closed form per block of n rows:  x'_k = (1-a)^u * (carry + a * sum_{j<=u} (1-a)^-j t_j)
-    with u the in-block index and carry the state entering the block.  The
-    running sum is a window per block; block carries come from per-block
-    aggregates joined one block forward.
+    Each step is an affine map of the state, and so is a block of n rows: state -> (1-a)^n * state + c with
+    c = a * sum_j (1-a)^(n-j) t_j.  Block maps are one aggregate; composing them in order gives the state that
+    enters every block.  Inside a block the state after row u is (1-a)^u * (entering + a * sum_{j<=u} (1-a)^-j t_j),
+    a window per block.  Blocks have ``BLOCK_ROWS`` rows, fewer where the scale (1-a)^-n would overflow: then
+    what enters a block is decided by the block before it alone, a join one block forward; else the maps, one
+    row per ``BLOCK_ROWS`` tail rows, are composed on the driver.
     """
-    q = 1.0 - alpha
-    lq = math.log(q)
-    n = _decay_block(alpha)
+    lq = math.log1p(-alpha)
+    forgets = _decay_block(alpha)
+    n = min(BLOCK_ROWS, forgets)
     t = (tail.withColumn("_blk", F.floor((F.col(pos) - 1) / n).cast("long"))
              .withColumn("_u", (F.col(pos) - F.col("_blk") * n).cast("double")))
-    blk_len = t.groupBy("_blk").agg(F.max("_u").alias("_nb"))
-    tt = t.join(blk_len, "_blk")
-    ends = tt.groupBy("_blk", "_nb").agg(
-        F.sum(F.lit(alpha) * F.exp(F.lit(lq) * (F.col("_nb") - F.col("_u"))) * qcol(s)).alias("_c"))
-    carry = ends.select((F.col("_blk") + 1).alias("_blk"),
-                        (F.col("_c") + F.when(F.col("_blk") == 0, F.exp(F.lit(lq) * F.col("_nb")) * F.lit(seed))
-                         .otherwise(F.lit(0.0))).alias("_carry"))
-    carry = carry.unionByName(tt.sparkSession.createDataFrame([(0, float(seed))], "_blk long, _carry double"))
+    # every block but the last is full, so c can be summed with the scale of a full block and put right afterwards
+    maps = t.groupBy("_blk").agg(F.max("_u").alias("_nb"), F.sum(F.lit(alpha) * F.exp(F.lit(lq) * (F.lit(float(n)) - F.col("_u"))) * qcol(s)).alias("_c"))
+    maps = maps.withColumn("_c", F.col("_c") * F.exp(F.lit(lq) * (F.col("_nb") - F.lit(float(n)))))
+    spark = tail.sparkSession
+    if n == forgets:
+        carry = maps.select((F.col("_blk") + 1).alias("_blk"),
+                            (F.col("_c") + F.when(F.col("_blk") == 0, F.exp(F.lit(lq) * F.col("_nb")) * F.lit(seed))
+                             .otherwise(F.lit(0.0))).alias("_carry"))
+        carry = carry.unionByName(spark.createDataFrame([(0, float(seed))], "_blk long, _carry double"))
+    else:
+        state, entering = float(seed), []
+        for r in sorted(maps.collect(), key=lambda r: r["_blk"]):
+            entering.append((r["_blk"], state))
+            state = math.exp(lq * r["_nb"]) * state + r["_c"]
+        carry = spark.createDataFrame(entering, "_blk long, _carry double")
     w = Window.partitionBy("_blk").orderBy("_u").rowsBetween(Window.unboundedPreceding, 0)
     run = t.withColumn("_S", F.sum(F.exp(F.lit(-lq) * F.col("_u")) * qcol(s)).over(w))
     run = run.join(carry, "_blk", "left")
@@ -155,7 +168,6 @@ def smooth_tails(df: DataFrame, s: str, key: str, alpha: float = .5,
     if alpha <= 0 or alpha >= 1:
         raise ValueError(f"smoothing factor alpha must lie strictly inside (0, 1), got {alpha}")
     x = qcol(s)
-    spark = df.sparkSession
     if _is_float(df, s):
         # NaN is a missing value: such rows pass through and take no part in the percentiles
         real = df.where(~F.coalesce(F.isnan(x), F.lit(False)))
@@ -166,12 +178,7 @@ def smooth_tails(df: DataFrame, s: str, key: str, alpha: float = .5,
     n = df.agg(F.count(x)).collect()[0][0]
     if not n:
         return whole
-    counts = spark.createDataFrame([(0, int(n))], "_g int, _cnt long")
-    pct = exact_percentiles(df.select(x.cast("double").alias("value")).withColumn("_g", F.lit(0)),
-                            ["_g"], "value", (.01, .05, .95, .99), counts=counts,
-                            max_group_rows=int(n)).collect()
-    p = {r["_pi"]: r["_pv"] for r in pct}
-    p1, p5, p95, p99 = p[0], p[1], p[2], p[3]
+    p1, p5, p95, p99 = bracketed_percentiles(df.select(x.cast("double").alias("value")), [], "value", (.01, .05, .95, .99), {(): int(n)})[()]
     # sizes of the two seed bands and the two tails, in one pass (hints for the ranks)
     sz = df.agg(F.count(F.when(x.between(F.lit(p95), F.lit(p99)), 1)).alias("hb"),
                 F.count(F.when(x > F.lit(p99), 1)).alias("ht"),
@@ -183,17 +190,14 @@ def smooth_tails(df: DataFrame, s: str, key: str, alpha: float = .5,
     if high and sz["hb"] > 0 and sz["ht"] > 0:
         seed = _high_seed(df.where(x.between(F.lit(p95), F.lit(p99))), s, key, alpha, sz["hb"])
         keep = keep.where(~(x > F.lit(p99)) | x.isNull())
-        tail = with_positions(df.where(x > F.lit(p99)), [], [x.asc(), qcol(key).asc()], s, out="_p",
-                              max_group_rows=sz["ht"])
+        tail = with_positions(df.where(x > F.lit(p99)), [], [s, key], out="_p", max_group_rows=sz["ht"])
         tail = tail.withColumn("_p", F.col("_p") + 1)
         parts.append(_chain(tail, s, "_p", alpha, seed).select(*cols))
     if low and sz["lb"] > 0 and sz["lt"] > 0:
         seed = _low_seed(df.where(x.between(F.lit(p1), F.lit(p5))), s, key, alpha, sz["lb"])
         keep = keep.where(~(x < F.lit(p1)) | x.isNull())
-        tail = df.where(x < F.lit(p1)).withColumn("_neg", -x)
-        tail = with_positions(tail, [], [F.col("_neg").asc(), qcol(key).desc()], "_neg", out="_p",
-                              max_group_rows=sz["lt"])
-        tail = tail.withColumn("_p", F.col("_p") + 1).drop("_neg")
+        tail = with_positions(df.where(x < F.lit(p1)), [], [s, key], out="_p", max_group_rows=sz["lt"])
+        tail = tail.withColumn("_p", F.lit(sz["lt"]) - F.col("_p"))  # from the largest down
         parts.append(_chain(tail, s, "_p", alpha, seed).select(*cols))
     out = keep
     for part in parts + [missing] * (missing is not None):
@@ -203,8 +207,8 @@ def smooth_tails(df: DataFrame, s: str, key: str, alpha: float = .5,
 
 def _high_seed(band: DataFrame, s: str, key: str, alpha: float, m: int) -> float:
     """sum_i w_i a_i with w_0 = (1-a)^(m-1), w_i = a(1-a)^(m-1-i): the fold in closed form."""
-    pos = with_positions(band, [], [qcol(s).asc(), qcol(key).asc()], s, out="_i", max_group_rows=m)
-    lq = math.log(1.0 - alpha)
+    pos = with_positions(band, [], [s, key], out="_i", max_group_rows=m)
+    lq = math.log1p(-alpha)
     w = F.when(F.col("_i") == 0, F.exp(F.lit(lq) * (m - 1))).otherwise(
         F.lit(alpha) * F.exp(F.lit(lq) * (F.lit(m - 1) - F.col("_i"))))
     return pos.agg(F.sum(w * qcol(s))).collect()[0][0]
@@ -213,10 +217,10 @@ def _high_seed(band: DataFrame, s: str, key: str, alpha: float, m: int) -> float
 def _low_seed(band: DataFrame, s: str, key: str, alpha: float, m: int) -> float:
     """Closed form of the low-side seed loop (start at the largest value, fold the
     elements from the largest down to the third smallest)."""
-    pos = with_positions(band, [], [qcol(s).asc(), qcol(key).asc()], s, out="_i", max_group_rows=m)
+    pos = with_positions(band, [], [s, key], out="_i", max_group_rows=m)
     if m <= 2:
         return pos.where(F.col("_i") == m - 1).agg(F.max(qcol(s))).collect()[0][0]
-    lq = math.log(1.0 - alpha)
+    lq = math.log1p(-alpha)
     top = math.exp(lq * (m - 2)) + alpha * math.exp(lq * (m - 3))
     w = (F.when(F.col("_i") == m - 1, F.lit(top))
           .when(F.col("_i") >= 2, F.lit(alpha) * F.exp(F.lit(lq) * (F.col("_i") - 2)))

@@ -8,10 +8,9 @@ contains it, i.e. bucket = floor(rank_first / rows_per_bucket) + 1 with
 rank_first the 1-based row number of the first occurrence of the value.  The
 final buckets are numbered in value order with the missing bucket last.
 
-Plan: one long table for all variables, ties pre-aggregated to distinct values;
-bucket thresholds are a handful of exact order statistics per variable
-(:func:`varkit.operators.rank.select_positions`); bucket assignment is then a
-map-side binary search; one aggregate builds the table.  No global sort, no
+Plan: one long table for all variables; bucket thresholds are a handful of exact
+order statistics per variable (:func:`varkit.operators.brackets.order_statistics`);
+bucket assignment is then a map-side binary search; one aggregate builds the table.  No global sort, no
 per-variable job, no distinct-value collect.
 """
 
@@ -29,6 +28,7 @@ from varkit.functions.columns import (
     split_roles, to_long,
 )
 from varkit.functions.search import with_count_less
+from varkit.operators.brackets import order_statistics
 from varkit.operators.profile import distinct_values, exact_percentiles
 from varkit.operators.rank import select_positions
 from varkit.operators.summary import Scratch
@@ -65,8 +65,8 @@ def numeric_trends(df: DataFrame, numericals: Sequence[str], label: str, buckets
     """Bucketed trend table ``variable, bucket, minima, var_sum, maxima, counts,
     dep_sum, var_avg, dep_avg`` for the numeric columns against ``label``.
 
-    Jobs: the distinct (variable, value) table (persisted for the call), a
-    one-row-per-variable summary, the exact thresholds, the final aggregate.
+    Jobs: a one-row-per-variable summary, the exact thresholds by brackets, the final aggregate, which
+    combines map-side to a row per bucket.  No distinct value is shuffled outside the brackets.
     """
     numericals = list(numericals)
     if buckets < 1:
@@ -75,15 +75,10 @@ def numeric_trends(df: DataFrame, numericals: Sequence[str], label: str, buckets
     scratch = Scratch()
     try:
         long = to_long(df, numericals, extra={"_y": qcol(label)})
-        # one row per (variable, value) with rows and label sum; NULL values form one row
-        dist = scratch.keep(long.groupBy("variable", "value")
-                                .agg(F.count(F.lit(1)).alias("_w"), F.sum("_y").alias("_ys")))
-        nn = dist.where(F.col("value").isNotNull())
+        nn = long.where(F.col("value").isNotNull())
         summary = nn.groupBy("variable").agg(
-            F.sum(F.when(F.col("value") < 0, F.col("_w")).otherwise(0)).alias("n_neg"),
-            F.sum(F.when(F.col("value") == 0, F.col("_w")).otherwise(0)).alias("n_zero"),
-            F.sum(F.when(F.col("value") > 0, F.col("_w")).otherwise(0)).alias("n_pos"),
-            F.count(F.lit(1)).alias("n_dist"),
+            F.count(F.when(F.col("value") < 0, 1)).alias("n_neg"), F.count(F.when(F.col("value") == 0, 1)).alias("n_zero"),
+            F.count(F.when(F.col("value") > 0, 1)).alias("n_pos"),
             F.min("value").alias("vmin"), F.max("value").alias("vmax")).collect()
         params, targets = {}, []
         for r in summary:
@@ -96,12 +91,13 @@ def numeric_trends(df: DataFrame, numericals: Sequence[str], label: str, buckets
             targets += [(r["variable"], "pos", off + p) for p in pos["pos"]]
         thr: dict = {}
         if targets:
-            tg = spark.createDataFrame(targets, "variable string, _side string, _pos long")
-            hint = max(r["n_dist"] for r in summary)
-            for t in select_positions(nn.select("variable", "value", "_w"), ["variable"], "value", "_w",
-                                      tg, pos="_pos", max_group_rows=hint,
-                                      group_rows={(r["variable"],): r["n_dist"] for r in summary}).collect():
-                thr.setdefault((t["variable"], t["_side"]), []).append(t["value"])
+            sizes = {(r["variable"],): r["n_neg"] + r["n_zero"] + r["n_pos"] for r in summary}
+            wanted: dict = {}
+            for v, _, p in targets:
+                wanted.setdefault((v,), []).append(p)
+            at = order_statistics(nn, ["variable"], "value", wanted, sizes)
+            for v, side, p in targets:
+                thr.setdefault((v, side), []).append(at[(v,), p].value)
         meta_rows = []
         for v, (neg, pos) in params.items():
             neg_arr = sorted(thr.get((v, "neg"), [])) if neg["eqf"] else neg["edges"]
@@ -125,16 +121,12 @@ def numeric_trends(df: DataFrame, numericals: Sequence[str], label: str, buckets
         side = F.when(is_neg, 0).when(is_pos, 2).otherwise(1)
         x = x.withColumn("_side", side).withColumn("_sb", side_bucket)
         agg = x.groupBy("variable", "_side", "_sb").agg(
-            F.min("value").alias("minima"),
-            F.sum(F.col("value") * F.col("_w")).alias("var_sum"),
-            F.max("value").alias("maxima"),
-            F.sum("_w").alias("counts"),
-            F.sum("_ys").alias("dep_sum"))
-        nulls = dist.where(F.col("value").isNull()).select(
-            "variable", F.lit(3).alias("_side"), F.lit(0).alias("_sb"),
-            F.lit(None).cast("double").alias("minima"), F.lit(None).cast("double").alias("var_sum"),
-            F.lit(None).cast("double").alias("maxima"), F.col("_w").alias("counts"),
-            F.col("_ys").alias("dep_sum"))
+            F.min("value").alias("minima"), F.sum("value").alias("var_sum"), F.max("value").alias("maxima"),
+            F.count(F.lit(1)).alias("counts"), F.sum("_y").alias("dep_sum"))
+        none = F.lit(None).cast("double")
+        nulls = long.where(F.col("value").isNull()).groupBy("variable").agg(
+            F.count(F.lit(1)).alias("counts"), F.sum("_y").alias("dep_sum")).select(
+            "variable", F.lit(3).alias("_side"), F.lit(0).alias("_sb"), none.alias("minima"), none.alias("var_sum"), none.alias("maxima"), "counts", "dep_sum")
         out = agg.unionByName(nulls)
         w = Window.partitionBy("variable").orderBy(F.col("minima").asc_nulls_last(), "_side", "_sb")
         out = (out.withColumn("bucket", F.row_number().over(w).cast("long"))
