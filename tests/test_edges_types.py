@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from varkit import profile
 from varkit.operators.moments import correlation_matrix, gram_matrix
-from varkit.operators.reduce import _vif_from_moments, logit_pvalues, backward_selection
+from varkit.operators import logit
+from varkit.operators.reduce import _vif_from_moments, backward_selection
 from varkit.operators.score import gains_table
 from varkit.operators.treat import cap_floor, dummies, smooth_tails
 
@@ -74,10 +75,11 @@ def test_vif_by_one_inverse():
     assert np.isinf(_vif_from_moments(np.corrcoef(x.T))[[0, 1, 5]]).all()
 
 
-def test_logit_selection_checks_label_and_convergence(spark):
+def test_logit_selection_checks_label_and_convergence(spark, monkeypatch):
     df = spark.createDataFrame([(float(i % 7), float(i % 3), float(i % 3)) for i in range(60)], "a double, b double, y double")
     with pytest.raises(ValueError, match="0 or 1"):
         backward_selection(df, "y", regression=False)
     data = df.withColumn("y", (F.col("a") > 2).cast("double"))
-    with pytest.raises(ArithmeticError):
-        logit_pvalues(data, ["a", "b"], "y", max_iter=1)
+    monkeypatch.setattr(logit, "MAX_STEPS", 1)
+    with pytest.raises(ArithmeticError, match="converged"):
+        logit.logit_fit(data, ["a", "b"], "y")

@@ -156,3 +156,21 @@ def test_profile_approx_mode(spark):
     assert abs(approx["v"]["p50"] - exact["v"]["p50"]) <= 2
     assert abs(approx["v"]["unique"] - exact["v"]["unique"]) <= 0.05 * exact["v"]["unique"]
     assert approx["c"]["max_cat"] == exact["c"]["max_cat"]
+
+
+def test_chi_square_counts_null_apart_from_any_string(spark):
+    from varkit.operators.profile import profile
+    rows = [(v, y) for v, y, n in [("\u0000null", "a", 4), (None, "a", 3), ("x", "b", 5), ("\u0000null", "b", 2)] for _ in range(n)]
+    got = {r["variable"]: r for r in profile(spark.createDataFrame(rows, "v string, y string"), dv="y", regression=False).collect()}["v"]
+    cells = np.array([4, 3, 5, 2, 0, 0], float)
+    e = cells.sum() / 6
+    assert got["assoc_df1"] == 5 and got["assoc_stat"] == pytest.approx(((cells - e) ** 2 / e).sum())
+
+
+def test_distinct_values_of_wide_types(spark):
+    from decimal import Decimal
+    from varkit.operators.profile import profile
+    big = 2**53
+    rows = [(big, Decimal("1.10"), 1.5, 1), (big + 1, Decimal("1.1"), float("nan"), None), (None, None, None, 1), (big + 1, Decimal("2"), 1.5, 2)]
+    df = spark.createDataFrame(rows, "l long, d decimal(20,5), x double, i int")
+    assert {r["variable"]: r["unique"] for r in profile(df).collect()} == {"l": 2, "d": 2, "x": 1, "i": 2}

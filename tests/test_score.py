@@ -61,3 +61,14 @@ def test_gbt_save_load_and_sink(spark, tmp_path):
                            .withColumn("snapshot", F.lit("s")), "event_prob", "target_flag", "snapshot", "row_id")
     write_result(table, out, fmt="csv")
     assert spark.read.option("header", "true").csv(out).count() == table.count()
+
+
+def test_missing_test_scores_go_to_the_last_bucket(spark):
+    from varkit.operators.score import gains_table, match_buckets
+    rows = [(i, float(i), i % 2, "s") for i in range(100)]
+    schema = "k long, p double, t int, s string"
+    table, bounds = gains_table(spark.createDataFrame(rows, schema), "p", "t", "s", "k")
+    last = max(r["bucket"] for r in bounds.collect())
+    test = spark.createDataFrame([(1, float("nan"), 1, "s"), (2, None, 0, "s"), (3, 99.0, 1, "s")], schema)
+    got = {r["bucket"]: r["count_test"] for r in match_buckets(table, bounds, test, "p", "t", "s").collect()}
+    assert got[last] == 2 and got[1] == 1 and sum(v or 0 for v in got.values()) == 3

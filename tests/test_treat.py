@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +81,39 @@ def test_cap_floor(spark):
     assert once.orderBy("id").collect() == cap_floor(once, "x", 10.0, 0.0).orderBy("id").collect()
     assert [r["x"] for r in cap_floor(df, "x", 10.0, 0.0, low=False).orderBy("id").collect()] == \
         [5.0, None, -3.0, 10.0]
+
+
+@pytest.mark.parametrize("alpha", [0.5, 1e-3, 1e-6])
+def test_small_steps_and_a_hot_value_in_the_tail(spark, monkeypatch, alpha):
+    """Tails in blocks of 20 rows, a value held by a third of the tail, equal to the recursion row by row."""
+    from varkit.operators import rank, treat
+    monkeypatch.setattr(treat, "BLOCK_ROWS", 20)
+    rnd = random.Random(11)
+    values = [round(rnd.gauss(0, 1), 3) for _ in range(9000)] + [9.0] * 40 + [-9.0] * 40 + [rnd.uniform(4, 20) for _ in range(60)]
+    rows = list(enumerate(values))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, v double").repartition(5)
+    spark.conf.set(rank.CONF_ROWS_PER_BUCKET, "25")
+    try:
+        got = {r["id"]: r["v"] for r in treat.smooth_tails(df, "v", "id", alpha).collect()}
+    finally:
+        spark.conf.unset(rank.CONF_ROWS_PER_BUCKET)
+    p1, p5, p95, p99 = np.quantile(values, [.01, .05, .95, .99])
+    order = sorted((v, i) for i, v in rows)
+    want = dict(rows)
+    band = [v for v, _ in order if p95 <= v <= p99]
+    state = band[0]
+    for v in band[1:]:
+        state = alpha * v + (1 - alpha) * state
+    for v, i in order:
+        if v > p99:
+            want[i] = state = alpha * v + (1 - alpha) * state
+    band = [v for v, _ in order if p1 <= v <= p5]
+    state = band[-1]
+    for v in reversed(band[2:]):
+        state = alpha * v + (1 - alpha) * state
+    for v, i in reversed(order):
+        if v < p1:
+            want[i] = state = alpha * v + (1 - alpha) * state
+    assert got.keys() == want.keys()
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-9

@@ -4,8 +4,9 @@ inflation and backward selection.
 Each reducer makes one pass over the data for its sufficient statistics
 (correlation or Gram matrix, :mod:`varkit.operators.moments`); the iterations
 then work on a k x k array on the driver instead of refitting a model on the
-full table per step.  The logistic path of backward selection refits with
-Spark ML's ``GeneralizedLinearRegression`` (distributed IRLS) per step.
+full table per step.  Exact collinearity is judged on the triangular factor of the table
+(:mod:`varkit.operators.qr`); the logistic path of backward selection takes one scan per Newton
+step (:mod:`varkit.operators.logit`).
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varkit.functions.columns import numeric_value
 from varkit.functions.distributions import t_sf2
+from varkit.operators.logit import logit_fit
 from varkit.operators.moments import correlation_matrix, gram_matrix
+from varkit.operators.qr import dependent_columns, r_factor
 
 
 # ------------------------------------------------------------------ clusters
@@ -184,6 +188,28 @@ def vif_table(df: DataFrame, cols: Sequence[str] | None = None) -> list[tuple[st
     return list(zip(cols, [float(v) for v in _raw_vif(g)]))
 
 
+def _vif_rounds(m: np.ndarray, alive: list[int], limit: float) -> list[tuple[int, float]]:
+    """(column, its VIF) in the order of dropping, from a moment matrix: the largest VIF goes (the first of equal
+    ones) while it exceeds ``limit`` and more than one column is left."""
+    out = []
+    while len(alive) > 1:
+        v = _vif_from_moments(m[np.ix_(alive, alive)])
+        top = int(np.argmax(v))
+        if not v[top] > limit:
+            break
+        out.append((alive[top], float(v[top])))
+        alive = alive[:top] + alive[top + 1:]
+    return out
+
+
+def vif_rounds(df: DataFrame, limit: float = 2.5, cols: Sequence[str] | None = None, centred: bool = False) -> list[tuple[str, float]]:
+    """(column, VIF when it was dropped) of the reduction, uncentred or on the correlations of complete rows."""
+    from varkit.functions.columns import numerical_categorical_division
+    cols = numerical_categorical_division(df, cols)[0]
+    m = correlation_matrix(df, cols, complete=True)[1] if centred else gram_matrix(df, cols)[1]
+    return [(cols[j], v) for j, v in _vif_rounds(m, list(range(len(cols))), limit)]
+
+
 def vif_reduction(df: DataFrame, limit: float = 2.5, cols: Sequence[str] | None = None) -> list[str]:
     """Drop the column with the largest uncentred VIF while it exceeds ``limit``;
     returns the dropped columns in order.  One Gram pass; the loop inverts
@@ -192,34 +218,7 @@ def vif_reduction(df: DataFrame, limit: float = 2.5, cols: Sequence[str] | None
     cols = numerical_categorical_division(df, cols)[0]
     _check_not_constant(df, cols)
     _, g = gram_matrix(df, cols)
-    alive = list(range(len(cols)))
-    dropped = []
-    while len(alive) > 1:
-        v = _raw_vif(g[np.ix_(alive, alive)])
-        top = int(np.argmax(v))  # first of equal maxima, in column order
-        if not v[top] > limit:
-            break
-        dropped.append(cols[alive[top]])
-        del alive[top]
-    return dropped
-
-
-def collinear_columns(g: np.ndarray, tol: float = 1e-10) -> list[int]:
-    """Columns whose QR diagonal |R_jj| is ~0 relative to the column norm: a
-    Cholesky sweep of the Gram matrix in column order (R_jj^2 = residual sum of
-    squares of column j on the columns before it)."""
-    k = g.shape[0]
-    lmat = np.zeros((k, k))
-    bad = []
-    for j in range(k):
-        d = g[j, j] - lmat[j, :j] @ lmat[j, :j]
-        if g[j, j] <= 0 or d <= tol * g[j, j]:
-            bad.append(j)
-            continue
-        lmat[j, j] = np.sqrt(d)
-        for i in range(j + 1, k):
-            lmat[i, j] = (g[i, j] - lmat[i, :j] @ lmat[j, :j]) / lmat[j, j]
-    return bad
+    return [cols[j] for j, _ in _vif_rounds(g, list(range(len(cols))), limit)]
 
 
 def vif_reduction_corr(df: DataFrame, limit: float = 2.5, cols: Sequence[str] | None = None) -> list[str]:
@@ -228,18 +227,10 @@ def vif_reduction_corr(df: DataFrame, limit: float = 2.5, cols: Sequence[str] |
     matrix) while it exceeds ``limit``.  Returns all dropped columns in order."""
     from varkit.functions.columns import numerical_categorical_division
     cols = numerical_categorical_division(df, cols)[0]
-    _, g = gram_matrix(df, cols)
     names, corr = correlation_matrix(df, cols, complete=True)
-    dropped = [cols[j] for j in collinear_columns(g)]
-    alive = [i for i, c in enumerate(cols) if c not in dropped]
-    while len(alive) > 1:
-        v = _vif_from_moments(corr[np.ix_(alive, alive)])
-        top = int(np.argmax(v))
-        if not v[top] > limit:
-            break
-        dropped.append(cols[alive[top]])
-        del alive[top]
-    return dropped
+    gone = dependent_columns(r_factor(df, cols))
+    alive = [i for i in range(len(cols)) if i not in gone]
+    return [cols[j] for j in gone] + [cols[j] for j, _ in _vif_rounds(corr, alive, limit)]
 
 
 def centred_vif(df: DataFrame, cols: Sequence[str] | None = None) -> list[tuple[str, float]]:
@@ -272,7 +263,7 @@ def _ols_from_gram(n: int, g: np.ndarray, xs: list[int], y: int, names: list[str
     return out
 
 
-def _pick_drop(pvals: list[float], alpha: float) -> int | None:
+def _pick_drop(pvals: Sequence[float], alpha: float) -> int | None:
     """NaN p-values are dropped first (column order), then the largest above alpha."""
     for i, p in enumerate(pvals):
         if p != p:
@@ -281,14 +272,18 @@ def _pick_drop(pvals: list[float], alpha: float) -> int | None:
     return top if pvals[top] > alpha else None
 
 
-def backward_selection(df: DataFrame, dv: str, regression: bool = True, alpha: float = .05,
-                       cols: Sequence[str] | None = None) -> list[str]:
-    """Columns dropped by backward elimination (no intercept): OLS t-tests when
-    ``regression``, logit Wald tests otherwise.  Stops at one column."""
+def backward_steps(df: DataFrame, dv: str, regression: bool = True, alpha: float = .05,
+                   cols: Sequence[str] | None = None) -> list[tuple[str, float, float]]:
+    """``(column, statistic, p)`` of the columns that backward elimination drops (no intercept), in order, with
+    their values at the time: OLS t-tests when ``regression``, logit Wald tests otherwise.  Stops at one column.
+
+    OLS needs one scan in all, its Gram matrix.  A logistic selection takes the triangular factor in one scan and then
+    one scan per Newton step; after a drop it starts from the coefficients of the columns that stay.
+    """
     from varkit.functions.columns import numerical_categorical_division
     cols = [c for c in numerical_categorical_division(df, cols)[0] if c != dv]
     alive = list(range(len(cols)))
-    dropped: list[str] = []
+    out: list[tuple[str, float, float]] = []
     if regression:
         n, g = gram_matrix(df, cols + [dv])
         while len(alive) > 1:
@@ -296,41 +291,30 @@ def backward_selection(df: DataFrame, dv: str, regression: bool = True, alpha: f
             pick = _pick_drop([r["p"] for r in res], alpha)
             if pick is None:
                 break
-            dropped.append(cols[alive[pick]])
+            out.append((cols[alive[pick]], res[pick]["t"], res[pick]["p"]))
             del alive[pick]
-        return dropped
-    data = df.select(*[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(cols)],
-                     F.col(f"`{dv}`").cast("double").alias("_y")).dropna().persist()
+        return out
+    names = [f"_x{i}" for i in range(len(cols))]
+    data = df.select(*[numeric_value(df, c).alias(x) for c, x in zip(cols, names)], numeric_value(df, dv).alias("_y")).dropna().persist()
     try:
         if data.where("_y NOT IN (0, 1)").limit(1).count():
             raise ValueError("the label of a logistic selection must be 0 or 1")
+        r = r_factor(data, names)
+        start = None
         while len(alive) > 1:
-            pvals = logit_pvalues(data, [f"_x{i}" for i in alive], "_y")
-            pick = _pick_drop(pvals, alpha)
+            fit = logit_fit(data, [names[i] for i in alive], "_y", start=start, r=r[:, alive])
+            pick = _pick_drop(list(fit.p), alpha)
             if pick is None:
                 break
-            dropped.append(cols[alive[pick]])
+            out.append((cols[alive[pick]], float(fit.z[pick]), float(fit.p[pick])))
+            start = np.delete(fit.coef, pick)
             del alive[pick]
     finally:
         data.unpersist()
-    return dropped
+    return out
 
 
-def logit_pvalues(data: DataFrame, xcols: list[str], y: str, max_iter: int = 100) -> list[float]:
-    """Wald p-values of a logistic regression without intercept (Spark ML GLR).  A singular fit has
-    NaN for every p; a fit that has not converged in ``max_iter`` steps raises, and so does anything else."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-    vec = VectorAssembler(inputCols=xcols, outputCol="_f").transform(data)
-    glr = GeneralizedLinearRegression(family="binomial", link="logit", fitIntercept=False,
-                                      featuresCol="_f", labelCol=y, maxIter=max_iter)
-    try:
-        summary = glr.fit(vec).summary
-        pvalues = [float(p) for p in summary.pValues]
-    except Exception as e:
-        if "singular" not in str(e).lower():
-            raise
-        return [float("nan")] * len(xcols)
-    if summary.numIterations >= max_iter:
-        raise ArithmeticError(f"the logistic fit has not converged in {max_iter} steps")
-    return pvalues
+def backward_selection(df: DataFrame, dv: str, regression: bool = True, alpha: float = .05,
+                       cols: Sequence[str] | None = None) -> list[str]:
+    """Columns dropped by :func:`backward_steps`, in order."""
+    return [c for c, _, _ in backward_steps(df, dv, regression, alpha, cols)]

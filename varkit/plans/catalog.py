@@ -141,7 +141,26 @@ def q_profile_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile(df).select(*CAT_PROFILE_COLS))
 
 
-ASSOC_COLS = ["variable", "assoc_kind", "assoc_stat", "assoc_df1", "assoc_df2"]
+ASSOC_COLS = ["variable", "assoc_kind", "assoc_stat", "assoc_df1", "assoc_df2", "assoc_value"]
+
+
+def _simpson(density: str, start: str, length: str, steps: int = 2000) -> str:
+    """SQL: integral of ``density`` (in x) from ``start`` over ``length`` by Simpson's rule."""
+    at = density.replace("{x}", f"({start} + ({length}) * i / {2 * steps}.0)")
+    weight = f"CASE WHEN i = 0 OR i = {2 * steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(({length}) / {6 * steps}.0 * list_sum(list_transform(range(0, {2 * steps + 1}), lambda i: {weight} * ({at}))))"
+
+
+def _f_tail_sql(f: str, d1: str, d2: str) -> str:
+    """SQL: upper tail of the F distribution for 1 (both tails of t) or 2 degrees of freedom above."""
+    density = (f"exp(lgamma(({d2} + 1) / 2.0) - lgamma({d2} / 2.0) - 0.5 * ln({d2} * pi()) - (({d2} + 1) / 2.0) * ln(1 + {{x}} * {{x}} / {d2}))")
+    return f"CASE {d1} WHEN 2 THEN pow({d2} / ({d2} + 2 * {f}), {d2} / 2.0) WHEN 1 THEN 2 * {_simpson(density, f'sqrt({f})', '40.0')} END"
+
+
+def _chi2_tail_sql(x: str, df: str) -> str:
+    """SQL: upper tail of the chi-square distribution."""
+    density = f"exp(({df} / 2.0 - 1) * ln({{x}}) - {{x}} / 2 - {df} / 2.0 * ln(2.0) - lgamma({df} / 2.0))"
+    return _simpson(density, x, "400.0")
 
 
 @register("profile_assoc_regression", f"""
@@ -165,9 +184,9 @@ WITH nums AS (
   FROM tot t JOIN grp g USING (variable) GROUP BY t.variable, t.k, t.n, t.ssw
 )
 SELECT variable, 'pearson_r' AS assoc_kind, {_r('r')} AS assoc_stat,
-  CAST(NULL AS DOUBLE) AS assoc_df1, CAST(NULL AS DOUBLE) AS assoc_df2 FROM nums
+  CAST(NULL AS DOUBLE) AS assoc_df1, CAST(NULL AS DOUBLE) AS assoc_df2, {_r('r')} AS assoc_value FROM nums
 UNION ALL
-SELECT variable, 'anova_p', {_r('f')}, d1, d2 FROM anova
+SELECT variable, 'anova_p', {_r('f')}, d1, d2, {_r(_f_tail_sql('f', 'CAST(d1 AS INTEGER)', 'd2'))} FROM anova
 """)
 def q_profile_assoc_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.operators.profile import profile
@@ -193,11 +212,12 @@ WITH base AS (
     count(DISTINCT coalesce(y, '~')) AS b FROM cells GROUP BY variable
 )
 SELECT variable, 'f_p' AS assoc_kind, {_r('r * r * (n - 2) / (1 - r * r)')} AS assoc_stat,
-  1.0 AS assoc_df1, CAST(n - 2 AS DOUBLE) AS assoc_df2 FROM nums
+  1.0 AS assoc_df1, CAST(n - 2 AS DOUBLE) AS assoc_df2, {_r(_f_tail_sql('(r * r * (n - 2) / (1 - r * r))', '1', '(n - 2.0)'))} AS assoc_value FROM nums
 UNION ALL
-SELECT 'y01', 'f_p', NULL, NULL, NULL
+SELECT 'y01', 'f_p', NULL, NULL, NULL, NULL
 UNION ALL
-SELECT variable, 'chi2_uniform_p', {_r('o2 / (n / (a * b * 1.0)) - n')}, a * b - 1.0, NULL FROM chi
+SELECT variable, 'chi2_uniform_p', {_r('o2 / (n / (a * b * 1.0)) - n')}, a * b - 1.0, NULL,
+  {_r(_chi2_tail_sql('(o2 / (n / (a * b * 1.0)) - n)', '(a * b - 1.0)'))} FROM chi
 """)
 def q_profile_assoc_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     from varkit.operators.profile import profile
@@ -206,6 +226,54 @@ def q_profile_assoc_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile(df, dv="y01", regression=False).select(*ASSOC_COLS))
 
 
+@register("profile_assoc_string", f"""
+WITH base AS (SELECT CAST(c_acctbal AS DOUBLE) AS c_acctbal, c_mktsegment AS g, CAST(c_nationkey AS DOUBLE) AS c_nationkey FROM customer
+  WHERE c_mktsegment IN ('BUILDING', 'FURNITURE', 'MACHINERY')),
+long AS (
+  SELECT 'c_acctbal' AS variable, g, c_acctbal AS y FROM base UNION ALL SELECT 'c_nationkey', g, c_nationkey FROM base
+), grp AS (
+  SELECT variable, g, count(*) AS ng, avg(y) AS mg, coalesce(var_samp(y), 0) * (count(*) - 1) AS ssw
+  FROM long WHERE y IS NOT NULL AND g IS NOT NULL GROUP BY variable, g
+), tot AS (
+  SELECT variable, sum(ng) AS n, count(*) AS k, sum(ng * mg) / sum(ng) AS gm, sum(ssw) AS ssw FROM grp GROUP BY variable
+), anova AS (
+  SELECT t.variable, t.k - 1.0 AS d1, t.n - t.k * 1.0 AS d2,
+    (sum(g.ng * (g.mg - t.gm) * (g.mg - t.gm)) / (t.k - 1.0)) / (t.ssw / (t.n - t.k)) AS f
+  FROM tot t JOIN grp g USING (variable) GROUP BY t.variable, t.k, t.n, t.ssw
+)
+SELECT variable, 'f_p' AS assoc_kind, {_r('f')} AS assoc_stat, d1 AS assoc_df1, d2 AS assoc_df2,
+  {_r(_f_tail_sql('f', 'CAST(d1 AS INTEGER)', 'd2'))} AS assoc_value FROM anova
+UNION ALL SELECT 'c_mktsegment', 'chi2_uniform_p', NULL, NULL, NULL, NULL
+""")
+def q_profile_assoc_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classification with classes named by strings: ANOVA of the numeric columns over three market segments."""
+    from varkit.operators.profile import profile
+    df = read_table(spark, sf_dir, "customer", ["c_acctbal", "c_nationkey", "c_mktsegment"])
+    df = df.where(F.col("c_mktsegment").isin("BUILDING", "FURNITURE", "MACHINERY"))
+    return rounded(profile(df, dv="c_mktsegment", regression=False).select(*ASSOC_COLS))
+
+
+MIXED_COLS = NUMERIC_PROFILE_COLS[:-1] + ["min_cat"] + [p + "_cat" for p in PNAMES] + ["max_cat", "ord"]
+
+
+def _mixed_profile_sql(table: str, num: list[str], cat: list[str]) -> str:
+    """Numeric variables first, then categorical ones, in column order; what a kind does not have is NULL."""
+    def part(sql: str, own: list[str], first: int) -> str:
+        cols = [f'ord + {first} AS ord' if c == "ord" else f'"{c}"' if c in own else f'CAST(NULL AS {"VARCHAR" if c.endswith("_cat") else "DOUBLE"}) AS "{c}"'
+                for c in MIXED_COLS]
+        return f"SELECT {', '.join(cols)} FROM ({sql})"
+    return (part(_numeric_profile_sql(table, num), NUMERIC_PROFILE_COLS, 0) + "\nUNION ALL\n"
+            + part(_categorical_profile_sql(table, cat), CAT_PROFILE_COLS, len(num)))
+
+
+@register("profile_mixed", _mixed_profile_sql("orders", ["o_totalprice", "o_custkey"], ORDERS_CAT))
+def q_profile_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One profile of numeric and categorical columns together."""
+    from varkit.operators.profile import profile
+    df = read_table(spark, sf_dir, "orders", ["o_orderstatus", "o_totalprice", "o_orderpriority", "o_custkey"])
+    return rounded(profile(df.select("o_totalprice", "o_orderstatus", "o_custkey", "o_orderpriority")).select(*[F.col(f"`{c}`") for c in MIXED_COLS]))
+
+
 # ------------------------------------------------------------------ trends
 def _trend_sql_tail(src: str) -> str:
     """Shared SQL for the numeric trend table given ``bucketed(variable, v, y, side, sb)``."""
@@ -304,6 +372,28 @@ def q_trends_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(categorical_trends(df, ["l_returnflag", "l_linestatus"], "y"))
 
 
+TREND_ROLES = {"l_tax": "N", "l_returnflag": "C", "l_linestatus": "C", "l_quantity": "-", "y": "L"}
+
+
+@register("trend_tables", f"""
+WITH num AS ({_trend_sql("SELECT 'l_tax' AS variable, l_tax AS v, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS y FROM lineitem", 5)}),
+long AS (
+  SELECT 'l_returnflag' AS variable, l_returnflag AS category, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS y FROM lineitem
+  UNION ALL SELECT 'l_linestatus', l_linestatus, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END FROM lineitem
+)
+SELECT variable, bucket, CAST(NULL AS VARCHAR) AS category, minima, maxima, counts, dep_sum, dep_avg FROM num
+UNION ALL
+SELECT variable, NULL, category, NULL, NULL, count(*), CAST(sum(y) AS BIGINT), {_r('sum(y) / count(*)')} FROM long GROUP BY variable, category
+""")
+def q_trend_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both trend tables from one declaration of roles; columns of other roles are left out."""
+    from varkit.operators.trends import trend_tables
+    df = read_table(spark, sf_dir, "lineitem", ["l_tax", "l_quantity", "l_returnflag", "l_linestatus"])
+    num, cat = trend_tables(df.withColumn("y", (F.col("l_quantity") > 25).cast("int")), TREND_ROLES, 5)
+    columns = ["variable", "bucket", "category", "minima", "maxima", "counts", "dep_sum", "dep_avg"]
+    return rounded(num.unionByName(cat, allowMissingColumns=True).select(*columns))
+
+
 @register("binned_line", f"""
 WITH long AS (
   SELECT 'l_quantity' AS variable, l_quantity AS v, l_extendedprice AS y FROM lineitem
@@ -671,6 +761,181 @@ def q_backward_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(dropped)], "step int, variable string")
 
 
+# ---- logistic fit: Newton steps unrolled in SQL
+LOGIT_STEPS = 14
+
+
+def _logit_sql() -> str:
+    steps = ["s0 AS (SELECT 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"]
+    sums = ("any_value(b1) AS b1, any_value(b2) AS b2, sum(p * (1 - p) * a * a) AS h11, sum(p * (1 - p) * a * b) AS h12, "
+            "sum(p * (1 - p) * b * b) AS h22, sum((y - p) * a) AS g1, sum((y - p) * b) AS g2")
+    at = "(SELECT a, b, y, b1, b2, 1 / (1 + exp(-(b1 * a + b2 * b))) AS p FROM d, {s})"
+    for i in range(LOGIT_STEPS):
+        det = "(h11 * h22 - h12 * h12)"
+        steps.append(f"s{i + 1} AS (SELECT b1 + (h22 * g1 - h12 * g2) / {det} AS b1, b2 + (h11 * g2 - h12 * g1) / {det} AS b2 "
+                     f"FROM (SELECT {sums} FROM {at.replace('{s}', f's{i}')}))")
+    last = f"(SELECT {sums} FROM {at.replace('{s}', f's{LOGIT_STEPS}')})"
+    density = "exp(-{x} * {x} / 2) / sqrt(2 * pi())"
+    return f"""
+WITH d AS (
+  SELECT d.n_chars / 1000.0 AS a, (length(d.text) - length(replace(d.text, chr(10), '')) + 1) / 10.0 AS b, CAST(l.quality AS DOUBLE) AS y
+  FROM documents d JOIN labels l USING (doc_id) WHERE d.text IS NOT NULL AND d.n_chars IS NOT NULL AND l.quality IS NOT NULL
+), {', '.join(steps)},
+e AS (SELECT *, h11 * h22 - h12 * h12 AS det FROM {last}),
+f AS (
+  SELECT 'kchars' AS variable, b1 AS coef, sqrt(h22 / det) AS se FROM e UNION ALL SELECT 'lines10', b2, sqrt(h11 / det) FROM e
+)
+SELECT variable, {_r('coef')} AS coef, {_r('se')} AS se, {_r('coef / se', 4)} AS z, {_r('2 * ' + _simpson(density, 'abs(coef / se)', '40.0'))} AS p FROM f
+UNION ALL SELECT 'kchars2', NULL, NULL, NULL, NULL
+"""
+
+
+def _label_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "n_chars"])
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
+    lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    return docs.join(labels, "doc_id").select((F.col("n_chars") / 1000.0).alias("kchars"), (F.col("n_chars") / 500.0).alias("kchars2"),
+                                              (lines / 10.0).alias("lines10"), F.col("quality").cast("double").alias("quality")).dropna()
+
+
+@register("logit_fit", _logit_sql())
+def q_logit_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic fit of the quality label, without intercept; a column that is a multiple of another has no coefficient."""
+    from varkit.operators.logit import logit_fit
+    names = ["kchars", "kchars2", "lines10"]
+    fit = logit_fit(_label_frame(spark, sf_dir), names, "quality")
+    none = lambda v: None if v != v else float(v)
+    rows = [(n, *[none(x[i]) for x in (fit.coef, fit.se, fit.z, fit.p)]) for i, n in enumerate(names)]
+    out = spark.createDataFrame(rows, "variable string, coef double, se double, z double, p double")
+    return rounded(out.select("variable", "coef", "se", F.round("z", 4).alias("z"), "p"))
+
+
+# ---- elimination rounds of ordinary least squares on embedding dimensions
+OLS_X, OLS_Y, OLS_ALPHA = ("e1", "e2", "e3"), "e0", 0.05
+
+
+def _ols_rounds_sql() -> str:
+    from itertools import combinations
+    names = [*OLS_X, OLS_Y]
+    at = {c: f"CAST(embedding[{int(c[1:]) + 1}] AS DOUBLE)" for c in names}
+    gram = ", ".join(f"sum({at[a]} * {at[b]}) AS {a}{b}" for i, a in enumerate(names) for b in names[i:])
+    g = lambda a, b: f"{a}{b}" if names.index(a) <= names.index(b) else f"{b}{a}"
+
+    def det(rows, cols):
+        if not rows:
+            return "1.0"
+        return "(" + " + ".join(f"({'-' if j % 2 else ''}1.0) * {g(rows[0], c)} * {det(rows[1:], [x for x in cols if x != c])}" for j, c in enumerate(cols)) + ")"
+
+    def minor(s, a, b):
+        i, j = s.index(a), s.index(b)
+        return f"({'-' if (i + j) % 2 else ''}1.0) * {det([x for x in s if x != a], [x for x in s if x != b])}"
+    parts = []
+    for k in range(1, len(OLS_X) + 1):
+        for s in map(list, combinations(OLS_X, k)):
+            name = "".join(s)
+            beta = {a: "((" + " + ".join(f"{minor(s, a, b)} * {g(b, OLS_Y)}" for b in s) + f") / {det(s, s)})" for a in s}
+            rss = f"({g(OLS_Y, OLS_Y)} - ({' + '.join(f'{beta[a]} * {g(a, OLS_Y)}' for a in s)}))"
+            for a in s:
+                t = f"({beta[a]} / sqrt({rss} / (n - {k}) * ({minor(s, a, a)}) / {det(s, s)}))"
+                parts.append(f"SELECT '{name}' AS fit, '{a}' AS variable, {t} AS t, n - {k}.0 AS dof FROM gram")
+    left = lambda r: "replace(fit, variable, '')"
+    rounds = [f"r1 AS (SELECT 1 AS step, * FROM p WHERE fit = '{''.join(OLS_X)}' AND p > {OLS_ALPHA} ORDER BY p DESC LIMIT 1)"]
+    for i in range(2, len(OLS_X)):
+        rounds.append(f"r{i} AS (SELECT {i} AS step, p.* FROM p WHERE fit = (SELECT {left(i)} FROM r{i - 1}) AND p > {OLS_ALPHA} ORDER BY p DESC LIMIT 1)")
+    return f"""
+WITH gram AS (SELECT count(*) AS n, {gram} FROM embeddings),
+t AS ({' UNION ALL '.join(parts)}),
+p AS (SELECT *, {_f_tail_sql('(t * t)', '1', 'dof')} AS p FROM t),
+{', '.join(rounds)}
+{' UNION ALL '.join(f"SELECT step, variable, {_r('t', 4)} AS t, {_r('p')} AS p FROM r{i}" for i in range(1, len(OLS_X)))}
+"""
+
+
+@register("backward_ols_rounds", _ols_rounds_sql())
+def q_backward_ols_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backward elimination as it goes: the column dropped in each round, its t and p at that time."""
+    from varkit.operators.reduce import backward_steps
+    emb = _emb_frame(spark, sf_dir).select(OLS_Y, *OLS_X)
+    rows = [(i, c, t, p) for i, (c, t, p) in enumerate(backward_steps(emb, OLS_Y, alpha=OLS_ALPHA), 1)]
+    out = spark.createDataFrame(rows, "step int, variable string, t double, p double")
+    return rounded(out.withColumn("t", F.round("t", 4)))
+
+
+# ---- rounds of the VIF reductions over three of the derived columns
+VIF_ROUND_COLS = ("price", "revenue", "qty")
+
+
+def _vif_rounds_sql(centred: bool) -> str:
+    a, b, c = VIF_ROUND_COLS
+    m = (lambda x, y: f"corr({x}, {y})") if centred else (lambda x, y: f"sum({x} * {y}) / sqrt(sum({x} * {x}) * sum({y} * {y}))")
+    two = lambda x, y: f"1 / (1 - {x}{y} * {x}{y})"
+    det = "(1 - ab * ab - ac * ac - bc * bc + 2 * ab * ac * bc)"
+    return f"""
+WITH base AS (SELECT l_extendedprice AS price, l_extendedprice * (1 - l_discount) AS revenue, l_quantity AS qty FROM lineitem),
+m AS (SELECT {m(a, b)} AS ab, {m(a, c)} AS ac, {m(b, c)} AS bc FROM base),
+f1 AS (
+  SELECT 0 AS i, '{a}' AS variable, (1 - bc * bc) / {det} AS vif FROM m UNION ALL SELECT 1, '{b}', (1 - ac * ac) / {det} FROM m
+  UNION ALL SELECT 2, '{c}', (1 - ab * ab) / {det} FROM m
+), r1 AS (SELECT * FROM f1 WHERE vif > 2.5 ORDER BY vif DESC, i LIMIT 1),
+f2 AS (
+  SELECT CASE WHEN i = 0 THEN 1 ELSE 0 END AS i, CASE WHEN i = 0 THEN '{b}' ELSE '{a}' END AS variable,
+    CASE i WHEN 0 THEN {two('b', 'c')} WHEN 1 THEN {two('a', 'c')} ELSE {two('a', 'b')} END AS vif FROM r1, m
+), r2 AS (SELECT * FROM f2 WHERE vif > 2.5)
+SELECT 1 AS step, variable, {_r('vif', 4)} AS vif FROM r1 UNION ALL SELECT 2, variable, {_r('vif', 4)} FROM r2
+"""
+
+
+def _vif_rounds_frame(spark: SparkSession, sf_dir: str, centred: bool) -> DataFrame:
+    from varkit.operators.reduce import vif_rounds
+    rounds = vif_rounds(_red_frame(spark, sf_dir).select(*VIF_ROUND_COLS), 2.5, centred=centred)
+    out = spark.createDataFrame([(i, c, v) for i, (c, v) in enumerate(rounds, 1)], "step int, variable string, vif double")
+    return rounded(out, 4)
+
+
+@register("vif_rounds", _vif_rounds_sql(False))
+def q_vif_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uncentred VIF reduction as it goes: the column dropped in each round and its VIF at that time."""
+    return _vif_rounds_frame(spark, sf_dir, False)
+
+
+@register("vif_rounds_corr", _vif_rounds_sql(True))
+def q_vif_rounds_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on correlations."""
+    return _vif_rounds_frame(spark, sf_dir, True)
+
+
+@register("collinear_shares", f"""
+WITH base AS (SELECT CAST(l_quantity AS DOUBLE) AS q, CAST(l_tax AS DOUBLE) AS t, CAST(l_quantity AS DOUBLE) + 100 * CAST(l_tax AS DOUBLE) AS s,
+    CAST(l_discount AS DOUBLE) AS d FROM lineitem),
+g AS (SELECT sum(q * q) AS qq, sum(q * t) AS qt, sum(t * t) AS tt, sum(q * d) AS qd, sum(t * d) AS td, sum(d * d) AS dd FROM base),
+r AS (SELECT *, sqrt(tt - qt * qt / qq) AS rt, (td - qt * qd / qq) / sqrt(tt - qt * qt / qq) AS rtd FROM g)
+SELECT 'l_quantity' AS variable, 1.0 AS share, false AS dependent FROM r
+UNION ALL SELECT 'l_tax', {_r('rt / sqrt(tt)')}, false FROM r
+UNION ALL SELECT 'qty_tax', 0.0, true FROM r
+UNION ALL SELECT 'l_discount', {_r('sqrt(dd - qd * qd / qq - rtd * rtd) / sqrt(dd)')}, false FROM r
+""")
+def q_collinear_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per column, from the triangular factor of the table: the share of its length outside the columns before
+    it, and whether it is a combination of them (``qty_tax`` is one)."""
+    from varkit.operators.qr import dependent_columns, pivot_shares, r_factor
+    li = read_table(spark, sf_dir, "lineitem", ["l_quantity", "l_tax", "l_discount"])
+    li = li.select("l_quantity", "l_tax", (F.col("l_quantity") + 100 * F.col("l_tax")).alias("qty_tax"), "l_discount")
+    names = li.columns
+    r = r_factor(li, names)
+    gone = dependent_columns(r)
+    kept = [j for j in range(len(names)) if j not in gone]
+    shares = pivot_shares(r)
+    for place, j in enumerate(kept):
+        shares[j] = pivot_shares(_upper(r[:, kept[:place + 1]]))[-1]
+    rows = [(n, float(shares[j]), j in gone) for j, n in enumerate(names)]
+    return rounded(spark.createDataFrame(rows, "variable string, share double, dependent boolean"))
+
+
+def _upper(r):
+    import numpy as np
+    return np.linalg.qr(r, mode="r")
+
+
 # ------------------------------------------------------------------ scoring
 def _orders_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority",
