@@ -129,6 +129,12 @@ def to_long(df: DataFrame, cols: list[str], *, kind: str = "numeric",
     return long.select(*[qcol(c) for c in keep], mapping[F.col("_slot")].alias(variable), F.col(value))
 
 
+def to_coded(df: DataFrame, cols: list[str], *, code: str = "code", value: str = "value") -> DataFrame:
+    """Numeric columns as rows ``(code, value)``, the code being the column's place in ``cols``: the long form for
+    work whose groups go by number, NULL values included."""
+    return df.select(F.posexplode(F.array(*[numeric_value(df, c) for c in cols])).alias(code, value))
+
+
 def variable_order(cols: list[str]) -> Column:
     """Literal map variable -> position, used to keep output rows in column order."""
     return F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])

@@ -113,10 +113,10 @@ def _select(base: DataFrame, keys: list[str], wanted: dict, sizes: dict, depth:
     most = max(len(c.ends) for c in cuts.values())
     x = base.join(F.broadcast(table), keys)
     x = with_count_less(x, "_ends", F.col("_v"), most, "_below")
-    x = with_count_less(x, "_ends", F.col("_v"), most, "_upto", or_equal=True)
     # even: an open interval; odd: one of the ends
     segment = f"_seg{depth}"
-    x = x.withColumn(segment, F.col("_below") + F.col("_upto"))
+    on_end = F.coalesce(F.try_element_at("_ends", F.col("_below") + 1) == F.col("_v"), F.lit(False))
+    x = x.withColumn(segment, 2 * F.col("_below") + on_end.cast("int"))
     listed = (F.col(segment) % 2 == 1) | F.try_element_at("_by_value", (F.col("_below") + 1).cast("int"))
     scratch = Scratch()
     try:

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from varkit.functions.columns import (
     category_value, numeric_value, numerical_categorical_division, pct_name, qcol,
-    sigma_names, to_long, variable_order,
+    sigma_names, to_coded, to_long, variable_order,
 )
 from varkit.functions.distributions import chi2_sf, f_sf
 from varkit.operators.brackets import order_statistics
@@ -194,12 +194,12 @@ def _numeric_part(df: DataFrame, num: list[str], percentiles, cv, ws: dict) -> D
     """Numeric rows, one per variable: moments from ``ws``, exact distinct counts, and percentiles from brackets."""
     names = [pct_name(p) for p in percentiles]
     unique = _unique_counts(df, num)
-    pcts = bracketed_percentiles(to_long(df, num), ["variable"], "value", percentiles, {(c,): ws[f"c{i}"] for i, c in enumerate(num)})
+    pcts = bracketed_percentiles(to_coded(df, num), ["code"], "value", percentiles, {(i,): ws[f"c{i}"] for i in range(len(num))})
     rows = []
     for i, c in enumerate(num):
         ku = ws[f"u{i}"]
         rows.append((c, ws[f"c{i}"], ws["_n"], ws[f"s{i}"], ws[f"k{i}"], None if ku is None else ku + 3.0, ws[f"a{i}"], ws[f"l{i}"], ws[f"h{i}"],
-                     unique.get(c, 0)) + tuple(pcts.get((c,), [None] * len(names))))
+                     unique.get(c, 0)) + tuple(pcts.get((i,), [None] * len(names))))
     schema = _NUM_STATS_SCHEMA + ", unique long, " + ", ".join(f"`{n}` double" for n in names)
     return _with_sigmas(df.sparkSession.createDataFrame(rows, schema), cv)
 
