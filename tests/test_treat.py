@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varkit.operators.treat import cap_floor, dummies, dummies_binary, smooth_tails
+from varkit.operators.treat import cap_floor, dummies, dummies_binary, dummies_sparse, smooth_tails
 
 
 def test_tail_ramp(spark):
@@ -67,11 +67,51 @@ def test_dummies_binary(spark):
     cats = ["a"] * 4 + ["b"] * 3 + ["c"] * 2 + [None]
     df = spark.createDataFrame(list(enumerate(cats)), "id long, c string")
     out, conv = dummies_binary(df, "c")
-    assert conv == [("a", 0), ("b", 1), ("c", 10), (None, 11)]
+    assert [(r["category"], int(r["digits"])) for r in conv.orderBy("code").collect()] == [("a", 0), ("b", 1), ("c", 10), (None, 11)]
     bits = {r["c"]: (r["c_dum_0"], r["c_dum_1"], r["c_dum_2"]) for r in out.collect()}
     assert bits == {"a": (0, 0, 0), "b": (1, 0, 0), "c": (0, 1, 0), None: (0, 0, 0)}
 
 
+@pytest.mark.parametrize("hot", [10**6, 100])
+def test_many_categories_and_a_hot_one(spark, monkeypatch, hot):
+    """Codes of thousands of categories from range cuts and joins, a third of the rows in one category."""
+    from varkit.operators import rank, treat
+    monkeypatch.setattr(treat, "HOT_ROWS", hot)
+    rnd = random.Random(3)
+    cats = ["hot"] * 2000 + [f"k{rnd.randint(0, 2500)}" for _ in range(4000)] + [None] * 40
+    rnd.shuffle(cats)
+    df = spark.createDataFrame(list(enumerate(cats)), "id long, c string").repartition(4)
+    count = {}
+    for c in cats:
+        count[c] = count.get(c, 0) + 1
+    order = sorted(count, key=lambda c: (-count[c], c is None, c or ""))
+    spark.conf.set(rank.CONF_ROWS_PER_BUCKET, "200")
+    try:
+        out, codes = dummies_binary(df, "c")
+        assert [r["category"] for r in codes.orderBy("code").collect()] == order
+        rows = out.collect()
+        sparse, _ = dummies_sparse(df, "c")
+        vectors = {r["id"]: r["c_dum"] for r in sparse.collect()}
+    finally:
+        spark.conf.unset(rank.CONF_ROWS_PER_BUCKET)
+    digits = len(bin(len(order))) - 2
+    assert len(rows) == len(cats) and len(vectors) == len(cats)
+    for r in rows:
+        code = order.index(r["c"]) if r["c"] is not None else 0
+        assert sum(r[f"c_dum_{j}"] << j for j in range(digits)) == code
+        v = vectors[r["id"]]
+        assert v.size == len(order) - 1
+        assert list(v.indices) == ([] if r["c"] is None or r["c"] == order[-1] else [order.index(r["c"])])
+
+
+def test_one_category_and_no_rows(spark):
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "c string")
+    for frame, n in ((df.where("c = 'a'"), 2), (df.where("c IS NULL"), 1), (df.where("c = 'z'"), 0)):
+        out, _ = dummies_sparse(frame, "c")
+        assert [r["c_dum"].numNonzeros() for r in out.collect()] == [0] * n
+        assert dummies(frame, "c")[1] == [] and dummies_binary(frame, "c")[0].count() == n
+
+
 def test_cap_floor(spark):
     df = spark.createDataFrame([(1, 5.0), (2, None), (3, -3.0), (4, 100.0)], "id long, x double")
     assert [r["x"] for r in cap_floor(df, "x", 10.0, 0.0).orderBy("id").collect()] == [5.0, None, 0.0, 10.0]

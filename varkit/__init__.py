@@ -38,6 +38,7 @@ _EXPORTS = {
     "cap_floor": "varkit.operators.treat",
     "dummies": "varkit.operators.treat",
     "dummies_binary": "varkit.operators.treat",
+    "dummies_sparse": "varkit.operators.treat",
     "smooth_tails": "varkit.operators.treat",
     "correlation_matrix": "varkit.operators.moments",
     "gram_matrix": "varkit.operators.moments",

@@ -2,7 +2,8 @@
 
 * :func:`cap_floor` - values above ``a`` become ``a``, then values below ``b``
   become ``b``; NULL stays NULL.  Map-only.
-* :func:`dummies` - 0/1 column per category except the least frequent.
+* :func:`dummies` - 0/1 column per category except the least frequent; :func:`dummies_sparse` the same
+  as one sparse vector, for any number of categories.
 * :func:`dummies_binary` - each category's frequency rank written in base 2,
   one 0/1 column per binary digit (least significant first).
 * :func:`smooth_tails` - recursive exponential smoothing of the values above
@@ -46,13 +47,33 @@ def cap_floor(df: DataFrame, s: str, a, b, high: bool = True, low: bool = True)
     return df.select(*[c.alias(s) if n == s else qcol(n) for n in df.columns])
 
 
-def category_frequencies(df: DataFrame, s: str) -> list[tuple]:
-    """``[(category, count), ...]`` in frequency order (count desc, category asc,
-    NULL last).  One aggregate; the list has one entry per distinct category."""
-    counts = df.groupBy(qcol(s).alias("_c")).agg(F.count(F.lit(1)).alias("_n")).collect()
-    rows = [(r["_c"], r["_n"]) for r in counts]
-    rows.sort(key=lambda t: (-t[1], t[0] is None, t[0] if t[0] is not None else ""))
-    return rows
+#: A category with more rows than this is hot: its code is broadcast, so that no shuffle gathers its rows.
+HOT_ROWS = 1_000_000
+
+
+def category_codes(df: DataFrame, s: str) -> DataFrame:
+    """``category, n, code``: every category with its rows and its rank in frequency order (count desc, category
+    asc, NULL last), from 0.  Counts are one aggregate; ranks come from range cuts of the count table, so any number
+    of categories stays distributed."""
+    counts = df.groupBy(qcol(s).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    ordered = counts.withColumn("_less", -F.col("n")).withColumn("_null", F.col("category").isNull().cast("int"))
+    return with_positions(ordered, [], ["_less", "_null", "category"], out="code").select("category", "n", "code")
+
+
+def with_codes(df: DataFrame, s: str, codes: DataFrame, out: str) -> DataFrame:
+    """Add ``out``: the code of the row's category, NULL for a NULL category.
+
+    Codes are an equi-join.  Hot categories (at most rows / ``HOT_ROWS`` of them) are a broadcast join of their own,
+    so that the shuffled join only sees keys of a bounded number of rows.
+    """
+    named = codes.where(F.col("category").isNotNull()).select(F.col("category").alias("_category"), F.col("code").alias(out), "n")
+    hot, rest = named.where(F.col("n") > HOT_ROWS).drop("n"), named.where(F.col("n") <= HOT_ROWS).drop("n")
+    first = hot.select("_category", F.col(out).alias("_hot_code"))
+    if first.isEmpty():
+        return df.join(rest, qcol(s) == F.col("_category"), "left").drop("_category")
+    marked = df.join(F.broadcast(first), qcol(s) == F.col("_category"), "left").drop("_category")
+    cold = marked.where(F.col("_hot_code").isNull()).drop("_hot_code").join(rest, qcol(s) == F.col("_category"), "left").drop("_category")
+    return cold.unionByName(marked.where(F.col("_hot_code").isNotNull()).withColumnRenamed("_hot_code", out))
 
 
 def _suffix(cat) -> str:
@@ -75,8 +96,9 @@ def _free_names(names: list[str], taken: Sequence[str]) -> list[str]:
 def dummies(df: DataFrame, s: str) -> tuple[DataFrame, list]:
     """One-hot columns ``{s}_dum_{category}`` for all categories but the least
     frequent; returns the new DataFrame and the encoded categories, most
-    frequent first."""
-    cats = [c for c, _ in category_frequencies(df, s)][:-1]
+    frequent first.  The categories are column names here, so they are collected; for categories in numbers
+    that no schema should hold there is :func:`dummies_sparse`."""
+    cats = [r["category"] for r in category_codes(df, s).orderBy("code").collect()][:-1]
     cols = [qcol(n) for n in df.columns]
     names = _free_names([f"{s}_dum_{_suffix(cat)}" for cat in cats], df.columns)
     for cat, name in zip(cats, names):
@@ -85,24 +107,35 @@ def dummies(df: DataFrame, s: str) -> tuple[DataFrame, list]:
     return df.select(*cols), cats
 
 
-def dummies_binary(df: DataFrame, s: str) -> tuple[DataFrame, list]:
+def dummies_sparse(df: DataFrame, s: str, out: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The one-hot encoding as one sparse vector column ``{s}_dum`` (element k is the k-th most frequent category; the
+    least frequent one and NULL have none), and the code table of :func:`category_codes`.  Neither the
+    categories nor a map of them ever reach the driver or a plan."""
+    from pyspark.ml.feature import OneHotEncoder
+    out = out or f"{s}_dum"
+    codes = category_codes(df, s)
+    last = (codes.agg(F.max("code")).collect()[0][0] or 0)
+    # the encoder leaves out its last number, which here stands for the least frequent category and for NULL
+    place = F.when(F.col("_code") < last, F.col("_code")).otherwise(max(last, 1)).cast("double")
+    coded = with_codes(df, s, codes, "_code").withColumn("_code", place)
+    sizes = df.sparkSession.createDataFrame([(float(max(last, 1)),)], "_code double")
+    encoder = OneHotEncoder(inputCols=["_code"], outputCols=[out], dropLast=True).fit(sizes)
+    return encoder.transform(coded).drop("_code"), codes
+
+
+def dummies_binary(df: DataFrame, s: str) -> tuple[DataFrame, DataFrame]:
     """Binary codes: the k-th most frequent category (0-based) gets code k; column
     ``{s}_dum_j`` holds bit j of the code.  The number of columns is the number
-    of binary digits of the category count.  Returns the DataFrame and
-    ``[(category, code written in base 2 read as an int), ...]``."""
-    cats = [c for c, _ in category_frequencies(df, s)]
-    total = len(cats)
-    ndig = len(bin(total)) - 2
-    pairs = [(c, i) for i, c in enumerate(cats) if c is not None]
-    code = (F.create_map(*[x for c, i in pairs for x in (F.lit(c), F.lit(i))])[qcol(s)]
-            if pairs else F.lit(None).cast("int"))
-    code = F.coalesce(code, F.lit(-1))
+    of binary digits of the category count.  Returns the DataFrame and the conversion table
+    ``category, n, code, digits`` (the code written in base 2)."""
+    codes = category_codes(df, s)
+    ndig = len(bin(codes.count())) - 2
+    coded = with_codes(df, s, codes, "_code")
     cols = [qcol(n) for n in df.columns]
     for j in range(ndig):
-        bit = F.when(code < 0, F.lit(0)).otherwise(F.shiftright(code, j).bitwiseAND(F.lit(1)))
+        bit = F.coalesce(F.shiftright("_code", j).bitwiseAND(F.lit(1)), F.lit(0))
         cols.append(bit.cast("int").alias(f"{s}_dum_{j}"))
-    conv = [(c, int(bin(i)[2:])) for i, c in enumerate(cats)]
-    return df.select(*cols), conv
+    return coded.select(*cols), codes.withColumn("digits", F.bin("code"))
 
 
 # --------------------------------------------------------------- tail smoothing

@@ -518,6 +518,23 @@ def q_dummies_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dummies_binary(df, "o_orderpriority")[0]
 
 
+@register("dummies_sparse", """
+WITH freq AS (
+  SELECT p_type AS cat, row_number() OVER (ORDER BY count(*) DESC, p_type NULLS LAST) - 1 AS code, count(*) OVER () AS k
+  FROM part GROUP BY p_type
+)
+SELECT p.p_partkey, p.p_type, CAST(f.k - 1 AS INTEGER) AS width, CASE WHEN f.code < f.k - 1 AND p.p_type IS NOT NULL THEN f.code END AS hot
+FROM part p JOIN freq f ON f.cat IS NOT DISTINCT FROM p.p_type
+""")
+def q_dummies_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse one-hot vector of the part type, shown by its width and the place of its one."""
+    from pyspark.ml.functions import vector_to_array
+    from varkit.operators.treat import dummies_sparse
+    out, _ = dummies_sparse(read_table(spark, sf_dir, "part", ["p_partkey", "p_type"]), "p_type")
+    hot = F.array_position(vector_to_array("p_type_dum"), F.lit(1.0))
+    return out.select("p_partkey", "p_type", F.size(vector_to_array("p_type_dum")).alias("width"), F.when(hot > 0, hot - 1).alias("hot"))
+
+
 @register("smooth_tails", f"""
 WITH RECURSIVE p AS (
   SELECT quantile_cont(o_totalprice, 0.01) AS p1, quantile_cont(o_totalprice, 0.05) AS p5,
