@@ -1,9 +1,9 @@
 """Operators of a large-scale training-data pipeline.
 
-Ten operators over tables of documents, pages and embeddings: token-count rollups, a
+Thirteen operators over tables of documents, pages and embeddings: token-count rollups, a
 compressed token-id file format, HTML extraction, nearest neighbours, BPE, quality rules,
-source mixing, a similarity join, web archives and URL filters.  Nothing else in the library
-imports this subpackage.  The registered queries are in ``varkit.llm.queries``.
+source mixing, a similarity join, web archives, URL filters, ranked lexical search, toxicity
+scores and an audit of filters.  Nothing else in the library imports this subpackage.  The registered queries are in ``varkit.llm.queries``.
 """
 
 import sys
