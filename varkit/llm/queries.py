@@ -136,14 +136,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ 10 URL filters
 URL_FILTER_SQL = r"""
 WITH u AS (
-  SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    array_to_string(list_filter(string_split(coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), ''), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)')), '&') AS told
   FROM pages
 ), c AS (
-  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') END AS canon FROM u
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '')
+    || CASE WHEN told <> '' THEN '?' || told ELSE '' END END AS canon FROM u
 ), listed AS (
-  SELECT canon FROM c WHERE canon IS NOT NULL GROUP BY canon HAVING count(DISTINCT sha256(coalesce(html, ''))) > 1
+  SELECT DISTINCT canon FROM c
+  WHERE canon IS NOT NULL AND regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|poker|porn|spam|track|tracker|xxx)([.-]|$)')
 ), r AS (
   SELECT page_id, host, path, canon, CASE
     WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
@@ -161,10 +165,10 @@ FROM r
 
 @register("op10_url_filter", URL_FILTER_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list is taken from the crawl itself: canonical URLs that served different documents."""
-    from varkit.llm.url_filter import judge_urls, unstable_urls
+    """The list is taken from the crawl itself: URLs of hosts that are named after gambling, adult, pill, spam and tracking sites."""
+    from varkit.llm.url_filter import bad_host_urls, judge_urls
     pages = table(spark, sf_dir, "pages")
-    return judge_urls(pages, unstable_urls(pages)).select("page_id", "host", "path", "rule", "is_listed", "verdict")
+    return judge_urls(pages, bad_host_urls(pages)).select("page_id", "host", "path", "rule", "is_listed", "verdict")
 
 
 # ------------------------------------------------------------------ 7 mixing

@@ -4,7 +4,11 @@ Each listed canonical URL sets one bit in each of the eight 64-bit words of one
 block table is built by a ``bit_or`` aggregate and has at most ``max_blocks`` rows of 72 bytes
 (65536 rows, 5 MB, by default), so it may be broadcast.  URLs that the filter passes
 go on to an exact join with the list, which removes false positives; a URL that it stops is on
-no list.  A longer list raises the share of false positives, never the broadcast.
+no list, and its row stays where it is: only hits are shuffled.  A longer list raises the share
+of false positives, never the broadcast; give ``max_blocks`` more for lists of millions.
+
+Canonical URLs keep the query parameters that tell pages apart and drop those that only track
+where a visitor came from (``TRACKING``).
 
 Edge cases: a NULL url, or one without ``://``, has an empty host and path, fits no rule and is
 on no list.  An empty list gives ``allow`` wherever no rule fits.  Repeated rows are judged one
@@ -16,10 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varkit.llm.common import stored
+
 #: (verdict, host, path) of the rules; a host stands for its subdomains too.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"),
          ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
+# Names of query parameters that identify no page.
+TRACKING = r"^(utm_[^=]*|ref|gclid|fbclid)(=|$)"
+# Words of a host's name, between dots and hyphens, that mark gambling, adult, pill, spam and tracking sites.
+BAD_HOST = r"(^|[.-])(ads|adult|bets|casino|pills|poker|porn|spam|track|tracker|xxx)([.-]|$)"
+
 WORDS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,13 +43,24 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def canonical(host: Column, path: Column) -> Column:
-    """Host without a leading ``www.`` and path without trailing slashes; scheme, query and
-    fragment are dropped.  NULL without a host."""
-    url = F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"/+$", ""))
+def query_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1), F.lit(""))
+
+
+def canonical(host: Column, path: Column, query: Column) -> Column:
+    """Host without a leading ``www.``, path without trailing slashes and the parameters of the
+    query, in their order, without empty and tracking ones; scheme and fragment are dropped.
+    NULL without a host."""
+    told = F.array_join(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(TRACKING)), "&")
+    url = F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"/+$", ""),
+                   F.when(told != "", F.concat(F.lit("?"), told)).otherwise(""))
     return F.when(host != "", url)
 
 
+def canonical_of(url: Column) -> Column:
+    return canonical(host_of(url), path_of(url), query_of(url))
+
+
 def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, NULL where none does.  ``rules`` is a
     parameter of a few dozen entries; they become one CASE, longest first."""
@@ -83,35 +105,24 @@ def judge_urls(urls: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "p
     The verdict is the longest fitting rule's; where none fits, ``block`` for a listed URL and
     else ``allow``.  ``listed`` holds URLs in ``listed_col``; they are made canonical first.
     """
-    u = F.col(f"`{listed_col}`")
-    names = listed.select(canonical(host_of(u), path_of(u)).alias("_c")).where("_c IS NOT NULL").distinct()
+    names = stored(listed.select(canonical_of(F.col(f"`{listed_col}`")).alias("_c")).where("_c IS NOT NULL").distinct(), "listed")
     n = names.count()
     blocks = max(1, min(max_blocks, -(-n * bits_per_url // 512)))
 
     u = F.col(f"`{url_col}`")
-    rows = urls.select(F.col(f"`{id_col}`").alias(id_col), host_of(u).alias("host"), path_of(u).alias("path"))
+    rows = urls.select(F.col(f"`{id_col}`").alias(id_col), host_of(u).alias("host"), path_of(u).alias("path"), query_of(u).alias("_query"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("_verdict"),
-                       canonical(F.col("host"), F.col("path")).alias("canonical_url"))
+    rows = rows.select(F.col(id_col), "host", "path", rule.alias("rule"), verdict.alias("_verdict"),
+                       canonical(F.col("host"), F.col("path"), F.col("_query")).alias("canonical_url"))
     probed = probe(rows, "canonical_url", bloom_blocks(names, "_c", blocks), blocks)
-    # A filtered-out URL keeps its row and takes a private key, which spreads these rows evenly
-    # and matches nothing, so hits and misses need one scan and one join.
-    key = F.when(F.col("_maybe"), F.concat(F.lit("u"), F.col("canonical_url"))).otherwise(
-        F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
-    exact = names.select(F.concat(F.lit("u"), "_c").alias("_ck"))
-    keyed = probed.withColumn("_key", key)
-    out = keyed.join(exact, keyed["_key"] == exact["_ck"], "left")
-    is_listed = F.col("_ck").isNotNull()
-    return out.select(F.col(id_col), "host", "path", "rule", "canonical_url", F.col("_maybe").alias("passed_filter"),
-                      is_listed.alias("is_listed"),
-                      F.coalesce("_verdict", F.when(is_listed, "block").otherwise("allow")).alias("verdict"))
-
-
-def unstable_urls(pages: DataFrame) -> DataFrame:
-    """Canonical URLs under which ``pages`` holds two or more different documents (NULL html
-    counts as empty): addresses whose content can't be trusted to be what was crawled."""
-    u = F.col("url")
-    rows = pages.select(canonical(host_of(u), path_of(u)).alias("_c"),
-                        F.sha2(F.coalesce("html", F.lit("")), 256).alias("_d")).where("_c IS NOT NULL")
-    return (rows.groupBy("_c").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi")).where("_lo <> _hi")
-            .select(F.concat(F.lit("http://"), "_c").alias("url")))
+    hits = probed.where("_maybe").join(names, F.col("canonical_url") == F.col("_c"), "left")
+    out = (hits.withColumn("is_listed", F.col("_c").isNotNull()).drop("_c")
+           .unionByName(probed.where("NOT _maybe").withColumn("is_listed", F.lit(False))))
+    return out.select(F.col(id_col), "host", "path", "rule", "canonical_url", F.col("_maybe").alias("passed_filter"), "is_listed",
+                      F.coalesce("_verdict", F.when(F.col("is_listed"), "block").otherwise("allow")).alias("verdict"))
+
+
+def bad_host_urls(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """The URLs in ``pages`` whose host is named after what no corpus wants (``BAD_HOST``)."""
+    u = F.col(f"`{url_col}`")
+    return pages.select(u.alias("url")).where(host_of(u).rlike(BAD_HOST)).distinct()
