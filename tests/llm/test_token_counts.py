@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from helpers import documents
 from varkit.llm.common import scratch
-from varkit.llm.token_counts import Ledger, state
+from varkit.llm.token_counts import Ledger, later_copies, signed, state
 
 NONE = "struct<source:string,lang:string,tokenizer_version:string,n_chars:bigint,n_tokens:bigint>"
 
@@ -32,11 +32,39 @@ def test_batches_are_signed_and_idempotent(spark):
     assert _rows(ledger) == {("s", "en", "v1"): (2, 2, 4)}
 
 
-def test_a_staged_batch_that_never_committed_counts_nothing(spark):
+def test_unfinished_folders_and_manifests_count_nothing(spark):
     docs = documents(spark, [(1, "a b", "en", "s")])
     ledger = Ledger(spark, scratch(spark, "test-ledger"))
     change = docs.select(F.lit(None).cast(NONE).alias("old"), state("source", "lang", F.lit("v"), F.col("n_chars"), F.lit(1)).alias("new"))
-    from varkit.llm.token_counts import signed
-    signed(change).write.parquet(f"{ledger.path}/staging/a-crashed")
-    assert _rows(ledger) == {}
+    signed(change).write.parquet(f"{ledger.path}/data/a-crashed")
+    ledger._fs.mkdirs(ledger._at("batches/a"))
+    ledger._fs.mkdirs(ledger._at("commits"))
+    out = ledger._fs.create(ledger._at("commits/a"), False)      # the writer died before the line break
+    out.write(bytearray(b"data/a-cra"))
+    out.close()
+    assert _rows(ledger) == {} and not ledger.is_committed("a")
     assert ledger.commit("a", change) and _rows(ledger) == {("s", "en", "v"): (1, 3, 1)}
+    assert not ledger._create("commits/a", ["data/other"])       # a second writer comes too late
+    assert _rows(ledger) == {("s", "en", "v"): (1, 3, 1)}
+
+
+def test_compaction_removes_what_it_folds_and_survives_a_crash(spark, monkeypatch):
+    docs = documents(spark, [(1, "a b", "en", "s")])
+    ledger = Ledger(spark, scratch(spark, "test-ledger"))
+    change = docs.select(F.lit(None).cast(NONE).alias("old"), state("source", "lang", F.lit("v"), F.col("n_chars"), F.lit(1)).alias("new"))
+    for name in "abc":
+        ledger.commit(name, change)
+    monkeypatch.setattr(Ledger, "_retire", lambda self, folded: None)
+    ledger.compact()
+    assert _rows(ledger) == {("s", "en", "v"): (3, 9, 3)} and not ledger.commit("b", change)
+    monkeypatch.undo()
+    ledger.commit("d", change)
+    ledger.compact()
+    assert _rows(ledger) == {("s", "en", "v"): (4, 12, 4)}
+    assert ledger._names("commits") == [] and ledger._names("folded") == list("abcd") and len(ledger._names("data")) == 1
+    assert not any(ledger.commit(name, change) for name in "abcd")
+
+
+def test_deleted_copies_take_their_characters_with_them(spark):
+    docs = spark.createDataFrame([(5, "x"), (3, "x"), (9, "x"), (None, "x"), (4, "y"), (None, "z"), (3, "x")], "doc_id long, digest string")
+    assert sorted(r.doc_id for r in later_copies(docs, "doc_id", "digest").collect()) == [5, 9]

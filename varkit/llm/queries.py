@@ -34,13 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 PUNCTUATED = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]"
 
 TOKEN_COUNTS_SQL = f"""
-WITH d AS (
-  SELECT source, lang, coalesce(length(text), 0) AS chars, text IS NULL OR text = '' AS bare,
+WITH f AS (SELECT *, coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS copy FROM documents),
+d AS (
+  SELECT source, lang, coalesce(length(text), 0) AS chars,
     len(regexp_extract_all(coalesce(text, ''), '{WORD_RE}')) AS words,
     len(regexp_extract_all(coalesce(text, ''), '{PUNCTUATED}')) AS pieces
-  FROM documents
+  FROM f WHERE NOT copy
 ), r AS (
-  SELECT source, lang, 'words-1' AS tokenizer_version, chars, words AS n FROM d WHERE words < 200 AND NOT bare
+  SELECT source, lang, 'words-1' AS tokenizer_version, chars, words AS n FROM d WHERE words < 200
   UNION ALL
   SELECT source, lang, 'pieces-1', chars, pieces FROM d WHERE words >= 200
 )
@@ -53,20 +54,20 @@ FROM r GROUP BY ALL
 @register("op1_token_counts", TOKEN_COUNTS_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over all documents: all are inserted, counted in words; those of 200 words
-    or more are revised to counts by a second tokenizer version; empty ones are deleted.  The
-    first two batches are then sent again, which changes nothing."""
-    from varkit.llm.common import WORD, scratch
-    from varkit.llm.token_counts import Ledger, state
+    or more are revised to counts by a second tokenizer version; exact copies of a document with a smaller id are
+    deleted, with the figures that they have by then.  The first two batches are then sent again, which changes nothing."""
+    from varkit.llm.common import WORD, scratch, stored
+    from varkit.llm.token_counts import Ledger, later_copies, state
     text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents").select(
-        "source", "lang", F.length(text).alias("chars"), F.regexp_count(text, F.lit(WORD)).alias("words"),
-        F.regexp_count(text, F.lit(PUNCTUATED)).alias("pieces"))
+    docs = stored(table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.length(text).alias("chars"), F.regexp_count(text, F.lit(WORD)).alias("words"),
+        F.regexp_count(text, F.lit(PUNCTUATED)).alias("pieces"), F.sha2(text, 256).alias("digest")), "counted")
     old = state("source", "lang", F.lit("words-1"), F.col("chars"), F.col("words"))
     new = state("source", "lang", F.lit("pieces-1"), F.col("chars"), F.col("pieces"))
     none = F.lit(None).cast("struct<source:string,lang:string,tokenizer_version:string,n_chars:bigint,n_tokens:bigint>")
     insert = docs.select(none.alias("old"), old.alias("new"))
     revise = docs.where("words >= 200").select(old.alias("old"), new.alias("new"))
-    delete = docs.where("chars = 0").select(old.alias("old"), none.alias("new"))
+    delete = later_copies(docs, "doc_id", "digest").select(F.when(F.col("words") >= 200, new).otherwise(old).alias("old"), none.alias("new"))
     ledger = Ledger(spark, scratch(spark, "token-counts"))
     for name, batch in (("0001-insert", insert), ("0002-revise", revise), ("0003-delete", delete),
                         ("0001-insert", insert), ("0002-revise", revise)):
