@@ -133,10 +133,9 @@ def make_plan(sizes: list[int], goal: list[float], block: int = BLOCK, shards: i
     for k in range(shards):
         slots = min(per, int(need.sum()))
         if slots:
-            p = need / need.sum()
-            got = np.minimum(np.floor(p * slots).astype(np.int64), need)
+            got = np.zeros(len(sizes), np.int64)
             rng = np.random.default_rng([seed, k])
-            while (left := slots - int(got.sum())) > 0:  # the fractions, and what a used-up source can't give
+            while (left := slots - int(got.sum())) > 0:  # again only for what a used-up source can't give
                 p = (need - got) / (need - got).sum()
                 got = np.minimum(got + rng.multinomial(left, p), need)
         else:
