@@ -87,3 +87,20 @@ def test_words_longer_than_a_piece_and_empty_table(spark, monkeypatch):
     monkeypatch.setattr(J, "PIECE", 1 << 20)
     assert (cut == J.Hasher().shingles(text)).all() and len(cut) == 6
     assert J.near_duplicates(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["sorted", "shuffled", "zigzag"])
+def test_chains_take_few_rounds(spark, monkeypatch, kind):
+    """Chains of 4096 nodes: at most 2 log2(n) tables of pointers, and the right components."""
+    n = 4096
+    names = list(range(n))
+    if kind == "shuffled":
+        random.Random(2).shuffle(names)
+    elif kind == "zigzag":
+        names = [x for i in range(n // 2) for x in (n // 2 + i, i)]
+    edges = [(names[i], names[i + 1]) for i in range(n - 1)] + [(10_000 + i, 10_000) for i in range(1, 50)] + [(7, 7)]
+    made, plain = [], J.stored
+    monkeypatch.setattr(J, "stored", lambda df, name: (made.append(name), plain(df, name))[1])
+    got = {r.node: r.component for r in J.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert made.count("pointers") <= 24, made
+    assert got == {**{i: 0 for i in range(n)}, **{10_000 + i: 10_000 for i in range(50)}}

@@ -257,16 +257,22 @@ def index_batch(ids: np.ndarray, texts, copied: np.ndarray, hasher: Hasher, perc
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for the nodes of ``edges``; the component is its smallest node.
 
-    Every node points to its smallest neighbour or itself, pointers are followed once more, and the
-    edges between different targets form the next, smaller graph.  Each round is a written table.
+    Every node points to its smallest neighbour or itself, pointers are followed to their ends, the
+    path halving with each step, and the edges between different ends form the next graph.  Ends
+    are nodes without a smaller neighbour, at most half of the nodes of a component, so rounds and the steps
+    of a round are each at most log2 of the largest component: a sorted chain takes one round.  Each
+    step is a written table.
     """
     left = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
     done = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("component", F.col("node"))
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
         up = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to"))
-        over = up.select(F.col("a").alias("_x"), F.col("to").alias("_y"))
-        up = stored(up.join(over, F.col("to") == F.col("_x")).select("a", F.col("_y").alias("to")), "pointers")
+        moved = True
+        while moved:
+            over = up.select(F.col("a").alias("_x"), F.col("to").alias("_y"))
+            up = stored(up.join(over, F.col("to") == F.col("_x")).select("a", F.col("_y").alias("to"), (F.col("to") != F.col("_y")).alias("moved")), "pointers")
+            moved = not up.where("moved").isEmpty()
         done = stored(done.join(up, F.col("component") == F.col("a"), "left")
                       .select("node", F.coalesce("to", "component").alias("component")), "components")
         x = up.select(F.col("a").alias("_a"), F.col("to").alias("_ta"))
