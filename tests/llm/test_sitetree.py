@@ -30,6 +30,59 @@ def test_class_words_do_not_take_the_article():
     assert _text(f"<div id=content><p>{'Long text. ' * 9}</p></div><div class=sidebar><article>teaser</article></div>") == ("Long text. " * 9).strip()
 
 
+NOISE = ("post-comments commentlist reader-comments disqus_thread comments comment-form ad ad-slot adverts sponsored-content article-sidebar sidebar related-posts "
+         "related main-menu menu nav-links site-nav page-header site-header site-footer post-footer newsletter-signup subscribe cookie-banner consent-popup "
+         "breadcrumbs social-links share-bar promo-box").split()
+
+
+def test_furniture_names_inside_the_article():
+    """Usual names of furniture go, whatever words they are made of; names of states and of an article's parts stay."""
+    body = "The article has a good many words of its own, in a paragraph like this one"
+    for name in NOISE:
+        for attribute in (f"class='{name}'", f"id={name}", f"class='x-{name} y'" if name not in ("share-bar", "page-header", "site-header", "cookie-banner") else f"class='{name} y'"):
+            assert _text(f"<article><h1>T</h1><p>{body}</p><div {attribute}><p>Noise here</p></div><p>End</p></article>") == f"T\n{body}\nEnd", attribute
+    for name in ("has-sidebar", "entry-header", "article-header", "elementor-widget-text", "comments-open", "market-share", "story-text"):
+        assert _text(f"<article><p>{body}</p><div class={name}><p>Kept</p></div></article>") == f"{body}\nKept", name
+
+
+def test_titles_and_text_beside_the_main_element():
+    assert _text("<div class=post><header><h1>Title</h1></header><p>Body</p></div><header>Site</header>") == "Title\nBody"
+    assert _text("<body><header><h1>Site</h1></header><h1>Title</h1><main><p>Body</p></main><section><h2>More</h2><p>of it</p></section><div>Imprint</div>") == "Title\nBody\nMore\nof it"
+    assert _text("<body><h1>Site</h1><article><h1>Title</h1><p>Body</p></article><section class=related><p>Others</p></section>") == "Title\nBody"
+    assert _text("<p>Buy <button>Now</button> it <select><option>1<option>2</select>here") == "Buy it here"
+    assert _text("<p>Buy <button>Now it") == "Buy Now it" and _text("<button>" * 20_000 + "x") == "x"
+
+
+def test_pages_made_from_known_text(spark):
+    """Whole pages put together from a known main text and furniture around and between its blocks, on hosts of all sizes."""
+    import random
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    line = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    pages, want = [], {}
+    for host, n in (("one.com", 1), ("few.com", 6), ("many.com", 60)):
+        menu = f"<nav><a href=/>{line(3)}</a></nav><div class=top>{line(4)}</div>"
+        for i in range(n):
+            title, blocks = line(5), [line(rnd.randrange(8, 40)) for _ in range(rnd.randrange(3, 9))]
+            parts = [f"<p>{b.replace(' ', '  ', 1)}</p>" for b in blocks]
+            for name in rnd.sample(NOISE, 3):
+                parts.insert(rnd.randrange(len(parts) + 1), f"<div class='{name}'><p>{line(4)}</p></div>")
+            around = rnd.choice(["<main>{}</main>", "<div class='content has-sidebar'><article>{}</article></div>", "<div id=search-results><article>{}</article></div>"])
+            page = around.format(f"<header><h1>{title}</h1></header>" + "".join(parts) + f"<form>{line(2)}<button>{line(1)}</button></form>")
+            pages.append((len(pages), f"http://{host}/{i}", f"<html><head><title>{title}</title></head><body>{menu}{page}<footer>{line(5)}</footer></body></html>"))
+            want[len(pages) - 1] = "\n".join([title, *blocks])
+    got = _extract(spark, pages)
+    assert {i: r.text for i, r in got.items()} == want
+
+
+def test_small_hosts_by_prior(spark):
+    """Unmarked blocks that all pages of a host repeat go from four pages on, without a switch at a number of pages."""
+    own = [f"Story {i} has words {i * 7}" for i in range(11)]
+    for n, gone in ((2, False), (3, False), (4, True), (11, True)):
+        got = _extract(spark, [(i, f"http://a.com/{i}", f"<body><div>Alpha Site welcomes you</div><div class=story><p>{own[i]}</p></div></body>") for i in range(n)])
+        assert {r.text for r in got.values()} == {own[i] if gone else f"Alpha Site welcomes you\n{own[i]}" for i in range(n)}, n
+
+
 def test_odd_markup():
     assert _text("") == "" and _text("<") == "<" and _text("plain  text") == "plain text"
     assert _text("<p>a</p></div></p><p>b") == "a\nb"
@@ -66,7 +119,7 @@ def test_repeated_blocks_inside_the_main_element(spark, monkeypatch):
     line, links = "<p>Subscribe to our letter</p>", "<ul><li>Read this</li><li>Read that</li></ul>"
     pages = [(i, f"http://a.com/{i}", f"<body><article><h1>Title {i}</h1><p>{t}</p>{line}<p>Part {i % 2}</p>{links}</article></body>") for i, t in enumerate(own)]
     near = [(i + 100, f"http://b.com/{i}", f"<body><article><p>{own[0]}</p><p>{own[1]}</p><p>note {i}</p></article></body>") for i in range(40)]
-    few = [(i + 200, f"http://c.com/{i}", pages[i][2]) for i in range(S.MIN_PAGES - 1)]
+    few = [(i + 200, f"http://c.com/{i}", pages[i][2]) for i in range(11)]
     for nodes in (S.BROADCAST_NODES, -1):
         monkeypatch.setattr(S, "BROADCAST_NODES", nodes)
         got = _extract(spark, pages + near + few)

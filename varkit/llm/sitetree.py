@@ -12,9 +12,13 @@ The tree alone can't judge hosts with few pages, nor articles that a site repeat
 heeded too: elements whose tag or class names them as page furniture are removed
 on every page, and in a main element that a page marks, paragraphs, headings, lists and tables are held to the
 lower limit ``LOW_IN_MAIN``, as single blocks are anywhere.  What falls under it goes only where it is the lesser part of the
-text; where it is most of it, the page is a copy or near copy of an article that the site repeats, and keeps all.  Classes and ids count
-as whole names, and a class, an id or a form is no furniture where it holds most of the page's text
-(of the main element's, where one stands outside furniture).
+text; where it is most of it, the page is a copy or near copy of an article that the site repeats, and keeps all.  A class or id names
+furniture by any of its words, but for names of states (has-sidebar) and of an article's own parts (entry-header); a class, an id or a form
+is no furniture where it holds most of the page's text (of the main element's, where one stands outside furniture).  Reply
+words always count.  Beside a main element, its headline and the paragraphs of sections stay.
+
+A host with few pages says little, so importances are drawn towards 1 as if ``PRIOR`` pages had shown
+nothing repeated: a node with the same blocks on every page goes from 4 pages on, one in a main element from 39 on.
 
 Statistics are sums over (host, node, feature), so a hot host is aggregated map-side and spread
 over its nodes and features.  Low nodes travel back as a broadcast table when there are at
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 from varkit.llm.common import stored
 from varkit.llm.url_filter import host_of
 
-MIN_PAGES, LOW_IMPORTANCE, LOW_IN_MAIN, DECAY = 12, 0.35, 0.05, 0.9
+PRIOR, LOW_IMPORTANCE, LOW_IN_MAIN, DECAY = 2.0, 0.35, 0.05, 0.9
 #: Before the path in keys of branches and of blocks that are held to ``LOW_IN_MAIN``.
 BRANCH, BLOCK = "!", "#"
 MAX_DEPTH, BROADCAST_NODES = 24, 100_000
@@ -47,20 +51,27 @@ MAX_DEPTH, BROADCAST_NODES = 24, 100_000
 # Tags by role.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "xmp")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
-          "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-FURNITURE_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "head"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "button", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
+          "label", "mark", "option", "q", "rp", "rt", "ruby", "s", "samp", "select", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+FURNITURE_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head"}
+# Inline controls, removed with what is in them and without breaking the block around.
+CONTROLS = ("button", "select")
 MAIN_TAGS = {"article", "main"}
 PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody",
               "tfoot", "tr", "td", "th", "caption", "figure", "figcaption", "br", "hr"}
 # Words in class, id and role attributes that name page furniture.
 FURNITURE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "banner", "breadcrumb", "breadcrumbs",
-                   "comment", "comments", "cookie", "cookies", "consent", "disclaimer", "disqus", "footer", "header", "masthead", "menu", "nav", "navbar",
-                   "navigation", "newsletter", "notice", "notices", "popup", "promo", "promoted", "related", "replies", "respond", "search", "share",
-                   "sharing", "sidebar", "sidebars", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets"}
-#: Words that a name of furniture may have besides, as in share-bar; other compounds (has-sidebar, entry-header) name no furniture.
-PLAIN_WORDS = {"bar", "block", "box", "buttons", "container", "links", "list", "site", "wrapper"}
-REPLY_WORDS = {"comment", "comments", "replies", "respond", "disqus"}
+                   "comment", "commentform", "commentlist", "comments", "cookie", "cookies", "consent", "disclaimer", "disqus", "footer", "gdpr", "header", "masthead", "menu", "nav", "navbar",
+                   "navigation", "newsletter", "notice", "notices", "outbrain", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "respond", "search", "share",
+                   "sharing", "sidebar", "sidebars", "signup", "social", "sponsor", "sponsored", "subscribe", "taboola", "toolbar", "widget", "widgets"}
+#: Words that also name parts of an article; they count only beside words of furniture and of ``PLAIN_WORDS``, as in share-bar or page-header.
+WEAK_WORDS = {"banner", "header", "notice", "notices", "share", "sharing", "widget", "widgets"}
+PLAIN_WORDS = {"bar", "block", "box", "buttons", "container", "global", "links", "list", "main", "page", "site", "top", "wrapper"}
+#: Words of names that tell a state or a layout of what they stand on.
+STATE_WORDS = {"closed", "disabled", "enabled", "has", "hide", "is", "layout", "no", "not", "open", "with", "without"}
+REPLY_WORDS = {"comment", "commentform", "commentlist", "comments", "replies", "respond", "disqus"}
+#: Words of the class or id of an element whose header is an article's own.
+ARTICLE_WORDS = {"article", "entry", "hentry", "post", "story"}
 #: Of an element in a main element that no soft furniture is around; 1 where some is, 0 elsewhere.
 FREE = 2
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -74,31 +85,32 @@ HOLDERS = {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "article", "mai
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
-ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW + CONTROLS}
 
 
 def furniture_words(names: list[str]) -> set[str]:
-    """The furniture words of the whole class names and ids that name furniture."""
+    """The furniture words of the class names and ids that name furniture."""
     found = set()
     for name in names:
         parts = set(NAME.findall(name))
-        if parts and parts <= FURNITURE_WORDS | PLAIN_WORDS:
-            found |= parts & FURNITURE_WORDS
+        words = parts & FURNITURE_WORDS
+        if not parts & STATE_WORDS and (words - WEAK_WORDS or parts <= FURNITURE_WORDS | PLAIN_WORDS):
+            found |= words
     return found
 
 
 class Node:
     """An open block-level element.  ``soft`` numbers the elements around it that are furniture unless they hold most of the text."""
 
-    __slots__ = ("tag", "path", "children", "furniture", "soft", "main", "judged")
+    __slots__ = ("tag", "path", "children", "furniture", "soft", "main", "judged", "section")
 
-    def __init__(self, tag, path, furniture, soft, main, judged):
+    def __init__(self, tag, path, furniture, soft, main, judged, section=False):
         self.tag, self.path, self.furniture, self.soft, self.main, self.judged = tag, path, furniture, soft, main, judged
-        self.children: list[str] = []
+        self.section, self.children = section, []
 
 
 class Page:
-    """``blocks``: (path, text, in furniture, in the main element, judged paths); ``layout``: (path, children).
+    """``blocks``: (path, text, in furniture, in the main element or its article's beside it, judged paths); ``layout``: (path, children).
 
     Paths are strings of block-level tags with their classes.  ``judged`` are the keys of what the style tree
     may remove the block by: paths of enclosing elements, outermost first, and the block itself.
@@ -111,6 +123,7 @@ class Page:
         self._found: list[tuple] = []
         self._mains: set[tuple] = set()
         self._softs = 0
+        unclosed = set()
         root = Node("", "", False, (), 0, ())
         self._open = [root]
         at = 0
@@ -125,6 +138,12 @@ class Page:
             tag = m[2].lower()
             if m[1]:
                 self._close(tag)
+            elif tag in CONTROLS:
+                end = None if tag in unclosed else ENDS[tag].search(source, at)
+                if end:
+                    at = end.end()
+                else:
+                    unclosed.add(tag)
             elif tag in ENDS:
                 self._flush_if_block(tag)
                 if not m[3].rstrip().endswith("/"):
@@ -140,16 +159,19 @@ class Page:
 
     def _judge_soft(self):
         free = () in self._mains
-        total, held = 0, {}
-        for _, text, furniture, soft, main, _ in self._found:
+        total, held, titled = 0, {}, False
+        for _, text, furniture, soft, main, _, tag, _ in self._found:
             if not furniture and (main == FREE or not free):
                 total += len(text)
+                titled |= main > 0 and tag == "h1"
                 for e in soft:
                     held[e] = held.get(e, 0) + len(text)
         cleared = {e for e, n in held.items() if 2 * n > total}
         self.has_main = any(cleared.issuperset(soft) for soft in self._mains)
-        self.blocks = [(path, text, furniture or not cleared.issuperset(soft), main > 0, judged)
-                       for path, text, furniture, soft, main, judged in self._found]
+        self.blocks = []
+        for path, text, furniture, soft, main, judged, tag, section in self._found:
+            beside = tag == "h1" and not titled or section and tag in PARAGRAPHS
+            self.blocks.append((path, text, furniture or not cleared.issuperset(soft), main > 0 or beside, judged))
 
     def _flush_if_block(self, tag):
         if tag not in INLINE and tag not in ("script", "style", "noscript", "template", "svg", "math"):
@@ -161,7 +183,7 @@ class Page:
             self._text = []
             if text:
                 n = self._open[-1]
-                self._found.append((n.path, text, n.furniture, n.soft, n.main, (*n.judged, _block_key(n.path, _digest(text)))))
+                self._found.append((n.path, text, n.furniture, n.soft, n.main, (*n.judged, _block_key(n.path, _digest(text))), n.tag, n.section))
 
     def _pop(self):
         self._flush()
@@ -220,7 +242,7 @@ class Page:
                 whole += value.split()
         parent = self._open[-1]
         words = furniture_words(whole) if tag not in ("html", "body") and tag not in MAIN_TAGS and tag not in HEADINGS else set()
-        furniture = parent.furniture or tag in FURNITURE_TAGS and tag != "form" and not (tag == "header" and parent.main) or role in ROLES or (
+        furniture = parent.furniture or tag in FURNITURE_TAGS and tag != "form" and not (tag == "header" and (parent.main or _of_article(parent))) or role in ROLES or (
             not REPLY_WORDS.isdisjoint(words)) or (
             tag in MAIN_TAGS and not {"comment", "comments", "replies"}.isdisjoint(names))
         soft = parent.soft
@@ -238,7 +260,7 @@ class Page:
         held = tag in MAIN_TAGS or tag in ("html", "body") or deep
         key = BRANCH + path if main and tag in PARAGRAPHS else path
         judged = () if main and not parent.main else parent.judged if held else (*parent.judged, key)
-        self._open.append(Node(tag, path, furniture, soft, main, judged))
+        self._open.append(Node(tag, path, furniture, soft, main, judged, parent.section or tag == "section"))
 
     def text(self, low: set[str] | frozenset = frozenset()) -> str:
         """The main text without furniture and without the branches and blocks whose keys are in ``low``.  A
@@ -252,6 +274,10 @@ class Page:
         return "\n".join(texts or [t for t, _ in kept])
 
 
+def _of_article(node: Node) -> bool:
+    return not ARTICLE_WORDS.isdisjoint(node.path.rsplit("/", 1)[-1].split(".")[1:])
+
+
 def observations(pages: DataFrame) -> DataFrame:
     """(host, path, kind, feature, n): how many pages of a host have a node (kind 0), have it
     with a sequence of children (1) or with a text block (2)."""
@@ -313,28 +339,32 @@ def node_importance(counts: DataFrame) -> DataFrame:
     return done
 
 
-def low_nodes(importance: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW_IMPORTANCE) -> DataFrame:
-    return importance.where((F.col("pages") >= min_pages) & (F.col("importance") < low)).select("host", "path")
+def _drawn(importance, pages, prior: float):
+    return (importance * pages + prior) / (pages + prior)
+
+
+def low_nodes(importance: DataFrame, prior: float = PRIOR, low: float = LOW_IMPORTANCE) -> DataFrame:
+    return importance.where(_drawn(F.col("importance"), F.col("pages"), prior) < low).select("host", "path")
 
 
-def low_blocks(counts: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW_IN_MAIN) -> DataFrame:
+def low_blocks(counts: DataFrame, prior: float = PRIOR, low: float = LOW_IN_MAIN) -> DataFrame:
     """(host, path) of text blocks, by key, that are on nearly all of the pages that have their node."""
-    pages = counts.where("kind = 0").select("host", "path", F.col("n").alias("pages")).where(F.col("pages") >= min_pages)
-    content = 1 - F.log(F.least("n", "pages").cast("double")) / F.log(F.col("pages").cast("double"))
-    return (counts.where("kind = 2 AND n > 1").join(pages, ["host", "path"]).where(content < low)
+    pages = counts.where("kind = 0").select("host", "path", F.col("n").alias("pages")).where("pages > 1")
+    content = 1 - F.log(F.least("n", "pages").cast("double")) / F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
+    return (counts.where("kind = 2 AND n > 1").join(pages, ["host", "path"]).where(_drawn(content, F.col("pages"), prior) < low)
             .select("host", F.concat(F.lit(BLOCK), "path", F.lit(" "), F.col("feature").cast("string")).alias("path")))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            min_pages: int = MIN_PAGES, low: float = LOW_IMPORTANCE) -> DataFrame:
+            prior: float = PRIOR, low: float = LOW_IMPORTANCE) -> DataFrame:
     """(id, url, host, text, n_chars) per page."""
     url = F.col(f"`{url_col}`")
     rows = pages.select(F.col(f"`{id_col}`").alias("_id"), url.alias("_url"), host_of(url).alias("host"),
                         F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     counts = stored(observations(rows), "site-counts")
     importance = node_importance(counts)
-    in_main = low_nodes(importance, min_pages, min(low, LOW_IN_MAIN)).select("host", F.concat(F.lit(BRANCH), "path").alias("path"))
-    drop = low_nodes(importance, min_pages, low).unionByName(in_main).unionByName(low_blocks(counts, min_pages, min(low, LOW_IN_MAIN)))
+    in_main = low_nodes(importance, prior, min(low, LOW_IN_MAIN)).select("host", F.concat(F.lit(BRANCH), "path").alias("path"))
+    drop = low_nodes(importance, prior, low).unionByName(in_main).unionByName(low_blocks(counts, prior, min(low, LOW_IN_MAIN)))
     drop = stored(drop, "low-nodes")
     id_type = rows.schema["_id"].dataType.simpleString()
     schema = f"_id {id_type}, _url string, host string, text string"
