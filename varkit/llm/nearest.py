@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Centroids come from balanced hierarchical clustering of a bounded sample (``SAMPLE`` vectors,
-the only part fitted on a sample; at most ``MAX_LISTS`` centroids).  They are held in memory, here a broadcast of
-proven size, under a pruned neighbour graph that is searched best-first.  Every vector
+Centroids come from balanced hierarchical clustering of a bounded sample (about ``SAMPLE`` vectors, taken by a
+threshold on a hash of the id; at most ``MAX_LISTS`` centroids).  They are held in memory, here a broadcast of
+proven size, under a pruned neighbour graph that is searched best-first, for vectors and queries alike.  Every vector
 goes to the list of its nearest centroid; a vector near the boundary is replicated to further
-lists, unless a list that it is already in is nearer to the new centroid than the vector is.  A query
-takes the lists whose centroid distance is within a ratio of the nearest one's, at most ``PROBES``
-or a ``SHARE`` of all lists, whichever is more: with a fixed number alone, recall falls as lists are added.
-It always takes the nearest ``LEAST`` lists and as many as are sure to hold k + 1 vectors, and
-the ratio is to the distance of the last list needed for these, so a query on its own centroid is not left with that list.
+lists, unless a list that it is already in is nearer to the new centroid than the vector is.
+
+A query takes the lists whose centroid distance is within a ratio of the nearest one's, up to a number of lists.  Neither is
+fixed: about ``TUNE`` held-out vectors are searched exactly, in one scan, and ratio and number are the least that find the ``TARGET``
+share of their neighbours.  So vectors that lie in clusters are searched in few lists, and vectors without structure in as many
+as their recall takes, at every size of the table.  A query always takes the nearest ``LEAST`` lists and as many as are sure to
+hold k + 1 vectors, and the ratio is to the distance of the last list needed for these, so a query on its own centroid is
+not left with that list.
 
 Lists and their queries meet in groups of bounded size: a long list is cut into parts, and so
 are the queries of a list that many queries take.  Equal vectors enter the index with their smallest ids only,
@@ -21,7 +24,8 @@ a pair is met, so ties are exact and go to the smaller id.
 Edge cases: vectors that are NULL, empty, zero or hold NULL or non-finite components take no
 part, as candidate or query; so do rows with a NULL id.  Vectors of different length are never compared: the most
 frequent length takes part (the smaller on a tie).  An empty table gives an empty result.  Rows that repeat an id and a vector
-count once.  Only the id and vector columns are read.
+count once; an id with several vectors is one candidate, and one query, at the cosine of its best pair.  Only the id and
+vector columns are read.
 """
 
 from __future__ import annotations
@@ -35,7 +39,9 @@ from varkit.llm.common import stored
 
 SAMPLE, MAX_LISTS, LIST_SIZE = 32_768, 8192, 160
 REPLICAS, BOUNDARY = 6, 1.12
-PROBES, SHARE, RATIO, LEAST = 64, 1 / 8, 1.6, 8
+#: Held-out vectors that the pruning is fitted on, the share of their neighbours to be found, and the least lists of a query.
+TUNE, TARGET, LEAST = 256, 0.95, 2
+HASHES = 1 << 40
 DEGREE, BEAM = 24, 96
 PART, QUERY_PART = 4096, 1024
 #: Rows of query vectors that a batch is written out in at most.
@@ -168,26 +174,46 @@ class Graph:
             out.append(kept)
         return out
 
-    def probes_of(self, q: np.ndarray, probes: int, ratio: float, sizes: np.ndarray | None = None, need: int = 0) -> list[list[int]]:
-        """The lists that each unit query vector takes, with ``need`` postings or more where ``sizes``,
-        the postings of each list, has so many.  So many lists are wanted that all centroids are ranked."""
-        out, n = [], len(self.c)
-        sizes = np.zeros(n, int) if sizes is None else sizes
-        for at in range(0, len(q), 256):
-            s = q[at:at + 256].astype(np.float32) @ self.c.T
-            ids = np.argsort(-s, axis=1, kind="stable")
-            dist = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(s, ids, axis=1), 0))
-            last = np.minimum((np.cumsum(sizes[ids], axis=1) < need).sum(axis=1), n - 1)[:, None]
-            rank = np.arange(n)
-            taken = (dist <= ratio * np.take_along_axis(dist, last, axis=1) + 1e-6) & (rank < probes)
-            taken |= rank <= np.maximum(last, LEAST - 1)
-            out += [i[t].tolist() for i, t in zip(ids, taken)]
+    def probes_of(self, q: np.ndarray, most: int, ratio: float, sizes: np.ndarray, need: int) -> list[list[int]]:
+        """The lists that each unit query vector takes, nearest first: by the graph, up to ``most`` within ``ratio``, with
+        ``need`` postings or more.  ``sizes`` are the postings of each list.  All centroids are
+        ranked only for a query whose nearest lists are too small for that."""
+        n = len(self.c)
+        out: list[list[int]] = []
+        ids, s = self.search(q, max(most, LEAST))
+        for x, i, near in zip(q, ids, s):
+            i, near = i[i >= 0], near[i >= 0]
+            if sizes[i].sum() < need and len(i) < n:
+                all_s = self.c @ x.astype(np.float32)
+                i = np.argsort(-all_s, kind="stable")
+                near = all_s[i]
+            dist = np.sqrt(np.maximum(2 - 2 * near, 0))
+            last = min(max(int(np.searchsorted(np.cumsum(sizes[i]), need)), LEAST - 1), len(i) - 1)
+            rank = np.arange(len(i))
+            out.append(i[(rank <= last) | (rank < most) & (dist <= ratio * dist[last] + 1e-6)].tolist())
         return out
 
-
-def probe_limit(lists: int, probes: int = PROBES, share: float = SHARE) -> int:
-    """The most lists that a query takes by the distance ratio."""
-    return max(probes, int(np.ceil(share * lists)))
+    def fit_pruning(self, q: np.ndarray, places: list[list[list[int]]], sizes: np.ndarray, need: int, target: float) -> tuple[int, float]:
+        """(most, ratio): the least that reach ``target`` of the neighbours of the unit vectors ``q``.
+        ``places`` holds, per vector and neighbour, the lists that the neighbour is in."""
+        ranks, ratios = [], []
+        for x, neighbours in zip(q, places):
+            s = self.c @ x.astype(np.float32)
+            order = np.argsort(-s, kind="stable")
+            rank = np.empty(len(s), int)
+            rank[order] = np.arange(len(s))
+            dist = np.sqrt(np.maximum(2 - 2 * s, 0))
+            last = min(max(int(np.searchsorted(np.cumsum(sizes[order]), need)), LEAST - 1), len(s) - 1)
+            for held in neighbours:
+                best = min(held, key=rank.__getitem__)
+                ranks.append(rank[best] + 1)
+                ratios.append(dist[best] / max(dist[order[last]], 1e-6))
+        if not ranks:
+            return len(self.c), float("inf")
+        # the share that may be missed is split between the two bounds
+        miss = 1 - target
+        return (int(np.quantile(ranks, 1 - 0.7 * miss, method="higher")),
+                max(1.0, float(np.quantile(ratios, 1 - 0.3 * miss, method="higher"))))
 
 
 def _matrix(column) -> np.ndarray:
@@ -209,9 +235,37 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return d.where(F.size("v") == (widths[0].w if widths else 0)).distinct()
 
 
+def _some(df: DataFrame, n: int, wanted: int, seed: int):
+    """About ``wanted`` of the ``n`` rows, by a threshold on a hash: every task keeps its own few."""
+    d = df if n <= wanted else df.where(F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.lit(HASHES)) < int(HASHES * wanted / n))
+    t = d.select("id", "v").toArrow()
+    return np.array(t.column("id"), np.int64), _unit(np.array(t.column("v").to_pylist(), np.float64).reshape(len(t), -1))
+
+
+def _exact(index: DataFrame, ids: np.ndarray, units: np.ndarray, k: int) -> DataFrame:
+    """(s, id): the ``k`` nearest rows of each sample vector number ``s``, by one scan."""
+    spark = index.sparkSession
+    held = spark.sparkContext.broadcast((ids, units))              # about TUNE vectors
+
+    def scan(batches):
+        names, u = held.value
+        for b in batches:
+            if not len(b):
+                continue
+            score = u @ _unit(_matrix(b["v"])).T
+            score[names[:, None] == b["id"].to_numpy()[None, :]] = -2
+            top = np.argpartition(-score, min(k, len(b)) - 1, axis=1)[:, :k]
+            yield pd.DataFrame({"s": np.repeat(np.arange(len(u), dtype=np.int32), top.shape[1]), "id": b["id"].to_numpy()[top.ravel()],
+                                "score": np.take_along_axis(score, top, 1).ravel()})
+
+    best = Window.partitionBy("s").orderBy(F.desc("score"), "id")
+    return (index.mapInPandas(scan, "s int, id long, score double").where("score > -1.5")
+            .withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("s", "id"))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
            list_size: int = LIST_SIZE, max_lists: int = MAX_LISTS, sample: int = SAMPLE, replicas: int = REPLICAS,
-           boundary: float = BOUNDARY, probes: int = PROBES, ratio: float = RATIO, share: float = SHARE) -> DataFrame:
+           boundary: float = BOUNDARY, tune: int = TUNE, target: float = TARGET) -> DataFrame:
     """(query_id, rank, id, score): for each row of ``queries`` the ``k`` nearest rows of
     ``vectors`` with another id."""
     spark = vectors.sparkSession
@@ -219,17 +273,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     # row_number with a small bound is limited map-side, before the shuffle
     first = Window.partitionBy("v").orderBy("id")
     index = stored(base.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).select("id", "v"), "vectors")
-    asked = stored(asked.withColumn("qv", F.xxhash64("v")), "queries")
+    asked = stored(asked, "queries")
 
     n = index.count()
-    taken = index.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v")
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    x = _unit(np.array([v.as_py() for v in taken], np.float64)).astype(np.float32)
+    _, x = _some(index, n, sample, 1)
+    if not len(x):                                                   # a small table by an unlucky threshold
+        _, x = _some(index, n, n, 1)
+    x = x.astype(np.float32)
     lists = min(max_lists, -(-n // list_size))
     centroids = balanced_centroids(x, max(1, len(x) // lists))
-    graph = spark.sparkContext.broadcast(Graph(centroids).__dict__)
-    most = probe_limit(len(centroids), probes, share)
+    local = Graph(centroids)
+    graph = spark.sparkContext.broadcast(local.__dict__)
 
     def assign(batches):
         for b in batches:
@@ -242,12 +298,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     sizes = np.zeros(len(centroids), np.int64)
     for r in postings.groupBy("list").count().collect():             # one row per list
         sizes[r["list"]] = r["count"]
-    held = spark.sparkContext.broadcast(sizes)
     need = replicas * (k + 1)                                        # an id is in so many lists at most
 
+    s_ids, s_units = _some(index, n, tune, 2)
+    truth = _exact(index, s_ids, s_units, k)                         # at most about tune * k rows
+    where = postings.select("id", "list").join(F.broadcast(truth), "id").groupBy("s", "id").agg(F.collect_set("list").alias("lists"))
+    places: list[list[list[int]]] = [[] for _ in s_ids]
+    for r in where.collect():
+        places[r.s].append(r.lists)
+    most, ratio = local.fit_pruning(s_units, places, sizes, need, target)
+    held = spark.sparkContext.broadcast(sizes)
+
     def ask(batches):
         for b in batches:
-            step = max(1, PROBE_ROWS // most)
+            step = max(1, PROBE_ROWS // max(most, LEAST))
             for at in range(0, len(b), step):
                 part = b.iloc[at:at + step]
                 took = Graph.of(graph.value).probes_of(_unit(_matrix(part["v"])), most, ratio, held.value, need)
@@ -255,14 +319,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
                 yield pd.DataFrame({"list": np.array([j for h in took for j in h], np.int32), "q": np.repeat(part["q"].to_numpy(), rep),
                                     "v": [v for v, r in zip(part["v"], rep) for _ in range(r)]})
 
-    # one search for equal query vectors, named by the smallest id among them
-    once = asked.groupBy("v").agg(F.min("id").alias("q"))
+    # one search for equal query vectors, named by a number of their own
+    once = stored(asked.groupBy("v").agg(F.lit(1)).select("v", F.monotonically_increasing_id().alias("q")), "asked")
     probing = stored(once.mapInPandas(ask, "list int, q long, v array<double>"), "probes")
 
     parts = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).withColumnRenamed("list", "_l")
     qparts = probing.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_PART).cast("int").alias("qparts")).withColumnRenamed("list", "_q")
     plan = F.broadcast(parts.join(qparts, F.col("_l") == F.col("_q")).drop("_q"))     # at most max_lists rows
-    left = (postings.join(plan, F.col("list") == F.col("_l")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = (postings.join(plan, F.col("list") == F.col("_l")).withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int"))
             .withColumn("qpart", F.explode(F.sequence(F.lit(0), F.col("qparts") - 1))).select("list", "part", "qpart", "id", "v"))
     right = (probing.join(plan, F.col("list") == F.col("_l")).withColumn("qpart", F.pmod(F.xxhash64("q"), F.col("qparts")).cast("int"))
              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "qpart", "q", "v"))
@@ -271,21 +335,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         empty = pd.DataFrame({"q": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(have) or not len(want):
             return empty
+        have = have.sort_values("id", kind="stable")
+        names, starts = np.unique(have["id"].to_numpy(), return_index=True)
         a, b = _matrix(want["v"]), _matrix(have["v"])
         rough = _unit(a) @ _unit(b).T
-        most = min(k + 1, len(b))
-        bar = -np.partition(-rough, most - 1, axis=1)[:, most - 1] - 1e-9
+        each = np.maximum.reduceat(rough, starts, axis=1)            # an id's vectors are one candidate
+        most = min(k + 1, len(names))
+        bar = -np.partition(-each, most - 1, axis=1)[:, most - 1] - 1e-9
         i, j = np.nonzero(rough >= bar[:, None])
         out = pd.DataFrame({"q": want["q"].to_numpy()[i], "id": have["id"].to_numpy()[j], "score": cosines(a[i], b[j])})
-        return out.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k + 1)
+        out = out.sort_values(["q", "score", "id"], ascending=[True, False, True]).drop_duplicates(["q", "id"])
+        return out.groupby("q").head(k + 1)
 
     keys = ["list", "part", "qpart"]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "q long, id long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    top = met.distinct().withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
+    top = met.groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
     # back to the queries: each leaves itself out
     names = asked.join(once.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v")).select(F.col("id").alias("query_id"), F.col("q").alias("_q"))
-    found = top.join(names, F.col("q") == F.col("_q")).where("id <> query_id")
+    found = (top.join(names, F.col("q") == F.col("_q")).where("id <> query_id")
+             .groupBy("query_id", "id").agg(F.max("score").alias("score")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "id", "score"))
