@@ -23,6 +23,27 @@ def test_coder_round_trip(case):
         assert sum(map(len, codes)) < 0.8 * sum(2 * len(b) for b in blocks)
 
 
+def test_one_distribution_is_coded():
+    """The shares of all ids under one mixture sum to one: an id costs the sum of its three predictions, so copies of a
+    passage cost next to nothing and ids that no order knows cost what order 0 gives them."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 49408, 256)
+    once, often = (sum(map(len, T.encode_blocks([np.tile(passage, k)], 49408))) for k in (1, 30))
+    assert often < once + 29 * 256 * 0.1
+    # a stream drawn from few ids costs little more than its entropy, here 3 bits an id
+    few = rng.choice(rng.integers(0, 49408, 8), 8192)
+    assert len(T.encode_blocks([few], 49408)[0]) < 8192 * 3.4 / 8
+    c = T.order0(few[:2000], T.prior(49408))
+    assert (np.diff(c) > 0).all() and c[-1] < 1 << T.LANE_BITS
+
+
+def test_order0_goes_on_learning_to_the_end_of_a_block():
+    """Ids that come up only in the second half of a block are learnt there."""
+    rng = np.random.default_rng(4)
+    late = np.concatenate([rng.integers(0, 50, 4096), rng.integers(1000, 1050, 4096)])
+    assert T.renewals(8192)[-1] == 7168 and len(T.encode_blocks([late], 49408)[0]) < 8192 * 8.5 / 8
+
+
 def test_checksums_join():
     rng = np.random.default_rng(2)
     for n, m in ((0, 5), (3, 0), (7, 1), (1000, 123_457)):

@@ -1,14 +1,15 @@
-"""Token-id files: an adaptive escape-coding range coder in independent blocks.
-
-Each id is predicted in parts, order 2, then 1, then 0 (escape coding, not a mixture in one distribution): p2 and p1 are the
-ids that last followed the same two ids and the same id (orders 2 and 1), P0 is the distribution of
-the block's ids so far (order 0).  The weights adapt: they are counts of what was right
-before in the same state of confidence.  A 64-bit range coder codes, per id, which part
-it comes from and, for P0, the id (p2 and p1 are not excluded from P0).  All models start afresh in every block, and a block
+"""Token-id files: an adaptive context-mixing range coder in independent blocks.
+
+Each id is coded under one distribution, a mixture of the predictions of orders 2, 1 and 0:
+P(id) = w2 [id = p2] + w1 [id = p1] + w0 P0(id), where p2 and p1 are the ids that last followed the same two ids and the same
+id, and P0 is the distribution of the block's ids so far.  The weights adapt: they are the shares of what was right before in the
+same state of confidence.  P0 gives the ids that have not occurred the share that Good and Turing estimate from those that
+occurred once.  All sums are integers, so encoder and decoder agree to the bit.  A 64-bit range coder takes one step per id.
+All models start afresh in every block, and a block
 carries its length, its documents and a checksum of its ids, so blocks are read alone and in any order.
 
-P0 is renewed at fixed places (``RENEWALS``), so the encoder finds all probabilities with array
-operations; the coder itself and the decoder run many blocks in step, one array element per block.
+P0 is renewed at fixed places, from then on every ``RENEWAL`` ids to the block's end (``renewals``), so the encoder finds all
+probabilities with array operations; the coder itself and the decoder run many blocks in step, one array element per block.
 
 Files: documents are range-partitioned by id and sorted, so part numbers, block numbers and
 documents ascend with the id.  Blocks are rows of binary payloads in files of Spark's own
@@ -36,8 +37,11 @@ from pyspark.sql import functions as F
 from varkit.llm.common import stored, text_or_empty, worker_cache
 
 BLOCK_TOKENS, LANES = 8192, 512
-RENEWALS = (256, 512, 1024, 2048, 4096)
-BOOST = 32
+RENEWAL = 1024
+#: The weights of the mixture sum to this.
+MIX = 1 << 9
+#: P0 before any id: weights as of ranks, since vocabularies built by merges list frequent ids first.
+PRIOR_TOP, PRIOR_FLAT = 50_000, 500
 ORDER1_BITS, ORDER2_BITS = 12, 13
 MAGIC, HEADER = b"VKT1", "<4sIIIIQ"
 END_ID = 1
@@ -45,8 +49,8 @@ CHUNKS_KEPT = 400_000
 
 U = np.uint64
 LOW32 = U(0xFFFFFFFF)
-#: Order-0 weights of a lane stay below 1 << LANE_BITS: size + BOOST * BLOCK_TOKENS.
-LANE_BITS = 20
+#: Order-0 weights of a lane sum to less than 1 << LANE_BITS.
+LANE_BITS = 22
 STATES = 32
 
 
@@ -96,13 +100,34 @@ def _state(e2: np.ndarray, e1: np.ndarray) -> np.ndarray:
     return (e2 & 3) * 8 + (e1 & 3) * 2 + own
 
 
-def order0(seen: np.ndarray, size: int) -> np.ndarray:
-    """Cumulated order-0 weights, from 0 on, after the ids ``seen``."""
-    out = np.zeros(size + 1, np.int64)
-    np.cumsum(np.bincount(seen, minlength=size) * BOOST + 1, out=out[1:])
+def renewals(n: int) -> list[int]:
+    """The places of a block of ``n`` ids where P0 is renewed: powers of two, then every ``RENEWAL`` ids."""
+    early = [1 << i for i in range(6, RENEWAL.bit_length() - 1)]
+    return [t for t in (*early, *range(RENEWAL, n, RENEWAL)) if t < n]
+
+
+def prior(size: int) -> np.ndarray:
+    return 1 + PRIOR_TOP // (np.arange(size, dtype=np.int64) + PRIOR_FLAT)
+
+
+def order0(seen: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Cumulated order-0 weights, from 0 on, after the ids ``seen``: the prior's ``base``, and for each occurrence so much that
+    the prior keeps the share of the ids seen once."""
+    counts = np.bincount(seen, minlength=len(base))
+    n, once, whole = len(seen), max(1, int((counts == 1).sum())), int(base.sum())
+    each = min(whole * (n - once) // (n * once), ((1 << LANE_BITS) - 1 - whole) // n) if n else 0
+    out = np.zeros(len(base) + 1, np.int64)
+    np.cumsum(counts * max(1, each) + base, out=out[1:])
     return out
 
 
+def _weights(c2, c1, total, e2, own):
+    """Weights of orders 2, 1 and 0 in the mixture, from the counts of what was right in a state."""
+    w2 = np.where(e2 > 0, c2 * (MIX - 3) // total + 1, 0)
+    w1 = np.where(own > 0, c1 * (MIX - 3) // total + 1, 0)
+    return w2, w1, MIX - w2 - w1
+
+
 def encode_blocks(blocks: list[np.ndarray], size: int) -> list[bytes]:
     """Codes of blocks of ids below ``size``; the lengths go into the blocks' headers."""
     out: list[bytes] = []
@@ -132,38 +157,29 @@ def _encode(blocks, size):
         hit = came == j
         before = np.cumsum(hit, axis=1, dtype=np.int32) - hit
         counts.append(_back(order, before - np.take_along_axis(before, begin, 1) + 1))
-    events = np.zeros((3, lanes, n, 2), np.uint32)            # start, frequency, total; a no-op where total is 1
+    c2, c1, c0 = (x.astype(np.int64) for x in counts)
+    w2, w1, w0 = _weights(c2, c1, c2 + c1 + c0, e2, state & 1)
+    base = prior(size)
+    p2, p1 = (e2 >> 2) - 1, (e1 >> 2) - 1
+    # start, frequency and total of each id in its mixture; steps that change nothing behind a block's end
+    events = np.zeros((3, n, lanes), U)
     events[1:] = 1
-    events[0, :, :, 0] = np.choose(part, [0, counts[0], counts[0] + counts[1]])
-    events[1, :, :, 0] = np.choose(part, counts)
-    events[2, :, :, 0] = counts[0] + counts[1] + counts[2]
     for i, b in enumerate(blocks):
-        events[1:, i, len(b):, 0] = 1
-        events[0, i, len(b):, 0] = 0
-        for first, end in zip((0, *RENEWALS), (*RENEWALS, len(b))):
-            end = min(end, len(b))
-            if first >= end:
-                break
-            w = order0(b[:first], size)
-            at = first + np.flatnonzero(part[i, first:end] == 2)
-            x = b[at]
-            events[0, i, at, 1], events[1, i, at, 1], events[2, i, at, 1] = w[x], w[x + 1] - w[x], w[-1]
-    # no-ops are dropped, so lanes advance by events of their own
-    events = events.reshape(3, lanes, 2 * n)
-    real = events[2] > 1
-    most = int(real.sum(axis=1).max())
-    dense = np.ones((3, most, lanes), np.uint32)
-    dense[0] = 0
-    for i in range(lanes):
-        keep = np.flatnonzero(real[i])
-        dense[:, :len(keep), i] = events[:, i, keep]
+        places = [0, *renewals(len(b)), len(b)]
+        for first, end in zip(places, places[1:]):
+            c = order0(b[:first], base)
+            at, x, total = slice(first, end), b[first:end], c[-1]
+            a2, a1, a0, g2, g1 = (v[i, at] for v in (w2, w1, w0, p2, p1))
+            events[0, at, i] = a0 * c[x] + total * (a2 * (g2 < x) + a1 * (g1 < x))
+            events[1, at, i] = a0 * (c[x + 1] - c[x]) + total * (a2 * (g2 == x) + a1 * (g1 == x))
+            events[2, at, i] = MIX * total
     low, rng = np.zeros(lanes, U), np.full(lanes, U(0xFFFFFFFFFFFFFFFF))
-    words, filled = np.zeros((lanes, most + 2), np.uint32), np.zeros(lanes, np.int64)
+    words, filled = np.zeros((lanes, n + 2), np.uint32), np.zeros(lanes, np.int64)
     with np.errstate(over="ignore"):
-        for t in range(most):
-            step = rng // dense[2, t]
-            low = low + step * dense[0, t]
-            rng = step * dense[1, t]
+        for t in range(n):
+            step = rng // events[2, t]
+            low = low + step * events[0, t]
+            rng = step * events[1, t]
             while True:
                 a = np.flatnonzero((((low ^ (low + rng)) >> U(32)) == 0) | (rng <= LOW32))
                 if not len(a):
@@ -203,15 +219,17 @@ def _decode(codes, lengths, size):
     ids = np.zeros((n, lanes), np.uint32)
     # the lanes' cumulated weights, lifted so that all of them ascend in one array
     lift = (np.arange(lanes, dtype=np.int64) << LANE_BITS).astype(np.uint32)
-    table = np.arange(width, dtype=np.uint32)[None, :] + lift[:, None]
-    flat, row, last = table.ravel(), np.arange(lanes, dtype=np.int64) * width, np.full(lanes, size, U)
+    begin = prior(size)
+    first = order0(np.zeros(0, np.int64), begin)
+    table = first.astype(np.uint32)[None, :] + lift[:, None]
+    flat, row, last = table.ravel(), np.arange(lanes, dtype=np.int64) * width, np.full(lanes, first[-1], np.int64)
     one, two = np.zeros(lanes << ORDER1_BITS, np.int32), np.zeros(lanes << ORDER2_BITS, np.int32)
     lane = np.arange(lanes, dtype=np.int64)
     lane1, lane2, lane_state = lane << ORDER1_BITS, lane << ORDER2_BITS, lane * STATES
     counts = np.full(lanes * STATES, 1 | 1 << 20 | 1 << 40, np.int64)
     mask = np.int64((1 << 20) - 1)
     prev = prev2 = np.zeros(lanes, np.uint32)
-    renewals, length = set(RENEWALS), np.array(lengths)
+    renewed, length = set(renewals(n)), np.array(lengths)
 
     def renorm():
         while True:
@@ -227,39 +245,45 @@ def _decode(codes, lengths, size):
 
     with np.errstate(over="ignore"):
         for t in range(n):
-            if t in renewals:
+            if t in renewed:
                 for i in np.flatnonzero(length > t):
-                    w = order0(ids[:t, i].astype(np.int64), size)
-                    table[i], last[i] = w + int(lift[i]), w[-1]
+                    c = order0(ids[:t, i].astype(np.int64), begin)
+                    table[i], last[i] = c + int(lift[i]), c[-1]
             s1, s2 = _contexts(prev, prev2)
             s1, s2 = lane1 + s1, lane2 + s2
             e1, e2 = one[s1], two[s2]
-            where = lane_state + _state(e2, e1)
+            state = _state(e2, e1)
+            where = lane_state + state
             c = counts[where]
-            c0 = c & mask
-            c01 = c0 + (c >> 20 & mask)
-            total = c01 + (c >> 40)
-            step = rng // total.astype(U)
-            value = np.minimum(((code - low) // step).astype(np.int64), total - 1)
-            second, third = value >= c0, value >= c01
-            part = second.astype(np.int64) + third
-            start = np.where(third, c01, np.where(second, c0, 0))
-            freq = np.where(third, total - c01, np.where(second, c01 - c0, c0))
-            low += start.astype(U) * step
-            rng = step * freq.astype(U)
-            renorm()
-            counts[where] = c + (np.int64(1) << 20 * part)
-            x = (np.where(second, e1, e2) >> 2) - 1
-            b = np.flatnonzero(third)
+            c2, c1 = c & mask, c >> 20 & mask
+            w2, w1, w0 = _weights(c2, c1, c2 + c1 + (c >> 40), e2, state & 1)
+            g2, g1 = np.maximum((e2 >> 2) - 1, 0), np.maximum((e1 >> 2) - 1, 0)
+            step = rng // (MIX * last).astype(U)
+            value = np.minimum(((code - low) // step).astype(np.int64), MIX * last - 1)
+            # the masses of the two guesses lie on top of P0: those below the value are taken off
+            flip = g1 < g2
+            ga, gb, ma, mb = np.where(flip, g1, g2), np.where(flip, g2, g1), last * np.where(flip, w1, w2), last * np.where(flip, w2, w1)
+            at_a, at_b = row + ga, row + gb
+            from_a, to_a = w0 * (flat[at_a] - lift), w0 * (flat[at_a + 1] - lift) + ma
+            past_a = value >= to_a
+            rest = value - ma * past_a
+            from_b, to_b = w0 * (flat[at_b] - lift), w0 * (flat[at_b + 1] - lift) + mb
+            past_b = past_a & (rest >= to_b)
+            rest -= mb * past_b
+            is_a, is_b = ~past_a & (value >= from_a), past_a & ~past_b & (rest >= from_b)
+            x = np.where(is_a, ga, gb)
+            b = np.flatnonzero(~(is_a | is_b))
             if len(b):
-                step = rng[b] // last[b]
-                value = np.minimum((code[b] - low[b]) // step, last[b] - U(1)).astype(np.uint32) + lift[b]
-                found = np.searchsorted(flat, value, "right") - 1
-                w0, w1 = flat[found], flat[found + 1]
-                low[b] += (w0 - lift[b]).astype(U) * step
-                rng[b] = step * (w1 - w0).astype(U)
-                renorm()
-                x[b] = found - row[b]
+                found = (rest[b] // w0[b]).astype(np.uint32) + lift[b]
+                x[b] = np.searchsorted(flat, found, "right") - 1 - row[b]
+            here = row + x
+            c0, c0_end = flat[here] - lift, flat[here + 1] - lift
+            own = state & 1
+            hit2, hit1 = (e2 >> 2) == x + 1, (own > 0) & ((e1 >> 2) == x + 1)
+            low += (w0 * c0 + last * (w2 * (g2 < x) + w1 * (g1 < x))).astype(U) * step
+            rng = step * (w0 * (c0_end - c0) + last * (w2 * hit2 + w1 * hit1)).astype(U)
+            renorm()
+            counts[where] = c + (np.int64(1) << 20 * np.where(hit2, 0, np.where(hit1, 1, 2)))
             hold = (x + 1) * 4
             one[s1] = hold + np.where(e1 >> 2 == x + 1, np.minimum((e1 & 3) + 1, 3), 1)
             two[s2] = hold + np.where(e2 >> 2 == x + 1, np.minimum((e2 & 3) + 1, 3), 1)
