@@ -54,5 +54,26 @@ def test_junk_goes_and_prose_stays(spark):
     assert kept == {r[0] for r in clean}
 
 
+def test_copies_and_junk_do_not_bend_the_reference(spark):
+    """A group of copies without common words, a third of all rows, and long failures of the base rules weigh no more than one text."""
+    rng = np.random.default_rng(1)
+    pool = Q.COMMON_WORDS["es"] + ["piedra", "invierno", "carta", "ventana", "mercado", "plata"] * 3
+    clean = [(i, " ".join(rng.choice(pool, 150)) + ".", "es", "s") for i in range(40)]
+    odd = " ".join(f"palabra{i}" for i in range(400))
+    copies, junk = [(100 + i, odd, "es", "s") for i in range(40)], [(200 + i, f"ruido{i} " * 3000, "es", "s") for i in range(5)]
+    def of(rows):
+        return {r._lang: (r._class_reference, r._word_reference) for r in Q.references(documents(spark, rows)).collect()}["es"]
+    once, often = of(clean + copies[:1]), of(clean + copies + junk)
+    assert np.allclose(once[0], often[0]) and np.allclose(once[1], often[1])
+    # worked independently: the mean of the shares of each distinct kept text
+    words = Q.COMMON_WORDS["es"]
+    shares = [[x.strip(".").split().count(w) / len(x.split()) for w in words] for x in [r[1] for r in clean] + [odd]]
+    assert np.allclose(often[1][:-1], np.mean(shares, axis=0))
+    kept = {r.doc_id for r in Q.quality(documents(spark, clean + copies + junk)).where("kept").collect()}
+    assert {r[0] for r in clean} <= kept and not kept & {r[0] for r in junk}
+    carried = {r.doc_id for r in Q.quality(documents(spark, clean + copies + junk), keep_columns=("text",)).where("kept").collect()}
+    assert carried == kept
+
+
 def test_empty_table(spark):
     assert Q.quality(documents(spark, [])).count() == 0

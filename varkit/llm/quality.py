@@ -2,12 +2,13 @@
 
 A document is a probability distribution over character classes and over the common words of
 its language.  Both are compared with the language's reference by the Jensen-Shannon distance
-(base 2, so 0 to 1).  The reference of a language is gathered from the whole corpus: all
-documents of that ``lang`` that read like text (few symbols, few capitals).  Documents too
-short for a histogram to mean anything are left to the base rules (the minimum-length guards).
+(base 2, so 0 to 1).  The reference of a language is gathered from the whole corpus: the mean of the histograms of
+the distinct texts of that ``lang`` that pass the base rules and read like text (few symbols, few capitals).  Every
+such text weighs one, whatever its length and however many copies it has, so neither a group of copies nor long junk bends a
+reference.  Documents too short for a histogram to mean anything are left to the base rules (the minimum-length guards).
 
-All of a document's figures come from its own row; only the references (one row per language)
-are aggregated, with partial aggregation, and joined back by language.
+All of a document's figures come from its own row; the references (one row per language) take one aggregate by
+language and digest of the text, which drops copies map-side, and one by language; they are joined back by language.
 
 Edge cases: NULL text counts as empty; an empty document has zero words and fails the base
 rules.  A NULL or unknown ``lang`` has its own character-class reference and no common words; a
@@ -158,19 +159,41 @@ def _doubles(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double"))
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per language: summed class counts and common-word counts of its reference text."""
-    d = docs.select(text_or_empty(text_col).alias("t"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    d = d.select("lang", F.length("t").alias("n"), class_counts(F.col("t")).alias("c"), word_counts(F.col("t"), F.col("lang")).alias("w"))
-    reads = (F.col("c")[5] * REFERENCE_SYMBOLS <= F.col("n")) & (F.col("c")[1] * REFERENCE_CAPITALS <= F.col("n"))
+def _figures(docs: DataFrame, columns: tuple[str, ...], text_col: str, lang_col: str) -> DataFrame:
+    """Per row, in one pass over its text: ``_row`` (the given columns), ``_l`` (language), ``_h`` (digest), ``_chars``, the base
+    columns, ``base_failed`` and both histograms, ``_cc`` and ``_wc``."""
+    d = docs.select((F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(None)).alias("_row"),
+                    text_or_empty(text_col).alias("_t"), F.col(f"`{lang_col}`").cast("string").alias("_l"))
+    d = d.withColumns({"_w": words_of(F.col("_t")), "_cc": class_counts(F.col("_t"))})
+    figures = base_figures(F.col("_t"), F.col("_w"), F.col("_cc"))
+    d = d.select("_row", "_l", F.md5("_t").alias("_h"), F.length("_t").alias("_chars"), *[c.alias(k) for k, c in figures.items()],
+                 "_cc", word_counts(F.col("_t"), F.col("_l")).alias("_wc"))
+    return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+
+
+def _shares(counts: Column) -> Column:
+    """The counts' shares; NULL where there are none."""
+    return _bind(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x), lambda n: F.when(n > 0, F.transform(counts, lambda x: x / n)))
+
+
+def _reference_of(figures: DataFrame) -> DataFrame:
+    reads = (~F.col("base_failed") & (F.col("_cc")[5] * REFERENCE_SYMBOLS <= F.col("_chars"))
+             & (F.col("_cc")[1] * REFERENCE_CAPITALS <= F.col("_chars")))
+    # the filter stays above the aggregate: below, it would compute the histograms twice
+    once = figures.groupBy("_l", "_h").agg(F.first(reads).alias("reads"), F.first("_cc").alias("c"), F.first("_wc").alias("w")).where("reads")
+    once = once.select("_l", _shares(F.col("c")).alias("c"), _shares(F.col("w")).alias("w"))
     size = len(next(iter(COMMON_WORDS.values()))) + 1
-    # conditional sums: a filter would be pushed below the projection and compute "c" twice
-    sums = lambda a, n: F.array(*[F.sum(F.when(reads, F.col(a)[i]).cast("long")).cast("double") for i in range(n)])
-    return (d.groupBy("lang").agg(sums("c", len(CLASSES)).alias("c"), sums("w", size).alias("w"))
-            .select(F.col("lang").alias("_lang"), F.col("c").alias("_class_reference"),
+    means = lambda a, n: F.array(*[F.avg(F.col(a)[i]) for i in range(n)])
+    return (once.groupBy("_l").agg(means("c", len(CLASSES)).alias("c"), means("w", size).alias("w"))
+            .select(F.col("_l").alias("_lang"), F.col("c").alias("_class_reference"),
                     F.when(F.col("w")[0].isNotNull(), F.col("w")).alias("_word_reference")))
 
 
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per language: mean class shares and common-word shares of its reference texts."""
+    return _reference_of(_figures(docs, (), text_col, lang_col))
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
             reference: DataFrame | None = None, keep_columns: tuple[str, ...] = ()) -> DataFrame:
     """Base figures, both distances and the verdict per document.
@@ -180,18 +203,16 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     of at least ``MIN_CHARS`` characters only when both are.  ``reference`` is a result of ``references()`` over another corpus;
     by default it is gathered from ``docs``.
     """
+    d = _figures(docs, (id_col, *keep_columns), text_col, lang_col)
+    if reference is None and not keep_columns:
+        d = stored(d, "quality-figures")                             # small rows; carried columns may hold the texts
+        reference = _reference_of(d)
     ref = stored(references(docs, text_col, lang_col) if reference is None else reference, "quality-reference")
     if ref.count() <= BROADCAST_LANGUAGES:
         ref = F.broadcast(ref)
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in (id_col, *keep_columns)]).alias("_row"),
-                    text_or_empty(text_col).alias("_t"), F.col(f"`{lang_col}`").cast("string").alias("_l"))
-    d = d.withColumns({"_w": words_of(F.col("_t")), "_cc": class_counts(F.col("_t"))})
-    figures = base_figures(F.col("_t"), F.col("_w"), F.col("_cc"))
-    d = d.select("_row", "_l", F.length("_t").alias("_chars"), *[c.alias(k) for k, c in figures.items()],
-                 "_cc", word_counts(F.col("_t"), F.col("_l")).alias("_wc"))
+    figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     d = d.join(ref, F.col("_l").eqNullSafe(F.col("_lang")), "left")
-    d = d.select("_row", "_chars", *figures,
-                 ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
+    d = d.select("_row", "_chars", *figures, "base_failed",
                  js_distance(_doubles(F.col("_cc")), F.col("_class_reference")).alias("char_distance"),
                  js_distance(_doubles(F.col("_wc")), F.col("_word_reference")).alias("word_distance"))
     far = lambda c, most: F.coalesce(F.col(c) > most, F.lit(False))

@@ -83,7 +83,7 @@ def _quality_sql() -> str:
     classes = [without(p) for p in (r"\p{Ll}", r"\p{Lu}", "[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?''\"()\-]", r"[#*$%&|<>]")]
     words = " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in COMMON_WORDS.items())
     size = len(next(iter(COMMON_WORDS.values())))
-    sums = lambda a, n: "[" + ", ".join(f"sum({a}[{i}]) FILTER (reads)" for i in range(1, n + 1)) + "]"
+    means = lambda a, n: "[" + ", ".join(f"avg({a}[{i}] / list_sum({a})) FILTER (list_sum({a}) > 0)" for i in range(1, n + 1)) + "]"
     def distance(a, b, n):
         x, y = f"({a}[i] / list_sum({a}))", f"({b}[i] / list_sum({b}))"
         part = lambda v: f"CASE WHEN {v} > 0 THEN {v} * log2({v} / (({x} + {y}) / 2)) ELSE 0 END"
@@ -99,24 +99,26 @@ a AS (
     regexp_extract_all(regexp_replace(lower(t), '[.,;:!?''\"()\\-]+', '', 'g'), '{WORD_RE}') AS flat
   FROM d
 ), f AS (
-  SELECT rid, doc_id, lang, length(t) AS chars, w, lines, c6, list_append(c6, length(t) - list_sum(c6)) AS c,
+  SELECT rid, doc_id, lang, t, length(t) AS chars, w, lines, c6, list_append(c6, length(t) - list_sum(c6)) AS c,
     CASE WHEN common IS NOT NULL THEN list_append(list_transform(common, lambda x: len(list_filter(flat, lambda y: y = x))),
       len(list_filter(flat, lambda y: NOT list_contains(common, y)))) END AS h
   FROM a
-), r AS (
-  SELECT lang, {sums('c', 7)} AS rc, {sums('h', size + 1)} AS rh
-  FROM (SELECT *, c[6] * {REFERENCE_SYMBOLS} <= chars AND c[2] * {REFERENCE_CAPITALS} <= chars AS reads FROM f) GROUP BY lang
 ), g AS (
   SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS x FROM f, unnest(range(1, greatest(len(w) - 3, 1))) u(i) WHERE len(w) >= 5
 ), o AS (
   SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt
   FROM (SELECT *, count(*) OVER (PARTITION BY rid, x) AS k FROM g) WHERE k > 1
 ), rep AS (SELECT rid, sum(least(5, coalesce(nxt - i, 5))) AS n FROM o GROUP BY rid),
-b AS (
+r AS (
+  SELECT lang, {means('c', 7)} AS rc, {means('h', size + 1)} AS rh
+  FROM (SELECT DISTINCT ON (lang, t) f.* FROM f LEFT JOIN rep USING (rid)
+        WHERE len(w) >= 10 AND 100 * coalesce(rep.n, 0) <= 20 * len(w)
+          AND c[6] * {REFERENCE_SYMBOLS} <= chars AND c[2] * {REFERENCE_CAPITALS} <= chars) GROUP BY lang
+), b AS (
   SELECT doc_id, chars, CAST(len(w) AS BIGINT) AS n_words, CAST(chars - c[4] AS BIGINT) AS word_chars, CAST(c[6] AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
     {distance('c', 'rc', 7)} AS dc, {distance('h', 'rh', size + 1)} AS dh
-  FROM f LEFT JOIN rep USING (rid) JOIN r ON r.lang IS NOT DISTINCT FROM f.lang
+  FROM f LEFT JOIN rep USING (rid) LEFT JOIN r ON r.lang IS NOT DISTINCT FROM f.lang
 ), v AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words >= {MIN_HISTOGRAM_WORDS} AS long,
     coalesce(dc > {MAX_CHAR_DISTANCE}, false) AS farc, coalesce(dh > {MAX_WORD_DISTANCE}, false) AS farh FROM b
