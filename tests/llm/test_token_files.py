@@ -112,3 +112,60 @@ def test_query(spark):
     for (i, _), ids in zip(rows, want):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def test_order0_of_both_coders_is_that_of_all_ids():
+    """The tables by local number give every id the weight that ``order0`` gives it, without overlap, and grow with the
+    ids of a block, not with the vocabulary."""
+    rng = np.random.default_rng(5)
+    ids = rng.zipf(1.2, 700) % 49408
+    base = T.prior(49408)
+    line = np.concatenate([[0], np.cumsum(base)])
+    local, names = T._numbered(ids, np.zeros(49408, np.int64))
+    assert (names[local - 1] == ids).all() and list(names) == list(dict.fromkeys(ids.tolist()))
+    row, begin, weight, total = T._spread(local, names, [0, 64, 512], base, line)
+    for t, seen in ((0, 0), (64, 64), (512, 512)):
+        c = T.order0(ids[:seen], base)
+        of = slice(row[t] + 1, row[t] + 1 + len(names))
+        assert (weight[of] == np.diff(c)[names]).all() and total[t] == c[-1]
+        by = np.argsort(begin[of])
+        assert ((begin[of] + weight[of])[by][:-1] <= begin[of][by][1:]).all() and (begin[of] + weight[of]).max() <= total[t]
+    lanes = T._Lanes(2, 49408, 700)
+    lanes.last[:] = k = len(names)
+    lanes.names, lanes.counts, lanes.spans = (np.zeros((2, k + 2), np.int64) for _ in range(3))
+    lanes.cap, lanes.names[:, 1:k + 1] = k + 2, names
+    lanes._room()
+    lanes.renew(700, np.stack([local, local], 1))
+    c = T.order0(ids, base)
+    span = lanes.span[lanes.row[1] + 1:lanes.row[1] + 1 + k]
+    assert (span >> 32 == np.diff(c)[names]).all() and (lanes.total == c[-1]).all() and len(lanes.table) == 2 * (k + 2)
+    assert (lanes.find(np.array([0, c[-1] - 1]))[0], (lanes.find((span & 0xFFFFFFFF)[[k - 1, k // 2]]) == [k, k // 2 + 1]).all()) == (1, True)
+    # the places behind them are those of the other ids, in ascending order
+    others = np.setdiff1d(np.arange(49408), names)
+    ends = lanes.rest[0] + np.cumsum(base[others])
+    for i in (0, 1, 777, len(others) - 1):
+        got = lanes.others(np.array([0]), np.array([ends[i] - 1]))
+        assert lanes.name[lanes.row[0] + got[0]] == others[i]
+
+
+def test_blocks_of_all_lengths_in_any_order():
+    rng = np.random.default_rng(6)
+    blocks = [rng.integers(0, 400, k) for k in (3, 2000, 1, 65, 2000, 64, 1025)]
+    back = T.decode_blocks(T.encode_blocks(blocks, 49408), [len(b) for b in blocks], 49408)
+    assert all(len(a) == len(b) and (a == b).all() for a, b in zip(blocks, back))
+    # one block whose order-0 tables grow from place to place
+    wide = rng.permutation(49408)[:9000]
+    assert (T.decode_blocks(T.encode_blocks([wide], 49408), [9000], 49408)[0] == wide).all()
+
+
+def test_words_that_come_again_are_not_encoded_again(monkeypatch):
+    """New words go to the library many at a time, and a full memory keeps what is in use."""
+    import public_tokenizers
+    monkeypatch.setattr(T, "CHUNKS_KEPT", 50)
+    texts, asked = T._Texts(public_tokenizers.path("word_bpe_49k.json"), 1), []
+    library = texts._library_words
+    monkeypatch.setattr(texts, "_library_words", lambda words: (asked.append(list(words)), library(words)))
+    rows = [f"Garden garden, gärten. İx ΑΣ word{'x' * i} {chr(97 + i % 26) * (i + 2)} {chr(97 + i % 26) * (i + 3)}é!!" for i in range(200)]
+    want = [[*e.ids, 1] for e in texts.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+    assert [texts.ids(x).tolist() for x in rows] == want
+    assert len(asked) <= len(rows) and sum(w.count("garden") + w.count("gärten") for w in asked) == 2
